@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import mixing, near
+from wayfold.llm import contamination, mixing, near, sharding, toxicity
 from wayfold.llm.store import table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity.stage),
     ("minhash_near_dedup", near.stage),
+    ("benchmark_decontamination", contamination.stage),
     ("source_mixing", mixing.stage),
+    ("sharding", sharding.stage),
 ]
 
 #: Sketches, a trained model and banded alignment can't be written in SQL; tests hold the stages against brute force.
