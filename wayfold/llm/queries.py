@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfold.llm.chat import OP7_SQL, op7_chat
 from wayfold.llm.contamination import op8_contamination
 from wayfold.llm.exact import OP9_SQL, op9_exact
+from wayfold.llm.html import op10_html
+from wayfold.llm.lines import op3_lines
 from wayfold.llm.mixing import OP2_SQL, op2_mixing
 from wayfold.llm.near import op4_near
 from wayfold.llm.sharding import op6_sharding
@@ -17,7 +19,7 @@ from wayfold.llm.urls import OP1_SQL, op1_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls, op2_mixing, op4_near, op5_toxicity, op6_sharding, op7_chat, op8_contamination, op9_exact)}
+    return {f.__name__: f for f in (op1_urls, op2_mixing, op3_lines, op4_near, op5_toxicity, op6_sharding, op7_chat, op8_contamination, op9_exact, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
