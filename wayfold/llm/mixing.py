@@ -13,7 +13,6 @@ from wayfold.llm.thresholds import find_thresholds
 
 #: Production parameters: weights by rank of the source, share of all words, most passes over a source.
 WEIGHTS, SHARE, MOST, ROUNDS = (3.0, 1.0, 2.0), 1.5, 2.0, 3
-ALL = Window.partitionBy()
 
 
 def source_key(source: Column) -> Column:
@@ -27,15 +26,16 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     The level is what remains stable when the excess over each cap is shared out again by weight.
     One row a source goes through this window; a source is metadata, not a document.
     """
+    everything = Window.partitionBy()
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = sizes.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
     upto = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(ALL) * share - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (
-        F.sum("weight").over(ALL) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
+    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (
+        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     )
     levels = ranked.withColumn("level", level)
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(ALL)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return levels.withColumn("target", F.least(F.col("cap"), level * F.col("weight"))).select("key", "source_size", "target")
 
 

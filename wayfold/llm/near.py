@@ -19,10 +19,10 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.75, 32, 4
 REGISTERS = BANDS * ROWS
 #: Registers hold floor((OFFSET - ln x) / ln BASE), truncated to 0..255, of the minimum x of exponential variates.
 BASE, OFFSET = 1.1, 2.0
-#: Pairs whose likeliest similarity is this far (over 6 standard errors) below the limit aren't verified.
-MARGIN = 0.25
-#: Buckets up to this size compare all their remaining pairs at once; larger ones go on by representatives.
-SMALL, REPS = 64, 8
+#: Pairs whose likeliest similarity is this far (4.7 standard errors) below the limit aren't verified.
+MARGIN = 0.18
+#: Members of a bucket that one task compares by their registers, about.
+BLOCK = 256
 
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL, _XOR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
@@ -44,16 +44,25 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def likeliest(plus: np.ndarray, minus: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood similarity of sketch pairs from the numbers of registers that are greater,
-    less and equal, and from the known set sizes, on a grid of 0.01."""
+def _log_likelihood(grid, plus, minus, equal, na, nb) -> np.ndarray:
+    """Of similarities ``grid`` (pairs x values), from the numbers of registers that are greater, less and equal."""
     u = (na / (na + nb))[:, None]
-    grid = np.minimum(np.arange(101) / 100, np.minimum(u / (1 - u), (1 - u) / u))
+    grid = np.minimum(grid, np.minimum(u / (1 - u), (1 - u) / u))
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
     more, less = p(u - (1 - u) * grid), p((1 - u) - u * grid)
     log = lambda x: np.log(np.maximum(x, 1e-12))
-    score = plus[:, None] * log(more) + minus[:, None] * log(less) + equal[:, None] * log(1 - more - less)
-    return np.take_along_axis(grid, score.argmax(axis=1)[:, None], 1)[:, 0]
+    return plus[:, None] * log(more) + minus[:, None] * log(less) + equal[:, None] * log(1 - more - less)
+
+
+def likeliest(plus: np.ndarray, minus: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood similarity of sketch pairs, of known set sizes, on a grid of 0.01."""
+    return _log_likelihood(np.arange(101)[None] / 100, plus, minus, equal, na, nb).argmax(axis=1) / 100
+
+
+def likely(least: float, plus: np.ndarray, minus: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the likeliest similarity is ``least`` or more: the likelihood has one peak, so two values tell."""
+    score = _log_likelihood(np.array([[least - 0.01, least]]), plus, minus, equal, na, nb)
+    return score[:, 1] >= score[:, 0]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +88,7 @@ def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-        j = likeliest((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), na, nb)
-        yield batch.select(["a", "b"]).filter(pa.array(j >= similarity - MARGIN))
+        yield batch.select(["a", "b"]).filter(pa.array(likely(similarity - MARGIN, (a > b).sum(1), (a < b).sum(1), (a == b).sum(1), na, nb)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +99,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "s"])
 
 
+def _pairs_of_block(rows: pa.Table, similarity: float, best: bool) -> pa.Table:
+    """Likely pairs of different components within one block, or between two blocks of one bucket.
+
+    best: of each member only the partner with most equal registers.
+    """
+    ids, root, n = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
+    home, lo, hi = (rows.column(c).to_numpy() for c in ("block", "lo", "hi"))
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    left, right = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
+    out = []
+    for i in left:
+        j = right[right > i] if lo[0] == hi[0] and not best else right
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]))]
+        if len(j):
+            equal = (regs[j] == regs[i]).sum(1)
+            if best:
+                j, equal = j[[equal.argmax()]], equal[[equal.argmax()]]
+            more = (regs[j] < regs[i]).sum(1)
+            j = j[likely(similarity - MARGIN, more, REGISTERS - more - equal, equal, np.full(len(j), n[i], float), n[j].astype(float))]
+            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def unresolved(members: DataFrame, roots: DataFrame, reps: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Likely pairs (a, b) in different components from the buckets whose members, beside their
+    smallest one, aren't in one component yet.
+
+    Such a bucket is dealt out in hashed blocks of about BLOCK members, and each pair of blocks is
+    compared by registers alone in a task of its own. best: give only each member's
+    most similar partner of a pair of blocks.
+    """
+    own = members.where("id <> rep").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    rest = own.select("key", "id", "root").join(mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.select("key", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = dealt.join(reps.select("id", "n", "regs"), "id")
+    return full.groupBy("key", "lo", "hi").applyInArrow(lambda t: _pairs_of_block(t, similarity, best), "a long, b long")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.
 
@@ -99,11 +147,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: flo
     """
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    likely = table(sized.mapInArrow(lambda it: _likely(it, similarity), "a long, b long"), "likely")
-    needed = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    left = table(sized.mapInArrow(lambda it: _likely(it, similarity), "a long, b long"), "likely")
+    needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     sets = table(docs.join(needed, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = likely.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    both = left.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("shared")
     return both.where(100 * F.col("shared") >= round(100 * similarity) * union).select("a", "b")
 
@@ -112,10 +160,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Return id_col, n_shingles, component_id, kept: one row per row of docs.
 
     Documents of one shingle set form a class that its smallest id stands for. Classes that share a
-    band meet in a bucket. Every bucket is worked off until all its members are in one component or
-    all pairs of its members in different components have been verified: first each member with the
-    smallest one, then the rest pair by pair in small buckets, and by up to REPS representatives a
-    round in large ones. So no group's pairs are all emitted, and none is dropped.
+    band meet in a bucket. There, each member is verified with the smallest one; members that are
+    in different components after that are compared by their registers, block by block: first each one's
+    likeliest partner is verified, then all likely pairs that are in different components still. So
+    no pair of a bucket is dropped, and a group of copies, which the first passes join, never has
+    all its pairs made.
 
     Null and empty texts and texts of white space have n_shingles 0 and stand alone. Rows of one id
     count as one document of several texts. A row with a null id stands alone, with null
@@ -130,33 +179,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = hits.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     members = table(hits.join(buckets, "key").select("key", "id", "rep", "c"), "members")
 
-    def linked(pairs: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        new = table(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, slim, similarity), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        return edges, components(edges)
-
-    edges, roots = linked(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), None)
-    rest, first = members.where("id <> rep").select("key", "id", "c"), True
-    while True:
-        own = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rest = table(own.join(mixed, "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        if first:
-            small = rest.where(F.col("c") <= SMALL)
-            other = small.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            pairs = small.join(other, "key").where("id < b AND root <> root_b").select(F.col("id").alias("a"), "b")
-            rest = rest.where(F.col("c") > SMALL)
-        else:
-            part = F.pmod(F.xxhash64("root"), F.lit(REPS))
-            lead = rest.groupBy("key").agg(F.array_compact(F.array(*[F.min(F.when(part == i, F.struct("id", "root"))) for i in range(REPS)])).alias("leads"))
-            led = rest.join(lead, "key").withColumn("lead", F.explode("leads")).select("key", "id", "c", "root", "lead")
-            pairs = led.where("root <> lead.root").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-            done = led.where("id = lead.id").select("key", "id")
-            rest = rest.join(done, ["key", "id"], "left_anti")
-        edges, roots = linked(pairs, edges)
-        rest, first = rest.select("key", "id", "c"), False
+    def links(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return table(verified(ordered, reps, slim, similarity), "links")
+
+    edges = links(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    roots = components(edges)
+    for best in (True, False):
+        more = links(unresolved(members, roots, reps, similarity, best))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = components(edges)
     out = sk.select("id", "n", "f0", "f1").join(classes, ["f0", "f1", "n"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), root).alias("component_id")).withColumn(
