@@ -1,0 +1,81 @@
+"""Page classification: exact domains, then host and path rules, then words of title and query."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    """hosts match themselves and their subdomains; starts and contains look at the path; all that is given must hold."""
+
+    name: str
+    category: str
+    page: str
+    hosts: Sequence[str] = ()
+    starts: Sequence[str] = ()
+    contains: Sequence[str] = ()
+    segments: int = 0
+    query_key: str = ""
+
+
+#: Rules in order of evaluation; fixed values.
+RULES = (
+    Rule("github-issue", "developer", "issue", ("github.com", "gitlab.com"), contains=("/issues/",)),
+    Rule("github-pull-request", "developer", "pull_request", ("github.com", "gitlab.com"), contains=("/pull/", "/merge_requests/")),
+    Rule("github-repo", "developer", "repo", ("github.com", "gitlab.com"), segments=2),
+    Rule("developer-docs", "docs", "docs_page", ("developer.mozilla.org", "devdocs.io")),
+    Rule("docs-path", "docs", "docs_page", starts=("/docs", "/doc", "/reference", "/api", "/guide", "/guides")),
+    Rule("community-thread", "community", "forum_thread", ("reddit.com", "stackoverflow.com", "news.ycombinator.com"), contains=("/questions/", "/comments/", "/forum", "/discuss")),
+    Rule("video-watch", "video", "video_page", ("youtube.com", "youtu.be", "vimeo.com"), starts=("/watch",), query_key="v"),
+)
+#: Confidence by source of the decision.
+EXACT, BY_RULE, BY_WORD = 0.95, 0.86, 0.62
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def matches(rule: Rule, host: Column, path: Column, query: Column) -> Column:
+    parts = []
+    if rule.hosts:
+        parts.append(_any([(host == h) | F.endswith(host, F.lit(f".{h}")) for h in rule.hosts]))
+    if rule.starts:
+        parts.append(_any([F.startswith(path, F.lit(p)) for p in rule.starts]))
+    if rule.contains:
+        parts.append(_any([F.contains(path, F.lit(p)) for p in rule.contains]))
+    if rule.segments:
+        parts.append(F.size(F.filter(F.split(path, "/"), lambda s: s != "")) >= rule.segments)
+    if rule.query_key:
+        parts.append(query.rlike(rf"(?:^|&){rule.query_key}="))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def classify(host: Column, path: Column, query: Column, text: Column, domains: dict[str, tuple[str, str]], words: Sequence[tuple[str, str, str]], rules: Sequence[Rule] = RULES) -> Column:
+    """struct(category, page, confidence, source): one CASE in order of precedence, for Catalyst to fold."""
+
+    def decided(category: str, page: str, confidence: float, source: str) -> Column:
+        return F.struct(F.lit(category).alias("category"), F.lit(page).alias("page"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
+
+    cases = [((host == d) | F.endswith(host, F.lit(f".{d}")), decided(c, p, EXACT, "domain")) for d, (c, p) in domains.items()]
+    cases += [(matches(r, host, path, query), decided(r.category, r.page, BY_RULE, r.name)) for r in rules]
+    cases += [(F.contains(F.lower(text), F.lit(w)), decided(c, p, BY_WORD, "lexicon")) for w, c, p in words]
+    out = F.when(*cases[0])
+    for c, v in cases[1:]:
+        out = out.when(c, v)
+    return out.otherwise(decided("unknown", "unknown", 0.0, "unknown"))
+
+
+def evidence_tier(has_search: Column, has_referrer: Column, path: Column, query: Column, title: Column) -> Column:
+    return F.when(has_search | has_referrer, "tier-a").when((path != "/") | (query != "") | (F.coalesce(title, F.lit("")) != ""), "tier-b").otherwise("tier-c")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.plans import history
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(history.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(history.SQL)
