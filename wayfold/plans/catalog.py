@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import history
+from wayfold.plans import corpus, history
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(history.QUERIES)
+    return history.QUERIES | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(history.SQL)
+    return history.SQL | corpus.SQL
