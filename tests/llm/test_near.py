@@ -85,9 +85,9 @@ def test_likelihood_finds_the_similarity():
         assert abs(np.mean(est) - j) < 0.03, (j, np.mean(est))
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(near, "SMALL", small)
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rows = corpus(160) + [(2000, None), (2001, ""), (2002, " \n"), (2003, "just three words"), (2004, "JUST three\nwords")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS kept", "1 AS component_id", "2 AS n", "3 AS id")
     out = near.near_duplicates(df).collect()

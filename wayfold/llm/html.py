@@ -29,6 +29,8 @@ ASIDE = frozenset(
 )
 #: Containers of the article, best first.
 MAIN = (("article", None), ("main", None), (None, "main"), (None, "articleBody"), (None, "content"))
+#: Levels of elements that wrappers describe.
+DEPTH = 60
 #: Token streams per host that are merged before the last merge, so that a common host isn't one group.
 SALTS = 32
 
@@ -80,28 +82,28 @@ class Node:
 def tree(page: str) -> Node:
     """The element tree of a page, with what is left open closed as browsers do for blocks."""
     root = Node("")
-    stack = [root]
+    stack, names = [root], [""]
     for kind, name, rest in tokens(page):
         if kind == "text":
             stack[-1].children.append(rest)
             continue
-        names = [n.label.split(".")[0] for n in stack]
         if kind == "open":
             if name in BLOCK and "p" in names:  # a block ends an open paragraph
                 k = len(names) - 1 - names[::-1].index("p")
                 if not any(x in BLOCK for x in names[k + 1 :]):
-                    del stack[k:]
+                    del stack[k:], names[k:]
             elif name in ENDS and names[-1] in ENDS[name]:
-                stack.pop()
+                del stack[-1], names[-1]
             node = Node(label(name, rest))
             stack[-1].children.append(node)
             if name not in VOID and not rest.rstrip().endswith("/"):
                 stack.append(node)
+                names.append(name)
         elif name in names[1:]:
             k = len(names) - 1 - names[::-1].index(name)
             if name not in BLOCK and any(x in BLOCK for x in names[k + 1 :]):
                 continue  # the end of an inline element doesn't end blocks inside it
-            del stack[k:]
+            del stack[k:], names[k:]
     return root
 
 
@@ -110,13 +112,16 @@ def tree(page: str) -> Node:
 TEXT = "#"
 
 
-def skeleton(node: Node) -> list:
-    """The wrapper of one page's element: texts are slots, and equal neighbours one repeated group."""
+def skeleton(node: Node, depth: int = 0) -> list:
+    """The wrapper of one page's element: texts are slots, and equal neighbours one repeated group.
+
+    What nests deeper than DEPTH is one slot.
+    """
     out: list = []
     for c in node.children:
-        item = [TEXT, "1", []] if isinstance(c, str) else [c.label, "1", skeleton(c)]
         if isinstance(c, str) and not c.strip():
             continue
+        item = [TEXT, "1", []] if isinstance(c, str) or depth >= DEPTH else [c.label, "1", skeleton(c, depth + 1)]
         if out and out[-1][0] == item[0]:
             out[-1] = [item[0], "+" if item[0] != TEXT else "1", align(out[-1][2], item[2])]
         else:
