@@ -85,7 +85,7 @@ def test_likelihood_finds_the_similarity():
         assert abs(np.mean(est) - j) < 0.03, (j, np.mean(est))
 
 
-@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("block", [1024, 2])
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
     rows = corpus(160) + [(2000, None), (2001, ""), (2002, " \n"), (2003, "just three words"), (2004, "JUST three\nwords")]

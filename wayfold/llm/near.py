@@ -21,8 +21,8 @@ REGISTERS = BANDS * ROWS
 BASE, OFFSET = 1.1, 2.0
 #: Pairs whose likeliest similarity is this far (4.7 standard errors) below the limit aren't verified.
 MARGIN = 0.18
-#: Members of a bucket that one task compares by their registers, about.
-BLOCK = 256
+#: Members of a bucket that one task compares, about.
+BLOCK = 1024
 
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL, _XOR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
@@ -99,44 +99,68 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "s"])
 
 
-def _pairs_of_block(rows: pa.Table, similarity: float, best: bool) -> pa.Table:
-    """Likely pairs of different components within one block, or between two blocks of one bucket.
+def _links_of_block(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links that join different components within one block, or between two blocks of one bucket.
 
-    best: of each member only the partner with most equal registers.
+    A pair is looked at in the first band that it shares. Of the pairs that sizes and registers
+    leave, intersections are counted on the full sets, one member against all at a time.
     """
-    ids, root, n = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
-    home, lo, hi = (rows.column(c).to_numpy() for c in ("block", "lo", "hi"))
+    ids, root, n, home = (rows.column(c).to_numpy() for c in ("id", "root", "n", "block"))
+    band, lo, hi = (rows.column(c)[0].as_py() for c in ("band", "lo", "hi"))
     regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    words = np.ascontiguousarray(regs).view("<u4")
+    sets = rows.column("s").combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    cut = sets.offsets.to_numpy()
+    cut = cut - cut[0]
+    seen, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    group = {r: r for r in root}
+
+    def find(r):
+        while group[r] != r:
+            group[r] = r = group[group[r]]
+        return r
+
+    out, mark = [], np.zeros(len(seen) + 1, np.int32)
     left, right = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
-    out = []
     for i in left:
-        j = right[right > i] if lo[0] == hi[0] and not best else right
+        j = right[right > i] if lo == hi else right
         j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]))]
-        if len(j):
-            equal = (regs[j] == regs[i]).sum(1)
-            if best:
-                j, equal = j[[equal.argmax()]], equal[[equal.argmax()]]
-            more = (regs[j] < regs[i]).sum(1)
-            j = j[likely(similarity - MARGIN, more, REGISTERS - more - equal, equal, np.full(len(j), n[i], float), n[j].astype(float))]
-            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
+        j = j[(words[j] == words[i]).argmax(1) == band]
+        if not len(j):
+            continue
+        equal, more = (regs[j] == regs[i]).sum(1), (regs[j] < regs[i]).sum(1)
+        j = j[likely(similarity - MARGIN, more, REGISTERS - more - equal, equal, np.full(len(j), n[i], float), n[j].astype(float))]
+        mark[flat[cut[i] : cut[i + 1]]] = 1
+        for k in j:
+            if find(root[i]) != find(root[k]):
+                shared = int(mark[flat[cut[k] : cut[k + 1]]].sum())
+                if 100 * shared >= round(100 * similarity) * (n[i] + n[k] - shared):
+                    group[find(root[i])] = find(root[k])
+                    out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+        mark[flat[cut[i] : cut[i + 1]]] = 0
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def unresolved(members: DataFrame, roots: DataFrame, reps: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """Likely pairs (a, b) in different components from the buckets whose members, beside their
+def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, s: the full shingle sets of some documents (ids: id), written out."""
+    return table(docs.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
+
+
+def cross_links(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components from the buckets whose members, beside their
     smallest one, aren't in one component yet.
 
-    Such a bucket is dealt out in hashed blocks of about BLOCK members, and each pair of blocks is
-    compared by registers alone in a task of its own. best: give only each member's
-    most similar partner of a pair of blocks.
+    Such a bucket is dealt out in hashed blocks of about BLOCK members, each pair of blocks to a
+    task of its own, with the members' registers and full sets: only links leave it, no pairs.
     """
     own = members.where("id <> rep").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    rest = own.select("key", "id", "root").join(mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = table(own.select("key", "band", "id", "root").join(mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key"), "rest")
+    sets = reps.select("id", "n", "regs").join(shingle_table(docs, rest.select("id")).dropDuplicates(["id"]), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select("key", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = dealt.join(reps.select("id", "n", "regs"), "id")
-    return full.groupBy("key", "lo", "hi").applyInArrow(lambda t: _pairs_of_block(t, similarity, best), "a long, b long")
+    dealt = rest.select("key", "band", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return dealt.join(sets, "id").groupBy("key", "lo", "hi").applyInArrow(lambda t: _links_of_block(t, similarity), "a long, b long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -148,8 +172,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: flo
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     left = table(sized.mapInArrow(lambda it: _likely(it, similarity), "a long, b long"), "likely")
-    needed = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    sets = table(docs.join(needed, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
+    sets = shingle_table(docs, left.select(F.col("a").alias("id")).union(left.select("b")))
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = left.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("shared")
@@ -175,21 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sk.where("n > 0 AND id IS NOT NULL")
     classes = table(full.groupBy("f0", "f1", "n").agg(F.min("id").alias("rep")), "classes")
     reps = table(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "regs", "bands"), "reps")
-    hits = reps.select("id", F.explode("bands").alias("key"))
+    hits = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = hits.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    members = table(hits.join(buckets, "key").select("key", "id", "rep", "c"), "members")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return table(verified(ordered, reps, slim, similarity), "links")
+    members = table(hits.join(buckets, "key").select("key", "band", "id", "rep"), "members")
 
-    edges = links(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    stars = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    edges = table(verified(stars, reps, slim, similarity), "links")
     roots = components(edges)
-    for best in (True, False):
-        more = links(unresolved(members, roots, reps, similarity, best))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = components(edges)
+    more = table(cross_links(members, roots, reps, slim, similarity), "links")
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
     out = sk.select("id", "n", "f0", "f1").join(classes, ["f0", "f1", "n"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), root).alias("component_id")).withColumn(
