@@ -23,6 +23,8 @@ BASE, OFFSET = 1.1, 2.0
 MARGIN = 0.18
 #: Members of a bucket that one task compares, about.
 BLOCK = 1024
+#: Words (of 63 bits) of the bitmap that keeps texts from being moved in vain.
+FILTER_WORDS = 1 << 18
 
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL, _XOR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
@@ -143,8 +145,17 @@ def _links_of_block(rows: pa.Table, similarity: float) -> pa.Table:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, s: the full shingle sets of some documents (ids: id), written out."""
-    return table(docs.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
+    """id, s: the full shingle sets of some documents (ids: id), written out.
+
+    Texts are moved to meet the ids only if a bitmap of the ids' hashes, of FILTER_WORDS lines at
+    most however many ids there are, doesn't already leave them out.
+    """
+    ids = table(ids.distinct(), "ids")
+    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 63))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 63).cast("int"))
+    bitmap = ids.select(F.floor(h / 63).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+    some = docs.withColumn("_word", F.floor(h / 63)).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+    return table(some.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
 
 
 def cross_links(members: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
