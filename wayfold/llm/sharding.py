@@ -42,7 +42,7 @@ def atoms(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int, floa
     total = groups.agg(F.sum("w"), F.sum("n")).first()
     target = (total[0] or 0) / shards
     big = groups.where(F.col("w") > target).select("group", F.ceil(F.col("w") / max(HEAVY * target, 1.0)).alias("parts"))
-    cut = slim.join(big, "group", "left")
+    cut = slim.join(F.broadcast(big), "group", "left")  # fewer lines than shards
     part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "size"), F.coalesce("parts", F.lit(1))))
     rows = table(cut.select(F.concat_ws(":", "group", part.cast("string")).alias("atom"), "id", "size", "crc", "src", "lang"), "shard-rows")
     found = rows.groupBy("atom").agg(
