@@ -18,44 +18,41 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signature(line: Column) -> Column:
-    """64 parities of character counts: an edit flips two at most."""
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int")))))
+    """64 parities of words by hash: an edit takes away or adds three words at most, so it flips three bits at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of the ``edits + 1`` segments; the last ones take the remainder."""
-    k = edits + 1
-    base = F.floor(length / k)
-    longer = F.pmod(length, F.lit(k))
-    out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer))
-        out.append(((base * i + extra + 1).cast("int"), (base + (F.lit(i) >= F.lit(k) - longer).cast("int")).cast("int")))
-    return out
+def segment_keys(places: list[tuple[int, int, int]], edits: int) -> Column:
+    """Keys of substrings of a line (columns line and len): of each (less, i, move), the substring that
+    lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
+
+    A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder.
+    """
+    k, n = edits + 1, "(len - s.less)"
+    start = f"({n} DIV {k} * s.i + greatest(0, s.i - {k} + {n} % {k}) + 1 + s.move)"
+    size = f"({n} DIV {k} + int(s.i - {k} + {n} % {k} >= 0))"
+    given = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'move', {move})" for less, i, move in places)
+    key = f"CASE WHEN {start} >= 1 AND {start} + {size} - 1 <= len THEN xxhash64({n}, s.i, substring(line, int({start}), int({size}))) END"
+    return F.array_distinct(F.array_compact(F.expr(f"transform(array({given}), s -> {key})")))
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    """Keys of a line's own segments: length, number of the segment, its characters."""
-    n = F.char_length(line)
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, at, size)) for i, (at, size) in enumerate(segments(n, edits))])
+def index_keys(edits: int) -> Column:
+    """Keys of the own segments of a line."""
+    return segment_keys([(0, i, 0) for i in range(edits + 1)], edits)
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(edits: int) -> Column:
     """Keys of the substrings that may equal a segment of a line shorter by up to ``edits``.
 
     A segment's start may have moved by fewer places than there are segments before it, and by
     fewer than there are behind it once the difference in length is taken off.
     """
-    n = F.char_length(line)
-    keys = []
+    places = []
     for less in range(edits + 1):
-        short = n - less
-        for i, (at, size) in enumerate(segments(short, edits)):
-            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                start = at + move
-                ok = (start >= 1) & (start + size - 1 <= n)
-                keys.append(F.when(ok, F.xxhash64(short, F.lit(i), F.substring(line, start, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+        for i in range(edits + 1):
+            places += [(less, i, move) for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return segment_keys(places, edits)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -107,14 +104,15 @@ def line_links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
 
     A line of n code points is cut into ``edits + 1`` segments; of any line within the edits, some
     segment is a substring of the other near its own place. So keys of segments meet keys of the
-    substrings that may equal them, pairs whose character parities differ too much are left out in
-    the join, and the rest is verified.
+    substrings that may equal them, pairs whose word parities differ too much are left out in the
+    join, and the rest is verified.
     """
-    long_enough = distinct.where(F.char_length("line") >= shortest)
-    keyed = long_enough.select("id", F.char_length("line").alias("len"), signature(F.col("line")).alias("sig"), index_keys(F.col("line"), edits).alias("own"), probe_keys(F.col("line"), edits).alias("probes"))
+    long_enough = distinct.select("id", "line", F.char_length("line").alias("len")).where(F.col("len") >= shortest)
+    # written once: each key would else be computed again by every step that looks at it
+    keyed = table(long_enough.select("id", "len", signature(F.col("line")).alias("sig"), index_keys(edits).alias("own"), probe_keys(edits).alias("probes")), "line-keys")
     own = keyed.select(F.explode("own").alias("key"), F.col("id").alias("b"), F.col("len").alias("len_b"), F.col("sig").alias("sig_b"))
     probes = keyed.select(F.explode("probes").alias("key"), F.col("id").alias("a"), F.col("len").alias("len_a"), F.col("sig").alias("sig_a"))
-    near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits
+    near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 3 * edits
     ordered = (F.col("len_a") > F.col("len_b")) | ((F.col("len_a") == F.col("len_b")) & (F.col("a") > F.col("b")))
     pairs = probes.join(own, (probes["key"] == own["key"]) & near & ordered).select("a", "b").distinct()
     text = lambda x: long_enough.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
