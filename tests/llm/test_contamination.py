@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from wayfold.llm import contamination as c
 
 
@@ -16,11 +18,14 @@ def semi_global(passage, region):
 
 def test_alignment_equals_the_full_table():
     rng = random.Random(1)
-    for _ in range(300):
-        p, r = ("".join(rng.choice("ab") for _ in range(n)).encode() for n in (rng.randrange(1, 12), rng.randrange(0, 25)))
-        best = semi_global(p, r)
-        assert (c.best_alignment(p, r, 99) or (len(p),))[0] == best
-        assert (c.best_alignment(p, r, 3) is not None) == (best <= 3)
+    for width in (70, 53):
+        pairs = [("".join(rng.choice("ab") for _ in range(n)).encode(), "".join(rng.choice("abc") for _ in range(40)).encode()) for n in [*range(1, 13)] * 20]
+        passages, regions = np.zeros((len(pairs), 12), np.uint8), np.zeros((len(pairs), 12 + width), np.uint8)
+        for i, (p, r) in enumerate(pairs):
+            passages[i, : len(p)], regions[i, 12:52] = list(p), list(r)
+        best, ends = c.banded(passages, np.array([len(p) for p, _ in pairs]), regions)
+        for (p, r), b, e in zip(pairs, best, ends, strict=True):
+            assert b == semi_global(p, r) and b == semi_global(p, (bytes(12) + r + bytes(99))[:e])
 
 
 def corpus():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -84,6 +83,10 @@ class Passages:
         window = self.window[entry]
         diagonal = np.repeat(at - off[row], many) - self.place[entry] + WINDOW
         row = np.repeat(row, many)
+        # a window with too few hits in the whole text needs no bands
+        pair = row * len(self.text) + window
+        enough = np.bincount(pair, minlength=1)[pair] >= self.least[window]
+        diagonal, row, window = diagonal[enough], row[enough], window[enough]
         width = 2 * self.edits[window] + 1
         for shift in (0, 1):  # bands of two widths, one width apart: any match lies in one of them
             band = (diagonal // width + shift) // 2
@@ -91,49 +94,59 @@ class Passages:
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else []
             size = np.diff(np.append(starts, len(key)))
-            for s, n in zip(starts, size, strict=True):
+            if not len(size):
+                continue
+            full = size >= self.least[window[order[starts]]]
+            for s, n in zip(starts[full], size[full], strict=True):
                 i = order[s]
-                if n >= self.least[window[i]]:
-                    d = diagonal[order[s : s + n]] - WINDOW
-                    yield int(row[i]), int(window[i]), int(d.min()), int(d.max())
+                d = diagonal[order[s : s + n]] - WINDOW
+                yield int(row[i]), int(window[i]), int(d.min()), int(d.max())
 
 
-def best_alignment(passage: bytes, region: bytes, most: int) -> tuple[int, int] | None:
-    """Least edits between the passage and any part of the region, and where that part ends; None above ``most``.
+def banded(passages: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each passage and any part of its region within the band, and where that part ends.
 
-    Bit-parallel over the passage's bytes, one step a byte of the region, which a band has cut out.
+    passages: a row of bytes each, of which the first sizes[r] count. regions: passages' width plus
+    the band's width of bytes each; column j of row i lies on diagonal j - i. All rows advance one
+    byte of their passage at a time; a step is a minimum over the band's diagonals.
     """
-    n = len(passage)
-    masks: dict[int, int] = defaultdict(int)
-    for i, c in enumerate(passage):
-        masks[c] |= 1 << i
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, score, best = full, 0, n, (n, 0)
-    for j, c in enumerate(region, 1):
-        eq = masks.get(c, 0)
-        x = eq | minus
-        d = (((eq & plus) + plus) ^ plus) | x
-        hp, hn = minus | (full & ~(d | plus)), d & plus
-        score += bool(hp & top) - bool(hn & top)
-        hp, hn = (hp << 1) & full, (hn << 1) & full
-        plus, minus = hn | (full & ~(d | hp)), hp & d
-        best = min(best, (score, j))
-    return best if best[0] <= most else None
+    rows, width = len(passages), regions.shape[1] - passages.shape[1]
+    cost = np.zeros((rows, width), np.int16)
+    steps = np.arange(width, dtype=np.int16)
+    best, ends = np.full(rows, 32767, np.int64), np.zeros(rows, np.int64)
+    for i in range(passages.shape[1]):
+        take = cost + (regions[:, i : i + width] != passages[:, i : i + 1])
+        take[:, :-1] = np.minimum(take[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(take - steps, axis=1) + steps
+        done = np.flatnonzero(sizes == i + 1)
+        at = cost[done].argmin(axis=1)
+        best[done], ends[done] = cost[done, at], i + 1 + at
+    return best, ends
 
 
 def _matches(batches: Iterator[pa.RecordBatch], passages: Passages) -> Iterator[pa.RecordBatch]:
+    longest = max(map(len, passages.text), default=0)
+    padded = np.zeros((len(passages.text), longest), np.uint8)
+    for i, t in enumerate(passages.text):
+        padded[i, : len(t)] = np.frombuffer(t, np.uint8)
+    sizes = np.array([len(t) for t in passages.text], np.int64)
+    band = 2 * (2 * int(passages.edits.max(initial=0)) + 1) + 2 * int(passages.edits.max(initial=0))
     for batch in batches:
         ids, out = batch.column(0), []
         for first, data, off in slices(batch.column(1)):
+            found = np.array(list(passages.regions(data, off)), np.int64).reshape(-1, 4)
             seen: dict[tuple[int, int], list] = {}
-            for row, window, lo, hi in passages.regions(data, off):
-                text, most = passages.text[window], int(passages.edits[window])
-                start = max(0, lo - most)
-                region = data[off[row] + start : min(off[row + 1], off[row] + hi + len(text) + most)].tobytes()
-                if (hit := best_alignment(text, region, most)) is not None:
-                    old = seen.setdefault((row, passages.item[window]), [set(), hit[0], start + hit[1]])
-                    old[0].add(window)
-                    old[1:] = min(old[1:], [hit[0], start + hit[1]])
+            for part in (found[i : i + 4096] for i in range(0, len(found), 4096)):
+                row, window, start = part[:, 0], part[:, 1], part[:, 2] - passages.edits[part[:, 1]]
+                place = start[:, None] + np.arange(longest + band)
+                inside = (place >= 0) & (place < (off[row + 1] - off[row])[:, None])
+                region = np.where(inside, data[np.clip(off[row][:, None] + place, 0, len(data) - 1)], 0).astype(np.uint8)
+                edits, ends = banded(padded[window], sizes[window], region)
+                for k in np.flatnonzero(edits <= passages.edits[window]):
+                    w, hit = int(window[k]), [int(edits[k]), int(start[k] + ends[k])]
+                    old = seen.setdefault((int(row[k]), passages.item[w]), [set(), *hit])
+                    old[0].add(w)
+                    old[1:] = min(old[1:], hit)
             out += [(ids[first + row].as_py(), item, len(w), e, end) for (row, item), (w, e, end) in sorted(seen.items())]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item", "passages", "edits", "ends"])
