@@ -87,3 +87,28 @@ def test_quotation_is_told_from_abuse():
     texts = pa.array(['they said "you idiot" and left', "you idiot get out"])
     x = toxicity.features(texts, auto, frozenset())
     assert x[0, 2] > 0 and x[0, 0] == 0 and x[1, 0] > 0 and x[1, 2] == 0
+
+
+def test_rare_vocabulary_of_a_minority_is_learned(spark):
+    docs, labels = make(1500)
+    rng = random.Random(5)
+    # a second language: 2 % of the texts, a third of them toxic by words of their own that 1 % of all toxic texts hold
+    mild, rude = [f"réo{c}aux" for c in "bcdfghjklmnp"], ["élourdit", "vaurienne"]
+    for i in range(2000, 2080):
+        toxic = i % 3 == 0
+        docs.append((i, " ".join(rng.choices(mild, k=30) + ([rude[i % 2]] if toxic else [])), "s0"))
+        labels.append((i, int(toxic)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [r for r in toxicity.toxicity(df, lab).collect() if r.held_out and r.doc_id >= 2000]
+    assert sum(truth[r.doc_id] for r in held) > 3
+    assert all(r.predicted == truth[r.doc_id] for r in held)
+
+
+def test_terms_beyond_one_automaton_are_all_matched():
+    rng = random.Random(8)
+    terms = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(3 * lexicon.TERMS_A_PART)]
+    both = "".join(terms).encode() * 2
+    end = 9 * np.arange(1, 2 * len(terms) + 1)
+    got = lexicon.build_parts(terms).match(np.frombuffer(both, np.uint8), end - 9, end)
+    assert [g // 4 for g in got] == 2 * [*range(len(terms))] and not (got % 4).any()

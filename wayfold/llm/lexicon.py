@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
+from wayfold.llm.tokens import word_hashes
+
 #: Edits that a term allows, by its length in bytes: none below 5, one from 5, two from 9.
 EDITS = ((9, 2), (5, 1), (0, 0))
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
+#: Terms that share one automaton: its states grow faster than its terms.
+TERMS_A_PART = 25
 
 
 @dataclass
@@ -40,8 +46,28 @@ def allowed(term: bytes) -> int:
     return next(e for n, e in EDITS if len(term) >= n)
 
 
-def build(terms: Sequence[str]) -> Automaton:
-    """The automaton of all strings within the allowed edits of a term; a term's first byte must match.
+@dataclass
+class Lexicon:
+    """Automata of (first term, automaton); match() as of one automaton over all terms, each distinct token matched once."""
+
+    parts: list[tuple[int, Automaton]]
+
+    def match(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        _, first, back = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+        out = np.full(len(first), -1, np.int32)
+        for base, part in self.parts:
+            got = part.match(data, start[first], end[first])
+            nearer = (got >= 0) & ((out < 0) | (got % 4 < out % 4))
+            out[nearer] = got[nearer] + 4 * base
+        return out[back]
+
+
+def build_parts(terms: Sequence[str], anchored: bool = True) -> Lexicon:
+    return Lexicon([(i, build(terms[i : i + TERMS_A_PART], anchored)) for i in range(0, len(terms), TERMS_A_PART)])
+
+
+def build(terms: Sequence[str], anchored: bool = True) -> Automaton:
+    """The automaton of all strings within the allowed edits of a term; anchored, a term's first byte must match.
 
     Its states are the sets of (trie node, edits so far) that the read bytes can lead to; a node
     remembers the most edits that any term below it allows.
@@ -95,7 +121,11 @@ def build(terms: Sequence[str]) -> Automaton:
             todo.append(state)
         return numbers[state]
 
-    rows[0] = [1, *[number(closed([(children[0][c], 0)])) if c in children[0] else 1 for c in alphabet]]
+    if anchored:
+        rows[0] = [1, *[number(closed([(children[0][c], 0)])) if c in children[0] else 1 for c in alphabet]]
+    else:
+        most[0] = max(map(allowed, words), default=0)
+        rows[0] = [number(advance(closed([(0, 0)]), c)) for c in (None, *alphabet)]
     rows[1] = [1] * (len(alphabet) + 1)
     while todo:
         state = todo.pop()

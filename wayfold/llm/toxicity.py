@@ -13,23 +13,26 @@ from wayfold.llm import lexicon
 from wayfold.llm.store import table
 from wayfold.llm.tokens import slices
 
-#: Most labelled rows that the model is fitted on (those of the smallest hash of their id), and most terms.
-SAMPLE, TERMS = 20_000, 200
-#: A term is in at least this share of toxic texts, and this many times likelier in them than in others.
-SHARE, LIFT = 0.05, 8.0
+#: Most labelled rows that the model is fitted on (those of the smallest hash of their id).
+SAMPLE = 20_000
+#: A term is in at least LEAST toxic texts, LIFT times likelier in them than in others, with a
+#: likelihood ratio statistic (chi-squared, one degree) that chance exceeds once in 10,000 words.
+LEAST, LIFT, EVIDENCE = 3, 8.0, 15.1
 #: Tokens on either side of a hit that its context holds; bytes of quotation marks.
 WINDOW = 25
 QUOTES = (b'"', "“".encode(), "”".encode(), "„".encode(), "«".encode(), "»".encode())
 #: Times a spelling that isn't a term may be in texts that aren't toxic before it counts as a word of its own.
 CLEAN_USES = 1
+FEATURES = 10
 
 
 @dataclass
 class Model:
-    """terms, spellings near a term that are words of their own, feature means and scales, weights (bias last)."""
+    """terms, spellings near a term that are words of their own, log-odds of terms, feature means and scales, weights (bias last)."""
 
-    automaton: lexicon.Automaton
+    automaton: lexicon.Lexicon
     plain: frozenset[bytes]
+    odds: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
@@ -39,8 +42,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _hits(texts: pa.Array, automaton: lexicon.Automaton):
-    """Per slice: first row, rows, and of each hit its row, token index in the row, edits, spelling and whether it is quoted."""
+def _hits(texts: pa.Array, automaton: lexicon.Automaton | lexicon.Lexicon):
+    """Per slice: first row, rows, and of each hit its row, token index in the row, term * 4 + edits, spelling and whether it is quoted."""
     for first, data, off in slices(texts):
         rows = len(off) - 1
         start, end, row = lexicon.token_bounds(data, off)
@@ -54,23 +57,34 @@ def _hits(texts: pa.Array, automaton: lexicon.Automaton):
             before, after = data[start[lo] : start[t]].tobytes(), data[end[t] : end[hi]].tobytes()
             quoted[i] = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
         spelled = [bytes(data[start[t] : end[t]]).lower() for t in at]
-        yield first, count, row[at], at - base[row[at]], got[at] % 4, spelled, quoted
+        yield first, count, row[at], at - base[row[at]], got[at], spelled, quoted
 
 
-def features(texts: pa.Array, automaton: lexicon.Automaton, plain: frozenset[bytes]) -> np.ndarray:
-    """One row a text: exact, misspelled and quoted hits (logs), most hits in a window, hits a token, any hit, log length."""
-    out = np.zeros((len(texts), 7))
-    for first, count, row, place, edits, spelled, quoted in _hits(texts, automaton):
-        keep = np.array([e == 0 or s not in plain for e, s in zip(edits, spelled, strict=True)], bool) if len(row) else np.zeros(0, bool)
-        row, place, edits, quoted = row[keep], place[keep], edits[keep], quoted[keep]
+def features(texts: pa.Array, automaton: lexicon.Automaton | lexicon.Lexicon, plain: frozenset[bytes], odds: np.ndarray | None = None) -> np.ndarray:
+    """One row a text: exact, misspelled and quoted hits (logs), most hits in a window, hits a token, any hit, log length,
+    then log-odds of distinct terms, quoted ones apart: sums (logs) of exact and misspelled ones, and the greatest."""
+    out = np.zeros((len(texts), FEATURES))
+    for first, count, row, place, got, spelled, quoted in _hits(texts, automaton):
+        keep = np.array([g % 4 == 0 or s not in plain for g, s in zip(got, spelled, strict=True)], bool) if len(row) else np.zeros(0, bool)
+        row, place, term, edits, quoted = row[keep], place[keep], got[keep] // 4, got[keep] % 4, quoted[keep]
         n = len(count)
         own = lambda m: np.bincount(row[m], minlength=n)  # noqa: E731, B023
         exact, near, said = own((edits == 0) & ~quoted), own((edits > 0) & ~quoted), own(quoted)
         most = np.zeros(n)
         key = row * (1 << 32) + place
         np.maximum.at(most, row, np.searchsorted(key, key + WINDOW, "right") - np.arange(len(key)))
+        worth = np.ones(len(term)) if odds is None else odds[term]
+
+        def total(m, row=row, term=term, worth=worth, n=n):
+            once = np.flatnonzero(m)[np.unique((row * (1 << 32) + term)[m], return_index=True)[1]]
+            return np.bincount(row[once], worth[once], minlength=n)
+
+        peak = np.zeros(n)
+        np.maximum.at(peak, row[~quoted], (worth / (1 + edits))[~quoted])
         out[first : first + n] = np.stack(
-            [np.log1p(exact), np.log1p(near), np.log1p(said), np.log1p(most), 100 * (exact + near) / np.maximum(count, 20), exact + near > 0, np.log1p(count)], axis=1
+            [np.log1p(exact), np.log1p(near), np.log1p(said), np.log1p(most), 100 * (exact + near) / np.maximum(count, 20), exact + near > 0, np.log1p(count)]
+            + [np.log1p(total((edits == 0) & ~quoted)), np.log1p(total((edits > 0) & ~quoted)), peak],
+            axis=1,
         )
     return out
 
@@ -111,16 +125,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, toxic = size[0], size[1] or 0
     words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    lift = (F.col("bad") / max(toxic, 1)) / ((F.col("n") - F.col("bad") + 0.5) / max(total - toxic, 1))
-    found = counts.where((F.col("bad") >= max(3, SHARE * toxic)) & (lift >= LIFT) & (F.length("word") >= 3)).orderBy(F.desc("bad"), "word").limit(TERMS)
-    terms = [r.word for r in found.collect()] if 0 < toxic < total else []
-    automaton = lexicon.build(terms)
+    bad, good, all_bad, all_good = F.col("bad"), F.col("n") - F.col("bad"), max(toxic, 1), max(total - toxic, 1)
+    lift = (bad / all_bad) / ((good + 0.5) / all_good)
+    share = (all_bad + all_good) / F.col("n")
+    chance = 2 * (bad * F.log(bad * share / all_bad) + F.when(good > 0, good * F.log(good * share / all_good)).otherwise(0.0))
+    # log-odds less 1.645 standard errors: a term of little evidence weighs little
+    odds = F.greatest(F.log(lift) - 1.645 * F.sqrt(1 / bad + 1 / (good + 0.5)), F.lit(0.0))
+    found = counts.where((bad >= LEAST) & (F.length("word") >= 3)).where((lift >= LIFT) & (chance >= EVIDENCE)).select("word", odds.alias("odds")).orderBy("word")
+    # bounded by the sample: LEAST uses each in at most SAMPLE texts, fewer by the evidence
+    learned = found.collect() if 0 < toxic < total else []
+    terms, worth = [r.word for r in learned], np.array([r.odds for r in learned])
+    automaton = lexicon.build_parts(terms)
 
     def uses(batches):
         for batch in batches:
-            for _, _, row, _, edits, spelled, _ in _hits(batch.column(0), automaton):
+            for first, _, row, _, got, spelled, _ in _hits(batch.column(0), automaton):
                 y = batch.column(1).to_numpy(zero_copy_only=False)
-                pick = [(s, int(y[r])) for r, e, s in zip(row, edits, spelled, strict=True) if e]
+                pick = [(s, int(y[first + r])) for r, g, s in zip(row, got, spelled, strict=True) if g % 4]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in pick], pa.binary()), pa.array([v for _, v in pick], pa.int32())], ["s", "y"])
 
     clean = F.sum(1 - F.col("y"))
@@ -129,16 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches):
         for batch in batches:
-            x = features(batch.column(0), automaton, plain)
+            x = features(batch.column(0), automaton, plain, worth)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     data = rows.select("text", "y").mapInArrow(measure, "x array<double>, y int").toPandas() if total else None
     if data is None or not len(data):
-        return Model(automaton, plain, np.zeros(7), np.ones(7), np.zeros(8))
+        return Model(automaton, plain, worth, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     x, y = np.array(data["x"].tolist()), data["y"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the same sums, whatever order rows come in
     x, y = x[order], y[order]
-    return Model(automaton, plain, *fit(x, y))
+    return Model(automaton, plain, worth, *fit(x, y))
 
 
 def toxic_score(model: Model):
@@ -146,7 +167,7 @@ def toxic_score(model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(texts, model.automaton, model.plain)))
+        return pa.array(model.score(features(texts, model.automaton, model.plain, model.odds)))
 
     return score
 
