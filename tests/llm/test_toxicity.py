@@ -112,3 +112,31 @@ def test_terms_beyond_one_automaton_are_all_matched():
     end = 9 * np.arange(1, 2 * len(terms) + 1)
     got = lexicon.build_parts(terms).match(np.frombuffer(both, np.uint8), end - 9, end)
     assert [g // 4 for g in got] == 2 * [*range(len(terms))] and not (got % 4).any()
+
+
+def test_unanchored_automaton_accepts_edits_at_the_first_letter():
+    terms = ["idiot", "stupid", "disgusting", "mud", "über"]
+    words = ["1diot", "5tupid", "xdisgusting", "isgusting", "diot", "xmud", "ud", "idiot", "xxdisgusting", "12diot", "mud", "uber"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = np.concatenate([[0], end[:-1]])
+    for auto in (lexicon.build(terms, anchored=False), lexicon.build_parts(terms, anchored=False)):
+        for w, g in zip(words, auto.match(data, start, end), strict=True):
+            best = min(((distance(w.encode(), t.encode()), i) for i, t in enumerate(terms) if distance(w.encode(), t.encode()) <= lexicon.allowed(t.encode())), default=None)
+            assert g == (-1 if best is None else best[1] * 4 + best[0]), w
+
+
+def test_first_letters_are_misspelled_in_whole_texts(spark):
+    docs, labels = make(400)
+    df, lab = spark.createDataFrame([(d, t) for d, t, _ in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lab)
+    x = toxicity.features(pa.array(["what an 1diot", "xpathetic person", "calm person"]), model.automaton, model.plain, model.odds)
+    assert x[0, 1] > 0 and x[1, 1] > 0 and not x[2, :6].any()
+
+
+def test_terms_beside_unicode_punctuation_and_capitals():
+    auto = lexicon.build_parts(["idiot", "élourdit"], anchored=False)
+    plain = ["you “idiot” there", "an idiot—really", "idiot… no", "an idiot here", "‘idiot’", "ÉLOURDIT!", "«élourdit»", "un élourdit"]
+    x = toxicity.features(pa.array(plain), auto, frozenset())
+    assert all(x[i, 0] + x[i, 2] > 0 and x[i, 1] == 0 for i in range(len(plain)))
+    assert x[0, 2] > 0 and x[6, 2] > 0 and x[1, 2] == 0

@@ -14,7 +14,7 @@ from wayfold.llm.tokens import word_hashes
 #: Edits that a term allows, by its length in bytes: none below 5, one from 5, two from 9.
 EDITS = ((9, 2), (5, 1), (0, 0))
 TOKEN = np.zeros(256, bool)
-TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
+TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = True
 #: Terms that share one automaton: its states grow faster than its terms.
 TERMS_A_PART = 25
 
@@ -140,13 +140,29 @@ def build(terms: Sequence[str], anchored: bool = True) -> Automaton:
     return Automaton(classes, np.array([rows[k] for k in range(len(rows))], np.int32), found)
 
 
+@cache
+def _wordy() -> np.ndarray:
+    """Of each code point, whether it is a letter or a number."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+
+
+def _in_words(data: np.ndarray) -> np.ndarray:
+    word = TOKEN[data]
+    if (data >= 128).any():
+        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        if size.sum() == len(data):
+            word = np.repeat(_wordy()[points], size)
+    return word
+
+
 def token_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of runs of ASCII letters and digits and of non-ASCII bytes."""
+    """Start, end and row of runs of letters and numbers, as [\\p{L}\\p{N}]+ cuts them."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = TOKEN[data]
+    word = _in_words(data)
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ class Model:
 
 def _hits(texts: pa.Array, automaton: lexicon.Automaton | lexicon.Lexicon):
     """Per slice: first row, rows, and of each hit its row, token index in the row, term * 4 + edits, spelling and whether it is quoted."""
-    for first, data, off in slices(texts):
+    for first, data, off in slices(pc.utf8_lower(texts)):
         rows = len(off) - 1
         start, end, row = lexicon.token_bounds(data, off)
         got = automaton.match(data, start, end)
@@ -54,7 +55,10 @@ def _hits(texts: pa.Array, automaton: lexicon.Automaton | lexicon.Lexicon):
         quoted = np.zeros(len(at), bool)
         for i, t in enumerate(at):
             lo, hi = max(t - WINDOW, base[row[t]]), min(t + WINDOW, base[row[t] + 1] - 1)
-            before, after = data[start[lo] : start[t]].tobytes(), data[end[t] : end[hi]].tobytes()
+            # a text's marks before its first and after its last token count too
+            left = off[row[t]] if lo == base[row[t]] else start[lo]
+            right = off[row[t] + 1] if hi == base[row[t] + 1] - 1 else end[hi]
+            before, after = data[left : start[t]].tobytes(), data[end[t] : right].tobytes()
             quoted[i] = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
         spelled = [bytes(data[start[t] : end[t]]).lower() for t in at]
         yield first, count, row[at], at - base[row[at]], got[at], spelled, quoted
@@ -135,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # bounded by the sample: LEAST uses each in at most SAMPLE texts, fewer by the evidence
     learned = found.collect() if 0 < toxic < total else []
     terms, worth = [r.word for r in learned], np.array([r.odds for r in learned])
-    automaton = lexicon.build_parts(terms)
+    automaton = lexicon.build_parts(terms, anchored=False)
 
     def uses(batches):
         for batch in batches:
