@@ -70,3 +70,29 @@ def test_blocks_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, c.contaminated(df, bench).collect()), key=str)
     monkeypatch.setattr(c, "BLOCK_BYTES", 900)
     assert sorted(map(tuple, c.contaminated(df, bench).collect()), key=str) == whole
+
+
+def test_every_short_quote_is_found(spark):
+    """Parts of items of the shortest length, at any position, verbatim and edited, against full tables of the parts alone."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(45))) for i in range(6)]
+    docs, want = [], set()
+    for n in range(300):
+        i = n % 6
+        raw = items[i][1]
+        at = rng.randrange(len(raw) - 60)
+        quote = raw[at : at + 50]
+        if n % 3 == 1:
+            for _ in range(4):
+                k = rng.randrange(50)
+                quote = quote[:k] + rng.choice("xyz") + quote[k + 1 :]
+        if n % 3 == 2:  # one changed word between two halves
+            quote = raw[at : at + 52] + " qqqq" + raw[at + 57 : at + 60]
+        fill = lambda: "".join(rng.choice("bcfgjkmpqvwxyz") for _ in range(80))
+        text = fill() + quote + fill()
+        assert semi_global(raw[at : at + 50], text) <= 4
+        docs.append((n, text))
+        want.add((n, i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in c.contaminated(df, bench).collect()} == want

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.tokens import slices
 
-#: Passages are windows of WINDOW bytes of an item, STEP apart, and match within RATE edits a byte.
-Q, WINDOW, STEP, RATE = 8, 96, 48, 0.1
+#: Passages are windows of an item of so many bytes, so far apart, and match within RATE edits a byte.
+Q, WINDOWS, RATE = 8, ((96, 48), (48, 3)), 0.1
+WINDOW = max(w for w, _ in WINDOWS)
+#: Any part of an item of PASSAGE bytes holds a whole window of the small kind, so it is found if it has 4 edits at most.
+PASSAGE = min(w + step - 1 for w, step in WINDOWS)
 #: Items of fewer bytes than this, normalised, are too common a phrase to be told from chance.
 SHORTEST = 24
 #: Bytes of items that are sent to the executors at a time.
@@ -36,41 +39,65 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
 
 
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, as many as its count, one run after another."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(many)])[:-1], many) + np.arange(many.sum())
+
+
 class Passages:
-    """Windows of items, with an index from q-grams to (window, position)."""
+    """Windows of items, with an index from q-grams to places of items and from places to windows."""
 
     def __init__(self, items: Sequence[tuple[int, str]]):
-        self.item, self.text = [], []
+        self.item, self.text, begin, owner, raws, base = [], [], [], [], [], 0
         for item, text in items:
             raw = text.encode()
             if len(raw) < SHORTEST:
                 continue
-            last = max(0, len(raw) - WINDOW)
-            for at in sorted({*range(0, last, STEP), last}):
+            cuts = set()
+            for width, step in WINDOWS:
+                last = max(0, len(raw) - width)
+                cuts |= {(at, min(at + width, len(raw))) for at in (*range(0, last, step), last)}
+            for at, to in sorted(cuts):
                 self.item.append(item)
-                self.text.append(raw[at : at + WINDOW])
+                self.text.append(raw[at:to])
+                begin.append(base + at)
+                owner.append(len(raws))
+            raws.append(raw)
+            base += len(raw)
+        self.begin = np.array(begin, np.int64)
         size = np.array([len(t) for t in self.text], np.int64)
         self.edits = (size * RATE).astype(np.int64)
         #: The q-gram lemma: e edits destroy at most q * e of a passage's grams.
         self.least = np.maximum(size - Q + 1 - Q * self.edits, 1)
-        found = [grams(np.frombuffer(t, np.uint8)) for t in self.text]
+        self.items = len(raws)
+        #: The fewest shared grams that any window of an item asks for.
+        self.fewest = np.full(len(raws), 1 << 30, np.int64)
+        np.minimum.at(self.fewest, np.array(owner, np.int64), self.least)
+        found = [grams(np.frombuffer(r, np.uint8)) for r in raws]
         gram = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(found)), [len(g) for g in found])
-        place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
+        sizes = np.array([len(r) for r in raws], np.int64)
+        whose = np.repeat(np.arange(len(raws)), sizes - Q + 1)
+        place = _runs(np.cumsum(sizes) - sizes, sizes - Q + 1)
         order = np.argsort(gram, kind="stable")
-        self.window, self.place = window[order].astype(np.int64), place[order].astype(np.int64)
+        self.owner, self.place = whose[order], place[order]
         self.gram, self.first = np.unique(gram[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(gram)))
+        # windows that hold the gram at a place, by place
+        covered = _runs(self.begin, size - Q + 1)
+        order = np.argsort(covered, kind="stable")
+        self.window = np.repeat(np.arange(len(size)), size - Q + 1)[order]
+        self.covers = np.searchsorted(covered[order], np.arange(int(sizes.sum()) + 1))
         self.maybe = None
 
-    def regions(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, window, least diagonal, greatest diagonal) of bands with enough shared q-grams."""
+    def regions(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows (row, window, least diagonal, greatest diagonal) of bands with enough shared q-grams."""
+        none = np.zeros((0, 4), np.int64)
         if self.maybe is None:
             self.maybe = np.zeros(1 << 24, bool)
             self.maybe[_slot(self.gram)] = True
         g = grams(data)
         if not len(g) or not len(self.gram):
-            return
+            return none
         at = np.flatnonzero(self.maybe[_slot(g)])
         k = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         real = self.gram[k] == g[at]
@@ -79,28 +106,48 @@ class Passages:
         inside = at + Q <= off[row + 1]
         at, k, row = at[inside], k[inside], row[inside]
         many = self.count[k]
-        entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)])[:-1], many) + np.arange(many.sum())
-        window = self.window[entry]
-        diagonal = np.repeat(at - off[row], many) - self.place[entry] + WINDOW
+        entry = _runs(self.first[k], many)
+        owner, place, at, row = self.owner[entry], self.place[entry], np.repeat(at - off[row], many), np.repeat(row, many)
+        # an item with too few hits in the whole text needs no windows, a window with too few needs no bands
+        _, back, hits = np.unique(row * self.items + owner, return_inverse=True, return_counts=True)
+        enough = hits[back] >= self.fewest[owner]
+        place, at, row = place[enough], at[enough], row[enough]
+        rows = [none]
+        for lo, hi in self._shares(row, self.covers[place + 1] - self.covers[place]):
+            rows.append(self._bands(place[lo:hi], at[lo:hi], row[lo:hi], int(off[-1])))
+        return np.concatenate(rows)
+
+    @staticmethod
+    def _shares(row: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Cut hits, ordered by row, into parts of whole rows and about a million windows; a single row may be more."""
+        ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)) if len(row) else np.zeros(0, np.int64)
+        total, lo = np.concatenate([[0], np.cumsum(many)]), 0
+        while lo < len(row):
+            k = max(int(np.searchsorted(total[ends], total[lo] + (1 << 20), "right")) - 1, int(np.searchsorted(ends, lo, "right")))
+            yield lo, int(ends[k])
+            lo = int(ends[k])
+
+    def _bands(self, place: np.ndarray, at: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
+        many = self.covers[place + 1] - self.covers[place]
+        window = self.window[_runs(self.covers[place], many)]
+        diagonal = np.repeat(at - place, many) + self.begin[window] + WINDOW
         row = np.repeat(row, many)
-        # a window with too few hits in the whole text needs no bands
-        pair = row * len(self.text) + window
-        enough = np.bincount(pair, minlength=1)[pair] >= self.least[window]
+        _, back, hits = np.unique(row * len(self.text) + window, return_inverse=True, return_counts=True)
+        enough = hits[back] >= self.least[window]
         diagonal, row, window = diagonal[enough], row[enough], window[enough]
         width = 2 * self.edits[window] + 1
+        out = [np.zeros((0, 4), np.int64)]
         for shift in (0, 1):  # bands of two widths, one width apart: any match lies in one of them
             band = (diagonal // width + shift) // 2
-            key = (row * len(self.text) + window) * ((int(off[-1]) + 2 * WINDOW) // 2 + 2) + band
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else []
-            size = np.diff(np.append(starts, len(key)))
-            if not len(size):
+            order = np.lexsort((band, window, row))
+            r, w, b, d = row[order], window[order], band[order], diagonal[order] - WINDOW
+            if not len(r):
                 continue
-            full = size >= self.least[window[order[starts]]]
-            for s, n in zip(starts[full], size[full], strict=True):
-                i = order[s]
-                d = diagonal[order[s : s + n]] - WINDOW
-                yield int(row[i]), int(window[i]), int(d.min()), int(d.max())
+            starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1])]))
+            full = np.diff(np.append(starts, len(r))) >= self.least[w[starts]]
+            low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+            out.append(np.stack([r[starts], w[starts], low, high], axis=1)[full])
+        return np.unique(np.concatenate(out), axis=0)
 
 
 def banded(passages: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +172,26 @@ def banded(passages: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> tupl
 
 
 def _matches(batches: Iterator[pa.RecordBatch], passages: Passages) -> Iterator[pa.RecordBatch]:
-    longest = max(map(len, passages.text), default=0)
+    sizes = np.array([len(t) for t in passages.text], np.int64)
+    longest = int(sizes.max(initial=0))
     padded = np.zeros((len(passages.text), longest), np.uint8)
     for i, t in enumerate(passages.text):
         padded[i, : len(t)] = np.frombuffer(t, np.uint8)
-    sizes = np.array([len(t) for t in passages.text], np.int64)
-    band = 2 * (2 * int(passages.edits.max(initial=0)) + 1) + 2 * int(passages.edits.max(initial=0))
+    short = min(w for w, _ in WINDOWS)
     for batch in batches:
         ids, out = batch.column(0), []
         for first, data, off in slices(batch.column(1)):
-            found = np.array(list(passages.regions(data, off)), np.int64).reshape(-1, 4)
+            found = passages.regions(data, off)
+            small = sizes[found[:, 1]] <= short
             seen: dict[tuple[int, int], list] = {}
-            for part in (found[i : i + 4096] for i in range(0, len(found), 4096)):
+            for part in (group[i : i + 4096] for group in (found[small], found[~small]) for i in range(0, len(group), 4096)):
                 row, window, start = part[:, 0], part[:, 1], part[:, 2] - passages.edits[part[:, 1]]
-                place = start[:, None] + np.arange(longest + band)
+                most, long = int(passages.edits[window].max()), int(sizes[window].max())
+                band = 2 * (2 * most + 1) + 2 * most
+                place = start[:, None] + np.arange(long + band)
                 inside = (place >= 0) & (place < (off[row + 1] - off[row])[:, None])
                 region = np.where(inside, data[np.clip(off[row][:, None] + place, 0, len(data) - 1)], 0).astype(np.uint8)
-                edits, ends = banded(padded[window], sizes[window], region)
+                edits, ends = banded(padded[window, :long], sizes[window], region)
                 for k in np.flatnonzero(edits <= passages.edits[window]):
                     w, hit = int(window[k]), [int(edits[k]), int(start[k] + ends[k])]
                     old = seen.setdefault((int(row[k]), passages.item[w]), [set(), *hit])
@@ -156,7 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Return id_col, item_col, passages, edits, ends: one row per document and item of which it holds a passage.
 
     passages counts the item's windows that match, edits is the least of their edits, ends where
-    that match ends (bytes of the normalised text). Documents are read once and not shuffled. Items
+    that match ends (bytes of the normalised text). Any PASSAGE bytes of an item (about 8 words) are
+    found with up to 4 edits, shorter items as a whole with RATE edits a byte. Documents are read once and not shuffled. Items
     are the query set: they are sent to the tasks in blocks of bounded bytes, one pass over the
     documents a block. Null and empty texts and items match nothing, nor do items under SHORTEST
     bytes; a row with a null id is matched under that id; repeated rows are all matched; an empty
