@@ -90,6 +90,16 @@ def test_navigation_goes_back_to_the_root_and_stops_in_a_cycle(spark):
     assert {r.visit_id for r in got if r.leaf == 20} == {20, 21}
 
 
+def test_navigation_of_long_chains_and_cycles_is_whole(spark):
+    chain = lambda p, n: [(p, i, i - 1 if i else None) for i in range(n)]
+    rows = chain("a", 17) + chain("b", 101) + [("c", i, (i + 1) % 40) for i in range(40)] + [("c", 100, 5), ("c", 101, 100)]
+    df = spark.createDataFrame(rows, "profile_id string, visit_id long, from_visit long")
+    got = structure.navigation_paths(df, df.where("profile_id = 'a' AND visit_id = 16 OR profile_id = 'b' AND visit_id = 100 OR profile_id = 'c' AND visit_id = 101")).collect()
+    ring = [101, 100, *[(5 + k) % 40 for k in range(40)]]
+    want = [("a", d, d) for d in range(17)] + [("b", d, d) for d in range(101)] + [("c", len(ring) - 1 - u, v) for u, v in enumerate(ring)]
+    assert sorted((r.profile_id, r.depth, r.visit_id) for r in got) == sorted(want)
+
+
 def test_grammar():
     q = recall.parse('site:Example.com -inurl:ref intitle:"big news" "exact words" -"not this" plain after:2024-01-02 before:2024 tag:a site:example.com')
     assert q.wanted == {"site": ["example.com"], "title": ["big news"], "tag": ["a"]} and q.unwanted == {"url": ["ref"]}

@@ -1,29 +1,5 @@
-"""Intermediate tables, written where every executor can read them again."""
+"""Intermediate tables of the corpus operators."""
 
-from __future__ import annotations
+from wayfold.store import shared_folder, table
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master uses ``/tmp/checkpoints`` and any other master the warehouse
-    folder, which its executors share.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "/tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "table"]

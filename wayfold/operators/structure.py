@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import query_terms
+from wayfold.store import table
 
 SESSION_GAP_MS, TRAIL_GAP_MS = 30 * 60_000, 15 * 60_000
 #: Least depth, domains, visits and new domains of a deep dive.
@@ -182,24 +183,31 @@ def reopened(families: DataFrame, refinds: DataFrame) -> DataFrame:
     return f.unionByName(r)
 
 
-def navigation_paths(visits: DataFrame, leaves: DataFrame, most: int = 15) -> DataFrame:
+def navigation_paths(visits: DataFrame, leaves: DataFrame) -> DataFrame:
     """leaves: visit_id, profile_id. Each one's way back to its root by from_visit: leaf, depth from the root, visit_id.
 
     Pointers double each round: every row knows an ancestor 2**k steps up, so a chain of n visits
-    takes log n joins; a chain that comes back to itself stops at ``most`` steps.
+    takes log n rounds of joins, each written. A visit counts once a leaf, at its first step; a round
+    that reaches no further visit is the last, so a chain that comes back to itself ends there too.
     """
-    up = visits.select("profile_id", "visit_id", "from_visit")
-    parents = up.select("profile_id", F.col("visit_id").alias("known"), F.col("from_visit").alias("next"))
-    frontier = leaves.select("profile_id", F.col("visit_id").alias("leaf"), "visit_id", F.lit(0).alias("up"))
-    out, step = frontier, 0
-    jump = parents.where("next IS NOT NULL").select("profile_id", "known", "next")
-    while (1 << step) <= most:
-        moved = out.join(jump, (out["profile_id"] == jump["profile_id"]) & (out["visit_id"] == jump["known"])).select(out["profile_id"], "leaf", F.col("next").alias("visit_id"), (F.col("up") + (1 << step)).alias("up"))
-        out = out.unionByName(moved)
+    known = visits.select("profile_id", "visit_id").distinct()
+    parents = visits.where("from_visit IS NOT NULL").select("profile_id", F.col("visit_id").alias("known"), F.col("from_visit").alias("next"))
+    there = known.select("profile_id", F.col("visit_id").alias("next"))
+    jump = table(parents.join(there, ["profile_id", "next"], "left_semi").select("profile_id", "known", "next"), "navigation-jump")
+    start = leaves.select("profile_id", F.col("visit_id").alias("leaf"), "visit_id", F.lit(0).cast("long").alias("up"))
+    out = table(start.join(known, ["profile_id", "visit_id"], "left_semi").select("profile_id", "leaf", "visit_id", "up").distinct(), "navigation-paths")
+    size, step = out.count(), 0
+    while True:
+        o, j = out.alias("o"), jump.alias("j")
+        moved = o.join(j, (F.col("o.profile_id") == F.col("j.profile_id")) & (F.col("o.visit_id") == F.col("j.known"))).select(
+            "o.profile_id", "o.leaf", F.col("j.next").alias("visit_id"), (F.col("o.up") + (1 << step)).alias("up")
+        )
+        out = table(out.unionByName(moved).groupBy("profile_id", "leaf", "visit_id").agg(F.min("up").alias("up")), "navigation-paths")
+        before, size = size, out.count()
+        if size == before:
+            break
         a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, (F.col("a.profile_id") == F.col("b.profile_id")) & (F.col("a.next") == F.col("b.known"))).select("a.profile_id", "a.known", "b.next")
+        jump = table(a.join(b, (F.col("a.profile_id") == F.col("b.profile_id")) & (F.col("a.next") == F.col("b.known"))).select("a.profile_id", "a.known", "b.next"), "navigation-jump")
         step += 1
-    known = up.select("profile_id", "visit_id")
-    found = out.join(known, ["profile_id", "visit_id"], "left_semi").groupBy("profile_id", "leaf", "visit_id").agg(F.min("up").alias("up"))
     depth = F.max("up").over(Window.partitionBy("profile_id", "leaf")) - F.col("up")
-    return found.select("profile_id", "leaf", depth.alias("depth"), "visit_id")
+    return out.select("profile_id", "leaf", depth.cast("int").alias("depth"), "visit_id")
