@@ -46,7 +46,7 @@ def test_banded_bits_equal_the_full_table(spark):
                 assert r.ok == (distance(r.a, r.b) <= k), (r, k, distance(r.a, r.b))
 
 
-def brute(rows, edits):
+def brute(rows, edits, shortest=lines.SHORTEST):
     first, count, n = {}, {}, {}
     for doc, text in sorted((r for r in rows), key=lambda r: r[0]):
         n.setdefault(doc, 0)
@@ -59,7 +59,7 @@ def brute(rows, edits):
     gone, links = set(), {}
     for i, (a, x) in enumerate(own):
         for b, y in own[:i]:
-            if min(len(a), len(b)) >= lines.SHORTEST and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if min(len(a), len(b)) >= shortest and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 gone.add(max(x, y))
                 for z in (x[0], y[0]):
                     links[z] = links.get(z, 0) + 1
@@ -83,6 +83,22 @@ def test_line_dedup_equals_all_pairs(spark):
     assert got == brute(rows, lines.EDITS)
 
 
+def test_short_lines_and_common_segments_equal_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(d, "\n".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(3))) for d in range(25)]
+    # most lines share all but a few characters, so that their keys are cut again and again
+    rows += [(100 + d, edited(rng, f"the same notice at the foot of every page, number {rng.randrange(10**5)} of this site", rng.randrange(0, 2))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = df.selectExpr("explode(split(text, '\n')) AS line").distinct().selectExpr("monotonically_increasing_id() AS id", "line").collect()
+    own = spark.createDataFrame(first, "id long, line string")
+    want = {tuple(sorted((x.id, y.id))) for x in first for y in first if x.id < y.id and distance(x.line, y.line) <= 2}
+    for hot in (3, 1000):
+        got = lines.line_links(own, 2, shortest=0, hot=hot).collect()
+        assert len(got) == len(want) and {tuple(sorted((r.a, r.b))) for r in got} == want, hot
+    got = {r.doc_id: (r.n_lines, r.kept_lines, r.n_links) for r in lines.dedup_lines(df, shortest=0).collect()}
+    assert got == brute(rows, lines.EDITS, 0)
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a line of twenty-odd letters"), (None, "b line of twenty-odd letters"), (1, "a line of twenty-odd letters")], "doc_id long, text string")
     assert {r.doc_id: (r.n_lines, r.n_kept) for r in lines.dedup_lines(df).collect()} == {None: (2, 1), 1: (1, 0)}

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm import bitmap
 from wayfold.llm.store import table
 
 #: Lines within so many edits are one line; shorter lines than SHORTEST code points only match exactly.
 EDITS, SHORTEST = 2, 20
+#: Lines that a key may have before its lines are cut again, and how often that is done.
+HOT, DEPTH = 512, 4
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, n (from 0), line: all lines of all documents, trimmed of blanks; null texts have none."""
     split = F.posexplode(F.split(F.col(text_col), "\n"))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), split.alias("n", "line")).withColumn("line", F.regexp_replace("line", r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), split.alias("n", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\f")))
 
 
 def signature(line: Column) -> Column:
@@ -24,26 +29,31 @@ def signature(line: Column) -> Column:
 
 
 def segment_keys(places: list[tuple[int, int, int]], edits: int) -> Column:
-    """Keys of substrings of a line (columns line and len): of each (less, i, move), the substring that
-    lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
+    """Keys of substrings of a line (columns line, len and seed): of each (less, i, move), the substring
+    that lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
 
-    A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder.
+    A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder. The
+    result is an array of structs (key, less, at, size, own): at and size say where the substring
+    lies, own that it is the line's own segment. Where the column only isn't null, less is that.
     """
-    k, n = edits + 1, "(len - s.less)"
-    start = f"({n} DIV {k} * s.i + greatest(0, s.i - {k} + {n} % {k}) + 1 + s.move)"
-    size = f"({n} DIV {k} + int(s.i - {k} + {n} % {k} >= 0))"
-    given = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'move', {move})" for less, i, move in places)
-    key = f"CASE WHEN {start} >= 1 AND {start} + {size} - 1 <= len THEN xxhash64({n}, s.i, substring(line, int({start}), int({size}))) END"
-    return F.array_distinct(F.array_compact(F.expr(f"transform(array({given}), s -> {key})")))
+    k, out = edits + 1, []
+    for less, i, move in places:
+        n = f"(len - {less})"
+        at = f"({n} DIV {k} * {i} + greatest(0, {i - k} + {n} % {k}) + {1 + move})"
+        size = f"({n} DIV {k} + int({i - k} + {n} % {k} >= 0))"
+        key = f"xxhash64(seed, {n}, {i}, substring(line, {at}, {size}))"
+        row = f"named_struct('key', {key}, 'less', {less}, 'at', {at}, 'size', {size}, 'own', {str(less == move == 0).lower()})"
+        out.append(F.expr(f"CASE WHEN {n} >= 1 AND {at} >= 1 AND {at} + {size} - 1 <= len AND coalesce(only = {less}, true) THEN {row} END"))
+    return F.array_compact(F.array(*out))
 
 
-def index_keys(edits: int) -> Column:
-    """Keys of the own segments of a line."""
-    return segment_keys([(0, i, 0) for i in range(edits + 1)], edits)
+def own_places(edits: int) -> list[tuple[int, int, int]]:
+    """The own segments of a line."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def probe_keys(edits: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line shorter by up to ``edits``.
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """The substrings that may equal a segment of a line shorter by up to ``edits``.
 
     A segment's start may have moved by fewer places than there are segments before it, and by
     fewer than there are behind it once the difference in length is taken off.
@@ -52,7 +62,7 @@ def probe_keys(edits: int) -> Column:
     for less in range(edits + 1):
         for i in range(edits + 1):
             places += [(less, i, move) for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
-    return segment_keys(places, edits)
+    return places
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -99,53 +109,115 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step)["score"] <= edits
 
 
-def line_links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """distinct: id (of first occurrence), line. Returns a, b: ids of lines within the edits, a's line not the shorter.
+def _keys(texts: DataFrame, places: list[tuple[int, int, int]], edits: int, *columns: str) -> DataFrame:
+    """One row a key of each line: id, columns, key, less, at, size, own, left (characters beside the segment in the shorter line)."""
+    rows = texts.select("id", "len", *columns, F.explode(segment_keys(places, edits)).alias("k")).select("id", "len", *columns, "k.*")
+    return rows.withColumn("left", F.col("len") - F.col("less") - F.col("size")).drop("len")
 
-    A line of n code points is cut into ``edits + 1`` segments; of any line within the edits, some
-    segment is a substring of the other near its own place. So keys of segments meet keys of the
-    substrings that may equal them, pairs whose word parities differ too much are left out in the
-    join, and the rest is verified.
+
+def _first_keys(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Probe rows (key, id, less) and index rows (key, id, left) of all lines, without those that have no partner.
+
+    Own keys are counted, and a bitmap of bounded size says which keys any line has and which
+    several have; a probe for which it tells nothing goes, and so does an index row for which a
+    second one tells no remaining probe. What they let through in vain is left to the joins.
     """
-    long_enough = distinct.select("id", "line", F.char_length("line").alias("len")).where(F.col("len") >= shortest)
-    # written once: each key would else be computed again by every step that looks at it
-    keyed = table(long_enough.select("id", "len", signature(F.col("line")).alias("sig"), index_keys(edits).alias("own"), probe_keys(edits).alias("probes")), "line-keys")
-    own = keyed.select(F.explode("own").alias("key"), F.col("id").alias("b"), F.col("len").alias("len_b"), F.col("sig").alias("sig_b"))
-    probes = keyed.select(F.explode("probes").alias("key"), F.col("id").alias("a"), F.col("len").alias("len_a"), F.col("sig").alias("sig_a"))
-    near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 3 * edits
-    ordered = (F.col("len_a") > F.col("len_b")) | ((F.col("len_a") == F.col("len_b")) & (F.col("a") > F.col("b")))
-    pairs = probes.join(own, (probes["key"] == own["key"]) & near & ordered).select("a", "b").distinct()
-    text = lambda x: long_enough.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
-    both = table(pairs, "line-pairs").join(text("a"), "a").join(text("b"), "b")
-    return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    own = _keys(texts, own_places(edits), edits).select("key", "id", F.when(F.col("size") > 0, F.col("left")).alias("left"))
+    counted = own.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("c"))
+    some = bitmap.bitmap(counted, {"_any": F.lit(True), "_more": F.col("c") > 1})
+    probes = bitmap.probed(_keys(texts, probe_places(edits), edits).select("key", "id", "less", "own"), F.col("key"), some)
+    alike = F.when(F.col("own"), bitmap.known(F.col("_more"), F.col("key"))).otherwise(bitmap.known(F.col("_any"), F.col("key")))
+    probes = table(probes.where(alike).select("key", "id", "less"), "line-probes")
+    asked = bitmap.bitmap(probes.select(F.col("key").alias("h")), {"_asked": F.lit(True)})
+    index = bitmap.probed(own, F.col("key"), asked).where(bitmap.known(F.col("_asked"), F.col("key")))
+    return probes, table(index.select("key", "id", "left"), "line-index")
+
+
+def _rests(texts: DataFrame, places: list[tuple[int, int, int]], edits: int, hot: DataFrame, only: bool) -> DataFrame:
+    """Lines that have a hot key, once for each such key: without the substring, as lines of the next level."""
+    rest = F.expr("concat(substring(line, 1, at - 1), substring(line, at + size))")
+    found = _keys(texts, places, edits, "line", "seed", "only").join(hot, "key", "left_semi")
+    return table(found.select("id", F.col("key").alias("seed"), F.when(F.lit(only), F.col("less")).alias("only"), rest.alias("line")).withColumn("len", F.char_length("line")), "line-rests")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def line_links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
+    """distinct: id (long), line. Returns a, b: ids of lines within the edits, and both lines.
+
+    A line of n code points is cut into ``edits + 1`` segments; of any line within the edits, some
+    segment is a substring of the other near its own place, and what is left of both beside it is
+    within the edits too. So keys of segments meet keys of the substrings that may equal them,
+    pairs whose word parities differ too much are left out in the join, and the rest is verified.
+
+    A key that more than ``hot`` lines have isn't joined: what is left of its lines is cut into
+    segments again, whose keys include the first one, and so on for ``depth`` levels. Keys that are
+    hot even then, of lines that agree in four fifths of their text, are joined as they are.
+    """
+    texts = distinct.select("id", "line", F.char_length("line").alias("len"), F.lit(0).cast("long").alias("seed"), F.lit(None).cast("int").alias("only")).where(F.col("len") >= shortest)
+    probes, index = _first_keys(texts, edits)
+    # parities only of lines that have a key in common with another one
+    h = F.xxhash64("id")
+    met = bitmap.bitmap(probes.select(h.alias("h")).union(index.select(h)), {"_met": F.lit(True)})
+    texts = bitmap.probed(texts, h, met).where(bitmap.known(F.col("_met"), h)).drop("_met")
+    texts = own_texts = probe_texts = table(texts.withColumn("sig", signature(F.col("line"))), "line-texts")
+    near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 3 * edits
+    pairs = []
+    for level in range(depth + 1):
+        deeper = (F.col("c") > hot) & (F.col("left") > edits) & (level < depth)
+        common = table(index.groupBy("key").agg(F.count("*").alias("c"), F.first("left").alias("left")).where(deeper).select("key"), "line-hot")
+        more = not common.isEmpty()
+        rare = (lambda rows: rows.join(common, "key", "left_anti")) if more else (lambda rows: rows)  # noqa: B023
+        a = rare(probes).join(texts.select("id", "sig"), "id").select("key", F.col("id").alias("a"), "less", F.col("sig").alias("sig_a"))
+        b = rare(index).join(texts.select("id", "sig"), "id").select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+        pairs.append(table(a.join(b, "key").where(near & ((F.col("less") > 0) | (F.col("a") > F.col("b")))).select("a", "b").distinct(), "line-pairs"))
+        if not more:
+            break
+        own_texts = _rests(own_texts, own_places(edits), edits, common, False)
+        probe_texts = _rests(probe_texts, probe_places(edits), edits, common, True)
+        index = table(_keys(own_texts, own_places(edits), edits).select("key", "id", F.when(F.col("size") > 0, F.col("left")).alias("left")), "line-index")
+        probes = table(_keys(probe_texts, probe_places(edits), edits).select("key", "id", "less"), "line-probes")
+    both = reduce(DataFrame.unionByName, pairs)
+    both = both.distinct() if len(pairs) > 1 else both
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = both.join(side("a"), "a").join(side("b"), "b")
+    longer, other = (F.expr(f"CASE WHEN char_length(line_a) >= char_length(line_b) THEN {x} ELSE {y} END") for x, y in (("line_a", "line_b"), ("line_b", "line_a")))
+    return both.where(within(longer, other, edits)).select("a", "b")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Return id_col, n_lines, n_kept, n_links, kept_lines: one row per id.
 
     A line goes if the same line, or another one within the edits, occurred first, at a smaller
-    (id, line number); blank lines neither count nor go. kept_lines are the numbers of the lines
-    that stay, from 0, blank ones left out; n_links counts, over the distinct lines that first
-    occurred in the document, the other distinct lines within the edits.
-
-    Null and empty texts have no lines; lines of rows that share an id are counted together, and
-    rows of a null id share one; an empty table gives no rows.
+    (id, line number); blank lines neither count nor go. Lines under ``shortest`` code points only
+    match exactly, as two edits make most short lines alike; 0 compares all. kept_lines are the
+    numbers of the lines that stay, from 0, blank ones left out; n_links counts, over the distinct
+    lines that first occurred in the document, the other distinct lines within the edits.
+
+    Null and empty texts have no lines; lines of rows that share an id are counted together; rows
+    of a null id share one row, which counts lines but lists none (kept_lines is null), as nothing
+    bounds it; an empty table gives no rows.
     """
-    all_lines = lines(docs, id_col, text_col).where("line <> ''")
-    place = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "n", F.xxhash64("line").alias("h"))  # h: for rows of one id
-    distinct = table(all_lines.groupBy("line").agg(F.min(place).alias("id")), "lines")
-    links = table(line_links(distinct, edits), "line-links")
-    gone = links.select(F.greatest("a", "b").alias("id")).distinct().withColumn("near", F.lit(True))
-    partners = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
-    firsts = distinct.select("id").join(gone, "id", "left").join(partners, "id", "left")
-    kept = firsts.groupBy(F.col("id.doc").alias("doc")).agg(
-        F.sort_array(F.collect_list(F.when(F.col("near").isNull(), F.col("id.n")))).alias("kept_lines"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links")
+    none = F.lit(-(1 << 63))
+    # (id, line number) as one number, so that the least one is found by hash and not by sort
+    place = (F.coalesce("doc", none).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("n").cast("decimal(10,0)")).cast("decimal(38,0)")
+    found = lines(docs, id_col, text_col).where("line <> ''").groupBy("line").agg(F.min(place).alias("place"))
+    distinct = table(found.select(F.monotonically_increasing_id().alias("id"), "line", "place"), "lines")  # ids hold as they are written once
+    links = table(line_links(distinct.select("id", "line"), edits, shortest), "line-links")
+    first = distinct.select("id", F.struct("place", F.xxhash64("line").alias("h")).alias("at"))
+    ends = links.join(first.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(first.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    ends = ends.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")])).alias("e")).select("e.*")
+    linked = ends.groupBy("id").agg(F.max("later").alias("gone"), F.count("*").alias("links"))
+    stays = ~F.coalesce("gone", F.lit(False))
+    doc = F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+    number = (F.col("place") - F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast("int")
+    firsts = distinct.select("id", doc.alias("doc"), number.alias("n")).join(linked, "id", "left")
+    kept = firsts.groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.when(stays & (F.col("doc") > none), F.col("n")))).alias("kept_lines"), F.sum(stays.cast("long")).alias("n_kept"), F.sum("links").alias("n_links")
     )
-    total = lines(docs, id_col, text_col).groupBy(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc")).agg(F.sum((F.col("line") != "").cast("int")).cast("long").alias("n_lines"))
-    ids = docs.select(F.col(id_col).cast("long").alias(id_col)).distinct().withColumn("doc", F.coalesce(F.col(id_col), F.lit(-(1 << 63))))
-    out = ids.join(total, "doc", "left").join(kept, "doc", "left")
-    none = F.array().cast("array<int>")
-    return out.select(id_col, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(F.coalesce("kept_lines", none)).cast("long").alias("n_kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("kept_lines", none).alias("kept_lines"))
+    key = F.col(id_col).cast("long")
+    total = docs.groupBy(F.coalesce(key, none).alias("doc"), key.alias(id_col)).agg(F.sum(F.regexp_count(F.col(text_col), F.lit(r"[^ \t\r\f\n][^\n]*"))).alias("n_lines"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    listed = F.when(F.col(id_col).isNotNull(), F.coalesce("kept_lines", F.array().cast("array<int>")))
+    return total.join(kept, "doc", "left").select(id_col, zero("n_lines"), zero("n_kept"), zero("n_links"), listed.alias("kept_lines"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
