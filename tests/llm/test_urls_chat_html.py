@@ -120,6 +120,77 @@ def test_main_text(spark):
 def test_wrappers_align_pages_of_a_host(spark):
     base = "<html><body><nav><a>m</a></nav>{}<article><h1>t</h1>{}</article></body></html>"
     pages = [("h", base.format("", "<p>a</p>")), ("h", base.format("<div class=ad>x</div>", "<p>a</p><p>b</p>")), ("h", base.format("", "")), ("g", "<p>x</p>")]
-    got = {r.host: r.wrapper for r in html.wrappers(spark.createDataFrame(pages, "host string, html string")).collect()}
-    assert got == {"h": "html(body(nav(a(#)) div.ad?(#) article(h1(#) p*(#))))", "g": "p(#)"}
-    assert html.dump(html.load(got["h"])) == got["h"]
+    got = {r.host: html.load(r.wrapper) for r in html.wrappers(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert {h: (n, html.dump(w)) for h, (n, w) in got.items()} == {"h": (3, "html(body(nav(a(#=)) div.ad?(#=) article(h1(#=) p*(#=))))"), "g": (1, "p(#=)")}
+    assert html.load(html.pack(*got["h"])) == got["h"]
+
+
+def host_pages(rng, n):
+    """Pages without article or main, all tags alike: menu, offer, notice in the text and ending are the same on each."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    out = []
+    for i in range(n):
+        own = [text(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 6))]
+        at = rng.randrange(len(own) + 1)
+        body = "".join(f"<p>{t}</p>" for t in [*own[:at], "All prices include tax and may change.", *own[at:]])
+        page = f"<html><body><div><div><p>Start</p><p>Shop</p></div><div>{body}</div></div><div><p>Part of the group</p></div></body></html>"
+        out.append((i, f"http://h{i % 3}.com/{i}", page, "\n\n".join(own)))
+    return out
+
+
+def test_template_texts_are_told_by_the_wrapper(spark, monkeypatch):
+    import random
+
+    rows = host_pages(random.Random(4), 90)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {r[0]: r[3] for r in rows}
+    assert {r.page_id: r.text for r in html.extract_pages(df).collect()} == want
+    monkeypatch.setattr(html, "FAN", 4)
+    assert {r.page_id: r.text for r in html.extract_pages(df).collect()} == want
+    # alone, a page doesn't show what is template
+    few = {r.page_id: r.text for r in html.extract_pages(df.where("page_id < 3")).collect()}
+    assert all("All prices" in few[i] for i in range(3))
+
+
+def test_regions_by_mass_and_marks():
+    one = lambda page: html.extract(page, html.region(1, html.skeleton(html.tree(page))))
+    long = "word " * 40
+    assert one(f"<div class='layout has-sidebar'><article><p>{long}</p></article></div>") == long.strip()
+    assert one(f"<article class=a><p>one {long}</p></article><section><article class=b><p>two</p></article></section>") == f"one {long.strip()}\n\ntwo"
+    assert one(f"<article><p>short</p><section class=comments><article class=comment><p>{long}</p></article></section></article>") == "short"
+    assert one(f"<div class=related><article class=teaser><p>x</p></article></div><main><p>{long}</p></main>") == long.strip()
+    assert one(f"<div class=sidebar><p>{long}</p></div>") == long.strip()
+    deep = "<div>" * 200 + f"<div class=ad>no</div><article><p>{long}</p></article>" + "</div>" * 200
+    assert one(deep) == long.strip()
+
+
+def plain_wrapper(pages):
+    """Labels and flags of pages whose children have distinct labels in one order, by looking at each label of all pages."""
+    order, seen = [], {}
+    for p in pages:
+        for x in p:
+            if x[0] not in seen:
+                seen[x[0]] = []
+                order.append(x[0])
+            seen[x[0]].append(x)
+    return [(lab, "1" if len(seen[lab]) == len(pages) else "?", plain_wrapper([x[2] for x in seen[lab]])) for lab in sorted(order)]
+
+
+def test_alignment_equals_a_plain_union_of_labels():
+    import random
+
+    rng = random.Random(6)
+
+    def draw(depth, names, share=0.7):
+        return [[n, "1", draw(depth - 1, names, share) if depth else []] for n in names if rng.random() < share]
+
+    for _ in range(200):
+        # the first page has all labels in order; of two that no page has together the order would be open
+        pages = [draw(2, "abcd", 1), *[draw(2, "abcd") for _ in range(rng.randrange(1, 5))]]
+        merged = pages[0]
+        for p in pages[1:]:
+            merged = html.align(merged, p)
+        shape = lambda items: sorted((x[0], "?" if x[1] == "?" else "1", shape(x[2])) for x in items)  # noqa: E731, B023
+        # an element is optional once a page with its parent lacks it
+        assert shape(merged) == plain_wrapper(pages)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,12 +29,14 @@ ASIDE = frozenset(
     "sidebar aside rail widget widgets related recommended recirc share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar "
     "footer bottombar copyright legal disclaimer comment comments disqus replies reply responses login search toolbar skip tags complementary contentinfo dialog form".split()
 )
-#: Containers of the article, best first.
-MAIN = (("article", None), ("main", None), (None, "main"), (None, "articleBody"), (None, "content"))
+COMMENTS = frozenset("comment comments disqus replies reply responses".split())
+#: Containers of the article, best first: element, words.
+MAIN = (("article", ""), ("main", ""), (None, "main"), (None, "article body"), (None, "content"))
+_MAIN = [(name, set(words.split())) for name, words in MAIN]
 #: Levels of elements that wrappers describe.
 DEPTH = 60
-#: Token streams per host that are merged before the last merge, so that a common host isn't one group.
-SALTS = 32
+#: Trees of a host that one task aligns, about, and pages that must share a text before it counts as template.
+FAN, LEAST_PAGES = 64, 8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -107,25 +111,49 @@ def tree(page: str) -> Node:
     return root
 
 
-# --- wrappers: lists of items [label, flags, children]; flags: "1" once, "?" optional, "+" repeated, "*" both ---
+# --- wrappers ---
+# A list of items: [label, flag, children] for an element, [TEXT, flag, weight, fixed] for text. Flags: "1"
+# once, "?" optional, "+" repeated, "*" both. weight is the number of characters that texts at this place
+# have on all pages together; fixed are hash and length of the texts that every page has here.
 
-TEXT = "#"
+TEXT, DEEP = "#", "##"
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.md5(" ".join(text.split()).encode("utf-8", "surrogatepass")).digest()[:8])
+
+
+def _slot(texts: list[str], label_: str = TEXT) -> list:
+    return [label_, "1", sum(map(len, texts)), {text_hash(t): len(t) for t in texts}]
+
+
+def _texts(node: Node) -> list[str]:
+    out, todo = [], [node]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node):
+            todo += c.children
+        elif c.strip():
+            out.append(c)
+    return out
 
 
 def skeleton(node: Node, depth: int = 0) -> list:
-    """The wrapper of one page's element: texts are slots, and equal neighbours one repeated group.
+    """The wrapper of one page's element: equal neighbours are one repeated group.
 
-    What nests deeper than DEPTH is one slot.
+    What nests deeper than DEPTH is one DEEP slot; if it holds the article, pages are searched there themselves.
     """
     out: list = []
     for c in node.children:
-        if isinstance(c, str) and not c.strip():
-            continue
-        item = [TEXT, "1", []] if isinstance(c, str) or depth >= DEPTH else [c.label, "1", skeleton(c, depth + 1)]
-        if out and out[-1][0] == item[0]:
-            out[-1] = [item[0], "+" if item[0] != TEXT else "1", align(out[-1][2], item[2])]
+        if isinstance(c, str):
+            if not c.strip():
+                continue
+            item = _slot([c])
+        elif depth >= DEPTH:
+            item = _slot(_texts(c), DEEP)
         else:
-            out.append(item)
+            item = [c.label, "1", skeleton(c, depth + 1)]
+        _put(out, item)
     return out
 
 
@@ -134,111 +162,237 @@ def _flags(a: str, b: str) -> str:
     return ("*" if maybe else "+") if many else ("?" if maybe else "1")
 
 
-def align(a: list, b: list) -> list:
+def _put(out: list, item: list) -> None:
+    """Append an item; one of its neighbour's label joins it to a repeated group."""
+    if not out or out[-1][0] != item[0]:
+        out.append(item)
+    elif item[0] in (TEXT, DEEP):
+        out[-1] = [item[0], _flags(out[-1][1], item[1]), out[-1][2] + item[2], out[-1][3] | item[3]]
+    else:
+        out[-1] = [item[0], "*" if "?" in (item[1], out[-1][1]) or "*" in (item[1], out[-1][1]) else "+", align(out[-1][2], item[2], True)]
+
+
+def align(a: list, b: list, same_page: bool = False) -> list:
     """The least union-free expression of both: common items in the longest order, mismatches optional,
-    and neighbours of one label a repeated group."""
+    and neighbours of one label a repeated group. Texts that both have stay fixed, others become a slot;
+    within a page all stay fixed."""
     if not a or not b:
-        return [[x, _flags(f, "?"), c] for x, f, c in a or b]
+        return [[x, _flags(f, "?"), *rest] for x, f, *rest in a or b]
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
+    low = 0
+    while low < min(n, m) and a[low][0] == b[low][0]:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and a[n - 1 - high][0] == b[m - 1 - high][0]:
+        high += 1
+    p, q = n - low - high, m - low - high
+    best = [[0] * (q + 1) for _ in range(p + 1)]
+    for i in range(p - 1, -1, -1):
+        for j in range(q - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[low + i][0] == b[low + j][0] else max(best[i + 1][j], best[i][j + 1])
     out: list = []
 
-    def put(item: list) -> None:
-        if out and out[-1][0] == item[0]:
-            out[-1] = [item[0], "1" if item[0] == TEXT else ("*" if "?" in (item[1], out[-1][1]) or "*" in (item[1], out[-1][1]) else "+"), align(out[-1][2], item[2])]
-        else:
-            out.append(item)
+    def both(x: list, y: list) -> list:
+        if x[0] in (TEXT, DEEP):
+            fixed = x[3] | y[3] if same_page else {h: size for h, size in x[3].items() if h in y[3]}
+            return [x[0], _flags(x[1], y[1]), x[2] + y[2], fixed]
+        return [x[0], _flags(x[1], y[1]), align(x[2], y[2], same_page)]
 
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            put([a[i][0], _flags(a[i][1], b[j][1]), align(a[i][2], b[j][2])])
+    def one(x: list) -> list:
+        return [x[0], _flags(x[1], "?"), *x[2:]]
+
+    for i in range(low):
+        _put(out, both(a[i], b[i]))
+    i = j = 0
+    while i < p or j < q:
+        x, y = a[low + i] if i < p else None, b[low + j] if j < q else None
+        if x and y and x[0] == y[0]:
+            _put(out, both(x, y))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            put([a[i][0], _flags(a[i][1], "?"), a[i][2]])
+        elif j == q or (i < p and best[i + 1][j] >= best[i][j + 1]):
+            _put(out, one(x))
             i += 1
         else:
-            put([b[j][0], _flags(b[j][1], "?"), b[j][2]])
+            _put(out, one(y))
             j += 1
+    for k in range(high, 0, -1):
+        _put(out, both(a[n - k], b[m - k]))
     return out
 
 
 def dump(items: list) -> str:
-    """A wrapper as text, for grouping and moving: label, flag, and children in parentheses."""
-    return " ".join(f"{x}{'' if f == '1' else f}" + (f"({dump(c)})" if c else "") for x, f, c in items)
+    """A wrapper as an expression to read: label, flag, children in parentheses; ``=`` where all pages share a text."""
+    show = lambda x: x[0] + ("=" if x[0] in (TEXT, DEEP) and x[3] else "") + ("" if x[1] == "1" else x[1])
+    return " ".join(show(x) + (f"({dump(x[2])})" if x[0] not in (TEXT, DEEP) and x[2] else "") for x in items)
 
 
-_ITEM = re.compile(r"\s*(?:(\))|([^\s()?+*]+)([?+*]?)(\()?)")
+def pack(pages: int, items: list) -> str:
+    """A wrapper and its number of pages as text, for grouping and moving."""
+    return json.dumps([pages, items], separators=(",", ":"), ensure_ascii=False)
 
 
-def load(text: str) -> list:
-    out: list = []
-    stack = [out]
-    at = 0
-    while at < len(text):
-        m = _ITEM.match(text, at)
-        if m is None or m.end() == at:
-            break
-        at = m.end()
-        if m[1]:
-            stack.pop()
-        else:
-            item = [m[2], m[3] or "1", []]
-            stack[-1].append(item)
-            if m[4]:
-                stack.append(item[2])
-    return out
+def load(text: str) -> tuple[int, list]:
+    def fix(items: list) -> list:
+        return [[x[0], x[1], x[2], {int(h): n for h, n in x[3].items()}] if x[0] in (TEXT, DEEP) else [x[0], x[1], fix(x[2])] for x in items]
+
+    pages, items = json.loads(text)
+    return pages, fix(items)
+
+
+def aside(label_: str) -> bool:
+    """Whether class words name what isn't the article; of an article or main element only those of comments do."""
+    name, *words = label_.split(".")
+    return name not in ("html", "body") and any(w in (COMMENTS if name in ("article", "main") else ASIDE) for w in words)
 
 
-def unwanted(label_: str) -> bool:
+def mark(label_: str) -> int | None:
+    """The first of MAIN that an element's label meets."""
     name, *words = label_.split(".")
-    return name in DROPPED or (name not in ("html", "body", "article", "main") and any(w in ASIDE for w in words))
+    return next((k for k, (n, w) in enumerate(_MAIN) if (n is None or n == name) and w <= set(words)), None)
+
+
+def comments(label_: str) -> bool:
+    return any(w in COMMENTS for w in label_.split(".")[1:])
+
+
+@dataclass
+class Region:
+    """Where the article lies on the pages of a host: paths of labels, labels that look like an aside but
+    hold most of it, hashes of template texts in it, and whether pages must be searched below it."""
 
+    paths: frozenset[tuple[str, ...]]
+    wanted: frozenset[str] = frozenset()
+    template: frozenset[int] = frozenset()
+    deep: bool = False
 
-def main_path(wrapper: list) -> tuple[str, ...]:
-    """Labels from the root of a wrapper to the element that holds the article, by MAIN; () for the whole page."""
 
-    def find(items: list, name: str | None, word: str | None, at: tuple[str, ...]) -> tuple[str, ...] | None:
-        for x, _, children in items:
-            if x == TEXT or unwanted(x):
+def region(pages: int, wrapper: list) -> Region:
+    """The main region of a wrapper, from the mass of its slots; tags and classes break the tie.
+
+    An element weighs what its slots hold, without texts that all pages share, dropped elements and
+    those whose class words name comments, or another aside, unless that holds a marked element of half
+    of all text or hardly anything else has text. Marked elements that hold half of the whole are the region, the
+    best mark first. Otherwise it is reached from the root by steps into the element that holds more
+    than half, as long as that is no repeated group and has blocks of its own. Texts that all of at
+    least LEAST_PAGES pages have in the region are template if they are the smaller part of it.
+    """
+    weight: dict[int, int] = {}
+    heavy: dict[int, int] = {}  # greatest mass of a marked element in it that is no aside
+
+    def weigh(item: list) -> int:
+        if item[0] in (TEXT, DEEP):
+            got = max(0, item[2] - (sum(item[3].values()) * pages if pages > 1 else 0))
+        elif item[0].split(".")[0] in DROPPED:
+            got = heavy[id(item)] = 0
+        else:
+            got = sum(weigh(x) for x in item[2])
+            own = got if mark(item[0]) is not None and not aside(item[0]) else 0
+            heavy[id(item)] = max([own, *[heavy[id(x)] for x in item[2] if id(x) in heavy]])
+            if outside(item):
+                got = 0
+        weight[id(item)] = got
+        return got
+
+    def outside(item: list) -> bool:
+        if comments(item[0]):
+            return True
+        return strict and aside(item[0]) and not 2 * heavy[id(item)] >= max(raw, 1)
+
+    strict = False
+    raw = sum(weigh(x) for x in wrapper)
+    strict = True
+    total = sum(weigh(x) for x in wrapper)
+    if 10 * total < raw:
+        strict, total = False, sum(weigh(x) for x in wrapper)
+
+    found: dict[int, list[tuple[tuple[str, ...], list]]] = {}
+
+    def look(items: list, at: tuple[str, ...], seen: frozenset) -> None:
+        for x in items:
+            if x[0] in (TEXT, DEEP) or x[0].split(".")[0] in DROPPED or outside(x):
                 continue
-            n, *words = x.split(".")
-            if (name is None or n == name) and (word is None or set(label("x", f'class="{word}"').split(".")[1:]) <= set(words)):
-                return (*at, x)
-            if (found := find(children, name, word, (*at, x))) is not None:
-                return found
-        return None
-
-    for name, word in MAIN:
-        if (path := find(wrapper, name, word, ())) is not None:
-            return path
-    return ()
-
-
-def regions(node: Node, path: tuple[str, ...]) -> list[Node]:
-    """All elements of a page at a path, in page order."""
-    if not path:
-        return [node]
-    out = []
-    for c in node.children:
-        if isinstance(c, Node) and c.label == path[0]:
-            out += regions(c, path[1:])
+            k = mark(x[0])
+            if k is not None and k not in seen:
+                found.setdefault(k, []).append(((*at, x[0]), x))
+            look(x[2], (*at, x[0]), seen | {k})
+
+    look(wrapper, (), frozenset())
+    chosen = next((found[k] for k in sorted(found) if 2 * sum(weight[id(x)] for _, x in found[k]) >= total), [])
+    deep = False
+    if not chosen:
+        at, holder, most = (), ["", "1", wrapper], total
+        while True:
+            best = max((x for x in holder[2] if x[0] != TEXT), key=lambda x: weight[id(x)], default=None)
+            if best is None or 2 * weight[id(best)] <= most:
+                break
+            if best[0] == DEEP:
+                deep = True
+                break
+            if best[1] in "+*" or not any(x[0] == DEEP or x[0].split(".")[0] in BLOCK for x in best[2] if x[0] != TEXT):
+                break
+            at, holder, most = (*at, best[0]), best, weight[id(best)]
+        chosen = [(at, holder)]
+    wanted, fixed = set(), {}
+
+    def gather(item: list) -> None:
+        if item[0] in (TEXT, DEEP):
+            fixed.update(item[3])
+            return
+        if aside(item[0]) and not outside(item):
+            wanted.add(item[0])
+        for x in item[2]:
+            gather(x)
+
+    for at, x in chosen:
+        for y in x[2]:
+            gather(y)
+    size = sum(weight[id(y)] for _, x in chosen for y in x[2])
+    template = frozenset(fixed) if pages >= LEAST_PAGES and pages * sum(fixed.values()) < size else frozenset()
+    return Region(frozenset(at for at, _ in chosen), frozenset(wanted), template, deep)
+
+
+def marked(node: Node) -> list[Node]:
+    """The elements below one that the best mark of MAIN names, in page order, however deep they lie."""
+    found: dict[int, list[Node]] = {}
+    todo = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while todo:
+        c = todo.pop()
+        if c.label.split(".")[0] in DROPPED or aside(c.label):
+            continue
+        k = mark(c.label)
+        if k is not None:
+            found.setdefault(k, []).append(c)
+        else:
+            todo += [x for x in reversed(c.children) if isinstance(x, Node)]
+    return found[min(found)] if found else []
+
+
+def regions(root: Node, where: Region) -> list[Node]:
+    """All elements of a page at the region's paths, in page order."""
+    if () in where.paths:
+        return [root]
+    starts = {p[:k] for p in where.paths for k in range(1, len(p) + 1)}
+    out, todo = [], [(c, (c.label,)) for c in reversed(root.children) if isinstance(c, Node)]
+    while todo:
+        c, at = todo.pop()
+        if at in where.paths:
+            out.append(c)
+        elif at in starts:
+            todo += [(x, (*at, x.label)) for x in reversed(c.children) if isinstance(x, Node)]
     return out
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below an element, without unwanted elements; white space is one space."""
+def blocks(node: Node, where: Region | None = None) -> list[str]:
+    """Texts of the blocks below an element, without unwanted elements and template texts; white space is one space."""
+    wanted, template = (where.wanted, where.template) if where else (frozenset(), frozenset())
     out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(run))).strip(" ")
-        run.clear()
-        if text:
+        if text and not (template and all(text_hash(x) in template for x in run if x.strip())):
             out.append(text)
+        run.clear()
 
     todo: list = [node]
     while todo:  # without recursion: pages may nest deeply
@@ -247,7 +401,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(c, str):
             run.append(c)
-        elif c is not node and unwanted(c.label):
+        elif c is not node and (c.label.split(".")[0] in DROPPED or (aside(c.label) and c.label not in wanted)):
             if c.label.split(".")[0] in BLOCK | DROPPED - {"button", "input", "select", "script", "style", "svg"}:
                 flush()
         else:
@@ -264,71 +418,93 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def extract(page: str, wrapper: list | tuple[str, ...]) -> str:
+def extract(page: str, where: Region) -> str:
     """The article of a page: what its host's wrapper has as the main region, or the page's own where the page lacks it."""
-    path = wrapper if isinstance(wrapper, tuple) else main_path(wrapper)
     root = tree(page)
-    found = regions(root, path)
+    found = regions(root, where)
     if not found:
-        found = regions(root, main_path(skeleton(root)))
-    return "\n\n".join(b for n in found for b in blocks(n))
+        where = region(1, skeleton(root))
+        found = regions(root, where)
+    if where.deep:
+        found = [x for n in found for x in marked(n) or [n]]
+    return "\n\n".join(b for n in found for b in blocks(n, where))
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(h, dump(skeleton(tree(p or "")))) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sorted(seen)], pa.string()), pa.array([s for _, s in sorted(seen)], pa.string())], ["host", "wrapper"])
+        seen = sorted({(h, pack(1, skeleton(tree(p or "")))) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string())], ["host", "wrapper"])
 
 
 def _merge(group: pa.Table) -> pa.Table:
     """One wrapper of all that a group holds, aligned one after another from the longest on."""
-    wrappers = sorted({w for w in group.column("wrapper").to_pylist()}, key=lambda w: (-len(w), w))
-    merged = load(wrappers[0])
-    for w in wrappers[1:]:
-        merged = align(merged, load(w))
-    return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [dump(merged)]})
+    ordered = sorted(set(group.column("wrapper").to_pylist()), key=lambda w: (-len(w), w))
+    pages, merged = load(ordered[0])
+    for w in ordered[1:]:
+        more, other = load(w)
+        pages, merged = pages + more, align(merged, other)
+    return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [pack(pages, merged)]})
 
 
 def wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
-    """Return host, wrapper: one union-free expression a host, from all its pages.
+    """Return host, wrapper: one union-free expression a host (as pack() writes it), from all its pages.
 
-    Every page becomes the token tree of its elements, with texts as slots and repeated neighbours
-    as groups; equal trees of a host are one. They are aligned in two steps, by host and hash and
-    then by host, so that a common host's trees don't meet in one group before they are merged.
+    Every page becomes the token tree of its elements and texts, with repeated neighbours as groups;
+    equal trees of a host are one. They are aligned in rounds: each deals a host's trees by hash to
+    groups of about FAN, so that no task holds more of a common host than that, until one is left.
     """
     slim = pages.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    shapes = slim.mapInArrow(_skeletons, "host string, wrapper string").distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    part = shapes.groupBy("host", "salt").applyInArrow(_merge, "host string, wrapper string")
-    return part.groupBy("host").applyInArrow(_merge, "host string, wrapper string")
+    out = table(slim.mapInArrow(_skeletons, "host string, wrapper string").distinct(), "trees")
+    while True:
+        many = table(out.groupBy("host").count().where("count > 1"), "tree-counts")
+        if many.isEmpty():
+            return out
+        groups = out.join(many, "host", "left").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.ceil(F.coalesce("count", F.lit(1)) / FAN)))
+        out = table(groups.select("host", "wrapper", "salt").groupBy("host", "salt").applyInArrow(_merge, "host string, wrapper string"), "trees")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return id_col, url_col, text, n_chars: one row per row of pages.
 
     text is the main region that the host's wrapper names, without menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and reader comments; blocks are joined by an
-    empty line, white space inside one is a space, character references are decoded. Null and empty
-    pages have an empty text; null URLs share one host; repeated rows are all extracted; an empty
-    table gives no rows.
+    sidebars, notices, adverts, forms, scripts, styles and reader comments, and without texts that
+    the wrapper shows to be template; blocks are joined by an empty line, white space inside one is
+    a space, character references are decoded. Null and empty pages have an empty text; null URLs
+    share one host; repeated rows are all extracted; other columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"://([^/?#]*)", 1), F.lit(""))
     slim = pages.select(F.col(id_col), F.col(url_col), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    known = table(wrappers(slim, "_host", "_html"), "wrappers").withColumnRenamed("host", "_host")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_region_text(region(*load(w))) for w in batch.column(1).to_pylist()], pa.string())], ["_host", "_where"])
+
+    known = table(wrappers(slim, "_host", "_html").select("host", "wrapper").mapInArrow(found, "_host string, _where string"), "regions")
 
     @F.arrow_udf("string")
-    def main_text(html: pa.Array, wrapper: pa.Array) -> pa.Array:
-        paths: dict[str, tuple[str, ...]] = {}
+    def main_text(html: pa.Array, where: pa.Array) -> pa.Array:
+        seen: dict[str, Region] = {}
         out = []
-        for page, w in zip(html.to_pylist(), wrapper.to_pylist(), strict=True):
-            if w not in paths:
-                paths[w] = main_path(load(w or ""))
-            out.append(extract(page or "", paths[w]))
+        for page, w in zip(html.to_pylist(), where.to_pylist(), strict=True):
+            if w not in seen:
+                seen[w] = _region_of(w)
+            out.append(extract(page or "", seen[w]))
         return pa.array(out, pa.string())
 
-    out = slim.join(known, "_host", "left").select(F.col(id_col), F.col(url_col), main_text("_html", "wrapper").alias("text"))
+    out = slim.join(known, "_host", "left").select(F.col(id_col), F.col(url_col), main_text("_html", "_where").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _region_text(r: Region) -> str:
+    return json.dumps([sorted(map(list, r.paths)), sorted(r.wanted), sorted(r.template), r.deep])
+
+
+def _region_of(text: str) -> Region:
+    paths, wanted, template, deep = json.loads(text)
+    return Region(frozenset(map(tuple, paths)), frozenset(wanted), frozenset(template), deep)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
