@@ -65,15 +65,41 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
     return places
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: what a lambda function of higher-order functions refers to from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Characters that two strings begin with alike, by binary search of equal parts."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    shorter = F.least(F.char_length(a), F.char_length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        fits = (n + step <= shorter) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step))
+        return F.when(fits, n + step).otherwise(n)
+
+    return F.aggregate(F.filter(steps, lambda x: x <= shorter), F.lit(0), longer)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings, b not the longer, are within ``edits`` edits.
 
+    What both begin and end with alike is left out first; it changes no distance.
+    """
+    head = let(common_prefix(a, b), lambda p: F.struct(F.substring(a, p + 1, F.char_length(a)).alias("a"), F.substring(b, p + 1, F.char_length(b)).alias("b")))
+    tail = lambda s: let(common_prefix(F.reverse(s.a), F.reverse(s.b)), lambda p: F.struct(F.substring(s.a, F.lit(1), F.char_length(s.a) - p).alias("a"), F.substring(s.b, F.lit(1), F.char_length(s.b) - p).alias("b")))
+    chars = lambda s: F.struct(F.split(s.a, "").alias("x"), F.split(s.b, "").alias("y"), F.char_length(s.a).alias("m"), F.char_length(s.b).alias("n"))
+    return let(let(let(head, tail), chars), lambda s: F.when(s.n == 0, s.m <= edits).otherwise(_banded(s.x, s.y, s.m, s.n, edits)))
+
+
+def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
+    """Whether the characters x (m of them) and y (n, not more, at least one) are within the edits.
+
     Bit-parallel over the band of ``2 * edits + 1`` diagonals: bit k of a word stands for row
     ``j - edits + k`` of column j. The score follows the lowest diagonal of the band down to the
-    last row of a, and then that row to the end of b.
+    last row of x, and then that row to the end of y.
     """
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
     width = 2 * edits + 1
     mask, top = (1 << width) - 1, 1 << (2 * edits)
     long = lambda v: F.lit(v).cast("long")
@@ -85,26 +111,18 @@ def within(a: Column, b: Column, edits: int) -> Column:
         for k in range(width):
             row = j - edits + k  # from 1
             eq = eq.bitwiseOR(F.when((row >= 1) & (row <= m) & (F.get(x, row - 1) == c), long(1 << k)).otherwise(long(0)))
-        inner = F.struct(eq.alias("eq"), s.alias("s"))
 
-        def words(t: Column) -> Column:
-            e, vp, vn = t["eq"], t["s"]["vp"], t["s"]["vn"]
-            d = (e.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(long(mask))
-            return F.struct(d.alias("d"), vp.alias("vp"), vn.alias("vn"), t["s"]["score"].alias("score"))
+        def words(e: Column) -> Column:
+            d = (e.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(e).bitwiseOR(s["vn"]).bitwiseAND(long(mask))
+            return F.struct(d.alias("d"), s["vn"].bitwiseOR(long(mask).bitwiseXOR(d.bitwiseOR(s["vp"]))).alias("hp"), d.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d, 1).alias("down"))
 
         def move(t: Column) -> Column:
-            d, vp, vn = t["d"], t["vp"], t["vn"]
-            hp = vn.bitwiseOR(long(mask).bitwiseXOR(d.bitwiseOR(vp)))
-            hn = d.bitwiseAND(vp)
-            down = F.shiftright(d, 1)
             # the bit of row m, once the band's lowest row would lie below it
             bit = F.call_function("shiftleft", long(1), (m - j + edits).cast("int"))
-            diagonal = j + edits <= m
-            score = t["score"] + F.when(diagonal, (d.bitwiseAND(long(top)) == 0).cast("int")).otherwise((hp.bitwiseAND(bit) != 0).cast("int") - (hn.bitwiseAND(bit) != 0).cast("int"))
-            return F.struct(hn.bitwiseOR(long(mask).bitwiseXOR(down.bitwiseOR(hp))).bitwiseAND(long(mask)).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("score"))
+            score = s["score"] + F.when(j + edits <= m, (t["d"].bitwiseAND(long(top)) == 0).cast("int")).otherwise((t["hp"].bitwiseAND(bit) != 0).cast("int") - (t["hn"].bitwiseAND(bit) != 0).cast("int"))
+            return F.struct(t["hn"].bitwiseOR(long(mask).bitwiseXOR(t["down"].bitwiseOR(t["hp"]))).bitwiseAND(long(mask)).alias("vp"), t["down"].bitwiseAND(t["hp"]).alias("vn"), score.alias("score"))
 
-        stepped = F.transform(F.transform(F.array(inner), words), move)
-        return F.get(stepped, F.lit(0))
+        return let(let(eq, words), move)
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step)["score"] <= edits
 
