@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from wayfold.functions import taxonomy, text, urls
+from wayfold.functions import sites, taxonomy, text, urls
 from wayfold.operators import ingest, recall, structure, vectors
 from wayfold.sources import browsers, export
 from wayfold.streaming import live
@@ -109,10 +109,11 @@ def test_grammar():
 
 def test_url_functions(spark):
     rows = {
-        "HTTPS://User@A.B.co.uk.:8080/x/y?utm_source=1&q=a+b%20c&ref=z#f": ("https://a.b.co.uk/x/y?q=a+b%20c#f", "b.co.uk", "a", "x", "a b c"),
-        "http://10.0.0.1/": ("http://10.0.0.1/", "10.0.0.1", "", "", None),
+        "HTTPS://User@A.B.co.uk.:8080/x/y?utm_source=1&q=a+b%20c&ref=z#f": ("https://a.b.co.uk/x/y?q=a+b+c#f", "b.co.uk", "a", "x", None),
+        "http://10.0.0.1/": ("http://10.0.0.1/", "0.1", "10.0", "", None),
         "http://x.com?ref=1": ("http://x.com/", "x.com", "", "", None),
         "nonsense": (None, "", "", "", None),
+        "https://www.google.com.:443/search?utm_x=1&oq=z&Q=a%2Bb++c&p=2": ("https://www.google.com/search?oq=z&Q=a+b+c&p=2", "google.com", "www", "search", "a b c"),
     }
     df = spark.createDataFrame([(u,) for u in rows], "url string")
     u, h = F.col("url"), urls.host(F.col("url"))
@@ -121,11 +122,39 @@ def test_url_functions(spark):
 
 
 def test_taxonomy_precedence(spark):
-    rows = [("gitlab.com", "/a/b/issues/1", "", ""), ("x.gitlab.com", "/a/b", "", ""), ("q.com", "/docs/x", "", ""), ("youtube.com", "/watch", "v=1", ""), ("q.com", "/", "", "capital API"), ("known.com", "/docs", "", "")]
-    df = spark.createDataFrame(rows, "h string, p string, q string, t string")
-    c = taxonomy.classify(F.col("h"), F.col("p"), F.col("q"), F.col("t"), {"known.com": ("shop", "product")}, [("api", "developer", "api")])
-    got = [(r.c.category, r.c.source, r.c.confidence) for r in df.select(c.alias("c")).collect()]
-    assert got == [("developer", "github-issue", 0.86), ("developer", "github-repo", 0.86), ("docs", "docs-path", 0.86), ("video", "video-watch", 0.86), ("developer", "lexicon", 0.62), ("shop", "domain", 0.95)]
+    rows = {
+        "https://gitlab.com/a/b/issues/1": ("developer", "issue", "github-issue"), "https://x.gitlab.com/a/b": ("developer", "repo", "github-repo"), "https://q.com/docs/x": ("docs", "docs_page", "docs-path"),
+        "https://youtube.com/watch?V=1": ("video", "video_page", "video-watch"), "https://youtube.com/watch?w=1": ("unknown", "unknown", None), "https://google.com/docs/": ("search", "search_results", "google-search"),
+        "https://mine.com/docs/x": ("work", "home", "mine.com"), "https://q.com/": ("unknown", "unknown", None), "nonsense": ("unknown", "unknown", None), "https://jd.com/item/product/1": ("shopping", "product_page", "taobao-product"),
+    }
+    df = spark.createDataFrame([(u,) for u in rows], "u string")
+    own = [taxonomy.Override("domain", "mine.com", "work", "home")]
+    got = df.select("u", taxonomy.classify(F.col("u"), F.lit("x"), own).alias("c")).collect()
+    assert {r.u: (r.c.category, r.c.page, r.c.rule) for r in got} == rows
+    by_word = df.limit(1).select(taxonomy.classify(F.lit("https://q.com/"), F.lit("of the capital api")).alias("c"), taxonomy.classify(F.lit("x"), F.lit("VS plan")).alias("d")).first()
+    assert (by_word.c.rule, by_word.c.confidence, by_word.d.rule) == ("docs-lexicon", 0.62, "compare-lexicon")
+
+
+def test_search_rules_engines_and_kinds(spark):
+    rows = [
+        ("https://www.google.com/search?q=Sqlite+WAL", None, "sqlite wal", "google"), ("https://www.google.com/maps?q=x", None, "x", "google"), ("https://www.google.com/search?q=", None, None, None),
+        ("https://search.brave.com/search?q=a", None, "a", "brave"), ("https://my.searx.org/?q=a", None, None, None), ("https://x.org/", "Given  term", "given term", "x.org"), ("https://www.youtube.com/results?search_query=b", None, "b", "youtube"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "u string, t string")
+    assert [(r.s.query, r.s.engine) for r in df.select(sites.search_of(F.col("u"), F.col("t")).alias("s")).collect()] == [r[2:] for r in rows]
+    kinds = [("", None, "navigational"), ("github.com", "github.com", "navigational"), ("github.com", "gist.github.com", "navigational"), ("github.com", "other.org", "keyword"), ("'docs.rs'", None, "navigational"), ("https://a.b.org/x", "b.org", "navigational"), ("two words.com", None, "keyword"), ("word", None, "keyword")]
+    df = spark.createDataFrame([k[:2] for k in kinds], "q string, d string")
+    assert [r[0] for r in df.select(text.query_kind(F.col("q"), F.col("d"))).collect()] == [k[2] for k in kinds]
+
+
+def test_tokens_grams_and_texts(spark):
+    r = spark.sql("SELECT 'The ＡＢＣ x 设计系统 of go1' AS s, '{\"fullName\":\"a/b\",\"description\":\"sum\",\"topics\":[\"x\",\"y\"]}' AS j").select(
+        text.tokenize(F.col("s")), text.normalize_text(F.col("s")), text.compact(F.col("s")), text.han_grams(F.col("s")), text.query_terms(F.lit("How to the API, api v2 a")), text.enrichment_text(F.lit("sum"), F.col("j")),
+        text.excerpt(F.lit("é" * 200)), text.excerpt(F.lit("  ")), text.embedding_content(F.lit("p"), F.lit("https://h.org/"), F.lit(None).cast("string"), F.lit("t"), F.lit(" "), F.lit("s"), F.lit("b" * 3000)),
+    ).first()
+    assert r[0] == ["ａｂｃ", "设计系统", "设计", "计系", "系统", "of", "go1"] and r[1] == "the abc x 设计系统 of go1" and r[2] == "TheＡＢＣx设计系统ofgo1"
+    assert r[3] == sorted(["设计", "计系", "系统", "设计系", "计系统"]) and r[4] == ["api", "api", "v2"] and r[5] == "sum • a/b • x y"
+    assert r[6] == "é" * 180 + "…" and r[7] is None and r[8] == "Profile: p\nVisited at: t\nURL: https://h.org/\nDomain: h.org\nTitle: (untitled)\nSummary: s\nReadable text:\n" + "b" * 2048
 
 
 def test_times_and_edits(spark):

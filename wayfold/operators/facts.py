@@ -25,21 +25,18 @@ def with_new_domains(visits: DataFrame) -> DataFrame:
 def domain_rollup(facts: DataFrame) -> DataFrame:
     """Day x profile x domain: visits, searches, new_domain_visits, unique_urls and the majority category.
 
-    Counts per category are made first; the category with most visits wins, then one that is
-    known, then the first by name. One shuffle by the rollup's key serves both steps.
+    Counts per URL and category are made first, map-side, and summed per category; the category with
+    most visits wins, then one that is known, then the first by name. The URLs of a domain's day are
+    counted in the same pass.
     """
     key = ["date_key", "profile_id", "domain"]
-    counted = facts.groupBy(*key, "category").agg(
-        F.count("*").alias("visits"),
-        F.count("search").alias("searches"),
-        F.sum("is_new_domain").alias("new_domain_visits"),
-    )
+    by_url = facts.groupBy(*key, "category", "url").agg(F.count("*").alias("n"), F.count("search").alias("s"), F.sum("is_new_domain").alias("new"))
+    counted = by_url.groupBy(*key, "category").agg(F.sum("n").alias("visits"), F.sum("s").alias("searches"), F.sum("new").alias("new_domain_visits"), F.collect_set("url").alias("urls"))
     best = F.min_by("category", F.struct(-F.col("visits"), (F.col("category") == "unknown").alias("u"), "category"))
-    rolled = counted.groupBy(*key).agg(
-        best.alias("category"), F.sum("visits").alias("visits"), F.sum("searches").alias("searches"), F.sum("new_domain_visits").alias("new_domain_visits")
-    )
-    urls = facts.groupBy(*key).agg(F.count_distinct("url").alias("unique_urls"))
-    return rolled.join(urls, key)
+    return counted.groupBy(*key).agg(
+        best.alias("category"), F.sum("visits").alias("visits"), F.sum("searches").alias("searches"), F.sum("new_domain_visits").alias("new_domain_visits"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("urls")))).cast("long").alias("unique_urls"),
+    )
 
 
 def category_rollup(domains: DataFrame) -> DataFrame:
@@ -69,3 +66,9 @@ def period(date_key: Column, grain: str) -> Column:
     if grain == "week":
         return F.concat(F.extract(F.lit("YEAROFWEEK"), date).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(date).cast("string"), 2, "0"))
     return F.substring(date_key, 1, {"day": 10, "month": 7, "year": 4}[grain])
+
+
+def overlapping(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with first_ms and last_ms that overlap the local days from start to end, both included."""
+    lo, hi = F.unix_millis(F.lit(start).cast("timestamp")), F.unix_millis((F.lit(end).cast("date") + 1).cast("timestamp"))
+    return rows.where((F.col("last_ms") >= lo) & (F.col("first_ms") < hi))

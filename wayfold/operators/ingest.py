@@ -60,3 +60,10 @@ def merge_takeout_urls(records: DataFrame) -> DataFrame:
     """records: url, title, ms, ordinal. Visits of each url and its newest title that isn't null; ties take the later record."""
     title = F.max_by("title", F.when(F.col("title").isNotNull(), F.struct("ms", "ordinal")))
     return records.groupBy("url").agg(F.count("*").alias("visit_count"), title.alias("title"), F.max("ms").alias("last_ms"))
+
+
+def totals(profiles: DataFrame, urls: DataFrame, visits: DataFrame) -> DataFrame:
+    """One row: profiles, urls, visible visits, and when the first and last of them were."""
+    one = lambda df, n: df.agg(F.count("*").alias(n))  # noqa: E731  one line each
+    seen = visits.agg(F.count("*").alias("visits"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    return one(profiles, "profiles").join(one(urls, "urls")).join(seen)

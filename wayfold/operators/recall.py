@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
@@ -99,11 +100,25 @@ def page(rows: DataFrame, after: tuple[int, int] | None = None, limit: int = PAG
     return rows.orderBy(*[(F.desc if newest else F.asc)(c) for c in ("ms", "visit_id")]).limit(limit)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, id, tf, size: the inverted index of a table, one row a term and document."""
-    terms = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    words = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).select("id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+def words_of(text_col: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def sizes(docs: DataFrame, text_col: str) -> tuple[int, float]:
+    """Documents that have words, and their mean number of words: one pass, nothing is shuffled but one line a task."""
+    found = docs.select(F.size(words_of(text_col)).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    return found.docs, found.mean or 1.0
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | None = None) -> DataFrame:
+    """term, id, tf, size: the inverted index of a table, one row a term and document; of some terms only, if they are given.
+
+    Rows of a document are counted where it is: documents aren't shuffled.
+    """
+    words = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words")).withColumn("size", F.size("words"))
+    kept = F.filter("words", lambda w: w.isin(*terms)) if terms is not None else F.col("words")
+    runs = words.select("id", "size", F.array_sort(kept).alias("words")).withColumn("term", F.explode(F.array_distinct("words")))
+    return runs.select("term", "id", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("long").alias("tf"), "size")
 
 
 def bm25(index: DataFrame, terms: list[str], docs: int, mean_size: float, limit: int) -> DataFrame:

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.text import query_terms
+from wayfold.functions.sites import site_name
+from wayfold.functions.text import query_kind, query_terms
 from wayfold.store import table
 
 SESSION_GAP_MS, TRAIL_GAP_MS = 30 * 60_000, 15 * 60_000
@@ -14,12 +15,27 @@ SESSION_GAP_MS, TRAIL_GAP_MS = 30 * 60_000, 15 * 60_000
 DEEP = (4, 5, 8, 1)
 
 
+DAY_MS = 86_400_000
+
+
 def sessionize(visits: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
-    """Add session_id: a new one begins where a profile's gap is longer than gap_ms (exactly that long still joins)."""
-    order = Window.partitionBy("profile_id").orderBy("ms", "visit_id")
-    begins = F.coalesce(F.col("ms") - F.lag("ms").over(order) > gap_ms, F.lit(True))
-    first = F.last(F.when(begins, F.col("visit_id")), ignorenulls=True).over(order)
-    return visits.withColumn("session_id", F.concat_ws(":", F.lit("session"), "profile_id", first.cast("string")))
+    """Add session_id: a new one begins where a profile's gap is longer than gap_ms (exactly that long still joins).
+
+    Visits are sorted within a profile's days, so that a busy profile is as many tasks as it has
+    days; what goes from day to day is one row each: the day's last time and its last beginning.
+    """
+    days = visits.withColumn("_day", F.floor(F.col("ms") / DAY_MS))
+    inside = Window.partitionBy("profile_id", "_day").orderBy("ms", "visit_id")
+    along = Window.partitionBy("profile_id").orderBy("_day")
+    last = days.groupBy("profile_id", "_day").agg(F.max("ms").alias("_last"))
+    before = last.select("profile_id", "_day", F.lag("_last").over(along).alias("_before"))
+    gaps = days.join(before, ["profile_id", "_day"]).withColumn("_prev", F.coalesce(F.lag("ms").over(inside), F.col("_before")))
+    begun = gaps.withColumn("_begin", F.when(F.coalesce(F.col("ms") - F.col("_prev") > gap_ms, F.lit(True)), F.col("visit_id")))
+    ends = begun.groupBy("profile_id", "_day").agg(F.max_by("_begin", F.when(F.col("_begin").isNotNull(), F.struct("ms", "visit_id"))).alias("_b"))
+    open_ = ends.select("profile_id", "_day", F.last("_b", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    first = F.coalesce(F.last("_begin", ignorenulls=True).over(inside), F.col("_open"))
+    named = begun.join(open_, ["profile_id", "_day"]).withColumn("session_id", F.concat_ws(":", F.lit("session"), "profile_id", first.cast("string")))
+    return named.select(*visits.columns, "session_id")
 
 
 def sessions(visits: DataFrame) -> DataFrame:
@@ -39,6 +55,14 @@ def sessions(visits: DataFrame) -> DataFrame:
     return out.withColumn("deep_dive", (F.col("depth") >= d) & (F.col("domains") >= n) & (F.col("visits") >= v) & (F.col("new_domains") >= w))
 
 
+def session_titles(visits: DataFrame) -> DataFrame:
+    """profile_id, session_id, title: the name of the domain with most visits (the first by name of several), and the first query."""
+    counts = visits.groupBy("profile_id", "session_id", "domain").agg(F.count("*").alias("n"), F.min(F.when(F.col("query").isNotNull(), F.struct("ms", "visit_id", "query"))).alias("q"))
+    top = counts.groupBy("profile_id", "session_id").agg(F.min_by("domain", F.struct(-F.col("n"), "domain")).alias("domain"), F.min("q").alias("q"))
+    name = F.coalesce(site_name(F.col("domain")), F.col("domain"))
+    return top.select("profile_id", "session_id", F.concat_ws(" · ", name, "q.query").alias("title"))
+
+
 def trail_members(visits: DataFrame, gap_ms: int = TRAIL_GAP_MS) -> DataFrame:
     """Members of search trails: trail_id, ordinal and role beside the visit's columns.
 
@@ -66,7 +90,9 @@ def trails(members: DataFrame) -> DataFrame:
         F.max(F.when(F.col("ordinal") == 0, F.col("search"))).alias("query"),
         F.max(F.when(F.col("ordinal") == 0, F.col("engine"))).alias("engine"),
         F.max(F.when(F.col("role") == "landing", F.col("domain"))).alias("landing_domain"),
+        F.max(F.when(F.col("role") == "landing", F.col("url"))).alias("landing_url"),
         F.max("ordinal").alias("depth"),
+        F.lit(0).cast("long").alias("reformulations"),  # each search opens a trail of its own, so none has a second query
     )
 
 
@@ -75,26 +101,37 @@ def hub_pages(members: DataFrame, limit: int = 10) -> DataFrame:
     return pages.orderBy(F.desc("trails"), "url").limit(limit)
 
 
+def friction(trail_rows: DataFrame, limit: int = 10) -> DataFrame:
+    """Trails that were asked again and again, or that led nowhere."""
+    hard = trail_rows.where("reformulations >= 2 OR (landing_domain IS NULL AND visits >= 3)").orderBy(F.desc("reformulations"), F.desc("visits"), "trail_id").limit(limit)
+    kind = F.when(F.col("reformulations") >= 2, "excessive_reformulation").otherwise("bounce_pattern")
+    return hard.select("trail_id", "landing_domain", kind.alias("kind"), F.greatest("visits", "reformulations").alias("occurrences"))
+
+
 #: Weights of days, trails, arrivals and typed visits in a page's refind score.
 REFIND = (2.0, 1.5, 1.0, 1.2)
 
 
 def refind_pages(visits: DataFrame, members: DataFrame, newest: int = 50) -> DataFrame:
-    """Pages that were found again: on two days, in two trails, or typed twice, with their newest visits."""
-    tagged = visits.where("search IS NULL").join(members.select("visit_id", "trail_id"), "visit_id", "left").withColumn("date_key", F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd"))
-    recent = Window.partitionBy("profile_id", "url").orderBy(F.desc("ms"), F.desc("visit_id"))
-    ranked = tagged.withColumn("r", F.row_number().over(recent))
-    out = ranked.groupBy("profile_id", "url").agg(
-        F.first("domain").alias("domain"),
-        F.count_distinct("date_key").alias("days"),
-        F.count_distinct("trail_id").alias("trails"),
-        F.count("trail_id").alias("arrivals"),
-        F.sum(F.col("from_visit").isNull().cast("long")).alias("typed"),
-        F.count("*").alias("visits"),
-        F.min("ms").alias("first_ms"),
-        F.max("ms").alias("last_ms"),
-        F.sort_array(F.collect_list(F.when(F.col("r") <= newest, F.col("visit_id")))).alias("evidence"),
-    )
+    """Pages that were found again: on two days, in two trails, or typed twice, with their newest visits.
+
+    Counts are made once a page and day; the newest visits of a page are the newest of its days'
+    newest, so that no task holds all visits of a common page.
+    """
+    tagged = visits.where("search IS NULL").join(members.select("visit_id", "trail_id"), "visit_id", "left").withColumn("day", F.floor(F.col("ms") / DAY_MS))
+    ranked = tagged.withColumn("r", F.row_number().over(Window.partitionBy("profile_id", "url", "day").orderBy(F.desc("ms"), F.desc("visit_id"))))
+    best = lambda c: F.slice(F.sort_array(c, asc=False), 1, newest)
+    daily = ranked.groupBy("profile_id", "url", "day").agg(
+        F.first("domain").alias("domain"), F.collect_set("trail_id").alias("trail_ids"), F.count("trail_id").alias("arrivals"), F.sum(F.col("from_visit").isNull().cast("long")).alias("typed"),
+        F.count("*").alias("visits"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.collect_list(F.when(F.col("r") <= newest, F.struct("ms", "visit_id"))).alias("recent"),
+    )
+    # a trail may span two days, so its ids are counted over all of them
+    trails_ = daily.select("profile_id", "url", F.explode("trail_ids").alias("t")).distinct().groupBy("profile_id", "url").agg(F.count("*").alias("trails"))
+    out = daily.groupBy("profile_id", "url").agg(
+        F.first("domain").alias("domain"), F.count("*").alias("days"), F.sum("arrivals").alias("arrivals"), F.sum("typed").alias("typed"), F.sum("visits").alias("visits"), F.min("first_ms").alias("first_ms"),
+        F.max("last_ms").alias("last_ms"), F.sort_array(F.transform(best(F.flatten(F.collect_list("recent"))), lambda x: x.visit_id)).alias("evidence"),
+    )
+    out = out.join(trails_, ["profile_id", "url"], "left").fillna(0, ["trails"])
     score = sum((F.col(c) * w for c, w in zip(("days", "trails", "arrivals", "typed"), REFIND, strict=True)), F.lit(0.0))
     return out.withColumn("score", score).where("days >= 2 OR trails >= 2 OR typed >= 2")
 
@@ -138,16 +175,43 @@ def path_flows(visits: DataFrame, steps: int) -> DataFrame:
     return flows.where("tail IS NOT NULL").groupBy("profile_id", "pattern").agg(F.count("*").alias("occurrences"), F.max("seen").alias("last_ms"))
 
 
+#: Page categories that can be compared; fixed values.
+COMPARABLE = ("article_page", "category_page", "docs_page", "forum_thread", "issue", "product_page", "pull_request", "repo", "video_page")
+
+
 def compare_sets(members: DataFrame, near_ms: int = 10 * 60_000) -> DataFrame:
-    """Trails that go to and fro between pages of one category, over two domains or sibling paths."""
-    pages = members.where("role <> 'search_event'")
-    order = Window.partitionBy("trail_id", "category").orderBy("ms", "visit_id")
+    """Trails that go to and fro between pages of one kind, over two domains or over sibling paths of one.
+
+    Of one domain, there must be two first path segments and two changes of page within near_ms.
+    members: with page (its category), url, raw_url, domain, query of the trail's search.
+    """
+    order = Window.partitionBy("trail_id", "page").orderBy("ordinal")
+    pages = members.where(F.col("page").isin(*COMPARABLE))
     turned = F.lag("url").over(order) != F.col("url")
-    sibling = turned & (F.lag("domain").over(order) == F.col("domain")) & (F.col("ms") - F.lag("ms").over(order) <= near_ms)
-    out = pages.withColumn("turned", turned.cast("int")).withColumn("sibling", sibling.cast("int")).groupBy("profile_id", "trail_id", "category").agg(
-        F.count_distinct("url").alias("pages"), F.count_distinct("domain").alias("domains"), F.sum("turned").alias("alternations"), F.sum("sibling").alias("siblings")
-    )
-    return out.where("pages >= 2 AND alternations >= 2 AND (domains >= 2 OR siblings >= 2)")
+    near = turned & (F.lag("domain").over(order) == F.col("domain")) & (F.abs(F.col("ms") - F.lag("ms").over(order)) <= near_ms)
+    prefix = F.regexp_extract("raw_url", r"^[^/]*//[^/]*/+([^/]+)", 1)
+    out = pages.withColumn("turned", turned.cast("int")).withColumn("near", near.cast("int")).withColumn("prefix", prefix).groupBy("profile_id", "trail_id", "page").agg(
+        F.count_distinct("url").alias("pages"), F.count_distinct("domain").alias("domains"), F.coalesce(F.sum("turned"), F.lit(0)).alias("alternations"), F.coalesce(F.sum("near"), F.lit(0)).alias("siblings"), F.count_distinct("prefix").alias("prefixes")
+    )
+    kept = out.where("pages >= 2 AND alternations >= 2 AND (domains >= 2 OR (prefixes >= 2 AND siblings >= 2))")
+    return kept.withColumn("compare_set_id", F.concat_ws(":", F.lit("compare"), "trail_id", "page")).drop("prefixes")
+
+
+def compare_set_pages(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pages of compare sets: visits, and whether the trail landed there."""
+    inside = members.join(sets.select("compare_set_id", "trail_id", "page"), ["trail_id", "page"])
+    return inside.groupBy("compare_set_id", "url").agg(F.first("domain").alias("domain"), F.count("*").alias("visits"), F.max((F.col("role") == "landing").cast("int")).alias("is_landing"))
+
+
+def search_events(members: DataFrame) -> DataFrame:
+    """One row a search: its trail, query, kind (once the trail's landing domain is known) and, of keyword queries, its distinct terms."""
+    landing = members.where("role = 'landing'").select("trail_id", F.col("domain").alias("landing_domain"))
+    first = members.where("role = 'search_event'").join(landing, "trail_id", "left")
+    kind = query_kind(F.col("search"), F.col("landing_domain"))
+    normal = F.lower(F.trim(F.regexp_replace("search", r"\s+", " ")))
+    rows = first.select("visit_id", "profile_id", "engine", "ms", "trail_id", F.col("search").alias("raw_query"), normal.alias("normalized_query"), kind.alias("query_kind"))
+    terms = F.when(F.col("query_kind") == "keyword", F.array_sort(F.array_distinct(query_terms(F.col("normalized_query"))))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("terms", terms)
 
 
 def query_families(searches: DataFrame, least: float = 0.5) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import taxonomy, text, urls
+from wayfold.functions import sites, taxonomy, text, urls
+from wayfold.operators import archive as derive
 from wayfold.operators import ingest, recall, vectors
-from wayfold.sources.testdata import VISITS_SQL, visits
+from wayfold.sources.testdata import URL_COLUMNS_SQL, VISITS_SQL, archive, visits
 
 S = SparkSession
 QUERIES: dict = {}
@@ -30,46 +31,49 @@ def _read(spark: S, d: str, table: str) -> DataFrame:
 
 # --- URLs and text ---
 
-_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '\.+$', '')"
-_QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
-_TRACK = "(starts_with(lower(split_part(x, '=', 1)), 'utm_') OR lower(split_part(x, '=', 1)) IN (" + ", ".join(f"'{t}'" for t in urls.TRACKING) + "))"
-_LONG = ", ".join(f"'{s}'" for s in urls.LONG_SUFFIXES)
-_PAGES = rf"""p AS (SELECT *, {_HOST} AS host, CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END AS path,
-  array_to_string(list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND NOT {_TRACK}), '&') AS kept, len(list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND {_TRACK})) AS dropped,
-  regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages),
-h AS (SELECT *, CASE WHEN regexp_matches(host, '^[\d.]+$') THEN host WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_LONG}) THEN array_to_string(string_split(host, '.')[-3:], '.')
-  ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM p),
-z AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS canonical FROM h)"""
+_PAGES = f"given AS (SELECT * FROM pages), {URL_COLUMNS_SQL}"
 
 
-@query("url_normalize", "SELECT page_id, canonical, dropped::INT AS dropped FROM z", _PAGES)
+@query("url_normalize", "SELECT page_id, canonical, (len(all_ps) - len(ps))::INT AS dropped FROM h3", _PAGES)
 def url_normalize(spark: S, d: str) -> DataFrame:
     url = F.col("url")
     return _read(spark, d, "pages").select("page_id", urls.normalize(url).alias("canonical"), F.size(urls.tracking_params(url)).alias("dropped"))
 
 
-@query("registrable_domain", r"SELECT page_id, host, domain, CASE WHEN host = domain THEN '' ELSE substr(host, 1, length(host) - length(domain) - 1) END AS subdomain, regexp_extract(path, '^/+([^/]+)', 1) AS prefix FROM h", _PAGES)
+@query("registrable_domain", r"SELECT page_id, host, domain, CASE WHEN host = domain THEN '' ELSE substr(host, 1, length(host) - length(domain) - 1) END AS subdomain, regexp_extract(path, '^/+([^/]+)', 1) AS prefix FROM h3", _PAGES)
 def registrable_domain(spark: S, d: str) -> DataFrame:
     url = F.col("url")
     host = urls.host(url)
     return _read(spark, d, "pages").select("page_id", host.alias("host"), urls.registrable_domain(host).alias("domain"), urls.subdomain(host).alias("subdomain"), urls.path_prefix(url).alias("prefix"))
 
 
-@query("canonical_pages", "SELECT canonical, count(*) AS pages, min(page_id) AS first_page FROM z GROUP BY canonical", _PAGES)
+@query("canonical_pages", "SELECT canonical, count(*) AS pages, min(page_id) AS first_page FROM h3 GROUP BY canonical", _PAGES)
 def canonical_pages(spark: S, d: str) -> DataFrame:
     return _read(spark, d, "pages").groupBy(urls.normalize(F.col("url")).alias("canonical")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query("taxonomy", r"""SELECT page_id, CASE WHEN domain LIKE 'tion%' THEN 'news' WHEN regexp_matches(path, '^(/docs|/doc|/reference|/api|/guide|/guides)') THEN 'docs' WHEN contains(lower(title), 'thion') THEN 'video' ELSE 'unknown' END AS category,
-  CASE WHEN path <> '/' OR contains(url, '?') OR title <> '' THEN 'tier-b' ELSE 'tier-c' END AS tier FROM (SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM h)""", _PAGES)
-def taxonomy_query(spark: S, d: str) -> DataFrame:
-    p = _read(spark, d, "pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)", 1))
-    url = F.col("url")
-    host = urls.host(url)
-    by_rule = taxonomy.classify(host, urls.path(url), urls.query(url), F.col("title"), {"invalid.invalid": ("none", "none")}, [("thion", "video", "video_page")]).category
-    category = F.when(urls.registrable_domain(host).like("tion%"), "news").otherwise(by_rule)
-    tier = taxonomy.evidence_tier(F.lit(False), F.lit(False), urls.path(url), urls.query(url), F.col("title"))
-    return p.select("page_id", category.alias("category"), tier.alias("tier"))
+OVERRIDES = (taxonomy.Override("domain", "cnn.com", "entertainment", "home", "watch"), taxonomy.Override("prefix", "https://github.com/org1/", "work", "repo", "resolve", display_name="Our code"), taxonomy.Override("host", "intranet", "work", engine="wiki"))
+
+
+@query("taxonomy_overrides", """SELECT profile_id, url_id, CASE WHEN domain = 'cnn.com' THEN 'entertainment' WHEN starts_with(url, 'https://github.com/org1/') OR host = 'intranet' THEN 'work' ELSE category END AS category,
+  CASE WHEN domain = 'cnn.com' OR starts_with(url, 'https://github.com/org1/') OR host = 'intranet' THEN 'user-override' ELSE source END AS source, CASE WHEN host = 'intranet' THEN 'wiki' ELSE engine END AS engine,
+  CASE WHEN starts_with(url, 'https://github.com/org1/') THEN 'Our code' ELSE name END AS name, url_tier AS tier FROM known""", VISITS_SQL)
+def taxonomy_overrides(spark: S, d: str) -> DataFrame:
+    """All URLs of the archive classified by the packs and a user's own decisions."""
+    a = archive(spark, d)
+    known = derive.classified_urls(a["urls"], a["search_terms"], OVERRIDES)
+    return known.select("profile_id", "url_id", "category", "source", "engine", "name", F.col("url_tier").alias("tier"))
+
+
+@query("visit_facts", "SELECT visit_id, profile_id, date_key, ms, url, raw_url, domain, category, page, interaction, source, pack, rule, engine, search, query, name, tier, is_new_domain FROM v", VISITS_SQL)
+def visit_facts(spark: S, d: str) -> DataFrame:
+    return visits(spark, d).select("visit_id", "profile_id", "date_key", "ms", "url", "raw_url", "domain", "category", "page", "interaction", "source", "pack", "rule", "engine", "search", "query", "name", "tier", "is_new_domain")
+
+
+@query("search_rules", "SELECT profile_id, url_id, CASE WHEN rule_value <> '' THEN rule_engine END AS engine, CASE WHEN rule_value <> '' THEN rule_name END AS name, nullif(rule_value, '') AS query FROM known", VISITS_SQL)
+def search_rules(spark: S, d: str) -> DataFrame:
+    rows, u = urls.with_parts(archive(spark, d)["urls"], "url")
+    return rows.withColumn("r", sites.search_rule(u)).select("profile_id", "url_id", "r.engine", F.col("r.name").alias("name"), "r.query")
 
 
 @query("fuzzy_topk", """SELECT doc_id, word, distance FROM (SELECT doc_id, word, distance, row_number() OVER (PARTITION BY doc_id ORDER BY distance, word) AS r FROM
@@ -97,16 +101,16 @@ TERMS = ("thation", "ander", "onin", "ouer")
   (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM w WHERE term IN {TERMS} GROUP BY doc_id, term)), (SELECT count(DISTINCT doc_id) AS n, count(*) / count(DISTINCT doc_id) AS mean FROM w)
   GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""", r"w AS (SELECT doc_id, term, count(*) OVER (PARTITION BY doc_id) AS size FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '')")
 def bm25_topk(spark: S, d: str) -> DataFrame:
-    index = recall.postings(_read(spark, d, "documents"), "doc_id", "text")
-    size = index.groupBy("id").agg(F.sum("tf").alias("tf")).agg(F.count("*").alias("n"), F.avg("tf").alias("mean")).first()
-    return recall.bm25(index, list(TERMS), size.n, size.mean, 20).withColumnRenamed("id", "doc_id")
+    docs = _read(spark, d, "documents")
+    n, mean = recall.sizes(docs, "text")
+    return recall.bm25(recall.postings(docs, "doc_id", "text", TERMS), list(TERMS), n, mean, 20).withColumnRenamed("id", "doc_id")
 
 
 # --- browsing ---
 
-@query("list_history", "SELECT visit_id, ms, url, domain FROM v WHERE profile_id = 'view' AND contains(url, 'site1') ORDER BY ms DESC, visit_id DESC LIMIT 150", VISITS_SQL)
+@query("list_history", "SELECT visit_id, ms, url, domain FROM v WHERE profile_id = 'view' AND contains(url, 'topic') ORDER BY ms DESC, visit_id DESC LIMIT 150", VISITS_SQL)
 def list_history(spark: S, d: str) -> DataFrame:
-    return recall.page(visits(spark, d).where((F.col("profile_id") == "view") & F.contains("url", F.lit("site1")))).select("visit_id", "ms", "url", "domain")
+    return recall.page(visits(spark, d).where((F.col("profile_id") == "view") & F.contains("url", F.lit("topic")))).select("visit_id", "ms", "url", "domain")
 
 
 @query("keyset_page", "SELECT visit_id, ms FROM v WHERE ms < 1706000000000 OR (ms = 1706000000000 AND visit_id < 500) ORDER BY ms DESC, visit_id DESC LIMIT 50", VISITS_SQL)
@@ -159,9 +163,9 @@ def hamming_topk(spark: S, d: str) -> DataFrame:
 
 @query("int8_rescore_topk", """SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: (CASE WHEN scale = 0 THEN 0 ELSE round(x[1]::DOUBLE / scale) END) * x[2]::DOUBLE)) * scale, 6) AS score FROM
   (SELECT vec_id, embedding, q, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS scale FROM
-   (SELECT e.vec_id, e.embedding, q.embedding AS q, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: ((x[1] >= 0) <> (x[2] >= 0))::INT)) AS bits FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY bits, vec_id LIMIT 100)) ORDER BY score DESC, vec_id LIMIT 10""")
+   (SELECT e.vec_id, e.embedding, q.embedding AS q, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: ((x[1] >= 0) <> (x[2] >= 0))::INT)) AS bits FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY bits, vec_id LIMIT 2000)) ORDER BY score DESC, vec_id LIMIT 10""")
 def int8_rescore_topk(spark: S, d: str) -> DataFrame:
-    return vectors.two_stage_topk(_read(spark, d, "embeddings"), _asked(spark, d), 10, pool=100)
+    return vectors.two_stage_topk(_read(spark, d, "embeddings"), _asked(spark, d), 10)
 
 
 def _lists(spark: S, d: str) -> list[tuple[DataFrame, float]]:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import facts, structure
-from wayfold.sources.testdata import VISITS_SQL, visits
+from wayfold.functions import sites, text
+from wayfold.operators import facts, ingest, structure
+from wayfold.sources.testdata import VISITS_SQL, archive, visits
+from wayfold.store import once
 
 #: The range that ranged reads ask for, the one before it, and "today", as parameters of the queries.
 RANGE, BEFORE, TODAY = ("2024-01-16", "2024-01-30"), ("2024-01-01", "2024-01-15"), "2024-01-31"
 IN_RANGE = f"date_key BETWEEN '{RANGE[0]}' AND '{RANGE[1]}'"
 
 S = SparkSession
+ENGINE_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sites.ENGINE_NAMES.items()) + "}"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -31,7 +36,7 @@ o AS (SELECT *, last_value(CASE WHEN search IS NOT NULL THEN visit_id END IGNORE
 br AS (SELECT *, bool_or(wide AND search IS NULL) OVER (PARTITION BY session_id, ob ORDER BY ms, visit_id) AS broken FROM o WHERE ob IS NOT NULL),
 tm AS (SELECT *, 'trail:' || profile_id || ':' || ob AS trail_id, row_number() OVER (PARTITION BY session_id, ob ORDER BY ms, visit_id) - 1 AS ordinal FROM br WHERE NOT broken),
 tr AS (SELECT profile_id, session_id, trail_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS visits, max(CASE WHEN ordinal = 0 THEN search END) AS query,
-  max(CASE WHEN ordinal = 0 THEN engine END) AS engine, max(CASE WHEN ordinal = 1 THEN domain END) AS landing_domain, max(ordinal) AS depth FROM tm GROUP BY ALL)"""
+  max(CASE WHEN ordinal = 0 THEN engine END) AS engine, max(CASE WHEN ordinal = 1 THEN domain END) AS landing_domain, max(CASE WHEN ordinal = 1 THEN url END) AS landing_url, max(ordinal) AS depth, 0::BIGINT AS reformulations FROM tm GROUP BY ALL)"""
 REFIND_SQL = f"""{TRAILS_SQL},
 rf0 AS (SELECT v.*, t.trail_id, row_number() OVER (PARTITION BY v.profile_id, v.url ORDER BY v.ms DESC, v.visit_id DESC) AS r FROM v LEFT JOIN (SELECT visit_id, trail_id FROM tm) t USING (visit_id) WHERE search IS NULL),
 rf AS (SELECT profile_id, url, any_value(domain) AS domain, count(DISTINCT date_key) AS days, count(DISTINCT trail_id) AS trails, count(trail_id) AS arrivals,
@@ -51,24 +56,37 @@ def query(name: str, sql: str, base: str = ""):
     return register
 
 
+def _stored(name: str, spark: S, d: str, build: Callable[[], DataFrame], *partition: str) -> DataFrame:
+    """A plane that read models share: built at its first use, read after that."""
+    return once(spark, name, [f"{d}/events.parquet"], build, partition)
+
+
 def _facts(spark: S, d: str) -> DataFrame:
-    return facts.with_new_domains(visits(spark, d))
+    return visits(spark, d)
 
 
 def _domains(spark: S, d: str) -> DataFrame:
-    return facts.domain_rollup(_facts(spark, d))
+    return _stored("domains", spark, d, lambda: facts.domain_rollup(_facts(spark, d)), "date_key")
 
 
 def _sessions(spark: S, d: str) -> DataFrame:
-    return structure.sessionize(visits(spark, d))
+    return _stored("session-visits", spark, d, lambda: structure.sessionize(_facts(spark, d)))
 
 
 def _members(spark: S, d: str) -> DataFrame:
-    return structure.trail_members(_sessions(spark, d))
+    return _stored("trail-members", spark, d, lambda: structure.trail_members(_sessions(spark, d)))
+
+
+def _trails(spark: S, d: str) -> DataFrame:
+    return _stored("trails", spark, d, lambda: structure.trails(_members(spark, d)))
 
 
 def _refinds(spark: S, d: str) -> DataFrame:
-    return structure.refind_pages(visits(spark, d), _members(spark, d))
+    return _stored("refinds", spark, d, lambda: structure.refind_pages(_facts(spark, d), _members(spark, d)))
+
+
+def _events(spark: S, d: str) -> DataFrame:
+    return _stored("search-events", spark, d, lambda: structure.search_events(_members(spark, d)))
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -105,16 +123,16 @@ def hhi_daily(spark: S, d: str) -> DataFrame:
     return _round(facts.summary_rollup(_domains(spark, d)), "hhi", "discovery_rate")
 
 
-@query("domain_trend", "SELECT date_key, sum(visits)::BIGINT AS visits FROM d WHERE domain = 'site7.example.com' GROUP BY ALL", DOMAINS_SQL)
+@query("domain_trend", "SELECT date_key, sum(visits)::BIGINT AS visits FROM d WHERE domain = 'github.com' GROUP BY ALL", DOMAINS_SQL)
 def domain_trend(spark: S, d: str) -> DataFrame:
-    one = _facts(spark, d).where("domain = 'site7.example.com'")  # before the rollup, so that only this site is counted
+    one = _facts(spark, d).where("domain = 'github.com'")  # before the rollup, so that only this site is counted
     return one.groupBy("date_key").agg(F.count("*").alias("visits"))
 
 
 @query("domain_deep_dive", f"""SELECT domain, count(*) AS visits, count(DISTINCT date_key) AS active_days, count(DISTINCT t.trail_id) AS trails, count(t.trail_id) AS from_search,
   count(from_visit) AS from_link, sum((t.trail_id IS NULL AND from_visit IS NULL)::INT)::BIGINT AS typed FROM v LEFT JOIN (SELECT visit_id, trail_id FROM tm) t USING (visit_id) WHERE {IN_RANGE} GROUP BY domain""", TRAILS_SQL)
 def domain_deep_dive(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).withColumn("date_key", facts.day(F.col("ms"))).where(IN_RANGE).join(_members(spark, d).select("visit_id", "trail_id"), "visit_id", "left")
+    v = visits(spark, d).where(IN_RANGE).join(_members(spark, d).select("visit_id", "trail_id"), "visit_id", "left")
     typed = (F.col("trail_id").isNull() & F.col("from_visit").isNull()).cast("long")
     return v.groupBy("domain").agg(
         F.count("*").alias("visits"), F.count_distinct("date_key").alias("active_days"), F.count_distinct("trail_id").alias("trails"),
@@ -150,7 +168,7 @@ for _grain, _expr in (("day", "date_key"), ("week", "isoyear(date_key::DATE) ||
 @query("on_this_day", """SELECT date_key, domain, visits FROM (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY visits DESC, domain) AS r
   FROM (SELECT date_key, domain, count(*) AS visits FROM v WHERE substr(date_key, 6) = '01-20' AND date_key < '2025-01-20' GROUP BY date_key, domain)) WHERE r <= 3""", VISITS_SQL)
 def on_this_day(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).withColumn("date_key", facts.day(F.col("ms"))).where("substr(date_key, 6) = '01-20' AND date_key < '2025-01-20'")
+    v = visits(spark, d).where("substr(date_key, 6) = '01-20' AND date_key < '2025-01-20'")
     g = v.groupBy("date_key", "domain").agg(F.count("*").alias("visits"))
     r = F.row_number().over(Window.partitionBy("date_key").orderBy(F.desc("visits"), "domain"))
     return g.withColumn("r", r).where("r <= 3").drop("r")
@@ -161,10 +179,26 @@ def engine_ranking(spark: S, d: str) -> DataFrame:
     return facts.engine_rollup(_facts(spark, d)).groupBy("engine").agg(F.sum("searches").alias("searches"))
 
 
+#: Search events: kind after the landing domain, distinct terms of keyword queries.
+EVENTS_SQL = rf"""{TRAILS_SQL},
+se0 AS (SELECT t.visit_id, t.profile_id, t.engine, t.ms, t.trail_id, t.search AS raw_query, lower(trim(regexp_replace(t.search, '\s+', ' ', 'g'))) AS normalized_query, l.domain AS landing_domain,
+  trim(trim(trim(t.search), '"'), chr(39)) AS asked FROM tm t LEFT JOIN (SELECT trail_id, domain FROM tm WHERE ordinal = 1) l USING (trail_id) WHERE t.ordinal = 0),
+se1 AS (SELECT *, CASE WHEN NOT regexp_matches(asked, '\s') AND contains(asked, '.') THEN string_split(regexp_extract('https://' || lower(asked), '^https://([^/?#:]*)', 1), '.') END AS asked_labels FROM se0),
+se2 AS (SELECT *, array_to_string(asked_labels[-2:], '.') AS asked_domain FROM se1),
+ev AS (SELECT visit_id, profile_id, engine, ms, trail_id, raw_query, normalized_query, CASE WHEN normalized_query = '' OR (asked_domain IS NOT NULL AND (landing_domain IS NULL OR landing_domain = asked_domain OR ends_with(landing_domain, '.' || asked_domain)
+  OR ends_with(asked_domain, '.' || landing_domain))) THEN 'navigational' ELSE 'keyword' END AS query_kind FROM se2),
+et AS (SELECT *, CASE WHEN query_kind = 'keyword' THEN list_sort(list_distinct(list_filter(regexp_split_to_array(normalized_query, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN {text.STOP_WORDS}))) ELSE [] END AS terms FROM ev)"""
+
+
+@query("search_events", "SELECT visit_id, profile_id, engine, ms, trail_id, raw_query, normalized_query, query_kind, array_to_string(terms, ' ') AS terms FROM et", EVENTS_SQL)
+def search_events(spark: S, d: str) -> DataFrame:
+    return _events(spark, d).withColumn("terms", F.array_join("terms", " "))
+
+
 @query("search_concepts", """SELECT term, count(*) AS uses, count(DISTINCT engine) AS engines, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engine_list FROM
-  (SELECT visit_id, engine, unnest(list_distinct(string_split(search, ' '))) AS term FROM v WHERE search IS NOT NULL) GROUP BY term""", VISITS_SQL)
+  (SELECT visit_id, engine, unnest(terms) AS term FROM et) GROUP BY term""", EVENTS_SQL)
 def search_concepts(spark: S, d: str) -> DataFrame:
-    words = visits(spark, d).where("search IS NOT NULL").select("engine", F.explode(F.array_distinct(F.split("search", " "))).alias("term"))
+    words = _events(spark, d).select("engine", F.explode("terms").alias("term"))
     engines = F.array_sort(F.collect_set("engine"))
     return words.groupBy("term").agg(F.count("*").alias("uses"), F.count_distinct("engine").alias("engines"), F.array_join(engines, ",").alias("engine_list"))
 
@@ -183,7 +217,7 @@ _IN, _OUT = (f"date_key BETWEEN '{a}' AND '{b}'" for a, b in (RANGE, BEFORE))
 @query("activity_mix", f"""SELECT category, now, before, round(now / sum(now) OVER (), 6) AS share, round(before / sum(before) OVER (), 6) AS share_before FROM
   (SELECT category, sum(({_IN})::INT)::BIGINT AS now, sum(({_OUT})::INT)::BIGINT AS before FROM v WHERE {_IN} OR {_OUT} GROUP BY category)""", VISITS_SQL)
 def activity_mix(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).withColumn("date_key", facts.day(F.col("ms"))).where(f"{_IN} OR {_OUT}")
+    v = visits(spark, d).where(f"{_IN} OR {_OUT}")
     g = v.groupBy("category").agg(F.sum(F.expr(_IN).cast("long")).alias("now"), F.sum(F.expr(_OUT).cast("long")).alias("before"))
     w = Window.partitionBy()  # one row a category
     return g.withColumn("share", F.round(F.col("now") / F.sum("now").over(w), 6)).withColumn("share_before", F.round(F.col("before") / F.sum("before").over(w), 6))
@@ -213,7 +247,7 @@ def digest_kpis(spark: S, d: str) -> DataFrame:
 @query("breadth_index", f"""SELECT count(*) AS domains, round((1 - sum(n * n) / (sum(n) * sum(n))) * 100, 6) AS breadth, sum((coalesce(before, 0) * 2 < total)::INT)::BIGINT AS domains_for_half FROM
   (SELECT n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT domain, count(*) AS n FROM v WHERE {IN_RANGE} GROUP BY domain))""", VISITS_SQL)
 def breadth_index(spark: S, d: str) -> DataFrame:
-    g = visits(spark, d).withColumn("date_key", facts.day(F.col("ms"))).where(IN_RANGE).groupBy("domain").agg(F.count("*").alias("n"))
+    g = visits(spark, d).where(IN_RANGE).groupBy("domain").agg(F.count("*").alias("n"))
     # sites of one count are summed first, so the running sum is over distinct counts, not over sites
     same = g.groupBy("n").agg(F.count("*").alias("m"))
     up = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
@@ -225,7 +259,7 @@ def breadth_index(spark: S, d: str) -> DataFrame:
 @query("sessions_30m", """SELECT profile_id, session_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS visits, count(search) AS searches, count(DISTINCT domain) AS domains, sum(is_new_domain)::BIGINT AS new_domains,
   count(from_visit) AS depth, count(from_visit) >= 4 AND count(DISTINCT domain) >= 5 AND count(*) >= 8 AND sum(is_new_domain) >= 1 AS deep_dive FROM s GROUP BY ALL""", SESSIONS_SQL)
 def sessions_30m(spark: S, d: str) -> DataFrame:
-    return structure.sessions(structure.sessionize(_facts(spark, d)))
+    return structure.sessions(_sessions(spark, d))
 
 
 @query("trail_members", "SELECT visit_id, profile_id, session_id, trail_id, ordinal, CASE WHEN ordinal = 0 THEN 'search_event' WHEN ordinal = 1 THEN 'landing' ELSE 'click' END AS role FROM tm", TRAILS_SQL)
@@ -235,7 +269,7 @@ def trail_members(spark: S, d: str) -> DataFrame:
 
 @query("search_trails", "SELECT * FROM tr", TRAILS_SQL)
 def search_trails(spark: S, d: str) -> DataFrame:
-    return structure.trails(_members(spark, d))
+    return _trails(spark, d)
 
 
 @query("hub_pages", "SELECT url, count(DISTINCT trail_id) AS trails, count(*) AS visits FROM tm WHERE ordinal > 0 GROUP BY url ORDER BY trails DESC, url LIMIT 10", TRAILS_SQL)
@@ -243,14 +277,21 @@ def hub_pages(spark: S, d: str) -> DataFrame:
     return structure.hub_pages(_members(spark, d))
 
 
-@query("search_effectiveness", "SELECT engine, count(*) AS trails, round(avg(depth), 6) AS depth, count(landing_domain) AS landed FROM tr GROUP BY engine", TRAILS_SQL)
+#: As of facts.overlapping().
+_OVER = f"last_ms >= epoch_ms(TIMESTAMP '{RANGE[0]}') AND first_ms < epoch_ms(TIMESTAMP '{RANGE[1]}') + 86400000"
+
+
+@query("search_effectiveness", f"""SELECT engine, any_value(({ENGINE_NAMES})[engine]) AS name, avg(reformulations) AS reformulations, count(*) AS trails, round(avg(depth), 6) AS depth, count(landing_domain) AS landed FROM tr
+  WHERE {_OVER} GROUP BY engine""", TRAILS_SQL)
 def search_effectiveness(spark: S, d: str) -> DataFrame:
-    return structure.trails(_members(spark, d)).groupBy("engine").agg(F.count("*").alias("trails"), F.round(F.avg("depth"), 6).alias("depth"), F.count("landing_domain").alias("landed"))
+    g = facts.overlapping(_trails(spark, d), *RANGE).groupBy("engine").agg(F.avg("reformulations").alias("reformulations"), F.count("*").alias("trails"), F.round(F.avg("depth"), 6).alias("depth"), F.count("landing_domain").alias("landed"))
+    return g.withColumn("name", sites.engine_name(F.col("engine")))
 
 
-@query("friction_signals", "SELECT trail_id, visits FROM tr WHERE landing_domain IS NULL AND visits >= 3 ORDER BY visits DESC, trail_id LIMIT 10", TRAILS_SQL)
+@query("friction_signals", """SELECT trail_id, landing_domain, CASE WHEN reformulations >= 2 THEN 'excessive_reformulation' ELSE 'bounce_pattern' END AS kind, greatest(visits, reformulations) AS occurrences FROM tr
+  WHERE reformulations >= 2 OR (landing_domain IS NULL AND visits >= 3) ORDER BY reformulations DESC, visits DESC, trail_id LIMIT 10""", TRAILS_SQL)
 def friction_signals(spark: S, d: str) -> DataFrame:
-    return structure.trails(_members(spark, d)).where("landing_domain IS NULL AND visits >= 3").select("trail_id", "visits").orderBy(F.desc("visits"), "trail_id").limit(10)
+    return structure.friction(_trails(spark, d))
 
 
 @query("refind_pages", "SELECT profile_id, url, domain, days, trails, arrivals, typed, visits, first_ms, last_ms, array_to_string(evidence, ',') AS evidence, round(score, 6)::DOUBLE AS score FROM rp", REFIND_SQL)
@@ -267,9 +308,7 @@ sc AS (SELECT *, round(2 * landings + 1.5 * refs + 0.5 * trails, 6)::DOUBLE AS s
 
 @query("source_effectiveness", "SELECT * FROM sc", REFIND_SQL + _EFFECT)
 def source_effectiveness(spark: S, d: str) -> DataFrame:
-    members = _members(spark, d)
-    out = structure.source_effectiveness(structure.trails(members), structure.refind_pages(visits(spark, d), members))
-    return _round(out, "score")
+    return _round(structure.source_effectiveness(_trails(spark, d), _refinds(spark, d)), "score")
 
 
 @query("stable_sources", "SELECT * FROM sc WHERE role = 'reference' ORDER BY score DESC, profile_id, domain LIMIT 10", REFIND_SQL + _EFFECT)
@@ -303,21 +342,41 @@ for _n in (2, 3, 4):
     _flows(_n)
 
 
-@query("compare_sets", """SELECT profile_id, trail_id, category, pages, domains, alternations, siblings FROM (SELECT profile_id, trail_id, category, count(DISTINCT url) AS pages, count(DISTINCT domain) AS domains,
-  sum(t::INT)::BIGINT AS alternations, sum((t AND pd = domain AND ms - pm <= 600000)::INT)::BIGINT AS siblings FROM
-  (SELECT *, lag(url) OVER w <> url AS t, lag(domain) OVER w AS pd, lag(ms) OVER w AS pm FROM tm WHERE ordinal > 0 WINDOW w AS (PARTITION BY trail_id, category ORDER BY ms, visit_id)) GROUP BY ALL)
-  WHERE pages >= 2 AND alternations >= 2 AND (domains >= 2 OR siblings >= 2)""", TRAILS_SQL)
+_COMPARE = TRAILS_SQL + f""",
+cs0 AS (SELECT *, lag(url) OVER w <> url AS t, lag(domain) OVER w AS pd, lag(ms) OVER w AS pm, regexp_extract(raw_url, '^[^/]*//[^/]*/+([^/]+)', 1) AS prefix FROM tm WHERE page IN {structure.COMPARABLE} WINDOW w AS (PARTITION BY trail_id, page ORDER BY ordinal)),
+cs AS (SELECT 'compare:' || trail_id || ':' || page AS compare_set_id, * FROM (SELECT profile_id, trail_id, page, count(DISTINCT url) AS pages, count(DISTINCT domain) AS domains, coalesce(sum(t::INT), 0)::BIGINT AS alternations,
+  coalesce(sum((t AND pd = domain AND ms - pm <= 600000)::INT), 0)::BIGINT AS siblings, count(DISTINCT prefix) AS prefixes FROM cs0 GROUP BY ALL)
+  WHERE pages >= 2 AND alternations >= 2 AND (domains >= 2 OR (prefixes >= 2 AND siblings >= 2)))"""
+
+
+@query("compare_sets", "SELECT compare_set_id, profile_id, trail_id, page, pages, domains, alternations, siblings FROM cs", _COMPARE)
 def compare_sets(spark: S, d: str) -> DataFrame:
     return structure.compare_sets(_members(spark, d))
 
 
-@query("browser_diff", "SELECT domain, count(DISTINCT profile_id) AS profiles, CASE WHEN count(DISTINCT profile_id) = 1 THEN min(profile_id) END AS only_in, count(*) AS visits FROM v WHERE visit_id % 10 < 3 GROUP BY domain", VISITS_SQL)
+@query("compare_set_detail", "SELECT compare_set_id, url, any_value(domain) AS domain, count(*) AS visits, max((ordinal = 1)::INT) AS is_landing FROM tm JOIN (SELECT compare_set_id, trail_id, page FROM cs) USING (trail_id, page) GROUP BY compare_set_id, url", _COMPARE)
+def compare_set_detail(spark: S, d: str) -> DataFrame:
+    return structure.compare_set_pages(_members(spark, d), compare_sets(spark, d))
+
+
+@query("browser_diff", f"SELECT domain, count(DISTINCT profile_id) AS profiles, CASE WHEN count(DISTINCT profile_id) = 1 THEN min(profile_id) END AS only_in, sum(visits)::BIGINT AS visits FROM d WHERE {IN_RANGE} GROUP BY domain", DOMAINS_SQL)
 def browser_diff(spark: S, d: str) -> DataFrame:
-    """Exclusive and shared domains of profiles, over the visits of three of ten browsers."""
-    g = visits(spark, d).where("visit_id % 10 < 3").groupBy("domain").agg(F.count_distinct("profile_id").alias("profiles"), F.min("profile_id").alias("only_in"), F.count("*").alias("visits"))
+    """Domains of the range that all profiles share or one has to itself."""
+    g = _domains(spark, d).where(IN_RANGE).groupBy("domain").agg(F.count_distinct("profile_id").alias("profiles"), F.min("profile_id").alias("only_in"), F.sum("visits").alias("visits"))
     return g.withColumn("only_in", F.when(F.col("profiles") == 1, F.col("only_in")))
 
 
+@query("browser_profiles", f"SELECT profile_id, count(DISTINCT domain) AS domains, sum(visits)::BIGINT AS visits FROM d WHERE {IN_RANGE} GROUP BY profile_id HAVING sum(visits) > 0", DOMAINS_SQL)
+def browser_profiles(spark: S, d: str) -> DataFrame:
+    return _domains(spark, d).where(IN_RANGE).groupBy("profile_id").agg(F.count_distinct("domain").alias("domains"), F.sum("visits").alias("visits")).where("visits > 0")
+
+
+@query("browser_categories", f"SELECT profile_id, category, visits, round(visits / sum(visits) OVER (PARTITION BY profile_id), 6) AS share FROM (SELECT profile_id, category, sum(visits)::BIGINT AS visits FROM d WHERE {IN_RANGE} GROUP BY ALL)", DOMAINS_SQL)
+def browser_categories(spark: S, d: str) -> DataFrame:
+    g = facts.category_rollup(_domains(spark, d).where(IN_RANGE)).groupBy("profile_id", "category").agg(F.sum("visits").alias("visits"))
+    return g.withColumn("share", F.round(F.col("visits") / F.sum("visits").over(Window.partitionBy("profile_id")), 6))
+
+
 @query("day_insights", """SELECT hour(make_timestamp(ms * 1000))::INT AS hour, count(*) AS visits, count(search) AS searches, count(from_visit) AS links, count(DISTINCT domain) AS domains, count(DISTINCT session_id) AS sessions
   FROM s WHERE date_key = '2024-01-20' GROUP BY ALL""", SESSIONS_SQL)
 def day_insights(spark: S, d: str) -> DataFrame:
@@ -329,24 +388,23 @@ def day_insights(spark: S, d: str) -> DataFrame:
 
 @query("grouping_sets_rollup", "SELECT date_key, domain, category, count(*) AS visits FROM v GROUP BY GROUPING SETS ((date_key, domain), (date_key, category), (date_key), ())", VISITS_SQL)
 def grouping_sets_rollup(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).withColumn("date_key", facts.day(F.col("ms")))
+    v = visits(spark, d)
     sets = [["date_key", "domain"], ["date_key", "category"], ["date_key"], []]
     return v.groupingSets([[F.col(c) for c in s] for s in sets], F.col("date_key"), F.col("domain"), F.col("category")).agg(F.count("*").alias("visits"))
 
 
-@query("visible_totals", "SELECT count(*) AS visits, count(DISTINCT url) AS urls, count(DISTINCT profile_id) AS profiles, min(ms) AS first_ms, max(ms) AS last_ms FROM v WHERE visit_id % 13 <> 0", VISITS_SQL)
+@query("visible_totals", """SELECT (SELECT count(*) FROM (SELECT DISTINCT profile_id FROM av0)) AS profiles, (SELECT count(*) FROM aurls) AS urls, count(*) AS visits, min(ms) AS first_ms, max(ms) AS last_ms FROM avisits""", VISITS_SQL)
 def visible_totals(spark: S, d: str) -> DataFrame:
-    """Totals without the visits of a reverted import batch."""
-    v = visits(spark, d).where("visit_id % 13 <> 0")
-    return v.agg(F.count("*").alias("visits"), F.count_distinct("url").alias("urls"), F.count_distinct("profile_id").alias("profiles"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    """Totals of the archive without the visits of reverted import batches."""
+    a = archive(spark, d)
+    return ingest.totals(a["profiles"], a["urls"], ingest.visible(a["visits"], a["reverted"]))
 
 
-@query("navigation_path", """SELECT profile_id, leaf, depth, visit_id FROM (WITH RECURSIVE p AS (SELECT profile_id, visit_id AS leaf, visit_id, from_visit, 0 AS up FROM v WHERE visit_id % 9 = 1
+@query("navigation_path", """SELECT profile_id, leaf, depth, visit_id FROM (WITH RECURSIVE p AS (SELECT profile_id, visit_id AS leaf, visit_id, from_visit, 0 AS up FROM v
   UNION ALL SELECT p.profile_id, p.leaf, v.visit_id, v.from_visit, p.up + 1 FROM p JOIN v ON v.visit_id = p.from_visit AND v.profile_id = p.profile_id)
   SELECT profile_id, leaf, max(up) OVER (PARTITION BY profile_id, leaf) - up AS depth, visit_id FROM p)""", VISITS_SQL)
 def navigation_path(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d)
-    return structure.navigation_paths(v, v.where("visit_id % 9 = 1"))
+    return structure.navigation_paths(visits(spark, d), visits(spark, d))
 
 
 def query_families(spark: S, d: str) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Intermediate tables, written where every executor can read them again."""
+"""Intermediate and stored tables, written where every executor can read them again."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +32,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], partition: Sequence[str] = ()) -> DataFrame:
+    """A stored plane: built and written at its first use in an application, read from there after that.
+
+    The key is a fingerprint of the input tables' files, so other files make another plane. Partition
+    columns become folders, one file each and task, so that a range of days reads only its own.
+    """
+    files = sorted(f for path in inputs for f in spark.read.parquet(path).inputFiles())
+    key = (spark.sparkContext.applicationId, hashlib.sha256("\n".join([name, *files]).encode()).hexdigest())
+    if key not in _STORED:
+        df = build()
+        path = f"{shared_folder(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
+        rows = df.repartition(*partition) if partition else df
+        (rows.write.partitionBy(*partition) if partition else rows.write).parquet(path)
+        _STORED[key] = path, df.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
