@@ -18,8 +18,9 @@ def word(h: Column, words: int = WORDS) -> Column:
 
 
 def mask(h: Column) -> Column:
-    """Two bits of a word, from a 64-bit hash."""
-    return _one(F.pmod(F.shiftright(h, 24), F.lit(63))).bitwiseOR(_one(F.pmod(F.shiftright(h, 40), F.lit(61))))
+    """Up to three bits of a word, from a 64-bit hash."""
+    one = lambda shift, n: _one(F.pmod(F.shiftright(h, shift), F.lit(n)))
+    return one(24, 63).bitwiseOR(one(34, 61)).bitwiseOR(one(44, 59))
 
 
 def bitmap(hashes: DataFrame, flags: dict[str, Column], words: int = WORDS) -> DataFrame:
