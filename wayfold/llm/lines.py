@@ -28,6 +28,21 @@ def signature(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
 
 
+#: Characters whose counts' parities are compared.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-:/éèêàçäöüßñáíóú'"
+
+
+def letters(line: Column) -> Column:
+    """Parities of the counts of LETTERS in lower case: an edit takes away and adds one character at most, so it flips two bits at most."""
+    low = F.lower(line)
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        less = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))
+        odd = (less / len(c.encode())).cast("long").bitwiseAND(F.lit(1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(odd, i))
+    return out
+
+
 def segment_keys(places: list[tuple[int, int, int]], edits: int) -> Column:
     """Keys of substrings of a line (columns line, len and seed): of each (less, i, move), the substring
     that lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
@@ -164,7 +179,7 @@ def line_links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     A line of n code points is cut into ``edits + 1`` segments; of any line within the edits, some
     segment is a substring of the other near its own place, and what is left of both beside it is
     within the edits too. So keys of segments meet keys of the substrings that may equal them,
-    pairs whose word parities differ too much are left out in the join, and the rest is verified.
+    pairs whose parities of letters or words differ too much are left out in the join, and the rest is verified.
 
     A key that more than ``hot`` lines have isn't joined: what is left of its lines is cut into
     segments again, whose keys include the first one, and so on for ``depth`` levels. Keys that are
@@ -176,8 +191,10 @@ def line_links(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     h = F.xxhash64("id")
     met = bitmap.bitmap(probes.select(h.alias("h")).union(index.select(h)), {"_met": F.lit(True)})
     texts = bitmap.probed(texts, h, met).where(bitmap.known(F.col("_met"), h)).drop("_met")
-    texts = own_texts = probe_texts = table(texts.withColumn("sig", signature(F.col("line"))), "line-texts")
-    near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 3 * edits
+    sigs = F.struct(letters(F.col("line")).alias("letters"), signature(F.col("line")).alias("words"))
+    texts = own_texts = probe_texts = table(texts.withColumn("sig", sigs), "line-texts")
+    differ = lambda n: F.bit_count(F.col(f"sig_a.{n}").bitwiseXOR(F.col(f"sig_b.{n}")))
+    near = (differ("letters") <= 2 * edits) & (differ("words") <= 3 * edits)
     pairs = []
     for level in range(depth + 1):
         deeper = (F.col("c") > hot) & (F.col("left") > edits) & (level < depth)
