@@ -32,6 +32,11 @@ def _windows(run: Column, size: int) -> Column:
     return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(run, i, size)))
 
 
+def windows(size: int):
+    """The function that gives all parts of so many characters of a string."""
+    return lambda run: _windows(run, size)
+
+
 def tokenize(text: Column) -> Column:
     """Words of two bytes and more without stop words; runs of CJK scripts whole and in pairs. In order, repeats kept."""
     parts = F.regexp_extract_all(text, F.lit(rf"[{CJK}]+|[{_WORDS}&&[^{CJK}]]+"), F.lit(0))
