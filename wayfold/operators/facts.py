@@ -72,3 +72,9 @@ def overlapping(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Rows with first_ms and last_ms that overlap the local days from start to end, both included."""
     lo, hi = F.unix_millis(F.lit(start).cast("timestamp")), F.unix_millis((F.lit(end).cast("date") + 1).cast("timestamp"))
     return rows.where((F.col("last_ms") >= lo) & (F.col("first_ms") < hi))
+
+
+def refresh_days(rolled: DataFrame, facts: DataFrame, dirty: DataFrame) -> DataFrame:
+    """A domain rollup after some days changed (dirty: date_key): only visits of those days are read and counted again."""
+    days = dirty.select("date_key").distinct()
+    return rolled.join(days, "date_key", "left_anti").unionByName(domain_rollup(facts.join(days, "date_key", "left_semi")))

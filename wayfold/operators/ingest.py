@@ -16,9 +16,10 @@ def fingerprint(kind: Column, url: Column, time: Column, title: Column, transiti
 
 def upsert_urls(existing: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     """Columns url, title, last_ms, visit_count, typed_count by key: the strictly newer row's url and
-    title win, an equal time keeps the existing or first row, counts are the greatest."""
+    title win, an equal time keeps the existing or first row, counts are the greatest. A null time never wins over another."""
     both = existing.withColumn("arrival", F.lit(-1).cast("long")).unionByName(batch)
-    newest = F.min(F.struct((-F.col("last_ms")).alias("o"), "arrival", "url", "title", "last_ms"))
+    # a row without a time is older than any other
+    newest = F.min(F.struct((-F.coalesce("last_ms", F.lit(-(1 << 62)))).alias("o"), "arrival", "url", "title", "last_ms"))
     return both.groupBy(*key).agg(newest.alias("w"), F.max("visit_count").alias("visit_count"), F.max("typed_count").alias("typed_count")).select(*key, "w.url", "w.title", "w.last_ms", "visit_count", "typed_count")
 
 
@@ -67,3 +68,86 @@ def totals(profiles: DataFrame, urls: DataFrame, visits: DataFrame) -> DataFrame
     one = lambda df, n: df.agg(F.count("*").alias(n))  # noqa: E731  one line each
     seen = visits.agg(F.count("*").alias("visits"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
     return one(profiles, "profiles").join(one(urls, "urls")).join(seen)
+
+
+def upsert_profiles(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Profiles by profile_key: the last row of the batch replaces all but the id and discovered_at, and enables the profile again. batch: and seq."""
+    names = [c for c in existing.columns if c not in ("profile_key", "id", "discovered_at", "enabled")]
+    last = batch.groupBy("profile_key").agg(F.max_by(F.struct("discovered_at", *names), "seq").alias("n"), F.min_by("discovered_at", "seq").alias("first"))
+    both = existing.join(last, "profile_key", "full")
+    fresh = F.col("n").isNotNull()
+    return both.select("profile_key", "id", F.coalesce("discovered_at", "first").alias("discovered_at"), *[F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in names], (fresh | F.coalesce("enabled", F.lit(False))).alias("enabled"))
+
+
+def insert_new(existing: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of the batch whose key is neither in the table nor before in the batch (by arrival): downloads by (profile_id, source_id), search terms by
+    (profile_id, url_id, normalized_term), favicons by (profile_id, page_url, icon_url, width, height, last_updated_ms). Nulls are values."""
+    names = [c for c in batch.columns if c not in key]
+    first = batch.groupBy(*key).agg(F.min_by(F.struct(*names), "arrival").alias("r")).select(*key, "r.*")
+    old = existing.select(*[F.col(k).alias(f"old_{k}") for k in key]).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in key]
+    return first.join(old, on, "left_anti")
+
+
+def favicon_blobs(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Images by content: blob_hash, image of what isn't stored yet. batch: image."""
+    rows = batch.where("image IS NOT NULL").select(F.sha2("image", 256).alias("blob_hash"), "image").groupBy("blob_hash").agg(F.first("image").alias("image"))
+    return rows.join(existing.select("blob_hash"), "blob_hash", "left_anti")
+
+
+CURSORS = ("visit_id", "url_ms", "download_id", "favicon_ms")
+
+
+def save_watermarks(previous: DataFrame, batch: DataFrame) -> DataFrame:
+    """Per profile the greatest of each of the CURSORS, ever; a batch that lacks one leaves it as it was."""
+    cols = ["profile_id", *CURSORS]
+    return previous.select(*cols).unionByName(batch.select(*cols)).groupBy("profile_id").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in CURSORS])
+
+
+def checkpoint_due(state: DataFrame, now_ms: int, days: int) -> DataFrame:
+    """Per profile, whether a snapshot is due and why: the schema changed, or the last one is ``days`` old (0: never by age). state: schema_hash, last_schema_hash, last_checkpoint_ms."""
+    changed = ~F.col("schema_hash").eqNullSafe(F.col("last_schema_hash"))
+    old = F.lit(days > 0) & (F.col("last_checkpoint_ms").isNull() | (F.lit(now_ms) - F.col("last_checkpoint_ms") >= days * 86_400_000))
+    reason = F.when(changed, "source-schema-changed").when(old, "periodic-checkpoint")
+    return state.select("profile_id", reason.isNotNull().alias("due"), reason.alias("reason"))
+
+
+def restore(reverted: DataFrame, batches: DataFrame) -> DataFrame:
+    """Reverted batches without those that are restored."""
+    return reverted.join(batches.select("batch_id").distinct(), "batch_id", "left_anti")
+
+
+def batch_review(visits: DataFrame, reverted: DataFrame) -> DataFrame:
+    """One row an import batch: visits, URLs, first and last time, and whether it is reverted."""
+    gone = reverted.select("batch_id").distinct().withColumn("is_reverted", F.lit(True))
+    g = visits.groupBy("batch_id").agg(F.count("*").alias("visits"), F.count_distinct("profile_id", "url_id").alias("urls"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    return g.join(gone, "batch_id", "left").withColumn("is_reverted", F.coalesce("is_reverted", F.lit(False)))
+
+
+def batch_preview(visits: DataFrame, batch_id: int, limit: int = 50) -> DataFrame:
+    return visits.where(F.col("batch_id") == batch_id).orderBy(F.desc("ms"), F.desc("visit_id")).limit(limit)
+
+
+def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    return runs.orderBy(F.desc("started_ms"), F.desc("run_id")).limit(limit)
+
+
+def dashboard(totals_row: DataFrame, runs: DataFrame) -> DataFrame:
+    """The totals with the last run that ended well and the number of runs that failed since."""
+    ok = runs.agg(F.max(F.when(F.col("status") == "ok", F.col("started_ms"))).alias("last_ok_ms"))
+    failed = runs.join(ok).agg(F.max("last_ok_ms").alias("last_ok_ms"), F.sum(((F.col("status") != "ok") & (F.col("started_ms") > F.coalesce("last_ok_ms", F.lit(0)))).cast("long")).alias("failed_since"))
+    return totals_row.join(failed)
+
+
+def integrity(visits: DataFrame, urls: DataFrame, derived: DataFrame) -> DataFrame:
+    """check, n: visits without a URL, URLs without a visit, and derived rows without a visit."""
+    key = ["profile_id", "url_id"]
+    parts = {
+        "visit-without-url": visits.join(urls.select(*key).distinct(), key, "left_anti"), "url-without-visit": urls.join(visits.select(*key).distinct(), key, "left_anti"),
+        "stale-derived-row": derived.join(visits.select("visit_id").distinct(), "visit_id", "left_anti"),
+    }
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

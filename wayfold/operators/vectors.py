@@ -37,7 +37,7 @@ def hamming(a: Column, b: Column) -> Column:
 def quantize(v: Column) -> Column:
     """struct(scale, codes): scale = max|x| / 127, codes rounded half away from zero; a zero vector has scale 0."""
     scale = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127
-    codes = F.transform(v, lambda x: F.when(scale == 0, 0).otherwise(F.round(x.cast("double") / scale)).cast("int"))
+    codes = F.transform(v, lambda x: F.when(scale == 0, 0).otherwise(F.least(F.greatest(F.round(x.cast("double") / scale), F.lit(-127)), F.lit(127))).cast("int"))
     return F.struct(scale.alias("scale"), codes.alias("codes"))
 
 
@@ -82,3 +82,42 @@ def latest(vectors: DataFrame, key: str, seq: str) -> DataFrame:
     """Last writer wins."""
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))
     return vectors.withColumn("_r", r).where("_r = 1").drop("_r")
+
+
+def index_candidates(pages: DataFrame, stored: DataFrame, after_visit: int) -> DataFrame:
+    """pages: url, hash, seen (last visit). Those seen after the watermark, and those whose stored hash is another one or missing."""
+    known = stored.select("url", F.col("hash").alias("stored_hash"))
+    joined = pages.join(known, "url", "left")
+    return joined.where((F.col("seen") > after_visit) | ~F.col("hash").eqNullSafe(F.col("stored_hash"))).drop("stored_hash")
+
+
+def with_facets(candidates: DataFrame, profile: str | None = None, domain: str | None = None, starred: DataFrame | None = None) -> DataFrame:
+    """Candidates that pass the facets before any top is taken, so that a narrow facet still fills its page."""
+    out = candidates if profile is None else candidates.where(F.col("profile_id") == profile)
+    out = out if domain is None else out.where(F.col("domain") == domain)
+    return out if starred is None else out.join(starred.select("url").distinct(), "url", "left_semi")
+
+
+def dequantize(q: Column) -> Column:
+    return F.transform(q["codes"], lambda c: c.cast("double") * q["scale"])
+
+
+def static_embedding(ids: Column, table: dict[int, list[float]]) -> Column:
+    """The mean of the tokens' vectors, of unit length; unknown tokens don't count, without any the vector is zero."""
+    size = len(next(iter(table.values())))
+    rows = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))])
+    found = F.filter(F.transform(ids, lambda i: F.try_element_at(rows, i)), lambda v: v.isNotNull())
+    zero = F.array(*[F.lit(0.0)] * size)
+    total = F.aggregate(found, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm == 0, zero).otherwise(F.transform(total, lambda x: x / norm))
+
+
+def search_pages(fused: DataFrame | None, pages: DataFrame, mode: str, limit: int, offset: int = 0) -> DataFrame:
+    """pages: key, visited_at. Pages of a search by mode: ``relevance`` (fused: key, score; ties by the older visit), ``newest`` or ``oldest``; without a query (fused is None) the newest."""
+    if fused is None or mode in ("newest", "oldest"):
+        rows = pages if fused is None else pages.join(fused, "key")
+        order = [F.asc("visited_at") if mode == "oldest" else F.desc("visited_at"), "key"]
+    else:
+        rows, order = fused.join(pages, "key"), [F.desc("score"), "visited_at", "key"]
+    return rows.orderBy(*order).offset(offset).limit(limit)

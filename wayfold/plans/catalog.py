@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.plans import browse, corpus, history
+from wayfold.plans import browse, corpus, details, history
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return history.QUERIES | corpus.QUERIES | browse.QUERIES
+    return history.QUERIES | corpus.QUERIES | browse.QUERIES | details.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return history.SQL | corpus.SQL | browse.SQL
+    return history.SQL | corpus.SQL | browse.SQL | details.SQL

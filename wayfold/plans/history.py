@@ -316,24 +316,29 @@ def stable_sources(spark: S, d: str) -> DataFrame:
     return source_effectiveness(spark, d).where("role = 'reference'").orderBy(F.desc("score"), "profile_id", "domain").limit(10)
 
 
-@query("habits", f"""SELECT profile_id, domain, days, first_day, last_day, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv,
+HABITS_SQL = f"""SELECT profile_id, domain, days, first_day, last_day, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv,
   CASE WHEN mean_gap < 2 AND cv < 0.5 THEN 'daily' WHEN mean_gap BETWEEN 5 AND 10 AND cv < 0.6 THEN 'weekly' WHEN mean_gap > 10 AND cv < 0.8 THEN 'periodic' END AS kind,
   date_diff('day', last_day, DATE '{TODAY}') > 2 * mean_gap AS interrupted FROM
   (SELECT profile_id, domain, count(*) AS days, min(d) AS first_day, max(d) AS last_day, avg(gap) AS mean_gap, stddev_pop(gap) / avg(gap) AS cv FROM
     (SELECT profile_id, domain, d, date_diff('day', lag(d) OVER (PARTITION BY profile_id, domain ORDER BY d), d) AS gap FROM (SELECT DISTINCT profile_id, domain, date_key::DATE AS d FROM v)) GROUP BY ALL)
-  WHERE days >= 5 AND date_diff('day', first_day, last_day) >= 14""", VISITS_SQL)
+  WHERE days >= 5 AND date_diff('day', first_day, last_day) >= 14"""
+
+
+@query("habits", HABITS_SQL, VISITS_SQL)
 def habits(spark: S, d: str) -> DataFrame:
     return _round(structure.habits(visits(spark, d), TODAY), "mean_gap", "cv")
 
 
-def _flows(n: int) -> None:
+def flows_sql(n: int) -> str:
     lead = ", ".join(f"lead(domain, {i}) OVER w AS d{i}" for i in range(1, n))
     pattern = " || ' → ' || ".join(["domain", *[f"d{i}" for i in range(1, n)]])
-    sql = f"""SELECT profile_id, pattern, count(*) AS occurrences, max(seen) AS last_ms FROM (SELECT profile_id, {pattern} AS pattern, seen FROM
+    return f"""SELECT profile_id, pattern, count(*) AS occurrences, max(seen) AS last_ms FROM (SELECT profile_id, {pattern} AS pattern, seen FROM
   (SELECT *, {lead}, lead(ms, {n - 1}) OVER w AS seen FROM (SELECT *, lead(domain) OVER (PARTITION BY session_id ORDER BY ms, visit_id) AS nx FROM s) WHERE nx IS NULL OR nx <> domain
    WINDOW w AS (PARTITION BY session_id ORDER BY ms, visit_id))) WHERE pattern IS NOT NULL GROUP BY ALL"""
 
-    @query(f"path_flows_{n}", sql, SESSIONS_SQL)
+
+def _flows(n: int) -> None:
+    @query(f"path_flows_{n}", flows_sql(n), SESSIONS_SQL)
     def flows(spark: S, d: str) -> DataFrame:
         return structure.path_flows(_sessions(spark, d), n)
 
