@@ -1,10 +1,13 @@
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pandas as pd
 import pytest
+import xxhash
 
 from wayfold.llm import exact, mixing, sharding
 
@@ -96,3 +99,60 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
 def test_shards_of_odd_rows(spark):
     check_shards(ROWS, sharding.shard(frame(spark)).collect(), 8)
     assert sharding.shard(frame(spark).limit(0)).count() == 0
+
+
+def plain_tree(rows, shards):
+    """Shard of each text by a k-d tree built one node after another, for texts of which none is heavy."""
+    signed = lambda s: xxhash.xxh64_intdigest(s.encode(), seed=42) % (1 << 20)
+    groups = {}
+    for i, text, lang, source in rows:
+        t = text or ""
+        g = groups.setdefault(t, {"w": 0, "id": [], "len": [], "src": [], "lang": []})
+        g["w"] += len(t.encode()) + 1
+        for k, v in (("id", i), ("len", len(t.encode()) + 1), ("src", signed(source)), ("lang", signed(lang))):
+            g[k].append(v)
+    atoms, dims = [], ("id", "len", "src", "lang")
+    for t, g in groups.items():
+        name = hashlib.md5(t.encode()).hexdigest() + ":0"
+        tie = int(hashlib.md5(name.encode()).hexdigest()[:15], 16) >> 36
+        atoms.append((t, g["w"], [min(g["id"]), max(g["len"]), min(g["src"]), min(g["lang"])], tie))
+    lo, hi = [min(a[2][k] for a in atoms) for k in range(4)], [max(a[2][k] for a in atoms) for k in range(4)]
+    unit = [(t, w, [math.floor((float(x[k]) - float(lo[k])) / max(float(hi[k]) - float(lo[k]), 1.0) * float((1 << 36) - 1)) for k in range(len(dims))], tie) for t, w, x, tie in atoms]
+    target, out = sum(a[1] for a in unit) / shards, {}
+
+    def split(first, many, some):
+        if many == 1 or not some:
+            out.update({a[0]: first for a in some})
+            return
+        widths = [max(a[2][k] for a in some) - min(a[2][k] for a in some) for k in range(4)]
+        k = widths.index(max(widths))
+        left = (many + 1) // 2
+        need, total, cut = sum(a[1] for a in some) * (left * target) / (many * target), 0, []
+        for h in sorted({(a[2][k] << 24) + a[3] for a in some}):
+            own = [a for a in some if (a[2][k] << 24) + a[3] == h]
+            if total + sum(a[1] for a in own) > need:
+                break
+            total += sum(a[1] for a in own)
+            cut += own
+        split(first, left, cut)
+        split(first + left, many - left, [a for a in some if a not in cut])
+
+    split(0, shards, unit)
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 3, 6])
+def test_any_number_of_shards_equals_a_plain_tree(spark, shards):
+    rng = random.Random(shards)
+    rows = [(i, "x" * rng.randrange(1, 60) + str(rng.randrange(250)), rng.choice(["en", "de"]), f"s{rng.randrange(6)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.shard for r in sharding.shard(df, shards).collect()}
+    want = plain_tree(rows, shards)
+    assert {i: want[t] for i, t, *_ in rows} == got and set(got.values()) == set(range(shards))
+
+
+def test_sharding_stage_keeps_columns_of_clashing_names(spark):
+    df = frame(spark).selectExpr("*", "1 AS _crc", "2 AS _n", "3 AS _id", "4 AS shard")
+    out = sharding.stage(spark, df, "")
+    assert out.columns == [c for c in df.columns if c != "shard"] + ["shard", "slot"] and out.count() == df.count()
+    assert sharding.stage(spark, df.limit(0), "").count() == 0

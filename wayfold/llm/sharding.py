@@ -66,9 +66,11 @@ def place_heavy(weights: list[tuple[str, int]], shards: int, target: float) -> t
 def leaves(light: DataFrame, room: list[float]) -> DataFrame:
     """light: atom, w, id, len, src, lang. Adds shard: the leaf of the k-d tree; leaf s takes its share ``room[s]``.
 
-    Every level splits all nodes at once: each along the dimension that is widest in it as a share
-    of its range over all atoms, at the weighted quantile that divides its weight like the room of
-    the leaves on either side, found by histograms (nothing is sorted or collected but one line a node).
+    A node stands for a run of leaves, the larger half of which goes to the left; nodes are split until each stands
+    for one leaf, which then has its target. Every level splits all nodes at once: each along the
+    dimension that is widest in it as a share of its range over all atoms, at the weighted quantile
+    that divides its weight like the room of the leaves on either side, found by histograms
+    (nothing is sorted or collected but one line a node).
     """
     dims = ["id", "len", "src", "lang"]
     span = light.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -77,28 +79,32 @@ def leaves(light: DataFrame, room: list[float]) -> DataFrame:
         F.coalesce(F.floor((F.col(d).cast("double") - float(span[f"lo_{d}"] or 0)) / max(float(span[f"hi_{d}"] or 0) - float(span[f"lo_{d}"] or 0), 1.0) * top), F.lit(0)).cast("long").alias(d)
         for d in dims
     ]
+    # a node is named by its first leaf
     cur = light.select("atom", "w", *unit, F.shiftright(hash60(F.col("atom")), COORD).alias("tie"), F.lit(0).alias("node"))
-    shards = len(room)
-    for level in range((shards - 1).bit_length()):
-        per = shards >> level
+    runs = {0: len(room)}
+    while max(runs.values()) > 1:
         wide = F.greatest(*[F.struct((F.max(d) - F.min(d)).alias("width"), F.lit(-i).alias("order")) for i, d in enumerate(dims)])
         nodes = cur.groupBy("node").agg(F.sum("w").alias("all"), wide.getField("order").alias("dim")).collect()  # at most one line a shard
-        share = {}
+        plan = []
         for r in nodes:
-            mine = room[r.node * per : (r.node + 1) * per]
-            share[r.node] = (-r.dim, r["all"] * (sum(mine[: per // 2]) / sum(mine) if sum(mine) > 0 else 0.5))
-        if not share:
+            many = runs[r.node]
+            left = (many + 1) // 2
+            mine = room[r.node : r.node + many]
+            share = 1.0 if many == 1 else sum(mine[:left]) / sum(mine) if sum(mine) > 0 else left / many
+            plan.append((r.node, -r.dim, float(r["all"]) * share if many > 1 else float(1 << 62), left if many > 1 else 0))
+        if not plan:
             break
-        plan = cur.sparkSession.createDataFrame([(n, d, float(x)) for n, (d, x) in share.items()], "node int, dim int, need double")
+        plan = cur.sparkSession.createDataFrame(plan, "node int, dim int, need double, right int")
         coord = F.element_at(F.array(*dims), F.col("dim") + 1)
         items = table(cur.join(F.broadcast(plan), "node").withColumn("h", F.shiftleft(coord, 60 - COORD) + F.col("tie")).drop("dim", "need"), "kd")
         thr = find_thresholds(items.select("node", "h", "w"), plan.select("node", "need"), "node").select("node", "thr")
-        cur = items.join(F.broadcast(thr), "node").withColumn("node", (F.col("node") * 2 + (F.col("h") >= F.col("thr")).cast("int")).cast("int")).drop("h", "thr")
+        cur = items.join(F.broadcast(thr), "node").withColumn("node", (F.col("node") + F.when(F.col("h") >= F.col("thr"), F.col("right")).otherwise(0)).cast("int")).drop("h", "thr", "right")
+        runs = {k: v for node, many in runs.items() for k, v in ([(node, (many + 1) // 2), (node + (many + 1) // 2, many // 2)] if many > 1 else [(node, 1)])}
     return cur.select("atom", F.col("node").alias("shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("source", "lang")) -> DataFrame:
-    """Return id_col, size, text_crc32, shard, slot: one row per row of docs. ``shards`` is a power of two.
+    """Return id_col, size, text_crc32, shard, slot: one row per row of docs; any number of shards.
 
     Size is the UTF-8 bytes of the text plus 1 (null: none). Shards get nearly equal bytes, equal
     texts share a shard unless they alone exceed one, and slots run from 0 without gaps: hashed
@@ -134,7 +140,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot; ids repeated by the mix get one slot each."""
     out = shard(docs).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
     number = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*k))
-    left = docs.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")))).withColumn("_n", number("doc_id", "_crc"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    # the documents in a struct of their own, so that no column of theirs can clash
+    left = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("_crc")).withColumn("_n", number("_id", "_crc"))
     right = out.withColumn("_m", number("_id", "_crc"))
-    on = left["doc_id"].eqNullSafe(right["_id"]) & (left["_crc"] == right["_crc"]) & (left["_n"] == right["_m"])
-    return left.join(right, on).select(*docs.columns, "shard", "slot")
+    on = left["_id"].eqNullSafe(right["_id"]) & (left["_crc"] == right["_crc"]) & (left["_n"] == right["_m"])
+    return left.join(right, on).select("_row.*", "shard", "slot")
