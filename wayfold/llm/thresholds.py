@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.store import table
 
-#: Keys are 60-bit; each level of a search looks at 8 more bits (4 in the last).
-BITS, STEP = 60, 8
+#: Keys are 60-bit; each level of a search looks at 12 more bits.
+BITS, STEP = 60, 12
 TOP = 1 << BITS
 
 
@@ -18,8 +18,8 @@ def find_thresholds(items: DataFrame, budgets: DataFrame, key: str) -> DataFrame
     items: key, h (long in [0, 2**60)), w (long >= 0). budgets: key, need (double), one row a key.
     Returns key, thr (long), taken (long: weight of the items with h < thr).
 
-    Each level sums weights by key and 256 hash buckets (combined map-side), takes the running sum
-    over at most 256 rows a key, and goes on inside the one bucket where the budget runs out; it
+    Each level sums weights by key and 4096 hash buckets (combined map-side), takes the running sum
+    over at most 4096 rows a key, and goes on inside the one bucket where the budget runs out; it
     ends when such buckets hold a single hash value. No level sorts or collects items. Items of one
     hash are taken together or not at all; keys without items get the top threshold.
     """
