@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, taxonomy, text, urls
-from wayfold.operators import ingest, recall, structure, vectors
+from wayfold.operators import explain, facts, ingest, overlays, recall, structure, vectors
 from wayfold.sources import browsers, export
 from wayfold.streaming import live
 
@@ -227,6 +227,130 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
         return spark.table(name).collect()
 
-    assert sorted(r.visits for r in run(live.stream_sessions, "sess")) == [1, 4]
+    assert sorted((r.visits, r.domains) for r in run(live.stream_sessions, "sess")) == [(1, 1), (4, 1)]
     assert [(r.domain, r.visits) for r in run(live.stream_daily, "daily")] == [("d", 5)]
     assert len(run(live.stream_dedup, "dedup")) == 5
+
+
+def test_streamed_trails_equal_the_batch(spark, tmp_path):
+    rows, df = visits(spark)
+    half = sorted(rows, key=lambda r: (r[1], r[0]))
+    for i, part in enumerate((half[:200], half[200:])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = live.stream_trails(stream).writeStream.format("memory").queryName("trails").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    session, trail = loop(rows)
+    got = spark.table("trails").collect()
+    assert {r.visit_id: r.session_id for r in got} == session and {r.visit_id: r.trail_id for r in got if r.trail_id} == trail
+
+
+def test_replay_equals_a_full_rebuild(spark):
+    rows, df = visits(spark)
+    build = lambda v: structure.sessions(structure.sessionize(facts.with_new_domains(v))).select("profile_id", "session_id", "first_ms", "last_ms", "visits")
+    before = df.where("visit_id NOT IN (150, 151, 290, 399)")
+    late = df.where("visit_id IN (150, 151, 290, 399)").select("profile_id", "ms")
+    full = lambda x: sorted(map(tuple, x.collect()))
+    assert full(live.replay(build(before), df, late, build)) == full(build(df))
+    gone = df.where("visit_id IN (200, 201)").select("profile_id", "ms")
+    left = df.where("visit_id NOT IN (200, 201)")
+    assert full(live.replay(build(df), left, gone, build)) == full(build(left))
+
+
+def test_days_are_replaced(spark, tmp_path):
+    rows, df = visits(spark)
+    all_facts = facts.with_new_domains(df)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    facts.domain_rollup(all_facts.where("visit_id < 200")).write.partitionBy("date_key").parquet(f"{tmp_path}/r")
+    live.refresh_rollups(all_facts.where("visit_id >= 200"), all_facts, f"{tmp_path}/r")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    kept = facts.domain_rollup(all_facts)
+    got = spark.read.parquet(f"{tmp_path}/r").selectExpr("string(date_key) AS date_key", *[c for c in kept.columns if c != "date_key"])
+    touched = {r.date_key for r in all_facts.where("visit_id >= 200").select("date_key").distinct().collect()}
+    assert {tuple(r) for r in got.collect() if r.date_key in touched} == {tuple(r) for r in kept.collect() if r.date_key in touched}
+
+
+def test_more_sources(spark, tmp_path):
+    w = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    t0 = 13344473600000000
+    w([(1, "g", "p", t0, 5, 9, 1, "", "text/x")], "id long, guid string, target_path string, start_time long, received_bytes long, total_bytes long, state int, mime_type string, original_mime_type string", "downloads")
+    w([(2, 7, " A b ")], "keyword_id long, url_id long, term string", "keyword_search_terms")
+    w([(1, "icon", 1)], "id long, url string, icon_type int", "favicons")
+    w([("page", 1)], "page_url string, icon_id long", "icon_mapping")
+    w([(1, 16, 16, t0, bytearray(b"x")), (1, 32, 32, 5, bytearray(b"y"))], "icon_id long, width int, height int, last_updated long, image_data binary", "favicon_bitmaps")
+    more = browsers.chromium_more(spark, str(tmp_path), since_icon=5)
+    assert [(r.start_ms, r.mime_type, r.current_path) for r in more["downloads"].collect()] == [(1700000000000, "text/x", None)]
+    assert [r.normalized_term for r in more["search_terms"].collect()] == ["a b"] and [(r.icon_url, r.width) for r in more["favicons"].collect()] == [("icon", 16)]
+    w([(1, "u", "t", 2, 0, 1700000000000999)], "id long, url string, title string, visit_count long, hidden long, last_visit_date long", "moz_places")
+    w([(1, 1, 1700000000000999, 0, 1), (2, 1, 1700000000001999, 1, 2)], "id long, place_id long, visit_date long, from_visit long, visit_type long", "moz_historyvisits")
+    u, v = browsers.firefox(spark, str(tmp_path), 1)
+    assert [r.last_ms for r in u.collect()] == [1700000000000] and [(r.source_visit_id, r.ms, r.from_visit) for r in v.collect()] == [("2", 1700000000001, 1)]
+    seen = {(r.table, r.column): (r.kind, r.present, r.filled) for r in browsers.inspect({"d": spark.read.parquet(f"{tmp_path}/downloads")}, {"d": ["guid", "nothing"], "e": ["x"]}).collect()}
+    assert seen == {("d", "guid"): ("string", True, 1), ("d", "nothing"): (None, False, 0), ("e", "x"): (None, False, 0)}
+
+
+def test_takeout_files(spark):
+    paths = {
+        "Takeout/Chrome/BrowserHistory.json": "will-import", "Chrome\\Verlauf.json": "will-import", "x/a.jsonl": "will-import", "Chrome/Typed  URL.json": "known-ignored", "archive_browser.html": "known-ignored", "My Activity/Chrome/MyActivity.html": "needs-review",
+        "Chrome/Bookmarks.html": "known-ignored", "Chrome/old history.csv": "needs-review", "Mail/all.mbox": "known-ignored", "Kalender/history.txt": "known-ignored", "other/browser dump.txt": "needs-review", "": "known-ignored",
+    }
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.k.disposition for r in df.select("p", browsers.takeout_kind(F.col("p")).alias("k")).collect()} == paths
+    texts = [("a", '[{"url":"u1","time_usec":5000}, {"url":"u2"}]'), ("b", '{"Browser History": [{"url":"u3","visitTime":7}]}'), ("c", '{"url":"u4","visitTime":1}\n\n{"url":"u5","visitTime":2}\n')]
+    records = browsers.takeout_records(spark.createDataFrame(texts, "path string, value string"))
+    got = {(r.url, r.ms) for r in browsers.takeout(records).collect()}
+    assert got == {("u1", 5), ("u2", None), ("u3", 7), ("u4", 1), ("u5", 2)}
+    kept = browsers.native_entities(records.where("path = 'c'"), "typed-url").collect()
+    assert len(kept) == 2 and kept[0].metadata["url"] == "u4" and len(kept[0].key) == 64
+
+
+def test_overlays(spark):
+    stars = spark.createDataFrame([("url", "https://a.com/", 5), ("domain", "b.com", 6)], "kind string, key string, starred_at long")
+    changes = spark.createDataFrame([("url", "HTTPS://A.com/?utm_x=1", 9, 1, True), ("domain", "B.com", 9, 1, False), ("url", "https://c.com/", 9, 1, False), ("url", "https://c.com/", 10, 2, True)], "kind string, key string, starred_at long, seq long, starred boolean")
+    after = overlays.set_stars(stars, changes)
+    assert {(r.kind, r.key, r.starred_at) for r in after.collect()} == {("url", "https://a.com/", 5), ("url", "https://c.com/", 9)}
+    assert {r.key: r.starred for r in overlays.is_starred(spark.createDataFrame([("https://A.com/?ref=1",), ("x",)], "key string"), after).collect()} == {"https://A.com/?ref=1": True, "x": False}
+    notes = spark.createDataFrame([("u", "old", 1), ("w", "stays", 1)], "url string, notes string, updated_at long")
+    assert {(r.url, r.notes) for r in overlays.set_notes(notes, spark.createDataFrame([("u", " ", 2), ("v", "new", 2)], "url string, notes string, updated_at long")).collect()} == {("w", "stays"), ("v", "new")}
+    tags = spark.createDataFrame([("u", "a", 1), ("w", "b", 1)], "url string, tag string, created_at long")
+    new = spark.createDataFrame([("u", [" X ", "x", "y", ""], 3)], "url string, tags array<string>, at long")
+    assert {(r.url, r.tag) for r in overlays.replace_tags(tags, new).collect()} == {("w", "b"), ("u", "X"), ("u", "y")}
+
+
+def test_ingest_of_profiles_and_checkpoints(spark):
+    old = spark.createDataFrame([("a", 1, 5, "old", False), ("b", 2, 5, "b", True)], "profile_key string, id long, discovered_at long, profile_name string, enabled boolean")
+    new = spark.createDataFrame([("a", 9, "new", 1), ("c", 9, "c", 2)], "profile_key string, discovered_at long, profile_name string, seq long")
+    assert {r.profile_key: (r.id, r.discovered_at, r.profile_name, r.enabled) for r in ingest.upsert_profiles(old, new).collect()} == {"a": (1, 5, "new", True), "b": (2, 5, "b", True), "c": (None, 9, "c", True)}
+    day = 86_400_000
+    state = spark.createDataFrame([("a", "x", "x", 0), ("b", "x", "y", 10 * day), ("c", "x", "x", 9 * day), ("d", "x", None, None)], "profile_id string, schema_hash string, last_schema_hash string, last_checkpoint_ms long")
+    assert {r.profile_id: r.reason for r in ingest.checkpoint_due(state, 10 * day, 7).collect()} == {"a": "periodic-checkpoint", "b": "source-schema-changed", "c": None, "d": "source-schema-changed"}
+    s = "k long, url string, title string, last_ms long, visit_count long, typed_count long"
+    kept = ingest.upsert_urls(spark.createDataFrame([(1, "a", "old", 10, 5, 1)], s), spark.createDataFrame([(1, "a", "new", None, 6, 1, 0)], s + ", arrival long"), ["k"]).first()
+    assert (kept.title, kept.last_ms, kept.visit_count) == ("old", 10, 6)
+    runs = spark.createDataFrame([(1, "ok", 5), (2, "failed", 6), (3, "failed", 7)], "run_id long, status string, started_ms long")
+    assert ingest.dashboard(spark.sql("SELECT 3 AS visits"), runs).first().asDict() == {"visits": 3, "last_ok_ms": 5, "failed_since": 2} and [r.run_id for r in ingest.recent_runs(runs, 2).collect()] == [3, 2]
+    assert ingest.restore(spark.range(1, 4).toDF("batch_id"), spark.range(2, 3).toDF("batch_id")).count() == 2
+
+
+def test_facets_modes_and_static_vectors(spark):
+    pages = spark.createDataFrame([("a", 5, "p", "d"), ("b", 3, "p", "e"), ("c", 9, "q", "d")], "key string, visited_at long, profile_id string, domain string").withColumn("url", F.col("key"))
+    fused = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "key string, score double")
+    assert [r.key for r in vectors.search_pages(fused, pages, "relevance", 5).collect()] == ["b", "a"]
+    assert [r.key for r in vectors.search_pages(None, pages, "relevance", 2).collect()] == ["c", "a"] and [r.key for r in vectors.search_pages(fused, pages, "oldest", 5, 1).collect()] == ["a"]
+    assert [r.key for r in vectors.with_facets(pages, "p", "d", pages.where("key <> 'x'")).collect()] == ["a"]
+    ids = spark.createDataFrame([([1, 2, 9],), ([9],)], "ids array<int>")
+    got = [list(r[0]) for r in ids.select(vectors.static_embedding(F.col("ids"), {1: [3.0, 0.0], 2: [0.0, 4.0]})).collect()]
+    assert [round(x, 6) for x in got[0]] == [0.6, 0.8] and got[1] == [0.0, 0.0]
+    q = spark.createDataFrame([([1.0, -2.0],)], "v array<double>").select(vectors.dequantize(vectors.quantize(F.col("v")))).first()[0]
+    assert abs(q[0] - 1.0) < 0.02 and q[1] == -2.0
+    seqs = spark.createDataFrame([("a", 1, 7), ("a", 3, 8), ("b", 2, 9)], "k string, seq long, v long")
+    assert {(r.k, r.v) for r in vectors.latest(seqs, "k", "seq").collect()} == {("a", 8), ("b", 9)}
+
+
+def test_latest_flow_and_exports(spark):
+    rows = [(i, i * MIN, "a", d, "s") for i, d in enumerate("xyyxyzxy")]
+    df = spark.createDataFrame(rows, "visit_id long, ms long, profile_id string, domain string, session_id string")
+    r = explain.latest_flow(df, ["x", "y"]).first()
+    assert (list(r.visit_ids), r.last_ms) == ([6, 7], 7 * MIN)
+    old = spark.createDataFrame([("u", 1, False), ("v", 1, False)], "url string, updated_at long, deleted boolean")
+    assert [x.url for x in export.keep_latest(old, spark.createDataFrame([("u", 2, True)], "url string, updated_at long, deleted boolean"), ["url"]).collect()] == ["v"]

@@ -1,17 +1,25 @@
-"""Structured Streaming forms: sessions, daily counts and deduplication of visits as they arrive."""
+"""Structured Streaming forms: sessions, trails, daily counts and deduplication of visits as they arrive."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from wayfold.operators import facts
+from wayfold.operators.structure import SESSION_GAP_MS, TRAIL_GAP_MS
 
 
 def stream_sessions(visits: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """visits: ts (timestamp), profile_id, domain. Sessions that close once the watermark passes their gap."""
+    """visits: ts (timestamp), profile_id, domain. Sessions that close once the watermark passes their gap; domains are counted exactly."""
     window = F.session_window("ts", gap)
-    return visits.withWatermark("ts", late).groupBy("profile_id", window.alias("session")).agg(
-        F.count("*").alias("visits"), F.approx_count_distinct("domain").alias("domains_estimate"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    found = visits.withWatermark("ts", late).groupBy("profile_id", window.alias("session")).agg(
+        F.count("*").alias("visits"), F.size(F.collect_set("domain")).alias("domains"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+    return found
 
 
 def stream_daily(visits: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -24,6 +32,56 @@ def stream_dedup(visits: DataFrame, late: str = "1 hour") -> DataFrame:
     return visits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["profile_id", "source_id"])
 
 
+TRAIL_ROWS = "profile_id string, visit_id long, session_id string, trail_id string, ordinal long"
+_STATE = "last_ms long, session long, trail long, ordinal long"
+
+
+def stream_trails(visits: DataFrame, gap_ms: int = SESSION_GAP_MS, trail_gap_ms: int = TRAIL_GAP_MS) -> DataFrame:
+    """visits: ms, visit_id, profile_id, search. Session and trail of each visit as it comes, from four numbers kept a profile.
+
+    Visits of a micro-batch are put in order; one that is older than the last one seen goes on from
+    there as if it came then. What came late is set right by replay(), which rebuilds the days concerned.
+    """
+
+    def assign(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, session, trail, ordinal = state.get if state.exists else (-1, -1, -1, -1)
+        rows = pd.concat(list(frames)).sort_values(["ms", "visit_id"])
+        out = []
+        for ms, visit, search in zip(rows["ms"], rows["visit_id"], rows["search"], strict=True):
+            if last < 0 or ms - last > gap_ms:
+                session, trail = int(visit), -1
+            elif trail >= 0 and search is None and ms - last > trail_gap_ms:
+                trail = -1
+            trail, ordinal = (int(visit), 0) if search is not None else (trail, ordinal + 1)
+            out.append((key[0], int(visit), f"session:{key[0]}:{session}", f"trail:{key[0]}:{trail}" if trail >= 0 else None, ordinal if trail >= 0 else None))
+            last = max(int(ms), last)
+        state.update((last, session, trail, ordinal))
+        yield pd.DataFrame(out, columns=["profile_id", "visit_id", "session_id", "trail_id", "ordinal"])
+
+    return visits.groupBy("profile_id").applyInPandasWithState(assign, TRAIL_ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(stored: DataFrame, visits: DataFrame, changed: DataFrame, build) -> DataFrame:
+    """Rows by profile and session after late or reverted visits: those of sessions that a change touches are built again.
+
+    stored: session rows with profile_id, first_ms, last_ms. changed: profile_id, ms of visits that came
+    or went. build makes the rows of some visits. A change reaches from the start of the sessions
+    within a gap of it, so everything of the profile from there on is rebuilt, and nothing before.
+    """
+    near = stored.alias("s").join(changed.alias("c"), (F.col("s.profile_id") == F.col("c.profile_id")) & (F.col("s.last_ms") >= F.col("c.ms") - SESSION_GAP_MS))
+    first = near.groupBy(F.col("s.profile_id").alias("profile_id")).agg(F.min("s.first_ms").alias("from_ms"))
+    start = changed.groupBy("profile_id").agg(F.min("ms").alias("ms")).join(first, "profile_id", "left").select("profile_id", F.least("ms", "from_ms").alias("from_ms"))
+    kept = stored.join(start, "profile_id", "left").where(F.col("from_ms").isNull() | (F.col("last_ms") < F.col("from_ms"))).select(*stored.columns)
+    again = visits.join(start, "profile_id").where(F.col("ms") >= F.col("from_ms")).drop("from_ms")
+    return kept.unionByName(build(again).select(*stored.columns))
+
+
 def replace_days(batch: DataFrame, path: str) -> None:
     """A foreachBatch sink: the days that a batch has replace the same days of a table partitioned by date_key."""
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(path)
+
+
+def refresh_rollups(batch: DataFrame, visits: DataFrame, path: str) -> None:
+    """A foreachBatch sink: the domain rollup of the days that a batch of visits touches is counted again from all visits of those days."""
+    days = batch.select("date_key").distinct()
+    replace_days(facts.domain_rollup(visits.join(days, "date_key", "left_semi")), path)
