@@ -156,3 +156,11 @@ def test_sharding_stage_keeps_columns_of_clashing_names(spark):
     out = sharding.stage(spark, df, "")
     assert out.columns == [c for c in df.columns if c != "shard"] + ["shard", "slot"] and out.count() == df.count()
     assert sharding.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_mixing_keeps_columns_of_clashing_names(spark):
+    df = frame(spark).selectExpr("*", "1 AS key", "2 AS _n", "3 AS plan", "4 AS row", "5 AS passes", "6 AS _key")
+    out = mixing.stage(spark, df, "")
+    assert out.columns == df.columns and {(r.key, r["size"], r.passes, r["_key"]) for r in out.collect()} == {(1, 1, 5, 6)}
+    assert {r["_key"] for r in mixing.mix(df).collect()} == {6}
+    assert mixing.stage(spark, df.limit(0), "").count() == 0

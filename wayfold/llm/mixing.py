@@ -68,28 +68,32 @@ def taken_below(rounds: int) -> Column:
     return out
 
 
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int, **how) -> DataFrame:
+    """row (all columns of docs), size, source_size, target, passes, taken."""
+    own = [source_key(F.col(source_col)).alias("key"), hash60(F.col(id_col)).alias("h"), word_count(F.col(text_col)).alias("w")]
+    slim = table(docs.select(own[0], F.col(source_col).cast("string").alias("source"), *own[1:]), "slim")
+    state = plan(slim, rounds, **how)
+    cols = ["source_size", "target", "passes", *[f"thr{k}" for k in range(rounds)], *[f"left{k}" for k in range(rounds)]]
+    # documents in a struct of their own, so that no column of theirs can clash
+    joined = docs.select(F.struct(*docs.columns).alias("row"), *own).join(state.select("key", F.struct(*cols).alias("plan")), "key")
+    extra = F.lit(False)
+    for k in range(rounds):
+        extra = extra | ((F.col("h") < F.col(f"plan.thr{k}")) & ((F.col("w") <= F.col(f"plan.left{k}")) if k else F.lit(True)))
+    passes = F.col("plan.passes") + extra.cast("int")
+    return joined.select("row", F.col("w").alias("size"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), passes.alias("passes"), (passes * F.col("w")).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int = ROUNDS, **how) -> DataFrame:
     """Add size, source_size, target, passes (how often the mix takes the document) and taken (words).
 
     Null or empty texts have size 0; null sources form one source that sorts last; rows of one id
     share a hash and are taken together; an empty table gives no rows. Existing columns of the
-    names that are added are replaced. Texts are never shuffled: sources' plans join to documents,
-    and Spark broadcasts them while they are below its threshold.
+    names that are added are replaced, all others are kept. Texts are never shuffled: sources' plans
+    join to documents, and Spark broadcasts them while they are below its threshold.
     """
-    own = {"_key": source_key(F.col(source_col)), "_h": hash60(F.col(id_col)), "_w": word_count(F.col(text_col))}
-    slim = table(docs.select(own["_key"].alias("key"), F.col(source_col).cast("string").alias("source"), own["_h"].alias("h"), own["_w"].alias("w")), "slim")
-    state = plan(slim, rounds, **how)
-    base = docs.drop("size", "source_size", "target", "passes", "taken").withColumns(own)
-    names = [c for c in base.columns if c not in own]
-    cols = ["source_size", "target", "passes", *[f"thr{k}" for k in range(rounds)], *[f"left{k}" for k in range(rounds)]]
-    joined = base.join(state.select(F.col("key").alias("_key"), F.struct(*cols).alias("_plan")), "_key")
-    extra = F.lit(False)
-    for k in range(rounds):
-        extra = extra | ((F.col("_h") < F.col(f"_plan.thr{k}")) & ((F.col("_w") <= F.col(f"_plan.left{k}")) if k else F.lit(True)))
-    passes = F.col("_plan.passes") + extra.cast("int")
-    return joined.select(
-        *names, F.col("_w").alias("size"), F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), passes.alias("passes"), (passes * F.col("_w")).cast("long").alias("taken")
-    )
+    added = ("size", "source_size", "target", "passes", "taken")
+    out = _mixed(docs, id_col, text_col, source_col, rounds, **how)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    return mix(docs).where("passes > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    out = _mixed(docs, "doc_id", "text", "source", ROUNDS).where("passes > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
 
 
 OP2_SQL = r"""

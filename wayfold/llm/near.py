@@ -195,10 +195,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of one shingle set form a class that its smallest id stands for. Classes that share a
     band meet in a bucket. There, each member is verified with the smallest one; members that are
-    in different components after that are compared by their registers, block by block: first each one's
-    likeliest partner is verified, then all likely pairs that are in different components still. So
-    no pair of a bucket is dropped, and a group of copies, which the first passes join, never has
-    all its pairs made.
+    in different components after that are compared by their registers, block by block, and likely
+    pairs that are in different components still are verified. So no pair of a bucket is dropped,
+    and a group of copies, which the first pass joins, never has all its pairs made. Shingles are
+    64-bit hashes, and a set is known by its size and 128 bits of its shingles.
 
     Null and empty texts and texts of white space have n_shingles 0 and stand alone. Rows of one id
     count as one document of several texts. A row with a null id stands alone, with null
