@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import sites, text
+from wayfold.functions import pages, sites, text
 from wayfold.operators import archive as derive
-from wayfold.operators import explain, facts, ingest, outputs, structure, vectors
+from wayfold.operators import explain, facts, images, ingest, outputs, structure, vectors
 from wayfold.plans import history as h
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
 
@@ -232,3 +232,42 @@ def index_candidates(spark: S, d: str) -> DataFrame:
     pages = pages.withColumn("hash", text.content_hash(F.col("url"), F.col("title"), F.lit(None).cast("string")))
     stored = pages.select("url", F.when(F.col("seen") % 2 == 0, F.col("hash")).otherwise("old").alias("hash"))
     return vectors.index_candidates(pages, stored, 5000).select("url", "hash")
+
+
+# --- pages and their images ---
+
+_UN = lambda x: "replace(replace(replace(replace(replace(replace(" + x + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_TEXT = _UN(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), 'x^', '')")
+
+
+@query("page_summaries", rf"""SELECT page_id, nullif(trim(regexp_replace({_UN("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), '') AS title, length(flat) AS chars, CASE WHEN length(flat) <= 280 THEN nullif(flat, '') ELSE rtrim(flat[1:280]) || '…' END AS summary
+  FROM (SELECT *, trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS flat FROM pages)""")
+def page_summaries(spark: S, d: str) -> DataFrame:
+    """Title, length of the text and summary of every page."""
+    html = F.col("html")
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", pages.title(html).alias("title"), F.char_length(pages.plain_text(html)).cast("long").alias("chars"), pages.summary(html).alias("summary"))
+
+
+_IM = VISITS_SQL + ", im AS (SELECT url AS page_url, 'b' || (min(url_id) % 300) AS blob_hash, 100 + min(url_id) % 300 AS bytes, min(first_ms) AS fetched_ms, max(last_ms) AS shown_ms FROM aurls GROUP BY url)"
+
+
+def _images(spark: S, d: str) -> DataFrame:
+    g = archive(spark, d)["urls"].groupBy(F.col("url").alias("page_url")).agg(F.min("url_id").alias("u"), F.min("first_ms").alias("fetched_ms"), F.max("last_ms").alias("shown_ms"))
+    return g.select("page_url", F.concat(F.lit("b"), (F.col("u") % 300).cast("string")).alias("blob_hash"), (100 + F.col("u") % 300).alias("bytes"), "fetched_ms", "shown_ms")
+
+
+@query("image_stats", "SELECT sum(n)::BIGINT AS pages, count(*) AS blobs, sum(bytes)::BIGINT AS bytes FROM (SELECT blob_hash, max(bytes) AS bytes, count(*) AS n FROM im GROUP BY blob_hash)", _IM)
+def image_stats(spark: S, d: str) -> DataFrame:
+    return images.stats(_images(spark, d))
+
+
+@query("image_evict", """SELECT page_url, blob_hash, frees FROM (SELECT *, coalesce(sum(frees) OVER (ORDER BY shown_ms, page_url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(frees) OVER () - 20000 AS excess FROM
+  (SELECT *, CASE WHEN row_number() OVER (PARTITION BY blob_hash ORDER BY shown_ms DESC, page_url DESC) = 1 THEN bytes ELSE 0 END AS frees FROM im)) WHERE freed < excess""", _IM)
+def image_evict(spark: S, d: str) -> DataFrame:
+    return images.evict(_images(spark, d), 20000)
+
+
+@query("image_due", "SELECT url, max(last_ms) AS last_ms FROM aurls WHERE starts_with(url, 'https://') AND url NOT IN (SELECT page_url FROM im WHERE fetched_ms > 1706500000000 - 20 * 86400000) GROUP BY url ORDER BY last_ms DESC, url LIMIT 100", _IM)
+def image_due(spark: S, d: str) -> DataFrame:
+    return images.due(archive(spark, d)["urls"], _images(spark, d), 1706500000000, 20, 100)
