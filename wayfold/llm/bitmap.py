@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of 63 bits that a bitmap has at most, however many values it stands for (the sent table is about 30 MB).
+#: Words of 64 bits that a bitmap has at most, however many values it stands for (the sent table is about 30 MB); a power of two.
 WORDS = 1 << 20
 
 
-def _one(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.cast("int"))
-
-
 def word(h: Column, words: int = WORDS) -> Column:
-    return F.pmod(h, F.lit(words))
+    return h.bitwiseAND(F.lit(words - 1).cast("long"))
 
 
 def mask(h: Column) -> Column:
     """Up to three bits of a word, from a 64-bit hash."""
-    one = lambda shift, n: _one(F.pmod(F.shiftright(h, shift), F.lit(n)))
-    return one(24, 63).bitwiseOR(one(34, 61)).bitwiseOR(one(44, 59))
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return one(24).bitwiseOR(one(34)).bitwiseOR(one(44))
 
 
 def bitmap(hashes: DataFrame, flags: dict[str, Column], words: int = WORDS) -> DataFrame:
@@ -31,7 +27,7 @@ def bitmap(hashes: DataFrame, flags: dict[str, Column], words: int = WORDS) -> D
 
 def known(bits: Column, h: Column) -> Column:
     """Whether a value of that hash may be in a bitmap; true for all that are."""
-    return bits.bitwiseAND(mask(h)) == mask(h)
+    return F.bitwise_not(bits).bitwiseAND(mask(h)) == 0
 
 
 def probed(df: DataFrame, h: Column, filled: DataFrame, words: int = WORDS) -> DataFrame:

@@ -44,22 +44,24 @@ def letters(line: Column) -> Column:
 
 
 def segment_keys(places: list[tuple[int, int, int]], edits: int) -> Column:
-    """Keys of substrings of a line (columns line, len and seed): of each (less, i, move), the substring
+    """Keys of substrings of a line (columns line, len, seed and only): of each (less, i, move), the substring
     that lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
 
     A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder. The
-    result is an array of structs (key, less, at, size, own): at and size say where the substring
-    lies, own that it is the line's own segment. Where the column only isn't null, less is that.
+    result is an array of one key a place, null where the line has no such substring or where the
+    column only isn't null and less isn't that.
     """
-    k, out = edits + 1, []
+    out = []
     for less, i, move in places:
-        n = f"(len - {less})"
-        at = f"({n} DIV {k} * {i} + greatest(0, {i - k} + {n} % {k}) + {1 + move})"
-        size = f"({n} DIV {k} + int({i - k} + {n} % {k} >= 0))"
-        key = f"xxhash64(seed, {n}, {i}, substring(line, {at}, {size}))"
-        row = f"named_struct('key', {key}, 'less', {less}, 'at', {at}, 'size', {size}, 'own', {str(less == move == 0).lower()})"
-        out.append(F.expr(f"CASE WHEN {n} >= 1 AND {at} >= 1 AND {at} + {size} - 1 <= len AND coalesce(only = {less}, true) THEN {row} END"))
-    return F.array_compact(F.array(*out))
+        n, at, size = _place(f"{less}", f"{i}", f"{move}", edits + 1)
+        out.append(f"CASE WHEN {n} >= 1 AND {at} >= 1 AND {at} + {size} - 1 <= len AND coalesce(only = {less}, true) THEN xxhash64(seed, {n}, {i}, substring(line, {at}, {size})) END")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def _place(less: str, i: str, move: str, k: int) -> tuple[str, str, str]:
+    """Expressions of the shorter line's length, and of the start and size of a substring."""
+    n = f"(len - {less})"
+    return n, f"int({n} DIV {k} * {i} + greatest(0, {i} - {k} + {n} % {k}) + 1 + {move})", f"int({n} DIV {k} + int({i} - {k} + {n} % {k} >= 0))"
 
 
 def own_places(edits: int) -> list[tuple[int, int, int]]:
@@ -144,8 +146,12 @@ def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
 
 def _keys(texts: DataFrame, places: list[tuple[int, int, int]], edits: int, *columns: str) -> DataFrame:
     """One row a key of each line: id, columns, key, less, at, size, own, left (characters beside the segment in the shorter line)."""
-    rows = texts.select("id", "len", *columns, F.explode(segment_keys(places, edits)).alias("k")).select("id", "len", *columns, "k.*")
-    return rows.withColumn("left", F.col("len") - F.col("less") - F.col("size")).drop("len")
+    rows = texts.select("id", "len", *columns, F.posexplode(segment_keys(places, edits)).alias("pos", "key")).where("key IS NOT NULL")
+    part = lambda j: F.element_at(F.array(*[F.lit(p[j]) for p in places]), F.col("pos") + 1)
+    rows = rows.withColumns({"less": part(0), "i": part(1), "move": part(2), "own": F.element_at(F.array(*[F.lit(p[0] == p[2] == 0) for p in places]), F.col("pos") + 1)})
+    _, at, size = _place("less", "i", "move", edits + 1)
+    rows = rows.withColumn("at", F.expr(at)).withColumn("size", F.expr(size))
+    return rows.withColumn("left", F.col("len") - F.col("less") - F.col("size")).drop("len", "pos", "i", "move")
 
 
 def _first_keys(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
@@ -159,11 +165,13 @@ def _first_keys(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     counted = own.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("c"))
     some = bitmap.bitmap(counted, {"_any": F.lit(True), "_more": F.col("c") > 1})
     probes = bitmap.probed(_keys(texts, probe_places(edits), edits).select("key", "id", "less", "own"), F.col("key"), some)
-    alike = F.when(F.col("own"), bitmap.known(F.col("_more"), F.col("key"))).otherwise(bitmap.known(F.col("_any"), F.col("key")))
+    alike = bitmap.known(F.when(F.col("own"), F.col("_more")).otherwise(F.col("_any")), F.col("key"))
     probes = table(probes.where(alike).select("key", "id", "less"), "line-probes")
     asked = bitmap.bitmap(probes.select(F.col("key").alias("h")), {"_asked": F.lit(True)})
     index = bitmap.probed(own, F.col("key"), asked).where(bitmap.known(F.col("_asked"), F.col("key")))
-    return probes, table(index.select("key", "id", "left"), "line-index")
+    index = table(index.select("key", "id", "left"), "line-index")
+    # what the bitmaps let through in vain goes here, before its lines are looked at
+    return table(probes.join(index.select("key").distinct(), "key", "left_semi"), "line-probes"), index
 
 
 def _rests(texts: DataFrame, places: list[tuple[int, int, int]], edits: int, hot: DataFrame, only: bool) -> DataFrame:
