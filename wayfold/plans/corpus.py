@@ -245,7 +245,7 @@ def manifest_chain(spark: S, d: str) -> DataFrame:
     return ingest.broken_chain(m).select("profile_id", "seq")
 
 
-@query("takeout_merge", "SELECT url, count(*) AS visit_count, arg_max(title, (ms, visit_id)) FILTER (title IS NOT NULL) AS title, max(ms) AS last_ms FROM (SELECT *, CASE WHEN visit_id % 4 > 0 THEN 'title ' || visit_id END AS title FROM v) GROUP BY url", VISITS_SQL)
+@query("takeout_merge", "SELECT url, count(*) AS visit_count, arg_max(title, (ms, visit_id)) FILTER (title IS NOT NULL) AS title, max(ms) AS last_ms FROM (SELECT url, ms, visit_id, CASE WHEN visit_id % 4 > 0 THEN 'title ' || visit_id END AS title FROM v) GROUP BY url", VISITS_SQL)
 def takeout_merge(spark: S, d: str) -> DataFrame:
     title = F.when(F.col("visit_id") % 4 > 0, F.concat(F.lit("title "), F.col("visit_id").cast("string")))
     return ingest.merge_takeout_urls(visits(spark, d).select("url", title.alias("title"), "ms", F.col("visit_id").alias("ordinal")))
