@@ -13,13 +13,14 @@ from wayfold.llm.html import op10_html
 from wayfold.llm.lines import op3_lines
 from wayfold.llm.mixing import OP2_SQL, op2_mixing
 from wayfold.llm.near import op4_near
+from wayfold.llm.runs import op13_runs
 from wayfold.llm.sharding import op6_sharding
 from wayfold.llm.toxicity import op5_toxicity
 from wayfold.llm.urls import OP1_SQL, op1_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls, op2_mixing, op3_lines, op4_near, op5_toxicity, op6_sharding, op7_chat, op8_contamination, op9_exact, op10_html)}
+    return {f.__name__: f for f in (op1_urls, op2_mixing, op3_lines, op4_near, op5_toxicity, op6_sharding, op7_chat, op8_contamination, op9_exact, op10_html, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
