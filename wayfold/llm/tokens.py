@@ -42,13 +42,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         first = last
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte and row of every word; rows are the texts between ``off``."""
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte and row of every word; rows are the texts between ``off``, ``space`` tells which bytes are no part of words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SPACE[data]
+    word = ~space[data]
     inner = off[(off > 0) & (off < n)]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
