@@ -219,7 +219,11 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     heads = groups.join(counts, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("head"))
     heads = heads.groupBy("lang").agg(F.sort_array(F.collect_list("head")).alias("heads"), F.sum("head.n").alias("total"))
     sizes = terms.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
-    blocks = terms.select("lang", "terms", "at", "code", "n", "sources").join(heads.join(sizes, "lang"), "lang")
+    # a language's sources go to as many places as there are tasks, so that its terms needn't come to one
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = heads.join(sizes, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = terms.select("lang", "terms", "at", "code", "n", "sources", F.pmod(F.xxhash64(F.get("terms", F.lit(0))), F.lit(salts)).cast("int").alias("salt"))
+    blocks = dealt.join(spread, ["lang", "salt"]).select("lang", "terms", "at", "code", "n", "sources", "heads", "total", "v")
     walked = table(blocks.mapInArrow(lambda b: _walk(b, ranks), "lang string, source string, part string, item binary, value long"), "walked")
     walked = walked.withColumn("item", F.col("item").cast("string"))
     # every pair of sources of a language is in the result, also where no term was kept
