@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ def documents(url_rows: DataFrame, terms: DataFrame, notes: DataFrame, tags: Dat
 
     terms: profile_id, url_id, term. notes: url, notes. tags: url, tag. enrichment: url, summary,
     metadata. Terms and tags are sorted; notes and tags fold into the compact text and the grams
-    only, so that field filters don't look into them. Rows of some URLs are refreshed by giving
+    only, so that field filters don't look into them; size and windows are the numbers of tokens of all
+    fields and of three-character windows of the compact text. Rows of some URLs are refreshed by giving
     only those.
     """
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), " ")
@@ -37,7 +40,9 @@ def documents(url_rows: DataFrame, terms: DataFrame, notes: DataFrame, tags: Dat
     rows = rows.withColumns({f"normalized_{n}": text.normalize_text(F.col(c)) for n, c in (("url", "url"), ("title", "title"), ("terms", "search_terms"), ("notes", "notes"), ("tags", "tags"))})
     parts = F.filter(F.array(*[text.compact(F.col(f"normalized_{n}")) for n in ("url", "title", "terms", "notes", "tags")]), lambda p: p != "")
     rows = rows.withColumn("compact", F.array_join(parts, " "))
-    return rows.withColumn("cjk", F.array_join(text.han_grams(F.col("compact")), " ")).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string"))).drop("normalized_notes", "normalized_tags")
+    rows = rows.withColumn("cjk", F.array_join(text.han_grams(F.col("compact")), " ")).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string"))).drop("normalized_notes", "normalized_tags")
+    size = sum((F.size(tokens(F.col(f))) for f in WEIGHTS), F.lit(0))
+    return rows.withColumn("size", size.cast("int")).withColumn("windows", F.greatest(F.char_length("compact") - 2, F.lit(0)))
 
 
 def tokens(c: Column) -> Column:
@@ -57,6 +62,35 @@ def index(docs: DataFrame) -> DataFrame:
     return once.select("token", "doc_id", weight.alias("weight"), "size")
 
 
+def gram_index(docs: DataFrame) -> DataFrame:
+    """gram, doc_id, place, windows: a row for each three-character window of the compact text, no shuffle, sorted by gram when stored."""
+    places = F.when(F.col("windows") > 0, F.sequence(F.lit(1), F.col("windows"))).otherwise(F.array().cast("array<int>"))
+    return docs.select("doc_id", "compact", "windows", F.explode(places).alias("place")).select(F.substring("compact", F.col("place"), F.lit(3)).alias("gram"), "doc_id", "place", "windows")
+
+
+def gram_counts(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: documents, postings by token, windows by gram, windows counted by gram, and three totals."""
+
+    docs: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+    counts: DataFrame
+    n: int
+    size: int
+    windows: int
+
+
+def totals(docs: DataFrame) -> tuple[int, int, int]:
+    """Documents, tokens and windows; they add up over parts of a collection."""
+    row = docs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    return row[0], row[1], row[2]
+
+
 @dataclass(frozen=True)
 class Lexical:
     """Alternatives of terms that must all occur (a term with * as a prefix), compact texts to be contained, and targets for fuzzy matches."""
@@ -101,75 +135,108 @@ def idf(n: Column, docs: int) -> Column:
     return F.greatest(F.log((docs - n + 0.5) / (n + 0.5)), F.lit(1e-6))
 
 
-def scored(docs: DataFrame, postings: DataFrame, q: Lexical) -> DataFrame:
+def bm25(df: Column, f: Column, size: Column, n: int, mean: float) -> Column:
+    return idf(df, n) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
+
+
+def occurrences(index: Index, compact: str) -> DataFrame:
+    """doc_id, size, f: documents that contain a compact text, and how often (side by side), by their windows alone.
+
+    Windows three apart (and the last) cover the text, so a place where all of them lie at their distance
+    is an occurrence. The documents of the rarest one are found first; of the others only windows of these
+    are moved.
+    """
+    offsets: dict[str, list[int]] = {}
+    for i in sorted({*range(0, len(compact) - 2, 3), len(compact) - 3}):
+        offsets.setdefault(compact[i : i + 3], []).append(i)
+    need = sum(map(len, offsets.values()))
+    count = {r.gram: r.n for r in index.counts.where(F.col("gram").isin(*offsets)).groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a line a window of the query
+    rarest = min(offsets, key=lambda g: (count.get(g, 0), g))
+    found = index.grams.where(F.col("gram").isin(*offsets))
+    if len(offsets) > 1:
+        found = found.join(index.grams.where(F.col("gram") == rarest).select("doc_id").distinct(), "doc_id", "left_semi")
+    at = F.coalesce(*[F.when(F.col("gram") == g, F.array(*[F.lit(i) for i in own])) for g, own in offsets.items()])
+    starts = found.select("doc_id", F.col("windows").alias("size"), "place", F.explode(at).alias("off")).groupBy("doc_id", (F.col("place") - F.col("off")).alias("start"), "size").agg(F.count("*").alias("met"))
+    starts = starts.where(F.col("met") == need).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    none = F.struct(F.lit(0).alias("f"), F.lit(0).alias("end"))
+    step = lambda a, x: F.when(x >= a.end, F.struct((a.f + 1).alias("f"), (x + len(compact)).cast("int").alias("end"))).otherwise(a)
+    return starts.select("doc_id", "size", F.aggregate("starts", none, step, lambda a: a.f).cast("double").alias("f"))
+
+
+def scored(index: Index, q: Lexical) -> DataFrame:
     """doc_id, score of matching documents, the least score being the best.
 
     Terms score by weighted BM25 over all terms of the query, documents that hold all terms of an
     alternative match; a contained compact text scores by BM25 of its occurrences among three-character
-    windows, and a penalty. Of both, the less counts. Only postings of the query's terms are read.
+    windows, and a penalty. Of both, the less counts. Read are the postings of the query's terms and
+    windows (both sorted, so a scan leaves out the rest), and no documents.
     """
-    total = postings.select("doc_id", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = total.n, total.mean or 1.0
+    mean, wide = index.size / max(index.n, 1) or 1.0, index.windows / max(index.n, 1) or 1.0
     terms = sorted({t for a in q.alternatives for t in a})
     fits = lambda t: F.startswith(F.col("token"), F.lit(t[:-1])) if t.endswith("*") else F.col("token") == t
     out = None
     if terms:
         met = F.array_compact(F.array(*[F.when(fits(t), F.lit(t)) for t in terms]))
-        hits = postings.withColumn("met", met).where(F.size("met") > 0).select("doc_id", "weight", "size", F.explode("met").alias("term"))
+        hits = index.postings.where(reduce(or_, map(fits, terms))).select("doc_id", "weight", "size", F.explode(met).alias("term"))
         hits = hits.groupBy("doc_id", "term").agg(F.sum("weight").alias("f"), F.first("size").alias("size"))
         df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a line a term of the query
-        part = idf(F.col("df"), n) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / mean))
+        part = bm25(F.col("df"), F.col("f"), F.col("size"), index.n, mean)
         by_doc = hits.join(F.broadcast(df), "term").groupBy("doc_id").agg((-F.sum(part)).alias("score"), F.collect_set("term").alias("met"))
         whole = [F.size(F.array_except(F.array(*[F.lit(t) for t in a]), F.col("met"))) == 0 for a in q.alternatives]
-        cond = whole[0]
-        for w in whole[1:]:
-            cond = cond | w
-        out = by_doc.where(cond).select("doc_id", "score")
+        out = by_doc.where(reduce(or_, whole)).select("doc_id", "score")
     if q.compacts:
-        windows = docs.select("doc_id", "compact", F.greatest(F.char_length("compact") - 2, F.lit(0)).alias("size"))
-        mean = windows.agg(F.avg("size")).first()[0] or 1.0
-        times = lambda c: (F.char_length("compact") - F.char_length(F.replace("compact", F.lit(c), F.lit("")))) / len(c)
-        found = windows.withColumn("h", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), times(c).alias("f")) for c in q.compacts]))).where("h.f > 0").select("doc_id", "size", "h.*")
+        found = reduce(DataFrame.unionByName, [occurrences(index, c).withColumn("c", F.lit(c)) for c in q.compacts])
         df = found.groupBy("c").agg(F.count("*").alias("df"))  # a line a text of the query
-        part = idf(F.col("df"), n) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / mean))
+        part = bm25(F.col("df"), F.col("f"), F.col("size"), index.n, wide)
         near = found.join(F.broadcast(df), "c").groupBy("doc_id").agg((-F.sum(part) + TRIGRAM_PENALTY).alias("score"))
         out = near if out is None else out.unionByName(near)
     return out.groupBy("doc_id").agg(F.round(F.min("score"), 9).alias("score"))
 
 
-def fuzzy(docs: DataFrame, q: Lexical, most: int = FUZZY_URLS) -> DataFrame:
-    """doc_id, score of the nearest documents when nothing matches: distance of a target to a word of a field as a share of the longer, and the field's penalty.
+def fuzzy_candidates(index: Index, q: Lexical, most: int = FUZZY_URLS) -> DataFrame:
+    """doc_id, near: the ``most`` documents that share most with the targets, by BM25 of their windows (the least is the best)."""
+    grams = sorted({t[i : i + 3] for t in q.targets for i in range(len(t) - 2)})
+    hits = index.grams.where(F.col("gram").isin(*grams)).groupBy("doc_id", "gram").agg(F.count("*").alias("f"), F.first("windows").alias("size"))
+    df = hits.groupBy("gram").agg(F.count("*").alias("df"))  # a line a window of the query
+    part = bm25(F.col("df"), F.col("f"), F.col("size"), index.n, index.windows / max(index.n, 1) or 1.0)
+    near = hits.join(F.broadcast(df), "gram").groupBy("doc_id").agg(F.round(-F.sum(part), 9).alias("near"))
+    return near.orderBy("near", "doc_id").limit(most)
 
-    Words of the compact text are its windows of about the target's length. Documents must share a
-    three-character window with a target; the best ``most`` are returned.
+
+def fuzzy(index: Index, q: Lexical, most: int = FUZZY_URLS) -> DataFrame:
+    """doc_id, near, score when nothing matches: distance of a target to a word of a field as a share of the longer, and the field's penalty.
+
+    Words of the compact text are its windows of about the target's length. Only the candidates, a bounded
+    number, are looked up among the documents.
     """
-    best = None
+    if not q.targets:
+        return index.docs.select("doc_id", F.lit(0.0).alias("near"), F.lit(0.0).alias("score")).limit(0)
+    near = fuzzy_candidates(index, q, most).collect()
+    docs = index.docs.where(F.col("doc_id").isin([r.doc_id for r in near]))
+    every = []
     for target in q.targets:
         limit = 1 if len(target) <= 5 else 2 if len(target) <= 9 else 3 if len(target) <= 16 else 4
-        grams = [target[i : i + 3] for i in range(len(target) - 2)]
-        cond = F.lit(False)
-        for g in grams:
-            cond = cond | F.contains("compact", F.lit(g))
 
         def score(words: Column, penalty: float, target: str = target, limit: int = limit) -> Column:
             d = F.transform(words, lambda w: F.struct(F.levenshtein(F.lit(target), w, limit).alias("d"), F.greatest(F.char_length(w), F.lit(len(target))).alias("n")))
             return F.array_min(F.transform(F.filter(d, lambda x: x.d >= 0), lambda x: x.d / x.n + penalty))
 
-        sizes = [k for k in range(max(len(target) - 2, 4), len(target) + 3)]
-        runs = F.split("compact", " ")
-        cuts = [F.flatten(F.transform(runs, text.windows(k))) for k in sizes]
-        parts = [score(tokens(F.col(f)), p) for f, p in FUZZY.items() if f != "compact"] + [score(F.array_distinct(F.concat(*cuts)), FUZZY["compact"])]
-        found = docs.where(cond).select("doc_id", F.array_min(F.array_compact(F.array(*parts))).alias("score")).where("score IS NOT NULL")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    return best.groupBy("doc_id").agg(F.round(F.min("score"), 9).alias("score")).orderBy("score", "doc_id").limit(most)
+        cuts = [F.flatten(F.transform(F.split("compact", " "), text.windows(k))) for k in range(max(len(target) - 2, 4), len(target) + 3)]
+        every += [score(tokens(F.col(f)), p) for f, p in FUZZY.items() if f != "compact"] + [score(F.array_distinct(F.concat(*cuts)), FUZZY["compact"])]
+    found = docs.select("doc_id", F.round(F.array_min(F.array_compact(F.array(*every))), 9).alias("score")).where("score IS NOT NULL")
+    ranks = index.docs.sparkSession.createDataFrame([(r.doc_id, r.near) for r in near], "doc_id string, near double")
+    return found.join(ranks, "doc_id").select("doc_id", "near", "score")
+
+
+def fuzzy_visits(found: DataFrame, visits: DataFrame, most: int = FUZZY_VISITS) -> DataFrame:
+    """visits (doc_id, ms, visit_id) of fuzzy matches with their score: the ``most`` of the nearest documents, newest first, are looked at."""
+    return visits.join(found, "doc_id").orderBy("near", F.desc("ms"), F.desc("visit_id")).limit(most).drop("near")
 
 
-def search(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+def search(index: Index, query: str) -> DataFrame:
     """doc_id, score: lexical matches, or fuzzy ones if there is none."""
     q = analyze(query)
     if not q.alternatives and not q.compacts:
-        return fuzzy(docs, q)
-    found = scored(docs, postings, q)
-    return fuzzy(docs, q) if found.isEmpty() else found
+        return fuzzy(index, q).drop("near")
+    found = scored(index, q)
+    return fuzzy(index, q).drop("near") if found.isEmpty() else found

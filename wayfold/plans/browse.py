@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, urls
-from wayfold.operators import browse, lexical, overlays
+from wayfold.operators import browse, lexical, overlays, segments
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
-from wayfold.store import once
+from wayfold.store import once, shared_folder
 
 S = SparkSession
 QUERIES: dict = {}
@@ -97,8 +99,13 @@ def _documents(spark: S, d: str) -> DataFrame:
     return once(spark, "search-documents", [f"{d}/events.parquet"], lambda: lexical.documents(a["urls"], a["search_terms"], notes, tags, rich))
 
 
-def _postings(spark: S, d: str) -> DataFrame:
-    return once(spark, "postings", [f"{d}/events.parquet"], lambda: lexical.index(_documents(spark, d)).sort("token", "doc_id"))
+def _index(spark: S, d: str) -> lexical.Index:
+    docs, of = _documents(spark, d), [f"{d}/events.parquet"]
+    postings = once(spark, "postings", of, lambda: lexical.index(docs).sort("token", "doc_id"))
+    grams = once(spark, "grams", of, lambda: lexical.gram_index(docs).sort("gram", "doc_id", "place"))
+    counts = once(spark, "gram-counts", of, lambda: lexical.gram_counts(grams).sort("gram"))
+    total = once(spark, "lexical-totals", of, lambda: spark.createDataFrame([lexical.totals(docs)], "n long, size long, windows long")).first()
+    return lexical.Index(docs, postings, grams, counts, *total)
 
 
 @query("search_documents", "SELECT doc_id, lower(url) AS normalized_url, lower(title) AS normalized_title, lower(terms) AS normalized_terms, compact, '' AS cjk, enrichment, notes, tags FROM compacted", _OV)
@@ -125,29 +132,75 @@ _BOTH, _SELECT = _lexical([["topic", "gui"], ["wasm", "rea"]], ["topicgui", "was
 
 @query("lexical_search", _SELECT, _BOTH)
 def lexical_search(spark: S, d: str) -> DataFrame:
-    found = lexical.search(_documents(spark, d), _postings(spark, d), "Topic gui OR wasm rea")
+    found = lexical.search(_index(spark, d), "Topic gui OR wasm rea")
     return found.withColumn("score", F.round("score", 6))
 
 
 @query("lexical_page", "SELECT a.visit_id, u.url, a.ms, round(score, 6) AS score FROM avisits a JOIN aurls u USING (profile_id, url_id) JOIN lx ON lx.doc_id = a.profile_id || ':' || a.url_id ORDER BY lx.score, a.ms DESC, a.visit_id DESC LIMIT 25 OFFSET 25", _lexical([["topic", "guide"]], ["topicguide"])[0])
 def lexical_page(spark: S, d: str) -> DataFrame:
     """The second page of a search by relevance."""
-    found = lexical.search(_documents(spark, d), _postings(spark, d), "topic guide")
+    found = lexical.search(_index(spark, d), "topic guide")
     rows = _history(spark, d).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string"))).join(found, "doc_id")
     return browse.page_of(rows, browse.Browse(limit=25, page=2), lexical=True).select("visit_id", "url", "ms", F.round("score", 6).alias("score"))
 
 
-@query("lexical_fuzzy", r"""SELECT doc_id, round(min(s), 6) AS score FROM (SELECT doc_id, levenshtein(token, 'compering') / greatest(length(token), 9)::DOUBLE + p AS s FROM (
-    SELECT doc_id, unnest(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+')) AS token, 0.0::DOUBLE AS p, compact FROM compacted UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(url), '[^\p{L}\p{N}]+')), 0.08::DOUBLE, compact FROM compacted
-    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(terms), '[^\p{L}\p{N}]+')), 0.12::DOUBLE, compact FROM compacted
-    UNION ALL SELECT doc_id, unnest([substr(r, i, k) for i in range(1, length(r) - k + 2)]), 0.2::DOUBLE, compact FROM (SELECT doc_id, compact, unnest(string_split(compact, ' ')) AS r FROM compacted), (VALUES (7), (8), (9), (10), (11)) k(k) WHERE length(r) >= k)
-    WHERE token <> '' AND levenshtein(token, 'compering') <= 2 AND (contains(compact, 'com') OR contains(compact, 'omp') OR contains(compact, 'mpe') OR contains(compact, 'per') OR contains(compact, 'eri') OR contains(compact, 'rin') OR contains(compact, 'ing')))
-  GROUP BY doc_id ORDER BY score, doc_id LIMIT 200""", _OV)
+_GRAMS = ["com", "omp", "mpe", "per", "eri", "rin", "ing"]
+_FUZZY = _OV + f""", gh AS (SELECT doc_id, gram, count(*) AS f, any_value(size) AS size FROM (SELECT doc_id, unnest([substr(compact, i, 3) for i in range(1, length(compact) - 1)]) AS gram, greatest(length(compact) - 2, 0) AS size FROM compacted) WHERE gram IN ({", ".join(f"'{g}'" for g in _GRAMS)}) GROUP BY ALL),
+near AS (SELECT doc_id, round(-sum(greatest(ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / cmean))), 9) AS near
+  FROM (SELECT *, count(*) OVER (PARTITION BY gram) AS df FROM gh), (SELECT count(*) AS nd, avg(greatest(length(compact) - 2, 0)) AS cmean FROM compacted) GROUP BY doc_id ORDER BY near, doc_id LIMIT 200),
+fz AS (SELECT doc_id, any_value(near) AS near, round(min(s), 9) AS score FROM (SELECT doc_id, near, levenshtein(token, 'compering') / greatest(length(token), 9)::DOUBLE + p AS s FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+')) AS token, 0.0::DOUBLE AS p FROM compacted UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(url), '[^\\p{{L}}\\p{{N}}]+')), 0.08::DOUBLE FROM compacted
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(terms), '[^\\p{{L}}\\p{{N}}]+')), 0.12::DOUBLE FROM compacted
+    UNION ALL SELECT doc_id, unnest([substr(r, i, k) for i in range(1, length(r) - k + 2)]), 0.2::DOUBLE FROM (SELECT doc_id, unnest(string_split(compact, ' ')) AS r FROM compacted), (VALUES (7), (8), (9), (10), (11)) k(k) WHERE length(r) >= k) JOIN near USING (doc_id)
+    WHERE token <> '' AND levenshtein(token, 'compering') <= 2) GROUP BY doc_id)"""
+
+
+@query("lexical_fuzzy", "SELECT doc_id, round(score, 6) AS score FROM fz", _FUZZY)
 def lexical_fuzzy(spark: S, d: str) -> DataFrame:
-    found = lexical.search(_documents(spark, d), _postings(spark, d), "compering")
+    """Documents near a mistyped word: of the 200 that share most of its windows, those within its edits."""
+    found = lexical.search(_index(spark, d), "compering")
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("lexical_fuzzy_visits", "SELECT visit_id, round(score, 6) AS score FROM (SELECT a.visit_id, fz.score FROM avisits a JOIN fz ON fz.doc_id = a.profile_id || ':' || a.url_id ORDER BY near, a.ms DESC, a.visit_id DESC LIMIT 400)", _FUZZY)
+def lexical_fuzzy_visits(spark: S, d: str) -> DataFrame:
+    """Visits of the same: at most 400 are looked at."""
+    rows = _history(spark, d).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string")))
+    found = lexical.fuzzy_visits(lexical.fuzzy(_index(spark, d), lexical.analyze("compering")), rows)
+    return found.select("visit_id", F.round("score", 6).alias("score"))
+
+
+_CUT = 1705700000000
+
+
+@query("projection_refresh", r"""SELECT c.doc_id, c.compact, sz.size::INT AS size, coalesce(w.weight, 0) AS weight, greatest(length(c.compact) - 2, 0)::BIGINT AS grams, t.n, t.tokens FROM lc c JOIN sz ON sz.doc_id = c.doc_id JOIN (SELECT doc_id, sum(w) AS weight FROM tk GROUP BY doc_id) w ON w.doc_id = c.doc_id,
+  (SELECT count(*) AS n, sum(size)::BIGINT AS tokens FROM sz JOIN lc USING (doc_id)) t""", _LEX + ", lc AS (SELECT * FROM compacted WHERE doc_id IN (SELECT profile_id || ':' || url_id FROM avisits))")
+def projection_refresh(spark: S, d: str) -> DataFrame:
+    """The index after inserts, edits and reverts as segments, which equals one built of what is visible at the end.
+
+    At first only pages known before a time are in it, without notes, tags and enrichment; then come later pages, then
+    overlays, then pages go whose every visit was reverted; half way, segments are merged.
+    """
+    a = archive(spark, d)
+    stars, notes, tags, rich = _overlays(spark, d)
+    key, folder = ["profile_id", "url_id"], f"{shared_folder(spark)}/wayfold-lexical-{uuid.uuid4().hex}"
+    doc_ids = lambda df: df.select(F.concat_ws(":", "profile_id", F.col("url_id").cast("string")).alias("doc_id"))
+    segments.create(lexical.documents(a["urls"].where(F.col("first_ms") < _CUT), a["search_terms"], *[x.limit(0) for x in (notes, tags, rich)]), folder)
+    late = a["urls"].where(F.col("first_ms") >= _CUT)
+    segments.refresh(folder, doc_ids(late), lexical.documents(late, a["search_terms"], *[x.limit(0) for x in (notes, tags, rich)]))
+    marked = a["urls"].join(notes.select("url").union(tags.select("url")).union(rich.select("url")).distinct(), "url", "left_semi")
+    segments.refresh(folder, doc_ids(marked), lexical.documents(marked, a["search_terms"], notes, tags, rich))
+    segments.merge(spark, folder)
+    gone = a["visits"].join(a["reverted"], "batch_id", "left_semi").select(*key).distinct()
+    left = a["urls"].join(gone, key, "left_semi").join(a["visits"].join(a["reverted"], "batch_id", "left_anti"), key, "left_semi")
+    segments.refresh(folder, doc_ids(gone), lexical.documents(left, a["search_terms"], notes, tags, rich))
+    index = segments.read(spark, folder)
+    weights = index.postings.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    grams = index.grams.groupBy("doc_id").agg(F.count("*").alias("grams"))
+    out = index.docs.join(weights, "doc_id", "left").join(grams, "doc_id", "left").select("doc_id", "compact", "size", "weight", F.coalesce("grams", F.lit(0)).alias("grams"))
+    return out.withColumns({"n": F.lit(index.n).cast("long"), "tokens": F.lit(index.size).cast("long")})
+
+
 # --- favicons ---
 
 _ICONS = VISITS_SQL + """, icons AS (SELECT row_number() OVER (ORDER BY profile_id, url_id) AS id, profile_id, url AS page_url, host AS page_host, first_ms + url_id % 5 * 86400000 AS last_updated_ms, 16 * (1 + url_id % 2) AS width, 16 * (1 + url_id % 2) AS height, CASE WHEN url_id % 13 > 0 THEN sha256(profile_id || url) END AS blob FROM known WHERE url_id % 3 = 0),
