@@ -68,7 +68,7 @@ def test_query_equals_sql(spark, tmp_path):
 
 def test_refined_ranges_and_early_flushes_change_nothing(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    for name, value in (("TEXT_BYTES", 1), ("NODE", 1), ("LEAST_RANGE", 8), ("RANGES", 1 << 20)):
+    for name, value in (("TEXT_BYTES", 1), ("NODE", 1), ("LEAST_RANGE", 8), ("RANGES", 1 << 20), ("WALK", 40)):
         monkeypatch.setattr(divergence, name, value)
     monkeypatch.setattr(tries, "DEEPEST", 2)
     assert query(spark, tmp_path) == by_sql(tmp_path)

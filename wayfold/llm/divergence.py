@@ -18,6 +18,8 @@ DOCS, RANKS, UNIT = 3, 200, 1_000_000_000
 #: Bytes of text that a task counts before it writes its tries out; bytes of the first prefixes; counters of a prefix
 #: range at least, and ranges a shuffle partition; depth down to which ranges are refined, and leaves that a node needs for it.
 TEXT_BYTES, PREFIX, LEAST_RANGE, RANGES, DEEP, NODE = 48 << 20, 2, 1 << 14, 4, 12, 64
+#: Counters of kept terms that a task walks, about.
+WALK = 1 << 20
 #: Bytes that are no part of terms.
 BREAK = np.ones(256, bool)
 BREAK[65:91] = BREAK[97:123] = BREAK[128:] = False
@@ -219,8 +221,8 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     heads = groups.join(counts, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("head"))
     heads = heads.groupBy("lang").agg(F.sort_array(F.collect_list("head")).alias("heads"), F.sum("head.n").alias("total"))
     sizes = terms.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
-    # a language's sources go to as many places as there are tasks, so that its terms needn't come to one
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a language's sources go to several places, so that its terms needn't come to one; each has terms enough for the pairs it sums
+    salts = max(1, -(-(terms.agg(F.sum(F.size("n"))).first()[0] or 0) // WALK))
     spread = heads.join(sizes, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = terms.select("lang", "terms", "at", "code", "n", "sources", F.pmod(F.xxhash64(F.get("terms", F.lit(0))), F.lit(salts)).cast("int").alias("salt"))
     blocks = dealt.join(spread, ["lang", "salt"]).select("lang", "terms", "at", "code", "n", "sources", "heads", "total", "v")
