@@ -68,20 +68,6 @@ def test_path_flows_equal_a_loop(spark):
     assert got == want
 
 
-def test_query_families_equal_a_loop(spark):
-    rows, df = visits(spark)
-    anchors, want = {}, {}
-    for v in sorted((r for r in rows if r[7]), key=lambda r: (r[1], r[0])):
-        words = frozenset(v[7].split())
-        own = anchors.setdefault((v[2], v[6]), [])
-        k = next((i for i, a in enumerate(own) if words <= a or a <= words or len(a & words) >= 0.5 * len(a | words)), len(own))
-        if k == len(own):
-            own.append(words)
-        want[v[0]] = k + 1
-    got = {r.visit_id: r.family for r in structure.query_families(df.where("search IS NOT NULL")).collect()}
-    assert got == want
-
-
 def test_navigation_goes_back_to_the_root_and_stops_in_a_cycle(spark):
     rows = [("p", 1, None), ("p", 2, 1), ("p", 3, 2), ("p", 4, 3), ("p", 9, 99), ("q", 4, 1), ("p", 20, 21), ("p", 21, 20)]
     df = spark.createDataFrame(rows, "profile_id string, visit_id long, from_visit long")

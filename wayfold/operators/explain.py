@@ -18,16 +18,28 @@ COMPARE = {"pages": 0.8, "domains": 0.7, "alternations": 1.0}
 PAGE = dict(zip(("days", "trails", "arrivals", "typed"), REFIND, strict=True))
 
 
-def factors(rows: DataFrame, kind: str, entity: Column, weights: dict[str, float]) -> DataFrame:
-    """kind, entity, factor, raw, weight, contribution: one row a factor of each entity; its measures are columns of rows."""
-    cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("raw"), F.lit(w).alias("weight")) for c, w in weights.items()])
-    out = rows.select(F.lit(kind).alias("kind"), entity.alias("entity"), F.explode(cells).alias("f")).select("kind", "entity", "f.*")
-    return out.withColumn("contribution", F.col("raw") * F.col("weight"))
+def _millionths(num: Column, den: Column | int) -> Column:
+    """num / den to six digits, ties upwards, in whole numbers: binary fractions would settle ties either way."""
+    a, b = 2_000_000 * num + den, 2 * (den if isinstance(den, Column) else F.lit(den))
+    return ((a - F.pmod(a, b)) / b) / 1_000_000
+
+
+def factors(rows: DataFrame, kind: str, entity: Column, weights: dict[str, float], fractions: dict[str, tuple[Column, Column | int]] | None = None) -> DataFrame:
+    """kind, entity, factor, raw, weight, contribution: one row a factor of each entity, to six digits; its measures are columns of rows.
+
+    fractions: measures that are a ratio of whole numbers, as (numerator, denominator).
+    """
+    cells = []
+    for c, w in weights.items():
+        num, den = (fractions or {}).get(c, (None, None))
+        raw = F.round(F.col(c).cast("double"), 6) if num is None else _millionths(num.cast("long"), den)
+        part = F.round(F.col(c).cast("double") * w, 6) if num is None else _millionths(round(w * 100) * num.cast("long"), den * 100)
+        cells.append(F.struct(F.lit(c).alias("factor"), raw.alias("raw"), F.lit(w).alias("weight"), part.alias("contribution")))
+    return rows.select(F.lit(kind).alias("kind"), entity.alias("entity"), F.explode(F.array(*cells)).alias("f")).select("kind", "entity", "f.*")
 
 
 def session_factors(sessions: DataFrame) -> DataFrame:
-    minutes = F.greatest(F.col("last_ms") - F.col("first_ms"), F.lit(0)) / 60000.0
-    return factors(sessions.withColumn("duration_minutes", minutes), "session", F.col("session_id"), SESSION)
+    return factors(sessions, "session", F.col("session_id"), SESSION, {"duration_minutes": (F.greatest(F.col("last_ms") - F.col("first_ms"), F.lit(0)), 60_000)})
 
 
 def trail_factors(trails: DataFrame) -> DataFrame:
@@ -40,8 +52,9 @@ def refind_factors(refinds: DataFrame) -> DataFrame:
 
 def habit_factors(habits: DataFrame, facts: DataFrame) -> DataFrame:
     counts = facts.groupBy("profile_id", "domain").agg(F.count("*").alias("visits"))
-    rows = habits.where("kind IS NOT NULL").join(counts, ["profile_id", "domain"]).withColumn("is_interrupted", F.col("interrupted").cast("int"))
-    return factors(rows, "habit_pattern", F.concat_ws("::", "profile_id", "domain"), HABIT)
+    rows = habits.join(counts, ["profile_id", "domain"]).withColumn("is_interrupted", F.col("interrupted").cast("int"))
+    span = F.datediff("last_day", "first_day")
+    return factors(rows, "habit_pattern", F.concat_ws("::", "profile_id", "domain"), HABIT, {"mean_gap": (span, F.col("days") - 1)})
 
 
 def flow_factors(flows: DataFrame, steps: int) -> DataFrame:
@@ -53,13 +66,12 @@ def compare_factors(sets: DataFrame) -> DataFrame:
 
 
 def family_factors(families: DataFrame) -> DataFrame:
-    """families: of structure.query_families, one row a search."""
-    rows = families.groupBy("profile_id", "engine", "family").agg(F.count("*").alias("members"), F.count_distinct("search").alias("queries"))
-    return factors(rows, "query_family", F.concat_ws(":", "profile_id", "engine", F.col("family").cast("string")), FAMILY)
+    """families: of families.family_rows."""
+    return factors(families, "query_family", F.col("family_id"), FAMILY)
 
 
 def reopened_factors(reopened: DataFrame) -> DataFrame:
-    return factors(reopened, "reopened_investigation", F.concat_ws(":", F.lit("reopened"), "profile_id", "anchor"), REOPENED)
+    return factors(reopened, "reopened_investigation", F.col("investigation_id"), REOPENED)
 
 
 def latest_flow(session_visits: DataFrame, pattern: list[str]) -> DataFrame:

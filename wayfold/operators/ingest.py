@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys of evidence that become columns; fixed values.
-SIGNALS = ("foreground_ms", "scroll_px", "keys", "typing_ms", "load_ok", "end_reason")
+#: Columns of observed interactions, and the keys of engagement evidence that fill them; fixed values.
+ENGAGEMENT = {
+    "foreground_duration_ms": ("engagement.total_foreground_duration_ms", "engagement.total_view_time_ms", "engagement.visit_duration_ms"),
+    "scrolling_time_ms": ("engagement.scrolling_time_ms",),
+    "scrolling_distance": ("engagement.scrolling_distance", "engagement.scrolling_distance_px"),
+    "key_presses": ("engagement.key_presses",),
+    "typing_time_ms": ("engagement.typing_time_ms",),
+    "load_successful": ("engagement.load_successful",),
+}
+CONTEXT_KEYS = {"load_successful": "context.load_successful", "page_end_reason": "context.page_end_reason"}
+SIGNALS = (*ENGAGEMENT, "page_end_reason")
 
 
 def fingerprint(kind: Column, url: Column, time: Column, title: Column, transition: Column, app: Column) -> Column:
@@ -51,10 +60,23 @@ def broken_chain(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("expected", F.lag("hash").over(w)).where(~F.col("parent").eqNullSafe(F.col("expected")))
 
 
-def observed_interactions(evidence: DataFrame) -> DataFrame:
-    """evidence: visit_id, key, value. One row a visit that has a signal, signals as columns."""
-    wide = evidence.groupBy("visit_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in SIGNALS])
-    return wide.where(F.coalesce(*[F.col(k) for k in SIGNALS]).isNotNull())
+def observed_interactions(engagement: DataFrame, context: DataFrame) -> DataFrame:
+    """One row a visit (profile_id, source_id) that has a signal, signals as columns: of engagement, else of context.
+
+    engagement: profile_id, source_id, metric_key, value_int, value_real, arrival. A number counts as it is, else the
+    real one rounded; of several keys of a signal, the one that arrived last. context: profile_id, source_id, context_key,
+    value_json, arrival. Whether the page loaded comes from context only where engagement doesn't say; why it ended always does.
+    """
+    by, last = ["profile_id", "source_id"], lambda value, cond: F.max_by(value, F.when(cond, F.struct("arrival", "key")))
+    number = F.coalesce("value_int", F.round("value_real").cast("long"))
+    rows = engagement.withColumn("key", F.col("metric_key"))
+    wide = rows.groupBy(*by).agg(*[last(F.col("value_int") if name == "load_successful" else number, F.col("key").isin(*keys)).alias(name) for name, keys in ENGAGEMENT.items()])
+    wide = wide.withColumn("load_successful", F.col("load_successful") != 0)
+    said = context.withColumn("key", F.col("context_key")).groupBy(*by).agg(*[last(F.col("value_json"), F.col("key") == k).alias(f"_{name}") for name, k in CONTEXT_KEYS.items()])
+    loaded = F.when(F.col("_load_successful").isin("true", "false"), F.col("_load_successful") == "true")
+    reason = F.when(F.col("_page_end_reason").rlike('^".*"$'), F.from_json(F.concat(F.lit('{"v":'), F.col("_page_end_reason"), F.lit("}")), "v string")["v"])
+    both = wide.join(said, by, "full").withColumn("load_successful", F.coalesce("load_successful", loaded)).withColumn("page_end_reason", reason)
+    return both.where(F.coalesce(*[F.col(c).cast("string") for c in SIGNALS]).isNotNull()).select(*by, *SIGNALS)
 
 
 def merge_takeout_urls(records: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +95,31 @@ def trails(members: DataFrame) -> DataFrame:
     )
 
 
-def hub_pages(members: DataFrame, limit: int = 10) -> DataFrame:
-    pages = members.where("role <> 'search_event'").groupBy("url").agg(F.count_distinct("trail_id").alias("trails"), F.count("*").alias("visits"))
-    return pages.orderBy(F.desc("trails"), "url").limit(limit)
+def hub_pages(members: DataFrame, first_ms: int, end_ms: int, limit: int = 10) -> DataFrame:
+    """Pages by the number of trails they are in, searches included, of visits from first_ms up to end_ms."""
+    pages = members.where((F.col("ms") >= first_ms) & (F.col("ms") < end_ms)).groupBy("url", "domain").agg(F.max("title").alias("title"), F.count_distinct("trail_id").alias("trails"))
+    return pages.orderBy(F.desc("trails"), "url", "domain").limit(limit)
+
+
+def digest(summary: DataFrame, session_rows: DataFrame, refinds: DataFrame, days: tuple[str, str], before: tuple[str, str]) -> DataFrame:
+    """kpi, now, before, change, direction: five figures of a range of days beside those of another.
+
+    Visits, searches and new domains are sums of daily summaries (facts.summary_rollup); deep dives count in
+    the range in which they begin, pages found again in every range that their visits overlap.
+    """
+    every = None
+    for part, (first, last) in (("now", days), ("before", before)):
+        start, end = (F.unix_millis(F.lit(x).cast("timestamp")) for x in (first, last))
+        inside = (F.col("first_ms") >= start) & (F.col("first_ms") < end + DAY_MS)
+        sums = summary.where(F.col("date_key").between(first, last)).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(a) for c, a in (("visits", "total_visits"), ("searches", "total_searches"), ("new_domains", "new_domains"))])
+        deep = session_rows.where(F.col("deep_dive") & inside).agg(F.count("*").alias("deep_read_pages"))
+        again = refinds.where((F.col("last_ms") >= start) & (F.col("first_ms") < end + DAY_MS)).agg(F.count("*").alias("refind_pages"))
+        for one in (sums, deep, again):
+            rows = one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))]))).select(F.lit(part).alias("part"), F.col("key").alias("kpi"), "value")
+            every = rows if every is None else every.unionByName(rows)
+    wide = every.groupBy("kpi").agg(*[F.sum(F.when(F.col("part") == p, F.col("value"))).alias(p) for p in ("now", "before")])
+    way = F.when(F.col("now") > F.col("before"), "up").when(F.col("now") < F.col("before"), "down").otherwise("flat")
+    return wide.select("kpi", "now", "before", (F.col("now") - F.col("before")).alias("change"), way.alias("direction"))
 
 
 def friction(trail_rows: DataFrame, limit: int = 10) -> DataFrame:
@@ -137,33 +158,35 @@ def refind_pages(visits: DataFrame, members: DataFrame, newest: int = 50) -> Dat
 
 
 def source_effectiveness(trail_rows: DataFrame, refinds: DataFrame) -> DataFrame:
-    """Domains by what they gave: landings of trails and pages found again."""
-    landings = trail_rows.where("landing_domain IS NOT NULL").groupBy("profile_id", F.col("landing_domain").alias("domain")).agg(F.count("*").alias("landings"), F.sum((F.col("visits") > 2).cast("long")).alias("trails"))
+    """Domains by what they gave: landings of trails and pages found again. Times are those of the trails, 0 without any."""
+    seen = trail_rows.where("landing_domain IS NOT NULL").groupBy("profile_id", F.col("landing_domain").alias("domain"))
+    landings = seen.agg(F.count("*").alias("landings"), F.count_distinct("trail_id").alias("trails"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
     references = refinds.groupBy("profile_id", "domain").agg(F.count("*").alias("refs"))
-    both = landings.join(references, ["profile_id", "domain"], "full").fillna(0, ["landings", "trails", "refs"])
+    both = landings.join(references, ["profile_id", "domain"], "full").fillna(0, ["landings", "trails", "refs", "first_ms", "last_ms"])
     score = 2 * F.col("landings") + 1.5 * F.col("refs") + 0.5 * F.col("trails")
     return both.withColumn("score", score).withColumn("role", F.when((F.col("refs") >= F.col("landings")) & (F.col("refs") > 0), "reference").otherwise("landing"))
 
 
-def habits(visits: DataFrame, as_of_day: str) -> DataFrame:
-    """Domains visited on at least five days over at least two weeks, by the rhythm of the gaps between days.
+def habits(visits: DataFrame, now_ms: int) -> DataFrame:
+    """Domains visited on at least five days over at least two weeks, if the gaps between days have a rhythm.
 
     Daily below 2 days (variation under .5), weekly from 5 to 10 (.6), periodic above 10 (.8);
-    interrupted if twice the usual gap has passed before as_of_day.
+    interrupted if more than twice the usual gap has passed from the last visit to now_ms.
     """
-    days = visits.select("profile_id", "domain", F.to_date(F.timestamp_millis("ms")).alias("d")).distinct()
+    days = visits.groupBy("profile_id", "domain", F.to_date(F.timestamp_millis("ms")).alias("d")).agg(F.max("ms").alias("ms"))
     gap = F.datediff("d", F.lag("d").over(Window.partitionBy("profile_id", "domain").orderBy("d")))
     rows = days.withColumn("gap", gap).groupBy("profile_id", "domain").agg(
-        F.count("*").alias("days"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv")
+        F.count("*").alias("days"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.max("ms").alias("last_ms"), F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv")
     )
     kind = (
-        F.when((F.col("mean_gap") < 2) & (F.col("cv") < 0.5), "daily")
-        .when(F.col("mean_gap").between(5, 10) & (F.col("cv") < 0.6), "weekly")
-        .when((F.col("mean_gap") > 10) & (F.col("cv") < 0.8), "periodic")
+        F.when((F.col("mean_gap") < 2) & (F.col("cv") < 0.5), "daily_habit")
+        .when(F.col("mean_gap").between(5, 10) & (F.col("cv") < 0.6), "weekly_habit")
+        .when((F.col("mean_gap") > 10) & (F.col("cv") < 0.8), "periodic_reference")
     )
-    rows = rows.where((F.col("days") >= 5) & (F.datediff("last_day", "first_day") >= 14)).withColumn("kind", kind)
-    late = F.datediff(F.lit(as_of_day).cast("date"), "last_day") > 2 * F.col("mean_gap")
-    return rows.withColumn("interrupted", late)
+    rows = rows.where((F.col("days") >= 5) & (F.datediff("last_day", "first_day") >= 14)).withColumn("kind", kind).where("kind IS NOT NULL")
+    # in whole numbers: the mean is the span of days over one gap less than days
+    waited = F.greatest(F.lit(now_ms) - F.col("last_ms"), F.lit(0)) * (F.col("days") - 1)
+    return rows.withColumn("interrupted", waited > F.datediff("last_day", "first_day").cast("long") * (2 * DAY_MS))
 
 
 def path_flows(visits: DataFrame, steps: int) -> DataFrame:
@@ -214,37 +237,15 @@ def search_events(members: DataFrame) -> DataFrame:
     return rows.withColumn("terms", terms)
 
 
-def query_families(searches: DataFrame, least: float = 0.5) -> DataFrame:
-    """Greedy families of queries per profile and engine, in event order: profile_id, engine, visit_id, family.
+def reopened(families: DataFrame, refinds: DataFrame, titles: DataFrame) -> DataFrame:
+    """Families of several searches, and pages found again on several days, as investigations that were taken up again.
 
-    A query joins the first family whose first query shares enough terms with it (Jaccard, or one
-    set within the other), else begins one. The order matters, so each profile and engine is one
-    sorted stream; its queries are deduplicated by term set before they get there.
+    families: of families.family_rows. titles: profile_id, url, title; a page without one is named by its address.
     """
-    terms = searches.withColumn("terms", F.array_sort(F.array_distinct(query_terms(F.col("search"))))).where(F.size("terms") > 0)
-    firsts = terms.groupBy("profile_id", "engine", "terms").agg(F.min(F.struct("ms", "visit_id")).alias("at"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        anchors: list[frozenset] = []
-        found = []
-        for words in (frozenset(t) for t in rows.sort_values(["ms", "visit_id"])["terms"]):
-            k = next((k for k, a in enumerate(anchors) if words <= a or a <= words or len(a & words) >= least * len(a | words)), len(anchors))
-            if k == len(anchors):
-                anchors.append(words)
-            found.append(k + 1)
-        return rows.sort_values(["ms", "visit_id"]).assign(family=found)[["profile_id", "engine", "terms", "family"]]
-
-    flat = firsts.select("profile_id", "engine", "terms", "at.ms", "at.visit_id")
-    families = flat.groupBy("profile_id", "engine").applyInPandas(greedy, "profile_id string, engine string, terms array<string>, family int")
-    return terms.join(families, ["profile_id", "engine", "terms"]).select("profile_id", "engine", "visit_id", "search", "family")
-
-
-def reopened(families: DataFrame, refinds: DataFrame) -> DataFrame:
-    """Families of several queries and pages found again on several days."""
-    f = families.groupBy("profile_id", "engine", "family").agg(F.count("*").alias("occurrences"), F.count_distinct("search").alias("distinct_days"))
-    f = f.where("occurrences > 1 OR distinct_days > 1").select("profile_id", F.lit("family").alias("kind"), F.concat_ws(":", "engine", F.col("family").cast("string")).alias("anchor"), "occurrences", "distinct_days")
-    r = refinds.where("days > 1").select("profile_id", F.lit("page").alias("kind"), F.col("url").alias("anchor"), F.col("visits").alias("occurrences"), F.col("days").alias("distinct_days"))
-    return f.unionByName(r)
+    shape = lambda kind, key, label, n, days: [F.concat_ws(":", F.lit("reopened"), "profile_id", key).alias("investigation_id"), F.col("profile_id"), F.lit(kind).alias("anchor_type"), F.col(key).alias("anchor_id"), label.alias("anchor_label"), F.col(n).alias("occurrences"), F.col(days).alias("distinct_days"), F.col("first_ms"), F.col("last_ms")]
+    f = families.where("queries > 1 OR members > 1").select(*shape("query_family", "family_id", F.col("anchor_query"), "members", "queries"))
+    pages = refinds.where("days > 1").join(titles.groupBy("profile_id", "url").agg(F.max("title").alias("title")), ["profile_id", "url"], "left")
+    return f.unionByName(pages.select(*shape("reference_page", "url", F.coalesce("title", "url"), "days", "days")))
 
 
 def navigation_paths(visits: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import sites, taxonomy, text, urls
 from wayfold.operators import archive as derive
 from wayfold.operators import ingest, recall, vectors
+from wayfold.plans import browse
 from wayfold.sources.testdata import URL_COLUMNS_SQL, VISITS_SQL, archive, visits
 
 S = SparkSession
@@ -188,10 +189,16 @@ def starred_boost(spark: S, d: str) -> DataFrame:
     return vectors.starred_boost(rrf_fusion(spark, d), _read(spark, d, "labels").where("quality = 1"), "doc_id")
 
 
-@query("working_set", "SELECT url, round(100 * (max(ms) % 5 = 0)::INT + 10 * (max(ms) >= 1706000000000)::INT + 25 * (count(search) > 2)::INT + 5 * ln(1 + count(*)), 6) AS score FROM v GROUP BY url ORDER BY score DESC, url LIMIT 100", VISITS_SQL)
+@query("working_set", """SELECT url, round(100 * (url IN (SELECT key FROM stars))::INT + 10 * (max(ms) >= 1706000000000)::INT + 25 * bool_or(raw_url IN (SELECT url FROM notes) OR raw_url IN (SELECT url FROM tags))::INT + 5 * ln(1 + count(*)), 6) AS score
+  FROM v GROUP BY url ORDER BY score DESC, url LIMIT 100""", browse._OV)
 def working_set(spark: S, d: str) -> DataFrame:
-    g = visits(spark, d).groupBy("url").agg((F.max("ms") % 5 == 0).alias("starred"), (F.max("ms") >= 1706000000000).alias("recent"), (F.count("search") > 2).alias("annotated"), F.count("*").alias("visits"))
-    return vectors.working_set(g, 100).select("url", "score")
+    """The pages that matter most now: starred, noted or tagged, seen of late, often visited."""
+    stars, notes, tags, _ = browse._overlays(spark, d)
+    g = visits(spark, d).groupBy("url", "raw_url").agg(F.max("ms").alias("ms"), F.count("*").alias("visits"))
+    marked = notes.select(F.col("url").alias("raw_url")).union(tags.select("url")).distinct().withColumn("marked", F.lit(True))
+    g = g.join(marked, "raw_url", "left").groupBy("url").agg((F.max("ms") >= 1706000000000).alias("recent"), F.coalesce(F.max("marked"), F.lit(False)).alias("annotated"), F.sum("visits").alias("visits"))
+    starred = stars.select(F.col("key").alias("url"), F.lit(True).alias("starred")).distinct()
+    return vectors.working_set(g.join(starred, "url", "left").fillna(False, ["starred"]), 100).select("url", "score")
 
 
 @query("content_hash_dedup", "SELECT hash, count(*) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256('dedup/v1' || chr(10) || 'canonical=' || source || chr(10) || 'title=' || lang || chr(10) || 'enrichment=' || text) AS hash FROM documents) GROUP BY hash HAVING count(*) > 1")
@@ -230,11 +237,31 @@ def batch_revert(spark: S, d: str) -> DataFrame:
     return ingest.visible(v, spark.range(3, 5).toDF("batch_id")).groupBy("profile_id").agg(F.count("*").alias("visits"))
 
 
-@query("evidence_pivot", "SELECT * FROM (SELECT visit_id // 4 AS visit_id, " + ", ".join(f"max(CASE WHEN visit_id % 8 = {i} THEN round(duration, 3) END) AS {k}" for i, k in enumerate(ingest.SIGNALS)) + " FROM v GROUP BY 1) WHERE coalesce(" + ", ".join(ingest.SIGNALS) + ") IS NOT NULL", VISITS_SQL)
+_METRICS = [*[k for keys in ingest.ENGAGEMENT.values() for k in keys], "engagement.other"]
+_JSON = ["true", "false", "null", '"closed"', "oops"]
+_EVIDENCE = f"""ea AS (SELECT event_type AS profile_id, event_id // 4 AS source_id, [{", ".join(f"'{k}'" for k in _METRICS)}][event_id * 7 % {len(_METRICS)} + 1] AS key, CASE WHEN event_id % 3 = 0 THEN (props->>'k')::BIGINT ELSE round(value)::BIGINT END AS value,
+    (props->>'k')::BIGINT AS whole, event_id % 3 = 0 AS is_int, event_id AS arrival FROM events WHERE event_id % 5 > 0),
+  xa AS (SELECT event_type AS profile_id, event_id // 4 AS source_id, CASE WHEN event_id % 2 = 0 THEN 'load' ELSE 'end' END AS key, [{", ".join(f"'{x}'" for x in _JSON)}][event_id % {len(_JSON)} + 1] AS value, event_id AS arrival FROM events WHERE event_id % 3 = 1)"""
+_PIVOT = ", ".join(
+    f"max_by({'CASE WHEN is_int THEN whole END' if name == 'load_successful' else 'value'}, arrival) FILTER (key IN ({', '.join(repr(k) for k in keys)}){' AND is_int' if name == 'load_successful' else ''}) AS {name}" for name, keys in ingest.ENGAGEMENT.items()
+)
+
+
+@query("evidence_pivot", f"""SELECT * FROM (SELECT profile_id, source_id, {", ".join(f"e.{n}" for n in ingest.ENGAGEMENT if n != "load_successful")}, coalesce(e.load_successful <> 0, CASE x.load WHEN 'true' THEN true WHEN 'false' THEN false END) AS load_successful,
+    CASE WHEN x.ended = '"closed"' THEN 'closed' END AS page_end_reason FROM (SELECT profile_id, source_id, {_PIVOT} FROM ea GROUP BY ALL) e
+    FULL JOIN (SELECT profile_id, source_id, max_by(value, arrival) FILTER (key = 'load') AS load, max_by(value, arrival) FILTER (key = 'end') AS ended FROM xa GROUP BY ALL) x USING (profile_id, source_id)) WHERE coalesce({", ".join(f"{n}::VARCHAR" for n in ingest.SIGNALS)}) IS NOT NULL""", _EVIDENCE)
 def evidence_pivot(spark: S, d: str) -> DataFrame:
-    key = F.element_at(F.array(*[F.lit(k) for k in ingest.SIGNALS], F.lit("other"), F.lit("none")), (F.col("visit_id") % 8 + 1).cast("int"))
-    e = visits(spark, d).select(F.floor(F.col("visit_id") / 4).alias("visit_id"), key.alias("key"), F.round("duration", 3).alias("value"))
-    return ingest.observed_interactions(e)
+    """Signals of visits from engagement and context evidence that is made from the events' values and properties."""
+    e = _read(spark, d, "events")
+    base = [F.col("event_type").alias("profile_id"), F.floor(F.col("event_id") / 4).alias("source_id"), F.col("event_id").alias("arrival")]
+    key = F.element_at(F.array(*[F.lit(k) for k in _METRICS]), (F.col("event_id") * 7 % len(_METRICS) + 1).cast("int"))
+    whole = F.get_json_object("props", "$.k").cast("long")
+    # what says whether a page loaded is a whole number only
+    engagement = e.where("event_id % 5 > 0").select(*base, key.alias("metric_key"), F.when(F.col("event_id") % 3 == 0, whole).alias("value_int"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value_real"))
+    engagement = engagement.where("metric_key <> 'engagement.load_successful' OR value_int IS NOT NULL")
+    said = F.when(F.col("event_id") % 2 == 0, "context.load_successful").otherwise("context.page_end_reason")
+    context = e.where("event_id % 3 = 1").select(*base, said.alias("context_key"), F.element_at(F.array(*[F.lit(x) for x in _JSON]), (F.col("event_id") % len(_JSON) + 1).cast("int")).alias("value_json"))
+    return ingest.observed_interactions(engagement, context)
 
 
 @query("manifest_chain", "SELECT profile_id, seq FROM (SELECT profile_id, visit_id AS seq, lag('h' || visit_id) OVER (PARTITION BY profile_id ORDER BY visit_id) AS expected, CASE WHEN visit_id % 50 = 7 THEN 'x' ELSE lag('h' || visit_id) OVER (PARTITION BY profile_id ORDER BY visit_id) END AS parent FROM v) WHERE parent IS DISTINCT FROM expected", VISITS_SQL)

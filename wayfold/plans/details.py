@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import pages, sites, text
 from wayfold.operators import archive as derive
-from wayfold.operators import explain, facts, images, ingest, outputs, structure, vectors
+from wayfold.operators import explain, facts, families, images, ingest, outputs, structure, vectors
 from wayfold.plans import history as h
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
 
@@ -26,57 +26,59 @@ def query(name: str, sql: str, base: str = VISITS_SQL):
     return register
 
 
-def _factors(kind: str, entity: str, weights: dict[str, float], source: str) -> str:
-    cells = ", ".join(f"{{'factor': '{c}', 'raw': ({c})::DOUBLE, 'weight': {w}::DOUBLE}}" for c, w in weights.items())
-    return f"SELECT kind, entity, f.factor AS factor, round(f.raw, 6) AS raw, f.weight AS weight, round(f.raw * f.weight, 6) AS contribution FROM (SELECT '{kind}' AS kind, {entity} AS entity, unnest([{cells}]) AS f FROM ({source}))"
+def _factors(kind: str, entity: str, weights: dict[str, float], source: str, fractions: dict[str, tuple[str, str]] | None = None) -> str:
+    def cell(c: str, w: float) -> str:
+        if c not in (fractions or {}):
+            return f"{{'factor': '{c}', 'raw': round(({c})::DOUBLE, 6), 'weight': {w}::DOUBLE, 'contribution': round(({c})::DOUBLE * {w}::DOUBLE, 6)}}"
+        num, den = fractions[c]
+        whole = lambda n, d: f"((2000000 * {n} + {d})::HUGEINT // (2 * {d})) / 1000000.0::DOUBLE"
+        return f"{{'factor': '{c}', 'raw': {whole(num, den)}, 'weight': {w}::DOUBLE, 'contribution': {whole(f'{round(w * 100)} * {num}', f'(100 * {den})')}}}"
 
+    cells = ", ".join(cell(c, w) for c, w in weights.items())
+    return f"SELECT kind, entity, f.factor AS factor, f.raw AS raw, f.weight AS weight, f.contribution AS contribution FROM (SELECT '{kind}' AS kind, {entity} AS entity, unnest([{cells}]) AS f FROM ({source}))"
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("raw", F.round("raw", 6)).withColumn("contribution", F.round("contribution", 6))
 
+_SES = """SELECT session_id, count(*) AS visits, count(search) AS searches, count(DISTINCT domain) AS domains, count(from_visit) AS depth, max(ms) - min(ms) AS span FROM s GROUP BY profile_id, session_id"""
 
-_SES = """SELECT session_id, count(*) AS visits, count(search) AS searches, count(DISTINCT domain) AS domains, count(from_visit) AS depth, (max(ms) - min(ms)) / 60000.0::DOUBLE AS duration_minutes FROM s GROUP BY profile_id, session_id"""
 
-
-@query("explain_sessions", _factors("session", "session_id", explain.SESSION, _SES), h.SESSIONS_SQL)
+@query("explain_sessions", _factors("session", "session_id", explain.SESSION, _SES, {"duration_minutes": ("span", "60000")}), h.SESSIONS_SQL)
 def explain_sessions(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.session_factors(structure.sessions(h._sessions(spark, d))))
+    return explain.session_factors(structure.sessions(h._sessions(spark, d)))
 
 
 @query("explain_trails", _factors("search_trail", "trail_id", explain.TRAIL, "SELECT *, (landing_domain IS NOT NULL)::INT AS landed FROM tr"), h.TRAILS_SQL)
 def explain_trails(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.trail_factors(h._trails(spark, d)))
+    return explain.trail_factors(h._trails(spark, d))
 
 
 @query("explain_refinds", _factors("refind_page", "profile_id || '::' || url", explain.PAGE, "SELECT * FROM rp"), h.REFIND_SQL)
 def explain_refinds(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.refind_factors(h._refinds(spark, d)))
+    return explain.refind_factors(h._refinds(spark, d))
 
 
-@query("explain_habits", _factors("habit_pattern", "profile_id || '::' || domain", explain.HABIT, "SELECT hb.*, c.visits, interrupted::INT AS is_interrupted FROM hb JOIN (SELECT profile_id, domain, count(*) AS visits FROM v GROUP BY ALL) c USING (profile_id, domain) WHERE kind IS NOT NULL"), f"{VISITS_SQL}, hb AS ({h.HABITS_SQL})")
+@query("explain_habits", _factors("habit_pattern", "profile_id || '::' || domain", explain.HABIT, "SELECT hb.*, c.visits, interrupted::INT AS is_interrupted FROM hb JOIN (SELECT profile_id, domain, count(*) AS visits FROM v GROUP BY ALL) c USING (profile_id, domain)", {"mean_gap": ("date_diff('day', first_day, last_day)", "(days - 1)")}), f"{VISITS_SQL}, hb AS ({h.HABITS_SQL})")
 def explain_habits(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.habit_factors(structure.habits(visits(spark, d), h.TODAY), visits(spark, d)))
+    return explain.habit_factors(structure.habits(visits(spark, d), h._ms(h.TODAY)), visits(spark, d))
 
 
 @query("explain_flows", _factors("path_flow", "profile_id || '::2::' || pattern", explain.FLOW, "SELECT *, 2 AS steps FROM fl"), f"{h.SESSIONS_SQL}, fl AS ({h.flows_sql(2)})")
 def explain_flows(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.flow_factors(structure.path_flows(h._sessions(spark, d), 2), 2))
+    return explain.flow_factors(structure.path_flows(h._sessions(spark, d), 2), 2)
 
 
 @query("explain_compare_sets", _factors("compare_set", "compare_set_id", explain.COMPARE, "SELECT * FROM cs"), h._COMPARE)
 def explain_compare_sets(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.compare_factors(h.compare_sets(spark, d)))
+    return explain.compare_factors(h.compare_sets(spark, d))
 
 
+@query("explain_families", _factors("query_family", "family_id", explain.FAMILY, "SELECT * FROM ff"), h.FAMILIES_SQL)
 def explain_families(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.family_factors(h.query_families(spark, d)))
+    return explain.family_factors(families.family_rows(h._families(spark, d)))
 
 
+@query("explain_reopened", _factors("reopened_investigation", "investigation_id", explain.REOPENED, "SELECT * FROM ro"), h.REOPENED_SQL)
 def explain_reopened(spark: S, d: str) -> DataFrame:
-    return _rounded(explain.reopened_factors(h.reopened_investigations(spark, d)))
-
-
-QUERIES |= {"explain_families": explain_families, "explain_reopened": explain_reopened}  # families depend on the order of queries: held against a loop in tests
+    return explain.reopened_factors(h._reopened(spark, d))
 
 
 @query("session_titles", f"""SELECT profile_id, session_id, concat_ws(' · ', coalesce(({{"MAP"}})[domain], domain), first_query) AS title FROM (SELECT profile_id, session_id, min_by(domain, (-n, domain)) AS domain, min(q).query AS first_query FROM

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, text
-from wayfold.operators import facts, ingest, structure
+from wayfold.operators import facts, families, ingest, structure
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
 from wayfold.store import once
 
@@ -214,34 +215,40 @@ def search_queries(spark: S, d: str) -> DataFrame:
 _IN, _OUT = (f"date_key BETWEEN '{a}' AND '{b}'" for a, b in (RANGE, BEFORE))
 
 
-@query("activity_mix", f"""SELECT category, now, before, round(now / sum(now) OVER (), 6) AS share, round(before / sum(before) OVER (), 6) AS share_before FROM
-  (SELECT category, sum(({_IN})::INT)::BIGINT AS now, sum(({_OUT})::INT)::BIGINT AS before FROM v WHERE {_IN} OR {_OUT} GROUP BY category)""", VISITS_SQL)
+@query("activity_mix", f"""SELECT category, now, before, round(now / greatest(tn, 1), 6) AS share, round(before / greatest(tb, 1), 6) AS share_before, round(now / greatest(tn, 1) - before / greatest(tb, 1), 6) AS change FROM
+  (SELECT *, sum(now) OVER () AS tn, sum(before) OVER () AS tb FROM (SELECT category, sum(visits) FILTER ({_IN})::BIGINT AS now, coalesce(sum(visits) FILTER ({_OUT}), 0)::BIGINT AS before FROM d WHERE {_IN} OR {_OUT} GROUP BY category)) WHERE now IS NOT NULL""", DOMAINS_SQL)
 def activity_mix(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).where(f"{_IN} OR {_OUT}")
-    g = v.groupBy("category").agg(F.sum(F.expr(_IN).cast("long")).alias("now"), F.sum(F.expr(_OUT).cast("long")).alias("before"))
+    """Categories of the range (a domain's day counts in its main one), their shares and what these were before."""
+    rows = _domains(spark, d).where(f"{_IN} OR {_OUT}")
+    g = rows.groupBy("category").agg(F.sum(F.expr(f"CASE WHEN {_IN} THEN visits END")).alias("now"), F.coalesce(F.sum(F.expr(f"CASE WHEN {_OUT} THEN visits END")), F.lit(0)).alias("before"))
     w = Window.partitionBy()  # one row a category
-    return g.withColumn("share", F.round(F.col("now") / F.sum("now").over(w), 6)).withColumn("share_before", F.round(F.col("before") / F.sum("before").over(w), 6))
+    now, before = (F.col(c) / F.greatest(F.sum(c).over(w), F.lit(1)) for c in ("now", "before"))
+    out = g.select("category", "now", "before", now.alias("_now"), before.alias("_before")).where("now IS NOT NULL")
+    return out.select("category", "now", "before", F.round("_now", 6).alias("share"), F.round("_before", 6).alias("share_before"), F.round(F.col("_now") - F.col("_before"), 6).alias("change"))
 
 
-@query("activity_mix_trend", "SELECT period, category, n AS visits, round(n / sum(n) OVER (PARTITION BY period), 6) AS share FROM (SELECT isoyear(date_key::DATE) || '-W' || lpad(week(date_key::DATE)::VARCHAR, 2, '0') AS period, category, count(*) AS n FROM v GROUP BY ALL)", VISITS_SQL)
+@query("activity_mix_trend", "SELECT period, category, n AS visits, round(n / sum(n) OVER (PARTITION BY period), 6) AS share FROM (SELECT isoyear(date_key::DATE) || '-W' || lpad(week(date_key::DATE)::VARCHAR, 2, '0') AS period, category, sum(visits)::BIGINT AS n FROM d GROUP BY ALL)", DOMAINS_SQL)
 def activity_mix_trend(spark: S, d: str) -> DataFrame:
-    v = visits(spark, d).withColumn("period", facts.period(facts.day(F.col("ms")), "week"))
-    g = v.groupBy("period", "category").agg(F.count("*").alias("visits"))
+    g = _domains(spark, d).groupBy(facts.period(F.col("date_key"), "week").alias("period"), "category").agg(F.sum("visits").alias("visits"))
     return g.withColumn("share", F.round(F.col("visits") / F.sum("visits").over(Window.partitionBy("period")), 6))
 
 
-_KPIS = (("visits", "count(*)"), ("searches", "count(search)"), ("new_domains", "sum(is_new_domain)"), ("domains", "count(distinct domain)"), ("active_days", "count(distinct date_key)"))
+def _ms(day: str, after: int = 0) -> int:
+    return int((dt.datetime.fromisoformat(day) + dt.timedelta(days=after) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
 
 
-@query("digest_kpis", "SELECT kpi, now, before, round((now - before) * 100.0 / nullif(before, 0), 6) AS change, CASE WHEN now > before THEN 'up' WHEN now < before THEN 'down' ELSE 'flat' END AS direction FROM (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS kpi, (SELECT {e} FROM v WHERE {_IN})::BIGINT AS now, (SELECT {e} FROM v WHERE {_OUT})::BIGINT AS before" for k, e in _KPIS) + ")", VISITS_SQL)
+#: First and end of the range and of the one before, in milliseconds.
+_SPANS = {"now": (_ms(RANGE[0]), _ms(RANGE[1], 1)), "before": (_ms(BEFORE[0]), _ms(BEFORE[1], 1))}
+_KPIS = ("total_visits", "total_searches", "new_domains", "deep_read_pages", "refind_pages")
+_PART = lambda days, a, b: f"""SELECT unnest(['total_visits', 'total_searches', 'new_domains', 'deep_read_pages', 'refind_pages']) AS kpi, unnest([(SELECT coalesce(sum(visits), 0) FROM d WHERE {days}), (SELECT coalesce(sum(searches), 0) FROM d WHERE {days}),
+  (SELECT coalesce(sum((new_domain_visits > 0)::INT), 0) FROM d WHERE {days}), (SELECT count(*) FROM ds WHERE first_ms >= {a} AND first_ms < {b}), (SELECT count(*) FROM rp WHERE last_ms >= {a} AND first_ms < {b})])::BIGINT AS value"""
+
+
+@query("digest_kpis", f"SELECT kpi, n.value AS now, b.value AS before, n.value - b.value AS change, CASE WHEN n.value > b.value THEN 'up' WHEN n.value < b.value THEN 'down' ELSE 'flat' END AS direction FROM ({_PART(_IN, *_SPANS['now'])}) n JOIN ({_PART(_OUT, *_SPANS['before'])}) b USING (kpi)",
+       REFIND_SQL + "," + DOMAINS_SQL[len(VISITS_SQL) + 1 :] + """, ds AS (SELECT session_id, min(ms) AS first_ms FROM s GROUP BY profile_id, session_id HAVING count(from_visit) >= 4 AND count(DISTINCT domain) >= 5 AND count(*) >= 8 AND sum(is_new_domain) >= 1)""")
 def digest_kpis(spark: S, d: str) -> DataFrame:
-    v = _facts(spark, d).withColumn("part", F.when(F.expr(_IN), "now").when(F.expr(_OUT), "before")).where("part IS NOT NULL")
-    g = v.groupBy("part").agg(*[F.expr(e).cast("long").alias(k) for k, e in _KPIS])
-    rows = g.select("part", F.expr(f"stack({len(_KPIS)}, " + ", ".join(f"'{k}', {k}" for k, _ in _KPIS) + ") AS (kpi, value)"))
-    wide = rows.groupBy("kpi").pivot("part", ["now", "before"]).agg(F.first("value"))
-    change = F.round((F.col("now") - F.col("before")) * 100.0 / F.nullif("before", F.lit(0)), 6)
-    return wide.withColumn("change", change).withColumn("direction", F.when(F.col("now") > F.col("before"), "up").when(F.col("now") < F.col("before"), "down").otherwise("flat"))
+    """The five figures of the range beside those of the one before: visits, searches, new domains, deep dives begun, pages found again."""
+    return structure.digest(facts.summary_rollup(_domains(spark, d)), structure.sessions(_sessions(spark, d)), _refinds(spark, d), RANGE, BEFORE)
 
 
 @query("breadth_index", f"""SELECT count(*) AS domains, round((1 - sum(n * n) / (sum(n) * sum(n))) * 100, 6) AS breadth, sum((coalesce(before, 0) * 2 < total)::INT)::BIGINT AS domains_for_half FROM
@@ -272,9 +279,9 @@ def search_trails(spark: S, d: str) -> DataFrame:
     return _trails(spark, d)
 
 
-@query("hub_pages", "SELECT url, count(DISTINCT trail_id) AS trails, count(*) AS visits FROM tm WHERE ordinal > 0 GROUP BY url ORDER BY trails DESC, url LIMIT 10", TRAILS_SQL)
+@query("hub_pages", f"SELECT url, domain, max(title) AS title, count(DISTINCT trail_id) AS trails FROM tm WHERE ms >= {_SPANS['now'][0]} AND ms < {_SPANS['now'][1]} GROUP BY url, domain ORDER BY trails DESC, url, domain LIMIT 10", TRAILS_SQL)
 def hub_pages(spark: S, d: str) -> DataFrame:
-    return structure.hub_pages(_members(spark, d))
+    return structure.hub_pages(_members(spark, d), *_SPANS["now"])
 
 
 #: As of facts.overlapping().
@@ -300,9 +307,9 @@ def refind_pages(spark: S, d: str) -> DataFrame:
     return _round(r, "score")
 
 
-_EFFECT = """, la AS (SELECT profile_id, landing_domain AS domain, count(*) AS landings, sum((visits > 2)::INT)::BIGINT AS trails FROM tr WHERE landing_domain IS NOT NULL GROUP BY ALL),
+_EFFECT = """, la AS (SELECT profile_id, landing_domain AS domain, count(*) AS landings, count(DISTINCT trail_id) AS trails, min(first_ms) AS first_ms, max(last_ms) AS last_ms FROM tr WHERE landing_domain IS NOT NULL GROUP BY ALL),
 rr AS (SELECT profile_id, domain, count(*) AS refs FROM rp GROUP BY ALL),
-se AS (SELECT profile_id, domain, coalesce(landings, 0) AS landings, coalesce(trails, 0)::BIGINT AS trails, coalesce(refs, 0) AS refs FROM la FULL JOIN rr USING (profile_id, domain)),
+se AS (SELECT profile_id, domain, coalesce(landings, 0) AS landings, coalesce(trails, 0) AS trails, coalesce(refs, 0) AS refs, coalesce(first_ms, 0) AS first_ms, coalesce(last_ms, 0) AS last_ms FROM la FULL JOIN rr USING (profile_id, domain)),
 sc AS (SELECT *, round(2 * landings + 1.5 * refs + 0.5 * trails, 6)::DOUBLE AS score, CASE WHEN refs >= landings AND refs > 0 THEN 'reference' ELSE 'landing' END AS role FROM se)"""
 
 
@@ -311,22 +318,27 @@ def source_effectiveness(spark: S, d: str) -> DataFrame:
     return _round(structure.source_effectiveness(_trails(spark, d), _refinds(spark, d)), "score")
 
 
-@query("stable_sources", "SELECT * FROM sc WHERE role = 'reference' ORDER BY score DESC, profile_id, domain LIMIT 10", REFIND_SQL + _EFFECT)
+_STABLE = f"SELECT domain, profile_id, role, trails, landings, score FROM sc WHERE {_OVER} ORDER BY score DESC, domain, profile_id LIMIT 10"
+
+
+@query("stable_sources", _STABLE, REFIND_SQL + _EFFECT)
 def stable_sources(spark: S, d: str) -> DataFrame:
-    return source_effectiveness(spark, d).where("role = 'reference'").orderBy(F.desc("score"), "profile_id", "domain").limit(10)
+    """The ten sources that gave most, of those seen in the range."""
+    rows = facts.overlapping(source_effectiveness(spark, d), *RANGE).select("domain", "profile_id", "role", "trails", "landings", "score")
+    return rows.orderBy(F.desc("score"), "domain", "profile_id").limit(10)
 
 
-HABITS_SQL = f"""SELECT profile_id, domain, days, first_day, last_day, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv,
-  CASE WHEN mean_gap < 2 AND cv < 0.5 THEN 'daily' WHEN mean_gap BETWEEN 5 AND 10 AND cv < 0.6 THEN 'weekly' WHEN mean_gap > 10 AND cv < 0.8 THEN 'periodic' END AS kind,
-  date_diff('day', last_day, DATE '{TODAY}') > 2 * mean_gap AS interrupted FROM
-  (SELECT profile_id, domain, count(*) AS days, min(d) AS first_day, max(d) AS last_day, avg(gap) AS mean_gap, stddev_pop(gap) / avg(gap) AS cv FROM
-    (SELECT profile_id, domain, d, date_diff('day', lag(d) OVER (PARTITION BY profile_id, domain ORDER BY d), d) AS gap FROM (SELECT DISTINCT profile_id, domain, date_key::DATE AS d FROM v)) GROUP BY ALL)
-  WHERE days >= 5 AND date_diff('day', first_day, last_day) >= 14"""
+HABITS_SQL = f"""SELECT * EXCLUDE (mean_gap, cv), round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv,
+  greatest({_ms(TODAY)} - last_ms, 0) * (days - 1) > 2 * date_diff('day', first_day, last_day) * 86400000 AS interrupted FROM
+  (SELECT *, CASE WHEN mean_gap < 2 AND cv < 0.5 THEN 'daily_habit' WHEN mean_gap BETWEEN 5 AND 10 AND cv < 0.6 THEN 'weekly_habit' WHEN mean_gap > 10 AND cv < 0.8 THEN 'periodic_reference' END AS kind FROM
+  (SELECT profile_id, domain, count(*) AS days, min(d) AS first_day, max(d) AS last_day, max(ms) AS last_ms, avg(gap) AS mean_gap, stddev_pop(gap) / avg(gap) AS cv FROM
+    (SELECT profile_id, domain, d, ms, date_diff('day', lag(d) OVER (PARTITION BY profile_id, domain ORDER BY d), d) AS gap FROM (SELECT profile_id, domain, date_key::DATE AS d, max(ms) AS ms FROM v GROUP BY ALL)) GROUP BY ALL)
+  WHERE days >= 5 AND date_diff('day', first_day, last_day) >= 14) WHERE kind IS NOT NULL"""
 
 
 @query("habits", HABITS_SQL, VISITS_SQL)
 def habits(spark: S, d: str) -> DataFrame:
-    return _round(structure.habits(visits(spark, d), TODAY), "mean_gap", "cv")
+    return _round(structure.habits(visits(spark, d), _ms(TODAY)), "mean_gap", "cv")
 
 
 def flows_sql(n: int) -> str:
@@ -412,12 +424,68 @@ def navigation_path(spark: S, d: str) -> DataFrame:
     return structure.navigation_paths(visits(spark, d), visits(spark, d))
 
 
+#: Families one search after the other: of each profile and engine the anchors so far, and the family of each set of terms.
+FAMILIES_SQL = f"""RECURSIVE {EVENTS_SQL},
+fs AS (SELECT profile_id, engine, terms, pos, row_number() OVER (PARTITION BY profile_id, engine ORDER BY pos) AS r FROM (SELECT profile_id, engine, terms, min(visit_id) AS pos FROM et WHERE len(terms) > 0 GROUP BY ALL)),
+fg AS (SELECT profile_id, engine, r, terms, pos, pos AS anchor, [{{'pos': pos, 'terms': terms}}] AS anchors FROM fs WHERE r = 1
+  UNION ALL SELECT profile_id, engine, r, terms, pos, coalesce(m, pos), CASE WHEN m IS NULL THEN list_append(anchors, {{'pos': pos, 'terms': terms}}) ELSE anchors END FROM
+    (SELECT n.profile_id, n.engine, n.r, n.terms, n.pos, g.anchors, list_filter(g.anchors, lambda a: len(list_intersect(a.terms, n.terms)) >= least(len(a.terms), len(n.terms), ceil((len(a.terms) + len(n.terms)) / 3.0)))[1].pos AS m
+     FROM fg g JOIN fs n ON n.profile_id = g.profile_id AND n.engine = g.engine AND n.r = g.r + 1)),
+fn AS (SELECT profile_id, pos, 'family:' || profile_id || ':' || lpad(row_number() OVER (PARTITION BY profile_id ORDER BY pos)::VARCHAR, greatest(4, length(row_number() OVER (PARTITION BY profile_id ORDER BY pos)::VARCHAR)::INT), '0') AS family_id FROM fg WHERE pos = anchor),
+fm AS (SELECT e.profile_id, e.engine, e.visit_id, e.ms, e.raw_query, e.normalized_query, fn.family_id FROM et e JOIN fg ON fg.profile_id = e.profile_id AND fg.engine = e.engine AND fg.terms = e.terms JOIN fn ON fn.profile_id = fg.profile_id AND fn.pos = fg.anchor),
+ff AS (SELECT profile_id, engine, family_id, min_by(raw_query, visit_id) AS anchor_query, count(*) AS members, count(DISTINCT normalized_query) AS queries, min_by(ms, visit_id) AS first_ms, max(ms) AS last_ms FROM fm GROUP BY ALL)"""
+
+
+def _families(spark: S, d: str) -> DataFrame:
+    return _stored("families", spark, d, lambda: families.query_families(_events(spark, d)))
+
+
+@query("query_families", "SELECT * FROM fm", FAMILIES_SQL)
 def query_families(spark: S, d: str) -> DataFrame:
-    return structure.query_families(visits(spark, d).where("search IS NOT NULL"))
+    """The family of each search by keywords."""
+    return _families(spark, d)
+
+
+@query("family_list", f"SELECT * FROM ff WHERE {_OVER} ORDER BY members DESC, last_ms DESC, family_id LIMIT 100", FAMILIES_SQL)
+def family_list(spark: S, d: str) -> DataFrame:
+    """Families of searches seen in the range, the largest first."""
+    return facts.overlapping(families.family_rows(_families(spark, d)), *RANGE).orderBy(F.desc("members"), F.desc("last_ms"), "family_id").limit(100)
+
+
+_LARGEST = "(SELECT family_id FROM ff ORDER BY members DESC, family_id LIMIT 1)"
+
+
+@query("family_detail", f"SELECT f.family_id, visit_id, f.ms, raw_query, (f.ms - lag(f.ms) OVER (ORDER BY visit_id)) AS since_ms, t.landing_domain, t.landing_url FROM fm f LEFT JOIN (SELECT profile_id, trail_id, landing_domain, landing_url FROM tr) t ON t.trail_id = 'trail:' || f.profile_id || ':' || f.visit_id WHERE f.family_id = {_LARGEST}", FAMILIES_SQL)
+def family_detail(spark: S, d: str) -> DataFrame:
+    """The searches of the largest family in order, with where each led."""
+    largest = families.family_rows(_families(spark, d)).orderBy(F.desc("members"), "family_id").first()
+    own = _families(spark, d).where(F.col("family_id") == (largest.family_id if largest else None))
+    return families.detail(own, _trails(spark, d))
+
+
+@query("hardest_topics", f"SELECT family_id, anchor_query, members, round(greatest(last_ms - first_ms, 0) / 86400000.0::DOUBLE, 6) AS lag_days FROM (SELECT * FROM ff WHERE {_OVER} ORDER BY members DESC, last_ms DESC, family_id LIMIT 5)", FAMILIES_SQL)
+def hardest_topics(spark: S, d: str) -> DataFrame:
+    """Topics that were searched most often in the range, and over how long."""
+    rows = facts.overlapping(families.family_rows(_families(spark, d)), *RANGE).orderBy(F.desc("members"), F.desc("last_ms"), "family_id").limit(5)
+    return rows.select("family_id", "anchor_query", "members", F.round(F.greatest(F.col("last_ms") - F.col("first_ms"), F.lit(0)) / 86_400_000.0, 6).alias("lag_days"))
+
+
+REOPENED_SQL = FAMILIES_SQL + "," + REFIND_SQL[len(TRAILS_SQL) + 1 :] + """,
+ro AS (SELECT 'reopened:' || profile_id || ':' || family_id AS investigation_id, profile_id, 'query_family' AS anchor_type, family_id AS anchor_id, anchor_query AS anchor_label, members AS occurrences, queries AS distinct_days, first_ms, last_ms FROM ff WHERE queries > 1 OR members > 1
+  UNION ALL SELECT 'reopened:' || profile_id || ':' || url, profile_id, 'reference_page', url, coalesce(t.title, url), days, days, first_ms, last_ms FROM rp LEFT JOIN (SELECT profile_id, url, max(title) AS title FROM v GROUP BY ALL) t USING (profile_id, url) WHERE days > 1)"""
+
+
+def _reopened(spark: S, d: str) -> DataFrame:
+    return structure.reopened(families.family_rows(_families(spark, d)), _refinds(spark, d), _facts(spark, d))
 
 
+@query("reopened_investigations", "SELECT * FROM ro", REOPENED_SQL)
 def reopened_investigations(spark: S, d: str) -> DataFrame:
-    return structure.reopened(query_families(spark, d), _refinds(spark, d))
+    """All families and pages that were taken up again."""
+    return _reopened(spark, d)
 
 
-QUERIES |= {"query_families": query_families, "reopened_investigations": reopened_investigations}  # order-dependent: held against a loop in tests
+@query("reopened_list", f"SELECT * FROM ro WHERE {_OVER} ORDER BY last_ms DESC, occurrences DESC, investigation_id LIMIT 10", REOPENED_SQL)
+def reopened_list(spark: S, d: str) -> DataFrame:
+    """The ten last of them that were seen in the range."""
+    return facts.overlapping(_reopened(spark, d), *RANGE).orderBy(F.desc("last_ms"), F.desc("occurrences"), "investigation_id").limit(10)
