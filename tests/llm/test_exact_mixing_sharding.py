@@ -164,3 +164,10 @@ def test_mixing_keeps_columns_of_clashing_names(spark):
     assert out.columns == df.columns and {(r.key, r["size"], r.passes, r["_key"]) for r in out.collect()} == {(1, 1, 5, 6)}
     assert {r["_key"] for r in mixing.mix(df).collect()} == {6}
     assert mixing.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_mixing_takes_documents_without_words_twice_at_most(spark):
+    rows = [(i, "" if i % 2 else None, "a") for i in range(40)] + [(100 + i, "w " * 10, "a") for i in range(3)] + [(200 + i, "w " * 50, "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = Counter(r.doc_id for r in mixing.stage(spark, docs, "").collect())
+    assert max(times.values()) == 2 and mixing.stage(spark, docs.limit(0), "").count() == 0

@@ -5,6 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from wayfold.llm import near, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +102,12 @@ def test_repeats_nulls_and_empty_tables(spark):
     out = sorted(((r.doc_id or -1, r.component_id, r.kept) for r in near.near_duplicates(df).collect()), key=str)
     assert out == sorted([(1, 1, True), (1, 1, True), (-1, None, True), (3, 1, False), (4, 4, True)], key=str)
     assert near.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_stage_keeps_columns_of_clashing_names(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, 5, "a"), (2, text, 6, "b"), (1, "x y", 7, "c"), (None, text, 8, "d"), (None, text, 8, "d"), (4, None, 9, "e"), (5, "", 0, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept long, id string").withColumn("_row", F.lit(1))
+    got = near.stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, docs.where("doc_id IS NULL OR doc_id <> 2").collect()))
+    assert near.stage(spark, docs.limit(0), "").count() == 0

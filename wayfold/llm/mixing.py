@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,7 +80,8 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, rounds:
     extra = F.lit(False)
     for k in range(rounds):
         extra = extra | ((F.col("h") < F.col(f"plan.thr{k}")) & ((F.col("w") <= F.col(f"plan.left{k}")) if k else F.lit(True)))
-    passes = F.col("plan.passes") + extra.cast("int")
+    # a document without words fits into every budget, also into those of a source at its cap
+    passes = F.least(F.col("plan.passes") + extra.cast("int"), F.lit(math.ceil(how.get("most", MOST))))
     return joined.select("row", F.col("w").alias("size"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), passes.alias("passes"), (passes * F.col("w")).cast("long").alias("taken"))
 
 
@@ -102,7 +104,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Documents without words have size 0 and are taken as their source is; null sources are one source; rows of one
+    id are taken alike. An empty table stays empty; columns stay as they are, whatever their names.
+    """
     out = _mixed(docs, "doc_id", "text", "source", ROUNDS).where("passes > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
 

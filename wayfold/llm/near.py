@@ -232,6 +232,11 @@ def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group.
+
+    Null ids stay, and so does every row of a kept id; null and empty texts have no group and stay. An empty table
+    stays empty; columns stay as they are, whatever their names; texts are taken whole, however long.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_kept"))
+    return rows.join(kept, "_kept", "left_semi").select("_row").unionByName(rows.where("_kept IS NULL").select("_row")).select("_row.*")
