@@ -26,17 +26,16 @@ def domain_rollup(facts: DataFrame) -> DataFrame:
     """Day x profile x domain: visits, searches, new_domain_visits, unique_urls and the majority category.
 
     Counts per URL and category are made first, map-side, and summed per category; the category with
-    most visits wins, then one that is known, then the first by name. The URLs of a domain's day are
-    counted in the same pass.
+    most visits wins, then one that is known, then the first by name. A URL counts once a day, in the
+    first of its categories, so that no list grows with a domain's URLs.
     """
     key = ["date_key", "profile_id", "domain"]
-    by_url = facts.groupBy(*key, "category", "url").agg(F.count("*").alias("n"), F.count("search").alias("s"), F.sum("is_new_domain").alias("new"))
-    counted = by_url.groupBy(*key, "category").agg(F.sum("n").alias("visits"), F.sum("s").alias("searches"), F.sum("new").alias("new_domain_visits"), F.collect_set("url").alias("urls"))
+    by_url = facts.groupBy(*key, "url", "category").agg(F.count("*").alias("n"), F.count("search").alias("s"), F.sum("is_new_domain").alias("new"))
+    whole = by_url.groupBy(*key, "url").agg(F.collect_list(F.struct("category", "n", "s", "new")).alias("parts"))  # a line a category
+    flat = whole.select(*key, F.posexplode("parts").alias("at", "part")).select(*key, (F.col("at") == 0).cast("long").alias("first"), "part.*")
+    counted = flat.groupBy(*key, "category").agg(F.sum("n").alias("visits"), F.sum("s").alias("searches"), F.sum("new").alias("new_domain_visits"), F.sum("first").alias("urls"))
     best = F.min_by("category", F.struct(-F.col("visits"), (F.col("category") == "unknown").alias("u"), "category"))
-    return counted.groupBy(*key).agg(
-        best.alias("category"), F.sum("visits").alias("visits"), F.sum("searches").alias("searches"), F.sum("new_domain_visits").alias("new_domain_visits"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("urls")))).cast("long").alias("unique_urls"),
-    )
+    return counted.groupBy(*key).agg(best.alias("category"), F.sum("visits").alias("visits"), F.sum("searches").alias("searches"), F.sum("new_domain_visits").alias("new_domain_visits"), F.sum("urls").alias("unique_urls"))
 
 
 def category_rollup(domains: DataFrame) -> DataFrame:

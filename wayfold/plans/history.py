@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, text
-from wayfold.operators import facts, families, ingest, structure
+from wayfold.operators import facts, families, ingest, stages, structure
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
-from wayfold.store import once
+from wayfold.store import once, shared_folder
 
 #: The range that ranged reads ask for, the one before it, and "today", as parameters of the queries.
 RANGE, BEFORE, TODAY = ("2024-01-16", "2024-01-30"), ("2024-01-01", "2024-01-15"), "2024-01-31"
@@ -489,3 +490,25 @@ def reopened_investigations(spark: S, d: str) -> DataFrame:
 def reopened_list(spark: S, d: str) -> DataFrame:
     """The ten last of them that were seen in the range."""
     return facts.overlapping(_reopened(spark, d), *RANGE).orderBy(F.desc("last_ms"), F.desc("occurrences"), "investigation_id").limit(10)
+
+
+def _staged(spark: S, d: str, stage: str, build: Callable[..., DataFrame]) -> DataFrame:
+    """A stage's table after three runs: of the first half of the visits by id, of all, and of all again, which does nothing."""
+    a, v = archive(spark, d), _facts(spark, d)
+    folder = f"{shared_folder(spark)}/wayfold-stages-{uuid.uuid4().hex}"
+    half = v.agg((F.max("visit_id") / 2).cast("long")).first()[0]
+    for rows in (v.where(F.col("visit_id") <= half), v, v):
+        stages.run(folder, stage, stages.watermarks(rows, a["urls"], a["search_terms"], a["profiles"]), rows, build)
+    return stages.load(spark, folder, stage)[0]
+
+
+@query("staged_rollup", "SELECT * FROM d", DOMAINS_SQL)
+def staged_rollup(spark: S, d: str) -> DataFrame:
+    """Domain rollups of which only the days of new visits were counted again."""
+    return _staged(spark, d, "daily-rollup", stages.daily)
+
+
+@query("staged_sessions", SQL["sessions_30m"].split(SESSIONS_SQL, 1)[1], SESSIONS_SQL)
+def staged_sessions(spark: S, d: str) -> DataFrame:
+    """Sessions of which only those that new visits touch, and later ones, were built again."""
+    return _staged(spark, d, "structural-rebuild", stages.structural)
