@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import sites, taxonomy, text, urls
 from wayfold.operators import archive as derive
-from wayfold.operators import ingest, recall, vectors
+from wayfold.operators import ingest, planes, recall, vectors
 from wayfold.plans import browse
 from wayfold.sources.testdata import URL_COLUMNS_SQL, VISITS_SQL, archive, visits
+from wayfold.store import once
 
 S = SparkSession
 QUERIES: dict = {}
@@ -169,6 +170,18 @@ def int8_rescore_topk(spark: S, d: str) -> DataFrame:
     return vectors.two_stage_topk(_read(spark, d, "embeddings"), _asked(spark, d), 10)
 
 
+@query("vector_batch_topk", """SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM
+  (SELECT query, vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: (CASE WHEN scale = 0 THEN 0 ELSE round(x[1]::DOUBLE / scale) END) * x[2]::DOUBLE)) * scale, 6) AS score FROM
+    (SELECT *, max(CASE WHEN near <= 2000 THEN bits END) OVER (PARTITION BY query) AS edge, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS scale FROM
+      (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bits) AS near FROM (SELECT q.vec_id AS query, e.vec_id, e.embedding, q.embedding AS q, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: ((x[1] >= 0) <> (x[2] >= 0))::INT)) AS bits
+        FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0))) WHERE bits <= edge)) WHERE rank <= 10""")
+def vector_batch_topk(spark: S, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100, a stated query set, from stored planes."""
+    e = _read(spark, d, "embeddings")
+    plane = once(spark, "vector-plane", [f"{d}/embeddings.parquet"], lambda: planes.build(e))
+    return planes.batch_topk(plane, e.where("vec_id % 100 = 0"), 10).select("query", F.col("id").alias("vec_id"), "score", "rank")
+
+
 def _lists(spark: S, d: str) -> list[tuple[DataFrame, float]]:
     docs = _read(spark, d, "documents").select("doc_id", "n_chars")
     by = lambda *o: F.row_number().over(Window.orderBy(*o)) - 1
