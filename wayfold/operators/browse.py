@@ -122,24 +122,6 @@ def _order_columns(sort: str) -> list:
     return {"oldest": ["ms", "visit_id"], "newest": [F.desc("ms"), F.desc("visit_id")], "relevance": ["score", F.desc("ms"), F.desc("visit_id")]}[sort]
 
 
-def favicons_of(lookups: DataFrame, favicons: DataFrame) -> DataFrame:
-    """lookups: id, profile_id, url, ms, the rows that a page shows. favicons: id, profile_id, page_url, page_host, last_updated_ms, width, height, blob.
-
-    The icon of each as of its time (any time, if that is 0 or less): of the page in the profile, of
-    the page in another one, of the host in the profile, of the host in another one; within a tier
-    the newest, then the greatest. Icons without an image don't count. Null if there is none.
-    """
-    icons = favicons.where("blob IS NOT NULL").select(F.col("id").alias("icon"), F.col("profile_id").alias("of_profile"), "page_url", "page_host", "last_updated_ms", "width", "height", "blob")
-    asked = lookups.select(F.col("id").alias("lookup"), "profile_id", "url", "ms", urls.host(F.col("url")).alias("host")).where("host <> ''")
-    rank = F.struct("last_updated_ms", "width", "height", "icon")
-    in_time = (F.col("ms") <= 0) | (F.col("last_updated_ms") <= F.col("ms"))
-    same = F.col("profile_id") == F.col("of_profile")
-    by_page = asked.join(icons, asked["url"] == icons["page_url"]).where(in_time).withColumn("tier", F.when(same, 0).otherwise(1))
-    by_host = asked.join(icons, asked["host"] == icons["page_host"]).where(in_time & (F.col("url") != F.col("page_url"))).withColumn("tier", F.when(same, 2).otherwise(3))
-    best = by_page.unionByName(by_host).groupBy("lookup", "tier").agg(F.max_by("blob", rank).alias("blob")).groupBy("lookup").agg(F.min("tier").alias("tier"), F.min_by("blob", "tier").alias("blob"))
-    return lookups.select(F.col("id").alias("lookup")).join(best, "lookup", "left")
-
-
 def browse_day(rows: DataFrame, day: str) -> DataFrame:
     """One row about a local day: totals, kinds of visits, sessions, busiest hour, and the tops as arrays of structs."""
     start = F.unix_millis(F.lit(day).cast("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, urls
-from wayfold.operators import browse, lexical, overlays, segments
+from wayfold.operators import browse, favicons, lexical, overlays, segments
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
 from wayfold.store import once, shared_folder
 
@@ -203,7 +203,7 @@ def projection_refresh(spark: S, d: str) -> DataFrame:
 
 # --- favicons ---
 
-_ICONS = VISITS_SQL + """, icons AS (SELECT row_number() OVER (ORDER BY profile_id, url_id) AS id, profile_id, url AS page_url, host AS page_host, first_ms + url_id % 5 * 86400000 AS last_updated_ms, 16 * (1 + url_id % 2) AS width, 16 * (1 + url_id % 2) AS height, CASE WHEN url_id % 13 > 0 THEN sha256(profile_id || url) END AS blob FROM known WHERE url_id % 3 = 0),
+_ICONS = VISITS_SQL + """, icons AS (SELECT profile_id || ':' || lpad(url_id::VARCHAR, 12, '0') AS id, profile_id, url AS page_url, host AS page_host, first_ms + url_id % 5 * 86400000 AS last_updated_ms, 16 * (1 + url_id % 2) AS width, 16 * (1 + url_id % 2) AS height, CASE WHEN url_id % 13 > 0 THEN sha256(profile_id || url) END AS blob FROM known WHERE url_id % 3 = 0),
 lk AS (SELECT visit_id AS id, profile_id, raw_url AS url, CASE WHEN visit_id % 500 = 0 THEN 0 ELSE ms END AS ms, string_split(string_split(raw_url, '://')[2], '/')[1] AS host FROM v WHERE visit_id % 100 = 0)"""
 
 
@@ -217,10 +217,9 @@ def favicon_lookup(spark: S, d: str) -> DataFrame:
     u = archive(spark, d)["urls"].where("url_id % 3 = 0")
     blob = F.when(F.col("url_id") % 13 > 0, F.sha2(F.concat("profile_id", "url"), 256))
     size = (16 * (1 + F.col("url_id") % 2)).alias("width")
-    order = F.row_number().over(Window.orderBy("profile_id", "url_id"))
-    icons = u.select(order.alias("id"), "profile_id", F.col("url").alias("page_url"), urls.host(F.col("url")).alias("page_host"), (F.col("first_ms") + F.col("url_id") % 5 * 86400000).alias("last_updated_ms"), size, size.alias("height"), blob.alias("blob"))
+    icons = u.select(F.concat_ws(":", "profile_id", F.lpad(F.col("url_id").cast("string"), 12, "0")).alias("id"), "profile_id", F.col("url").alias("page_url"), urls.host(F.col("url")).alias("page_host"), (F.col("first_ms") + F.col("url_id") % 5 * 86400000).alias("last_updated_ms"), size, size.alias("height"), blob.alias("blob"))
     asked = visits(spark, d).where("visit_id % 100 = 0").select(F.col("visit_id").alias("id"), "profile_id", F.col("raw_url").alias("url"), F.when(F.col("visit_id") % 500 == 0, 0).otherwise(F.col("ms")).alias("ms"))
-    return browse.favicons_of(asked, icons)
+    return favicons.favicons_of(asked, icons)
 
 
 # --- a day, stars, notes and tags ---
