@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import sites, taxonomy, text, urls
 from wayfold.operators import archive as derive
-from wayfold.operators import ingest, planes, recall, vectors
+from wayfold.operators import ingest, planes, recall, suffixes, vectors
 from wayfold.plans import browse
 from wayfold.sources.testdata import URL_COLUMNS_SQL, VISITS_SQL, archive, visits
 from wayfold.store import once
@@ -42,6 +42,20 @@ def url_normalize(spark: S, d: str) -> DataFrame:
     return _read(spark, d, "pages").select("page_id", urls.normalize(url).alias("canonical"), F.size(urls.tracking_params(url)).alias("dropped"))
 
 
+#: Rules of the query: plain ones, a wildcard with an exception, and a private one.
+SUFFIX_RULES = ("com", "org", "net", "example.com", "*.example.org", "!news.example.org", "co.uk", "// a comment")
+
+
+@query("registrable_by_rules", f"""SELECT page_id, host, coalesce(CASE WHEN len(string_split(listed, '.')) < len(string_split(domain, '.')) THEN domain ELSE listed END, domain) AS domain FROM (SELECT h.page_id, h.host, h.domain, array_to_string(labels[-(b.length + 1):], '.') AS listed FROM h3 h LEFT JOIN
+  (SELECT host, max({{'x': x, 'length': length}}).length AS length FROM (SELECT host, len(labels) AS n, r.x, CASE WHEN r.x = 1 THEN len(string_split(r.tail, '.')) - 1 ELSE len(string_split(r.tail, '.')) + r.extra END AS length FROM (SELECT DISTINCT host, labels FROM h3),
+    (SELECT regexp_replace(rule, '^(!|\\*\\.)', '') AS tail, starts_with(rule, '*.')::INT AS extra, starts_with(rule, '!')::INT AS x FROM (VALUES {", ".join(f"('{r}')" for r in SUFFIX_RULES if r[0] != "/")}) v(rule)) r WHERE host = r.tail OR ends_with(host, '.' || r.tail)) WHERE x = 1 OR length <= n GROUP BY host, n HAVING max({{'x': x, 'length': length}}).length < n) b ON b.host = h.host)""", _PAGES)
+def registrable_by_rules(spark: S, d: str) -> DataFrame:
+    """Registrable domains of the pages under a table of rules."""
+    rules = spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    hosts = _read(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return suffixes.with_domains(hosts, rules)
+
+
 @query("registrable_domain", r"SELECT page_id, host, domain, CASE WHEN host = domain THEN '' ELSE substr(host, 1, length(host) - length(domain) - 1) END AS subdomain, regexp_extract(path, '^/+([^/]+)', 1) AS prefix FROM h3", _PAGES)
 def registrable_domain(spark: S, d: str) -> DataFrame:
     url = F.col("url")
