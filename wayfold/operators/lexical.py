@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import text
+from wayfold.functions.folding import Folder
 
 #: Fields of a document and their weights, in order; fixed values.
 WEIGHTS = {"url": 6.0, "title": 12.0, "search_terms": 4.0, "normalized_url": 5.0, "normalized_title": 10.0, "normalized_terms": 4.0, "cjk": 2.0, "enrichment": 7.0, "notes": 9.0, "tags": 6.0}
@@ -22,13 +23,13 @@ FUZZY = {"normalized_title": 0.0, "normalized_url": 0.08, "normalized_terms": 0.
 FUZZY_URLS, FUZZY_VISITS = 200, 400
 
 
-def documents(url_rows: DataFrame, terms: DataFrame, notes: DataFrame, tags: DataFrame, enrichment: DataFrame) -> DataFrame:
+def documents(url_rows: DataFrame, terms: DataFrame, notes: DataFrame, tags: DataFrame, enrichment: DataFrame, fold: Folder | None = None) -> DataFrame:
     """The search projection: one row a URL (doc_id, profile_id, url_id) with the fields of WEIGHTS and compact.
 
     terms: profile_id, url_id, term. notes: url, notes. tags: url, tag. enrichment: url, summary,
     metadata. Terms and tags are sorted; notes and tags fold into the compact text and the grams
     only, so that field filters don't look into them; size and windows are the numbers of tokens of all
-    fields and of three-character windows of the compact text. Rows of some URLs are refreshed by giving
+    fields and of three-character windows of the compact text. With a folder, every field is indexed in each of its forms. Rows of some URLs are refreshed by giving
     only those.
     """
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), " ")
@@ -37,9 +38,11 @@ def documents(url_rows: DataFrame, terms: DataFrame, notes: DataFrame, tags: Dat
     e = enrichment.select("url", text.enrichment_text(F.col("summary"), F.col("metadata")).alias("enrichment"))
     rows = url_rows.select("profile_id", "url_id", "url", "title").join(t, ["profile_id", "url_id"], "left").join(notes.select("url", "notes"), "url", "left").join(g, "url", "left").join(e, "url", "left")
     rows = rows.fillna("", ["title", "search_terms", "notes", "tags", "enrichment"])
-    rows = rows.withColumns({f"normalized_{n}": text.normalize_text(F.col(c)) for n, c in (("url", "url"), ("title", "title"), ("terms", "search_terms"), ("notes", "notes"), ("tags", "tags"))})
-    parts = F.filter(F.array(*[text.compact(F.col(f"normalized_{n}")) for n in ("url", "title", "terms", "notes", "tags")]), lambda p: p != "")
-    rows = rows.withColumn("compact", F.array_join(parts, " "))
+    names = {"url": "url", "title": "title", "terms": "search_terms", "notes": "notes", "tags": "tags"}
+    forms = lambda c: F.array(c) if fold is None else F.array_distinct(F.transform(fold.forms(c), F.lower))
+    rows = rows.withColumns({f"forms_{n}": forms(text.normalize_text(F.col(c))) for n, c in names.items()})
+    parts = F.filter(F.transform(F.concat(*[f"forms_{n}" for n in names]), text.compact), lambda p: p != "")
+    rows = rows.withColumns({"compact": F.array_join(parts, " "), **{f"normalized_{n}": F.array_join(f"forms_{n}", " ") for n in names}}).drop(*[f"forms_{n}" for n in names])
     rows = rows.withColumn("cjk", F.array_join(text.han_grams(F.col("compact")), " ")).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string"))).drop("normalized_notes", "normalized_tags")
     size = sum((F.size(tokens(F.col(f))) for f in WEIGHTS), F.lit(0))
     return rows.withColumn("size", size.cast("int")).withColumn("windows", F.greatest(F.char_length("compact") - 2, F.lit(0)))
@@ -103,8 +106,8 @@ class Lexical:
 _HAN = re.compile(f"[{text.HAN}]".replace("\\x{20000}-\\x{2ebef}\\x{30000}-\\x{3134f}", "\U00020000-\U0002ebef\U00030000-\U0003134f"))
 
 
-def analyze(query: str) -> Lexical:
-    """OR separates segments; of each, words are prefixes and ideographs pairs and triples, all of which must occur; aliases are alternatives."""
+def analyze(query: str, fold: Folder | None = None) -> Lexical:
+    """With a folder, each form of a segment is an alternative. OR separates segments; of each, words are prefixes and ideographs pairs and triples, all of which must occur; aliases are alternatives."""
     segments, current = [], []
     for word in query.split():
         if word.lower() == "or":
@@ -118,9 +121,12 @@ def analyze(query: str) -> Lexical:
             to.append(value)
 
     for words in [*segments, current]:
-        normal = unicodedata.normalize("NFKC", " ".join(words).replace("\0", "")).lower()
-        compact = "".join(c for c in normal if c.isalnum())
-        for variant in [normal, *ALIASES.get(compact, ())] if compact else []:
+        plain = unicodedata.normalize("NFKC", " ".join(words).replace("\0", ""))
+        variants: list[str] = []
+        for normal in dict.fromkeys(x.lower() for x in (fold.variants(plain) if fold else [plain])):
+            compact = "".join(c for c in normal if c.isalnum())
+            variants += [normal, *ALIASES.get(compact, ())] if compact else []
+        for variant in dict.fromkeys(variants):
             own = "".join(c for c in variant if c.isalnum())
             latin = sorted({w for w in re.split(r"[\W_]+", variant) if w and not all(_HAN.match(c) for c in w)})
             runs = re.findall(f"{_HAN.pattern}+", own)
@@ -233,9 +239,9 @@ def fuzzy_visits(found: DataFrame, visits: DataFrame, most: int = FUZZY_VISITS)
     return visits.join(found, "doc_id").orderBy("near", F.desc("ms"), F.desc("visit_id")).limit(most).drop("near")
 
 
-def search(index: Index, query: str) -> DataFrame:
-    """doc_id, score: lexical matches, or fuzzy ones if there is none."""
-    q = analyze(query)
+def search(index: Index, query: str, fold: Folder | None = None) -> DataFrame:
+    """doc_id, score: lexical matches, or fuzzy ones if there is none. fold: what the documents were folded by."""
+    q = analyze(query, fold)
     if not q.alternatives and not q.compacts:
         return fuzzy(index, q).drop("near")
     found = scored(index, q)
