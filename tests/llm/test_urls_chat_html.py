@@ -165,6 +165,19 @@ def test_regions_by_mass_and_marks():
     assert one(deep) == long.strip()
 
 
+def test_ids_and_classes_of_headings_and_paragraphs_drop_nothing():
+    one = lambda page: html.extract(page, html.region(1, html.skeleton(html.tree(page))))
+    page = '<article><h2 id="related-work">a</h2><h3 id="search-algorithm">b</h3><p id="share-of-votes">c</p><p class="notice-board">d</p><section id="related-work"><p>e</p></section><div id="comments"><p>no</p></div><ul id="main-nav"><li>no</ul><p>f</p></article>'
+    assert one(page) == "a\n\nb\n\nc\n\nd\n\ne\n\nf"
+
+
+@pytest.mark.parametrize("n", [2, 7, 8, 12])
+def test_a_sentence_that_articles_share_stays_however_many_pages(spark, n):
+    page = lambda i: f"<html><body><nav>menu</nav><article><p>The same opening.</p><p>{'word ' * (20 + i)}{i}</p></article></body></html>"
+    df = spark.createDataFrame([(i, f"https://a.org/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_pages(df).collect()} == {i: f"The same opening.\n\n{'word ' * (20 + i)}{i}" for i in range(n)}
+
+
 def plain_wrapper(pages):
     """Labels and flags of pages whose children have distinct labels in one order, by looking at each label of all pages."""
     order, seen = [], {}

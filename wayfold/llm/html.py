@@ -29,10 +29,13 @@ ASIDE = frozenset(
     "sidebar aside rail widget widgets related recommended recirc share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar "
     "footer bottombar copyright legal disclaimer comment comments disqus replies reply responses login search toolbar skip tags complementary contentinfo dialog form".split()
 )
+#: Elements of which class words may say that they are no part of the article: those that hold others, and never headings or paragraphs.
+HOLDERS = frozenset("div section aside nav header footer form ul ol dl table main article figure details dialog".split())
 COMMENTS = frozenset("comment comments disqus replies reply responses".split())
 #: Containers of the article, best first: element, words.
 MAIN = (("article", ""), ("main", ""), (None, "main"), (None, "article body"), (None, "content"))
 _MAIN = [(name, set(words.split())) for name, words in MAIN]
+NAMES = ASIDE | {w for _, words in _MAIN for w in words}
 #: Levels of elements that wrappers describe.
 DEPTH = 60
 #: Trees of a host that one task aligns, about, and pages that must share a text before it counts as template.
@@ -69,11 +72,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def label(name: str, attrs: str) -> str:
-    """An element as a token of a wrapper: its name, and its class, id and role words in order."""
+    """An element as a token of a wrapper: its name, and its class and role words in order.
+
+    An id names one place of one page, often after a heading, so its words count only where all of them
+    are such as mark a part of a page (``main-nav``, ``comments``), and only of elements that hold others.
+    """
     if not attrs.strip():
         return name
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    words = sorted({w.lower() for k in ("class", "id", "role", "itemprop") if k in found for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found[k])) if w})
+    cut = lambda v: {w.lower() for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v)) if w}
+    words = set().union(*(cut(found[k]) for k in ("class", "role", "itemprop") if k in found))
+    if name in HOLDERS and (own := cut(found.get("id", ""))) <= NAMES:
+        words |= own
+    words = sorted(words)
     return f"{name}.{'.'.join(words)}" if words else name
 
 
@@ -240,9 +251,9 @@ def load(text: str) -> tuple[int, list]:
 
 
 def aside(label_: str) -> bool:
-    """Whether class words name what isn't the article; of an article or main element only those of comments do."""
+    """Whether class words name what isn't the article, of an element that holds others; of an article or main element only those of comments do."""
     name, *words = label_.split(".")
-    return name not in ("html", "body") and any(w in (COMMENTS if name in ("article", "main") else ASIDE) for w in words)
+    return name in HOLDERS and any(w in (COMMENTS if name in ("article", "main") else ASIDE) for w in words)
 
 
 def mark(label_: str) -> int | None:
@@ -252,7 +263,8 @@ def mark(label_: str) -> int | None:
 
 
 def comments(label_: str) -> bool:
-    return any(w in COMMENTS for w in label_.split(".")[1:])
+    name, *words = label_.split(".")
+    return name in HOLDERS and any(w in COMMENTS for w in words)
 
 
 @dataclass
@@ -273,8 +285,9 @@ def region(pages: int, wrapper: list) -> Region:
     those whose class words name comments, or another aside, unless that holds a marked element of half
     of all text or hardly anything else has text. Marked elements that hold half of the whole are the region, the
     best mark first. Otherwise it is reached from the root by steps into the element that holds more
-    than half, as long as that is no repeated group and has blocks of its own. Texts that all of at
-    least LEAST_PAGES pages have in the region are template if they are the smaller part of it.
+    than half, as long as that is no repeated group and has blocks of its own; there, texts that all of
+    at least LEAST_PAGES pages have are template if they are the smaller part. In a marked element,
+    what pages share is article too.
     """
     weight: dict[int, int] = {}
     heavy: dict[int, int] = {}  # greatest mass of a marked element in it that is no aside
@@ -318,7 +331,7 @@ def region(pages: int, wrapper: list) -> Region:
 
     look(wrapper, (), frozenset())
     chosen = next((found[k] for k in sorted(found) if 2 * sum(weight[id(x)] for _, x in found[k]) >= total), [])
-    deep = False
+    deep, named = False, bool(chosen)
     if not chosen:
         at, holder, most = (), ["", "1", wrapper], total
         while True:
@@ -347,7 +360,7 @@ def region(pages: int, wrapper: list) -> Region:
         for y in x[2]:
             gather(y)
     size = sum(weight[id(y)] for _, x in chosen for y in x[2])
-    template = frozenset(fixed) if pages >= LEAST_PAGES and pages * sum(fixed.values()) < size else frozenset()
+    template = frozenset(fixed) if not named and pages >= LEAST_PAGES and pages * sum(fixed.values()) < size else frozenset()
     return Region(frozenset(at for at, _ in chosen), frozenset(wanted), template, deep)
 
 
