@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sections of the first overview and how many rows each has; fixed values.
+#: Sections of overviews and how many rows each has, if not ten; fixed values where the reads have a limit.
 SECTIONS = {"top_sites": 40, "query_families": 10, "search_concepts": 50, "refind_pages": 5}
+#: Sections that show all they have: a row a day or week, an engine, a category, a habit or a browser.
+WHOLE = {"discovery_trend_day": 400, "discovery_trend_week": 400, "search_engine_ranking": 100, "search_effectiveness": 100, "activity_mix": 100, "habit_patterns": 100, "interrupted_habits": 100, "multi_browser_diff": 100}
 CARDS_MOST, HIGHLIGHTS_MOST, PUBLIC_DOMAINS = 6, 4, 5
 
 
@@ -16,7 +18,7 @@ def overview(sections: dict[str, DataFrame]) -> DataFrame:
     """section, rank, entity, value: the sections' first rows in one frame. Each section has columns entity and value; ranks follow value, then entity."""
     out = None
     for name, rows in sections.items():
-        top = rows.select("entity", F.col("value").cast("double").alias("value")).orderBy(F.desc("value"), "entity").limit(SECTIONS.get(name, 10))
+        top = rows.select("entity", F.col("value").cast("double").alias("value")).orderBy(F.desc("value"), "entity").limit((SECTIONS | WHOLE).get(name, 10))
         listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("o"), "entity"))).alias("l")).select(F.posexplode("l").alias("rank", "x"))
         one = listed.select(F.lit(name).alias("section"), F.col("rank").cast("long").alias("rank"), "x.entity", (-F.col("x.o")).alias("value"))
         out = one if out is None else out.unionByName(one)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from wayfold.operators import archive as derive
 from wayfold.operators import explain, facts, families, images, ingest, outputs, structure, vectors
 from wayfold.plans import history as h
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
+from wayfold.store import once
 
 S = SparkSession
 QUERIES: dict = {}
@@ -56,7 +59,7 @@ def explain_refinds(spark: S, d: str) -> DataFrame:
     return explain.refind_factors(h._refinds(spark, d))
 
 
-@query("explain_habits", _factors("habit_pattern", "profile_id || '::' || domain", explain.HABIT, "SELECT hb.*, c.visits, interrupted::INT AS is_interrupted FROM hb JOIN (SELECT profile_id, domain, count(*) AS visits FROM v GROUP BY ALL) c USING (profile_id, domain)", {"mean_gap": ("date_diff('day', first_day, last_day)", "(days - 1)")}), f"{VISITS_SQL}, hb AS ({h.HABITS_SQL})")
+@query("explain_habits", _factors("habit_pattern", "profile_id || '::' || domain", explain.HABIT, "SELECT hb.*, c.visits, interrupted::INT AS is_interrupted FROM hb JOIN (SELECT profile_id, domain, count(*) AS visits FROM v GROUP BY ALL) c USING (profile_id, domain)", {"mean_gap": ("date_diff('day', first_day, last_day)", "(days - 1)")}), f"{VISITS_SQL}, hb AS ({h.HABITS_RAW})")
 def explain_habits(spark: S, d: str) -> DataFrame:
     return explain.habit_factors(structure.habits(visits(spark, d), h._ms(h.TODAY)), visits(spark, d))
 
@@ -140,20 +143,85 @@ def domain_paths(spark: S, d: str) -> DataFrame:
     return g.orderBy(F.desc("visits"), "path").limit(10)
 
 
-_OVERVIEW = """ov AS (SELECT 'top_sites' AS section, domain AS entity, sum(visits)::DOUBLE AS value, 40 AS most FROM d GROUP BY domain UNION ALL SELECT 'search_concepts', term, count(*)::DOUBLE, 50 FROM (SELECT unnest(terms) AS term FROM et) GROUP BY term
-  UNION ALL SELECT 'refind_pages', profile_id || ' ' || url, score::DOUBLE, 5 FROM rp)"""
-
-
-@query("overview", "SELECT section, r AS rank, entity, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY value DESC, entity) - 1 AS r FROM ov) WHERE r < most",
-       h.REFIND_SQL + "," + h.DOMAINS_SQL[len(VISITS_SQL) + 1 :] + "," + h.EVENTS_SQL[len(h.TRAILS_SQL) + 1 :] + "," + _OVERVIEW)
+_FIRST = h.REOPENED_SQL + "," + h.DOMAINS_SQL[len(VISITS_SQL) + 1 :] + f""", ds AS (SELECT session_id, min(ms) AS first_ms FROM s GROUP BY profile_id, session_id HAVING count(from_visit) >= 4 AND count(DISTINCT domain) >= 5 AND count(*) >= 8 AND sum(is_new_domain) >= 1),
+hb AS ({h.HABITS_RAW}),
+ov AS (SELECT 'digest_summary' AS section, kpi AS entity, value::DOUBLE AS value, 5 AS most FROM ({h._PART(h._IN, *h._SPANS["now"])})
+  UNION ALL SELECT 'on_this_day', date_key || ' ' || domain, visits::DOUBLE, 10 FROM (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY visits DESC, domain) AS r FROM (SELECT date_key, domain, count(*) AS visits FROM v WHERE substr(date_key, 6) = '01-20' AND date_key < '2025-01-20' GROUP BY ALL)) WHERE r <= 3
+  UNION ALL SELECT 'top_sites', domain, sum(visits)::DOUBLE, 40 FROM d WHERE {h.IN_RANGE} GROUP BY domain
+  UNION ALL SELECT 'refind_pages', profile_id || ' ' || url, score::DOUBLE, 5 FROM rp WHERE {h._OVER}
+  UNION ALL SELECT 'search_engine_ranking', engine, count(*)::DOUBLE, 100 FROM v WHERE engine IS NOT NULL AND {h.IN_RANGE} GROUP BY engine
+  UNION ALL SELECT 'search_concepts', term, count(*)::DOUBLE, 50 FROM (SELECT unnest(terms) AS term FROM et WHERE ms >= {h._SPANS["now"][0]} AND ms < {h._SPANS["now"][1]}) GROUP BY term
+  UNION ALL SELECT 'query_families', family_id, members::DOUBLE, 10 FROM ff WHERE {h._OVER}
+  UNION ALL SELECT 'activity_mix', category, round(sum(visits) / sum(sum(visits)) OVER (), 6), 100 FROM d WHERE {h.IN_RANGE} GROUP BY category
+  UNION ALL SELECT 'discovery_trend_day', date_key, round(sum(new_domain_visits) / sum(visits), 6), 400 FROM d WHERE {h.IN_RANGE} GROUP BY date_key
+  UNION ALL SELECT 'habit_patterns', profile_id || ' ' || domain, days::DOUBLE, 100 FROM hb UNION ALL SELECT 'interrupted_habits', profile_id || ' ' || domain, days::DOUBLE, 100 FROM hb WHERE interrupted)"""
+_SECOND = h.REOPENED_SQL + h._EFFECT + "," + h.DOMAINS_SQL[len(VISITS_SQL) + 1 :] + f""", fl AS ({h.flows_sql(3)}),{h._COMPARE[len(h.TRAILS_SQL) + 1 :]},
+ov AS (SELECT 'stable_sources' AS section, domain || ' ' || profile_id AS entity, score::DOUBLE AS value, 10 AS most FROM sc WHERE {h._OVER}
+  UNION ALL SELECT 'search_effectiveness', engine, count(*)::DOUBLE, 100 FROM tr WHERE {h._OVER} GROUP BY engine
+  UNION ALL SELECT 'friction_signals', trail_id, greatest(visits, reformulations)::DOUBLE, 10 FROM tr WHERE {h._OVER} AND (reformulations >= 2 OR (landing_domain IS NULL AND visits >= 3))
+  UNION ALL SELECT 'reopened_investigations', investigation_id, last_ms::DOUBLE, 10 FROM ro WHERE {h._OVER}
+  UNION ALL SELECT 'discovery_trend_week', isoyear(date_key::DATE) || '-W' || lpad(week(date_key::DATE)::VARCHAR, 2, '0'), round(sum(new_domain_visits) / sum(visits), 6), 400 FROM d WHERE {h.IN_RANGE} GROUP BY 2
+  UNION ALL SELECT 'breadth_index', 'breadth', round((1 - sum(n * n) / (sum(n) * sum(n))) * 100, 6), 1 FROM (SELECT count(*) AS n FROM v WHERE {h.IN_RANGE} GROUP BY domain)
+  UNION ALL SELECT 'path_flows', profile_id || ' ' || pattern, occurrences::DOUBLE, 10 FROM fl WHERE last_ms >= {h._SPANS["now"][0]} AND last_ms < {h._SPANS["now"][1]}
+  UNION ALL SELECT 'compare_sets', compare_set_id, alternations::DOUBLE, 10 FROM cs
+  UNION ALL SELECT 'multi_browser_diff', profile_id, count(DISTINCT domain)::DOUBLE, 100 FROM d WHERE {h.IN_RANGE} GROUP BY profile_id)"""
+_RANKED = "SELECT section, r AS rank, entity, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY value DESC, entity) - 1 AS r FROM ov) WHERE r < most"
+
+
+def _snapshot(spark: S, d: str, name: str, sections: Callable[[], dict[str, DataFrame]]) -> DataFrame:
+    """An overview that is stored for what the events hold, and built again only for others."""
+    return once(spark, name, [f"{d}/events.parquet"], lambda: outputs.overview(sections()).withColumn("value", F.round("value", 6)).coalesce(1))
+
+
+@query("overview", _RANKED, _FIRST)
 def overview(spark: S, d: str) -> DataFrame:
-    """The sections of the first overview."""
-    sections = {
-        "top_sites": h._domains(spark, d).groupBy(F.col("domain").alias("entity")).agg(F.sum("visits").alias("value")),
-        "search_concepts": h._events(spark, d).select(F.explode("terms").alias("entity")).groupBy("entity").agg(F.count("*").alias("value")),
-        "refind_pages": h._refinds(spark, d).select(F.concat_ws(" ", "profile_id", "url").alias("entity"), F.col("score").alias("value")),
-    }
-    return outputs.overview(sections).withColumn("value", F.round("value", 6))
+    """The eleven sections of the first overview of the range."""
+    name = lambda *c: F.concat_ws(" ", *c).alias("entity")
+
+    def sections() -> dict[str, DataFrame]:
+        habit = structure.habits(visits(spark, d), h._ms(h.TODAY))
+        within = h._domains(spark, d).where(h.IN_RANGE)
+        events = h._events(spark, d).where((F.col("ms") >= h._SPANS["now"][0]) & (F.col("ms") < h._SPANS["now"][1]))
+        return {
+            "digest_summary": h.digest_kpis(spark, d).select(F.col("kpi").alias("entity"), F.col("now").alias("value")),
+            "on_this_day": h.on_this_day(spark, d).select(name("date_key", "domain"), F.col("visits").alias("value")),
+            "top_sites": within.groupBy(F.col("domain").alias("entity")).agg(F.sum("visits").alias("value")),
+            "refind_pages": facts.overlapping(h._refinds(spark, d), *h.RANGE).select(name("profile_id", "url"), F.col("score").alias("value")),
+            "search_engine_ranking": visits(spark, d).where(h.IN_RANGE).where("engine IS NOT NULL").groupBy(F.col("engine").alias("entity")).agg(F.count("*").alias("value")),
+            "search_concepts": events.select(F.explode("terms").alias("entity")).groupBy("entity").agg(F.count("*").alias("value")),
+            "query_families": facts.overlapping(families.family_rows(h._families(spark, d)), *h.RANGE).select(F.col("family_id").alias("entity"), F.col("members").alias("value")),
+            "activity_mix": h.activity_mix(spark, d).select(F.col("category").alias("entity"), F.col("share").alias("value")),
+            "discovery_trend_day": within.groupBy(F.col("date_key").alias("entity")).agg((F.sum("new_domain_visits") / F.sum("visits")).alias("value")),
+            "habit_patterns": habit.select(name("profile_id", "domain"), F.col("days").alias("value")),
+            "interrupted_habits": habit.where("interrupted").select(name("profile_id", "domain"), F.col("days").alias("value")),
+        }
+
+    return _snapshot(spark, d, "overview", sections)
+
+
+@query("overview_more", _RANKED, _SECOND)
+def overview_more(spark: S, d: str) -> DataFrame:
+    """The sections of the second overview of the range that come from visits."""
+    name = lambda *c: F.concat_ws(" ", *c).alias("entity")
+
+    def sections() -> dict[str, DataFrame]:
+        within = h._domains(spark, d).where(h.IN_RANGE)
+        trails = facts.overlapping(h._trails(spark, d), *h.RANGE)
+        start, end = h._SPANS["now"]
+        flows = structure.path_flows(h._sessions(spark, d), 3).where((F.col("last_ms") >= start) & (F.col("last_ms") < end))
+        return {
+            "stable_sources": facts.overlapping(h.source_effectiveness(spark, d), *h.RANGE).select(name("domain", "profile_id"), F.col("score").alias("value")),
+            "search_effectiveness": trails.groupBy(F.col("engine").alias("entity")).agg(F.count("*").alias("value")),
+            "friction_signals": structure.friction(trails).select(F.col("trail_id").alias("entity"), F.col("occurrences").alias("value")),
+            "reopened_investigations": facts.overlapping(h._reopened(spark, d), *h.RANGE).select(F.col("investigation_id").alias("entity"), F.col("last_ms").alias("value")),
+            "discovery_trend_week": within.groupBy(facts.period(F.col("date_key"), "week").alias("entity")).agg((F.sum("new_domain_visits") / F.sum("visits")).alias("value")),
+            "breadth_index": h.breadth_index(spark, d).select(F.lit("breadth").alias("entity"), F.col("breadth").alias("value")),
+            "path_flows": flows.select(name("profile_id", "pattern"), F.col("occurrences").alias("value")),
+            "compare_sets": h.compare_sets(spark, d).select(F.col("compare_set_id").alias("entity"), F.col("alternations").alias("value")),
+            "multi_browser_diff": h.browser_profiles(spark, d).select(F.col("profile_id").alias("entity"), F.col("domains").alias("value")),
+        }
+
+    return _snapshot(spark, d, "overview-more", sections)
 
 
 @query("public_snapshot", """SELECT 'domain' AS kind, domain AS label, visits::DOUBLE AS value FROM (SELECT domain, sum(visits) AS visits FROM d GROUP BY domain ORDER BY visits DESC, domain LIMIT 5) UNION ALL SELECT 'engine', engine, count(*)::DOUBLE FROM v WHERE engine IS NOT NULL GROUP BY engine

@@ -95,13 +95,29 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
 
-@query("top_sites", f"""SELECT domain, min(category) AS category, sum(visits)::BIGINT AS visits, count(DISTINCT date_key) AS days, round(sum(visits) / count(DISTINCT date_key), 6) AS per_day,
-  sum(unique_urls)::BIGINT AS unique_urls FROM d WHERE {IN_RANGE} GROUP BY domain ORDER BY visits DESC, domain LIMIT 20""", DOMAINS_SQL)
-def top_sites(spark: S, d: str) -> DataFrame:
+#: Orders of top sites: what the reads ask for, as columns that go down before the domain goes up.
+SITE_ORDERS = {"visits": ("visits", "days"), "days": ("days", "per_day"), "per_day": ("per_day", "visits")}
+
+
+def _top_sites(spark: S, d: str, by: str, most: int) -> DataFrame:
     g = _domains(spark, d).where(IN_RANGE).groupBy("domain").agg(
         F.min("category").alias("category"), F.sum("visits").alias("visits"), F.count_distinct("date_key").alias("days"), F.sum("unique_urls").alias("unique_urls")
     )
-    return g.withColumn("per_day", F.round(F.col("visits") / F.col("days"), 6)).orderBy(F.desc("visits"), "domain").limit(20)
+    return g.withColumn("per_day", F.round(F.col("visits") / F.col("days"), 6)).orderBy(*map(F.desc, SITE_ORDERS[by]), "domain").limit(most)
+
+
+def _sites(name: str, by: str) -> None:
+    order = ", ".join(f"{c} DESC" for c in SITE_ORDERS[by])
+
+    @query(name, f"""SELECT domain, min(category) AS category, sum(visits)::BIGINT AS visits, count(DISTINCT date_key) AS days, round(sum(visits) / count(DISTINCT date_key), 6) AS per_day,
+  sum(unique_urls)::BIGINT AS unique_urls FROM d WHERE {IN_RANGE} GROUP BY domain ORDER BY {order}, domain LIMIT 20""", DOMAINS_SQL)
+    def sites_by(spark: S, d: str) -> DataFrame:
+        return _top_sites(spark, d, by, 20)
+
+
+_sites("top_sites", "visits")
+_sites("top_sites_by_days", "days")
+_sites("top_sites_by_average", "per_day")
 
 
 @query("rollup_domain", "SELECT * FROM d", DOMAINS_SQL)
@@ -329,12 +345,12 @@ def stable_sources(spark: S, d: str) -> DataFrame:
     return rows.orderBy(F.desc("score"), "domain", "profile_id").limit(10)
 
 
-HABITS_SQL = f"""SELECT * EXCLUDE (mean_gap, cv), round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv,
-  greatest({_ms(TODAY)} - last_ms, 0) * (days - 1) > 2 * date_diff('day', first_day, last_day) * 86400000 AS interrupted FROM
+HABITS_RAW = f"""SELECT *, greatest({_ms(TODAY)} - last_ms, 0) * (days - 1) > 2 * date_diff('day', first_day, last_day) * 86400000 AS interrupted FROM
   (SELECT *, CASE WHEN mean_gap < 2 AND cv < 0.5 THEN 'daily_habit' WHEN mean_gap BETWEEN 5 AND 10 AND cv < 0.6 THEN 'weekly_habit' WHEN mean_gap > 10 AND cv < 0.8 THEN 'periodic_reference' END AS kind FROM
   (SELECT profile_id, domain, count(*) AS days, min(d) AS first_day, max(d) AS last_day, max(ms) AS last_ms, avg(gap) AS mean_gap, stddev_pop(gap) / avg(gap) AS cv FROM
     (SELECT profile_id, domain, d, ms, date_diff('day', lag(d) OVER (PARTITION BY profile_id, domain ORDER BY d), d) AS gap FROM (SELECT profile_id, domain, date_key::DATE AS d, max(ms) AS ms FROM v GROUP BY ALL)) GROUP BY ALL)
   WHERE days >= 5 AND date_diff('day', first_day, last_day) >= 14) WHERE kind IS NOT NULL"""
+HABITS_SQL = f"SELECT * EXCLUDE (mean_gap, cv), round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv FROM ({HABITS_RAW})"
 
 
 @query("habits", HABITS_SQL, VISITS_SQL)
