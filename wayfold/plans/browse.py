@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import sites, urls
-from wayfold.operators import browse, favicons, lexical, overlays, segments
+from wayfold.operators import browse, favicons, hybrid, lexical, overlays, segments, vectors
 from wayfold.sources.testdata import VISITS_SQL, archive, visits
 from wayfold.store import once, shared_folder
 
@@ -170,6 +170,37 @@ def lexical_fuzzy_visits(spark: S, d: str) -> DataFrame:
     return found.select("visit_id", F.round("score", 6).alias("score"))
 
 
+def _buckets(words: str) -> str:
+    return f"[list_sum(list_transform(list_filter({words}, lambda w: w <> ''), lambda w: (('0x' || substr(md5(w), 1, 2))::INT % 16 = b)::INT)) FOR b IN range(16)]"
+
+
+_HYBRID = _lexical([["topic", "review"]], ["topicreview"])[0] + f""", hv AS (SELECT a.visit_id, a.ms, k.canonical AS page, a.profile_id || ':' || a.url_id AS doc_id FROM avisits a JOIN known k USING (profile_id, url_id) WHERE a.profile_id IN ('view', 'click')),
+  hl AS (SELECT page, min(rank) AS ra, arg_min(ms, rank) AS ma, arg_min(visit_id, rank) AS va FROM (SELECT *, row_number() OVER (ORDER BY ms DESC, visit_id DESC) - 1 AS rank FROM hv WHERE doc_id IN (SELECT doc_id FROM lx) ORDER BY ms DESC, visit_id DESC LIMIT 31) GROUP BY page),
+  ht AS (SELECT page, {_buckets(_TOK.format("page"))} AS x, {_buckets(_TOK.format("'topic review guide'"))} AS q FROM (SELECT DISTINCT page FROM hv)),
+  hs AS (SELECT page, row_number() OVER (ORDER BY nearness DESC, page) - 1 AS rb FROM (SELECT page, round(coalesce(list_sum(list_transform(list_zip(x, q), lambda z: coalesce(z[1], 0)::DOUBLE * coalesce(z[2], 0)::DOUBLE)) / nullif(sqrt(list_sum(list_transform(x, lambda z: coalesce(z, 0)::DOUBLE * coalesce(z, 0)::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda z: coalesce(z, 0)::DOUBLE * coalesce(z, 0)::DOUBLE))), 0), 0), 9) AS nearness FROM ht) ORDER BY nearness DESC, page LIMIT 240),
+  hb AS (SELECT hs.page, rb, max(hv.ms) AS mb, arg_max(hv.visit_id, (hv.ms, hv.visit_id)) AS vb FROM hs JOIN hv ON hv.page = hs.page GROUP BY ALL),
+  hf AS (SELECT page, coalesce(vb, va) AS visit_id, coalesce(mb, ma) AS ms, CASE WHEN ra IS NULL THEN 'Semantic match' WHEN rb IS NULL THEN 'Lexical match' ELSE 'Lexical + semantic match' END AS match, round(coalesce(1.0::DOUBLE / (60 + ra), 0) + coalesce(1.0::DOUBLE / (60 + rb), 0), 9) AS score FROM hl FULL JOIN hb USING (page)),
+  hx AS (SELECT page, visit_id, ms, match, round(score / (SELECT max(score) FROM hf) + CASE WHEN page IN (SELECT key FROM stars) THEN 0.15::DOUBLE ELSE 0 END, 6) AS score, count(*) OVER () AS total FROM hf)"""
+
+
+@query("hybrid_search", "SELECT *, total > 30 AS has_more, CASE WHEN least(60, total) < total THEN least(60, total)::VARCHAR END AS next_cursor FROM hx ORDER BY score DESC, ms, page LIMIT 30 OFFSET 30", _HYBRID)
+def hybrid_search(spark: S, d: str) -> DataFrame:
+    """The second page of a search in two profiles: lexical matches, and pages near by the mean of their words' hashes."""
+    profiles = ("view", "click")
+    rows = visits(spark, d).where(F.col("profile_id").isin(*profiles)).select("visit_id", "ms", F.col("url").alias("page"), F.concat_ws(":", "profile_id", F.col("url_id").cast("string")).alias("doc_id"))
+    found = lexical.search(_index(spark, d), "topic review").select("doc_id")
+    near = rows.select("page").distinct().select("page", F.round(vectors.cosine(_slots(lexical.tokens(F.col("page"))), _slots(F.array(*[F.lit(w) for w in ("topic", "review", "guide")]))), 9).alias("nearness"))
+    stars = _overlays(spark, d)[0].select(F.col("key").alias("page"))
+    fused = hybrid.fuse(hybrid.lexical_list(rows, found, 30), hybrid.semantic_list(near, rows, 30, faceted=True), stars)
+    return hybrid.page_of(fused, 30, "30")
+
+
+def _slots(words: Column) -> Column:
+    """How many words fall into each of sixteen slots by hash."""
+    slot = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % 16)
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter(slot, lambda x: x == b)).cast("double"))
+
+
 _CUT = 1705700000000
 
 
