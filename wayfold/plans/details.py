@@ -159,7 +159,7 @@ _SECOND = h.REOPENED_SQL + h._EFFECT + "," + h.DOMAINS_SQL[len(VISITS_SQL) + 1 :
 ov AS (SELECT 'stable_sources' AS section, domain || ' ' || profile_id AS entity, score::DOUBLE AS value, 10 AS most FROM sc WHERE {h._OVER}
   UNION ALL SELECT 'search_effectiveness', engine, count(*)::DOUBLE, 100 FROM tr WHERE {h._OVER} GROUP BY engine
   UNION ALL SELECT 'friction_signals', trail_id, greatest(visits, reformulations)::DOUBLE, 10 FROM tr WHERE {h._OVER} AND (reformulations >= 2 OR (landing_domain IS NULL AND visits >= 3))
-  UNION ALL SELECT 'reopened_investigations', investigation_id, last_ms::DOUBLE, 10 FROM ro WHERE {h._OVER}
+  UNION ALL SELECT 'reopened_investigations', investigation_id, (last_ms // 1000)::DOUBLE, 10 FROM ro WHERE {h._OVER}
   UNION ALL SELECT 'discovery_trend_week', isoyear(date_key::DATE) || '-W' || lpad(week(date_key::DATE)::VARCHAR, 2, '0'), round(sum(new_domain_visits) / sum(visits), 6), 400 FROM d WHERE {h.IN_RANGE} GROUP BY 2
   UNION ALL SELECT 'breadth_index', 'breadth', round((1 - sum(n * n) / (sum(n) * sum(n))) * 100, 6), 1 FROM (SELECT count(*) AS n FROM v WHERE {h.IN_RANGE} GROUP BY domain)
   UNION ALL SELECT 'path_flows', profile_id || ' ' || pattern, occurrences::DOUBLE, 10 FROM fl WHERE last_ms >= {h._SPANS["now"][0]} AND last_ms < {h._SPANS["now"][1]}
@@ -213,7 +213,7 @@ def overview_more(spark: S, d: str) -> DataFrame:
             "stable_sources": facts.overlapping(h.source_effectiveness(spark, d), *h.RANGE).select(name("domain", "profile_id"), F.col("score").alias("value")),
             "search_effectiveness": trails.groupBy(F.col("engine").alias("entity")).agg(F.count("*").alias("value")),
             "friction_signals": structure.friction(trails).select(F.col("trail_id").alias("entity"), F.col("occurrences").alias("value")),
-            "reopened_investigations": facts.overlapping(h._reopened(spark, d), *h.RANGE).select(F.col("investigation_id").alias("entity"), F.col("last_ms").alias("value")),
+            "reopened_investigations": facts.overlapping(h._reopened(spark, d), *h.RANGE).select(F.col("investigation_id").alias("entity"), F.floor(F.col("last_ms") / 1000).alias("value")),
             "discovery_trend_week": within.groupBy(facts.period(F.col("date_key"), "week").alias("entity")).agg((F.sum("new_domain_visits") / F.sum("visits")).alias("value")),
             "breadth_index": h.breadth_index(spark, d).select(F.lit("breadth").alias("entity"), F.col("breadth").alias("value")),
             "path_flows": flows.select(name("profile_id", "pattern"), F.col("occurrences").alias("value")),
