@@ -26,6 +26,20 @@ def test_an_overwritten_file_makes_another_plane_and_an_equal_one_does_not(spark
     assert (read(), len(built)) == (33, 2)
 
 
+def test_a_table_of_one_file_is_known_by_its_size_and_time(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/one.parquet"
+    pq.write_table(pa.table({"id": [1, 2]}), path)
+    first = store.contents(spark, path)
+    assert store.contents(spark, path) == first
+    pq.write_table(pa.table({"id": [2, 1]}), path, compression="none")
+    assert store.contents(spark, path) == first
+    pq.write_table(pa.table({"id": [1, 2, 3]}), path)
+    assert store.contents(spark, path) != first
+
+
 def test_planes_that_were_removed_are_built_again(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.range(4).write.parquet(path)

@@ -46,11 +46,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _in_store(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own readers see them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all tables that this application has written; what reads them can't be used after that."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/wayfold-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _in_store(spark, f"{shared_folder(spark)}/wayfold-{spark.sparkContext.applicationId}")
+    store.delete(path, True)
     for known in (_STORED, _CONTENTS):
         for key in [k for k in known if k[0] == spark.sparkContext.applicationId]:
             del known[key]
@@ -71,14 +76,24 @@ def fingerprint(df: DataFrame) -> str:
 
 def contents(spark: SparkSession, path: str) -> str:
     """The fingerprint of a Parquet table. It is computed again only when names, sizes or times of its files have changed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    seen = "\n".join(sorted(map(str, files.collect())))  # a line a file of one table; their contents aren't read
+    store, there = _in_store(spark, path)
+    if store.exists(there) and store.getFileStatus(there).isFile():
+        status = store.getFileStatus(there)
+        seen = f"{path} {status.getLen()} {status.getModificationTime()}"
+    else:
+        seen = _listed(spark, path)
     key = (spark.sparkContext.applicationId, hashlib.sha256(seen.encode()).hexdigest())
     if key not in _CONTENTS:
         _CONTENTS[key] = fingerprint(spark.read.parquet(path))
     return _CONTENTS[key]
 
 
+def _listed(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of all files of a table; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return "\n".join(sorted(map(str, files.collect())))  # a line a file of one table
+
+
 def once(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], partition: Sequence[str] = ()) -> DataFrame:
     """A stored plane: built and written at its first use in an application, read from there after that.
 
