@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql.functions import lit
 
 from wayfold.operators import families, ingest, structure
 
@@ -115,3 +116,37 @@ def test_observed_interactions(spark):
     assert sorted(map(tuple, got.collect())) == [
         ("p", "1", 8, None, None, None, None, False, None), ("p", "3", None, None, None, None, None, True, 'say "x"'), ("p", "4", None, None, 3, None, None, None, None),
     ]
+
+
+def test_a_session_without_pauses_is_sorted_by_hours(spark):
+    """Members of trails and flows of one session of ten hours equal those counted in order; no window or depth takes a whole session."""
+    rnd, ms, rows = random.Random(5), 0, []
+    for i in range(400):
+        ms += rnd.choice((0, 20_000, 60_000, 60_000, 200_000, 950_000))
+        rows.append((i, "p", ms, rnd.choice("abc") + ".com", "q" if rnd.random() < 0.12 else None, i - 1 if i % 3 else None))
+    visits = spark.createDataFrame(rows, "visit_id long, profile_id string, ms long, domain string, search string, from_visit long").withColumn("session_id", lit("s")).withColumn("is_new_domain", lit(0))
+    want, trail, at, last = {}, None, 0, None
+    for i, _, t, _, q, _ in rows:
+        if q is not None:
+            trail, at = i, 0
+        elif last is not None and t - last > structure.TRAIL_GAP_MS:
+            trail = None
+        if trail is not None:
+            want[i] = (f"trail:p:{trail}", at)
+            at += 1
+        last = t
+    members = structure.trail_members(visits)
+    assert {r.visit_id: (r.trail_id, r.ordinal) for r in members.collect()} == want
+    ends = [r for i, r in enumerate(rows) if i == len(rows) - 1 or rows[i + 1][3] != r[3]]
+    for steps in (2, 4):
+        flows = {}
+        for i in range(len(ends) - steps + 1):
+            key = " → ".join(r[3] for r in ends[i : i + steps])
+            n, seen = flows.get(key, (0, 0))
+            flows[key] = n + 1, max(seen, ends[i + steps - 1][2])
+        assert {r.pattern: (r.occurrences, r.last_ms) for r in structure.path_flows(visits, steps).collect()} == flows
+    assert structure.sessions(visits).first().depth == sum(r[5] is not None for r in rows)
+    for df in (members, structure.path_flows(visits, 3), structure.sessions(visits)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        wide = [x for x in plan.splitlines() if "Window [" in x and "visit_id" in x and "slot_" not in x]
+        assert not wide
