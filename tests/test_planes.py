@@ -66,3 +66,10 @@ def test_ties_odd_rows_lengths_and_no_rows(spark):
     more = plane.unionByName(planes.build(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")))
     assert [i for i, _ in topk(planes.batch_topk(more, asked, 2))[1]] == [1, 3]
     assert topk(planes.batch_topk(planes.build(df.where("vec_id = 9")), asked, 10)) == {1: [(9, 0.0)]}
+
+
+def test_queries_never_go_through_the_driver(spark):
+    """However small the tables look, blocks of queries are shuffled to blocks of vectors."""
+    plane = spark.createDataFrame([(0, 4, b"", b"", b"", b"")], planes.PLANE)
+    asked = spark.createDataFrame([(0, 4, b"", b"")], planes.QUERY)
+    assert "Broadcast" not in planes._meet(plane, asked, 4)._jdf.queryExecution().executedPlan().toString()

@@ -108,9 +108,12 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _meet(plane: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    """Every block of vectors beside every block of queries of its length: queries go to each of some groups of vectors."""
+    """Every block of vectors beside every block of queries of its length: queries go to each of some groups of vectors.
+
+    Always by a shuffle: Spark takes the repeated queries for as small as they were once, and would send them all through the driver.
+    """
     asked = queries.select(F.col("n").alias("m"), "dim", F.col("ids").alias("qids"), "asked", *(c for c in ["limits"] if c in queries.columns), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    return plane.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked, ["g", "dim"])
+    return plane.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked.hint("merge"), ["g", "dim"])
 
 
 def batch_topk(plane: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", pool: int = POOL) -> DataFrame:
@@ -140,8 +143,8 @@ def batch_topk(plane: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
                 own = np.array([known.get(q, -1) for q in np.frombuffer(row["ids"], np.int64).tolist()], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([row["n"]], pa.int32()), pa.array([row["dim"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (row["ids"], row["asked"], own.tobytes()))], ["n", "dim", "ids", "asked", "limits"])
 
-    where = _query_blocks(asked).join(limits, "query").groupBy("ids").agg(F.collect_list(F.struct("query", "limit")).alias("found"))  # a block's queries
-    ready = table(asked.join(where, "ids").select("n", "dim", "ids", "asked", "found").mapInArrow(limited, f"{QUERY}, limits binary"), "query-limits")
+    where = _query_blocks(asked).join(limits.hint("merge"), "query").groupBy("ids").agg(F.collect_list(F.struct("query", "limit")).alias("found"))  # a block's queries
+    ready = table(asked.join(where.hint("merge"), "ids").select("n", "dim", "ids", "asked", "found").mapInArrow(limited, f"{QUERY}, limits binary"), "query-limits")
     found = _meet(plane, ready, groups).mapInArrow(lambda b: _best(b, k), "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
