@@ -105,3 +105,12 @@ def test_empty_collections(spark, tmp_path):
     assert segments.read(spark, str(tmp_path)).n == 1
     with pytest.raises(ValueError):
         segments.read(spark, str(tmp_path / "nothing"))
+
+
+def test_fuzzy_scores_every_document(spark):
+    """A near word counts however many documents share more windows with the target; targets that may share none are looked for everywhere."""
+    rows = [("p", i, f"https://xxx.org/{i}", "com omp mpe per eri rin ing") for i in range(230)] + [("p", 1000, "https://yyy.org/", "comparing"), ("p", 1001, "https://yyy.org/2", "badge")]
+    index = index_of(documents(spark, spark.createDataFrame(rows, "profile_id string, url_id long, url string, title string")))
+    got = {r.doc_id: r.score for r in lexical.search(index, "compering").collect()}
+    assert got == {"p:1000": round(1 / 9, 9)}
+    assert {r.doc_id for r in lexical.search(index, "bodge").collect()} == {"p:1001"}

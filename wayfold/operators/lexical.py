@@ -18,7 +18,7 @@ from wayfold.functions.folding import Folder
 WEIGHTS = {"url": 6.0, "title": 12.0, "search_terms": 4.0, "normalized_url": 5.0, "normalized_title": 10.0, "normalized_terms": 4.0, "cjk": 2.0, "enrichment": 7.0, "notes": 9.0, "tags": 6.0}
 ALIASES = {"gh": ("github",), "yt": ("youtube",), "pr": ("pull request",)}
 K1, B, TRIGRAM_PENALTY = 1.2, 0.75, 0.35
-#: Added to a fuzzy match by field; candidates' URLs and visits that are scored; fixed values.
+#: Added to a fuzzy match by field; URLs and visits that a search for visits looks at; fixed values.
 FUZZY = {"normalized_title": 0.0, "normalized_url": 0.08, "normalized_terms": 0.12, "compact": 0.2}
 FUZZY_URLS, FUZZY_VISITS = 200, 400
 
@@ -209,19 +209,31 @@ def fuzzy_candidates(index: Index, q: Lexical, most: int = FUZZY_URLS) -> DataFr
     return near.orderBy("near", "doc_id").limit(most)
 
 
-def fuzzy(index: Index, q: Lexical, most: int = FUZZY_URLS) -> DataFrame:
-    """doc_id, near, score when nothing matches: distance of a target to a word of a field as a share of the longer, and the field's penalty.
+def _edits(target: str) -> int:
+    """Edits between a target and a word that is near to it."""
+    return 1 if len(target) <= 5 else 2 if len(target) <= 9 else 3 if len(target) <= 16 else 4
 
-    Words of the compact text are its windows of about the target's length. Only the candidates, a bounded
-    number, are looked up among the documents.
+
+def fuzzy(index: Index, q: Lexical, most: int | None = None) -> DataFrame:
+    """doc_id, score (and near, with most) when nothing matches: distance of a target to a word of a field as a share of the longer, and the field's penalty.
+
+    Words of the compact text are its windows of about the target's length. All documents are scored; those that can't
+    hold a near word, as they share no window with a target whose length leaves one whole, are passed over first. With
+    ``most``, only the documents of fuzzy_candidates are, with their place among these as near.
     """
+    columns = ["doc_id", "near", "score"] if most else ["doc_id", "score"]
     if not q.targets:
-        return index.docs.select("doc_id", F.lit(0.0).alias("near"), F.lit(0.0).alias("score")).limit(0)
-    near = fuzzy_candidates(index, q, most).collect()
-    docs = index.docs.where(F.col("doc_id").isin([r.doc_id for r in near]))
+        return index.docs.select("doc_id", F.lit(0.0).alias("near"), F.lit(0.0).alias("score")).limit(0).select(columns)
+    if most:
+        near = fuzzy_candidates(index, q, most).collect()  # a bounded number
+        docs = index.docs.where(F.col("doc_id").isin([r.doc_id for r in near]))
+    elif all(len(t) - 2 - 3 * _edits(t) >= 1 for t in q.targets):
+        docs = index.docs.where(reduce(or_, [F.contains("compact", F.lit(g)) for g in sorted({t[i : i + 3] for t in q.targets for i in range(len(t) - 2)})]))
+    else:
+        docs = index.docs
     every = []
     for target in q.targets:
-        limit = 1 if len(target) <= 5 else 2 if len(target) <= 9 else 3 if len(target) <= 16 else 4
+        limit = _edits(target)
 
         def score(words: Column, penalty: float, target: str = target, limit: int = limit) -> Column:
             d = F.transform(words, lambda w: F.struct(F.levenshtein(F.lit(target), w, limit).alias("d"), F.greatest(F.char_length(w), F.lit(len(target))).alias("n")))
@@ -230,6 +242,8 @@ def fuzzy(index: Index, q: Lexical, most: int = FUZZY_URLS) -> DataFrame:
         cuts = [F.flatten(F.transform(F.split("compact", " "), text.windows(k))) for k in range(max(len(target) - 2, 4), len(target) + 3)]
         every += [score(tokens(F.col(f)), p) for f, p in FUZZY.items() if f != "compact"] + [score(F.array_distinct(F.concat(*cuts)), FUZZY["compact"])]
     found = docs.select("doc_id", F.round(F.array_min(F.array_compact(F.array(*every))), 9).alias("score")).where("score IS NOT NULL")
+    if not most:
+        return found
     ranks = index.docs.sparkSession.createDataFrame([(r.doc_id, r.near) for r in near], "doc_id string, near double")
     return found.join(ranks, "doc_id").select("doc_id", "near", "score")
 
@@ -243,6 +257,6 @@ def search(index: Index, query: str, fold: Folder | None = None) -> DataFrame:
     """doc_id, score: lexical matches, or fuzzy ones if there is none. fold: what the documents were folded by."""
     q = analyze(query, fold)
     if not q.alternatives and not q.compacts:
-        return fuzzy(index, q).drop("near")
+        return fuzzy(index, q)
     found = scored(index, q)
-    return fuzzy(index, q).drop("near") if found.isEmpty() else found
+    return fuzzy(index, q) if found.isEmpty() else found

@@ -153,11 +153,13 @@ fz AS (SELECT doc_id, any_value(near) AS near, round(min(s), 9) AS score FROM (S
     UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(terms), '[^\\p{{L}}\\p{{N}}]+')), 0.12::DOUBLE FROM compacted
     UNION ALL SELECT doc_id, unnest([substr(r, i, k) for i in range(1, length(r) - k + 2)]), 0.2::DOUBLE FROM (SELECT doc_id, unnest(string_split(compact, ' ')) AS r FROM compacted), (VALUES (7), (8), (9), (10), (11)) k(k) WHERE length(r) >= k) JOIN near USING (doc_id)
     WHERE token <> '' AND levenshtein(token, 'compering') <= 2) GROUP BY doc_id)"""
+#: The same over all documents, without candidates.
+_FUZZY_ALL = _OV + ", fz AS (SELECT doc_id, round(min(s), 9)" + _FUZZY.split("any_value(near) AS near, round(min(s), 9)")[1].replace("SELECT doc_id, near, levenshtein", "SELECT doc_id, levenshtein").replace(" JOIN near USING (doc_id)", "")
 
 
-@query("lexical_fuzzy", "SELECT doc_id, round(score, 6) AS score FROM fz", _FUZZY)
+@query("lexical_fuzzy", "SELECT doc_id, round(score, 6) AS score FROM fz", _FUZZY_ALL)
 def lexical_fuzzy(spark: S, d: str) -> DataFrame:
-    """Documents near a mistyped word: of the 200 that share most of its windows, those within its edits."""
+    """All documents near a mistyped word: those within its edits."""
     found = lexical.search(_index(spark, d), "compering")
     return found.withColumn("score", F.round("score", 6))
 
@@ -166,7 +168,7 @@ def lexical_fuzzy(spark: S, d: str) -> DataFrame:
 def lexical_fuzzy_visits(spark: S, d: str) -> DataFrame:
     """Visits of the same: at most 400 are looked at."""
     rows = _history(spark, d).withColumn("doc_id", F.concat_ws(":", "profile_id", F.col("url_id").cast("string")))
-    found = lexical.fuzzy_visits(lexical.fuzzy(_index(spark, d), lexical.analyze("compering")), rows)
+    found = lexical.fuzzy_visits(lexical.fuzzy(_index(spark, d), lexical.analyze("compering"), lexical.FUZZY_URLS), rows)
     return found.select("visit_id", F.round("score", 6).alias("score"))
 
 
