@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,21 @@ def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a line of twenty-odd letters"), (None, "b line of twenty-odd letters"), (1, "a line of twenty-odd letters")], "doc_id long, text string")
     assert {r.doc_id: (r.n_lines, r.n_kept) for r in lines.dedup_lines(df).collect()} == {None: (2, 1), 1: (1, 0)}
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_letters_see_all_characters_and_flip_two_bits_at_most(spark):
+    rng = random.Random(5)
+    texts = ["дождь идёт над городом", "Zug 17 fährt, 18 nicht", "雨が降る日", "a𝄞b", ""] + ["".join(rng.choice("abzAZ09 .жé雨𝄞") for _ in range(30)) for _ in range(200)]
+    rows = [(t, edited(rng, t, 1) if t else "x") for t in texts]
+    flips = F.bit_count(lines.letters(F.col("a")).bitwiseXOR(lines.letters(F.col("b"))))
+    assert max(r.flips for r in spark.createDataFrame(rows, "a string, b string").select(flips.alias("flips")).collect()) <= 2
+    # lines of other scripts are told apart too
+    apart = spark.createDataFrame([("дождь идёт над городом", "снег лежит под мостами"), ("n", "."), ("雨", "日")], "a string, b string")
+    assert all(r.flips > 0 for r in apart.select(flips.alias("flips")).collect())
+
+
+def test_keys_of_many_places_are_compiled(spark, capsys):
+    texts = spark.range(3).select("id", F.lit("a line of some length").alias("line"), F.lit(21).alias("len"), F.lit(0).cast("long").alias("seed"), F.lit(None).cast("int").alias("only"))
+    lines._keys(texts, lines.probe_places(2), 2).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000, sizes  # the JVM leaves longer methods interpreted

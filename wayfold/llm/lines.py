@@ -28,34 +28,14 @@ def signature(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w)))
 
 
-#: Characters whose counts' parities are compared.
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-:/éèêàçäöüßñáíóú'"
-
-
 def letters(line: Column) -> Column:
-    """Parities of the counts of LETTERS in lower case: an edit takes away and adds one character at most, so it flips two bits at most."""
-    low = F.lower(line)
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        less = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))
-        odd = (less / len(c.encode())).cast("long").bitwiseAND(F.lit(1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(odd, i))
-    return out
-
-
-def segment_keys(places: list[tuple[int, int, int]], edits: int) -> Column:
-    """Keys of substrings of a line (columns line, len, seed and only): of each (less, i, move), the substring
-    that lies ``move`` places after segment i of a line ``less`` shorter would, with that length and i.
-
-    A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder. The
-    result is an array of one key a place, null where the line has no such substring or where the
-    column only isn't null and less isn't that.
+    """64 parities of characters by code point: an edit takes away and adds one character at most, so it flips two bits at most.
+
+    A shift by n is one by n mod 64; lower-case letters are moved aside, so that they share no bit with digits or marks.
     """
-    out = []
-    for less, i, move in places:
-        n, at, size = _place(f"{less}", f"{i}", f"{move}", edits + 1)
-        out.append(f"CASE WHEN {n} >= 1 AND {at} >= 1 AND {at} + {size} - 1 <= len AND coalesce(only = {less}, true) THEN xxhash64(seed, {n}, {i}, substring(line, {at}, {size})) END")
-    return F.expr(f"array({', '.join(out)})")
+    place = lambda c: c.bitwiseXOR(F.shiftright(c.bitwiseAND(F.lit(64)), 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(F.ascii(c)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
 def _place(less: str, i: str, move: str, k: int) -> tuple[str, str, str]:
@@ -145,13 +125,20 @@ def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
 
 
 def _keys(texts: DataFrame, places: list[tuple[int, int, int]], edits: int, *columns: str) -> DataFrame:
-    """One row a key of each line: id, columns, key, less, at, size, own, left (characters beside the segment in the shorter line)."""
-    rows = texts.select("id", "len", *columns, F.posexplode(segment_keys(places, edits)).alias("pos", "key")).where("key IS NOT NULL")
-    part = lambda j: F.element_at(F.array(*[F.lit(p[j]) for p in places]), F.col("pos") + 1)
-    rows = rows.withColumns({"less": part(0), "i": part(1), "move": part(2), "own": F.element_at(F.array(*[F.lit(p[0] == p[2] == 0) for p in places]), F.col("pos") + 1)})
-    _, at, size = _place("less", "i", "move", edits + 1)
-    rows = rows.withColumn("at", F.expr(at)).withColumn("size", F.expr(size))
-    return rows.withColumn("left", F.col("len") - F.col("less") - F.col("size")).drop("len", "pos", "i", "move")
+    """One row a key of each line: id, columns, key, less, own, at, size, left (characters beside the segment in the shorter line).
+
+    Of each place (less, i, move), the key is that of the substring that lies ``move`` places after segment i of a line
+    ``less`` shorter would, with that length and i; there is none where the line has no such substring or where only isn't
+    null and less isn't that. A line of n characters has ``edits + 1`` segments, the last ones longer by the remainder.
+    Places are rows, not one expression each: a method of all of them is too long to be compiled.
+    """
+    kept = list(dict.fromkeys(("id", "len", "line", "seed", "only", *columns)))
+    listed = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move")) for less, i, move in places])
+    rows = texts.select(*kept, F.explode(listed).alias("p")).select(*kept, "p.less", "p.i", "p.move")
+    n, at, size = _place("less", "i", "move", edits + 1)
+    rows = rows.withColumn("at", F.expr(at)).withColumn("size", F.expr(size)).where(f"{n} >= 1 AND at >= 1 AND at + size - 1 <= len AND coalesce(only = less, true)")
+    key = F.expr(f"xxhash64(seed, {n}, i, substring(line, at, size))").alias("key")
+    return rows.select("id", *columns, key, "less", F.expr("less = 0 AND move = 0").alias("own"), "at", "size", F.expr(f"{n} - size").alias("left"))
 
 
 def _first_keys(texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
