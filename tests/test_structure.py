@@ -150,3 +150,18 @@ def test_a_session_without_pauses_is_sorted_by_hours(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         wide = [x for x in plan.splitlines() if "Window [" in x and "visit_id" in x and "slot_" not in x]
         assert not wide
+
+
+def test_compare_sets_send_and_expand_nothing_large(spark):
+    cols = "profile_id string, trail_id string, page string, ordinal int, ms long, url string, domain string, raw_url string, visit_id long"
+    row = lambda t, i, p, d: ("a", t, "repo", i, i * 1000, f"https://{d}/{p}", d, f"https://{d}/{p}", i)
+    rows = [row("t1", i, p, "x.org") for i, p in enumerate(["a/1", "b/1", "a/1"])] + [row("t2", i, "a/1", d) for i, d in enumerate(["x.org", "y.org", "x.org", "y.org"])] + [row("t3", i, p, "x.org") for i, p in enumerate(["a/1", "a/2", "a/1"])] + [row("t4", 0, "a/1", "x.org")]
+    sets = structure.compare_sets(spark.createDataFrame(rows, cols))
+    got = {r.trail_id: (r.pages, r.domains, r.alternations, r.siblings) for r in sets.collect()}
+    assert got == {"t1": (2, 1, 2, 2), "t2": (2, 2, 3, 0)}
+    expanded = [x for x in _plan(sets).split("\n") if "Expand" in x]
+    assert expanded and not any("prefix" in x or "turned" in x for x in expanded), expanded  # distinct counts are made of kept sets
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
