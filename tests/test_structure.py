@@ -163,5 +163,13 @@ def test_compare_sets_send_and_expand_nothing_large(spark):
     assert expanded and not any("prefix" in x or "turned" in x for x in expanded), expanded  # distinct counts are made of kept sets
 
 
+def test_refinds_never_send_members(spark):
+    cols = "visit_id long, profile_id string, url string, domain string, ms long, from_visit long, search string"
+    visits = spark.createDataFrame([(1, "a", "u", "d", 0, None, None), (2, "a", "u", "d", 90_000_000, 1, None)], cols)
+    found = structure.refind_pages(visits, spark.createDataFrame([(2, "t")], "visit_id long, trail_id string"))
+    assert [(r.days, r.trails, r.visits) for r in found.collect()] == [(2, 1, 2)]
+    assert "ResolvedHint (strategy=merge)" in found._jdf.queryExecution().analyzed().toString()
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
