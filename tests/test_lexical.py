@@ -114,3 +114,23 @@ def test_fuzzy_scores_every_document(spark):
     got = {r.doc_id: r.score for r in lexical.search(index, "compering").collect()}
     assert got == {"p:1000": round(1 / 9, 9)}
     assert {r.doc_id for r in lexical.search(index, "bodge").collect()} == {"p:1001"}
+
+
+def test_hybrid_lists_are_reckoned_once(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import hybrid
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def nearness(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    hits = spark.range(20).select(F.col("id").cast("string").alias("page"), F.col("id").cast("double").alias("nearness")).mapInArrow(nearness, "page string, nearness double")
+    visits = spark.range(20).select(F.col("id").cast("string").alias("page"), F.col("id").alias("doc_id"), F.col("id").alias("ms"), F.col("id").alias("visit_id"))
+    lexical_ = hybrid.lexical_list(visits, visits.where("doc_id < 3"), 5)
+    fused = hybrid.fuse(lexical_, hybrid.semantic_list(hits, visits, 5), spark.createDataFrame([("19",)], "page string"))
+    rows = hybrid.page_of(fused, 10).collect()
+    assert rows[0].page == "19" and len(rows) == 8 and seen.value == 20

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators import vectors
+from wayfold.store import table
 
 LEXICAL, SEMANTIC, BOTH = "Lexical match", "Semantic match", "Lexical + semantic match"
 #: Rows of a page at most, and how many times a page a list has under a facet.
@@ -27,7 +28,7 @@ def lexical_list(visits: DataFrame, found: DataFrame, limit: int) -> DataFrame:
 def semantic_list(hits: DataFrame, visits: DataFrame, limit: int, faceted: bool = False) -> DataFrame:
     """hits: page, nearness, of pages that pass the facets. The nearest pages with their newest visit: page, rank, ms, visit_id."""
     size = _limit(limit) * (EXPANSION if faceted else 1)
-    best = hits.orderBy(F.desc("nearness"), "page").limit(size)
+    best = table(hits.orderBy(F.desc("nearness"), "page").limit(size), "hybrid-near")  # read twice, reckoned once
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("nearness"), "page")) - 1)  # a bounded list
     newest = visits.join(ranked.select("page"), "page", "left_semi").groupBy("page").agg(F.max(F.struct("ms", "visit_id")).alias("v"))
     return ranked.join(newest, "page").select("page", "rank", "v.ms", "v.visit_id")
@@ -43,7 +44,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, starred: DataFrame, k: int = v
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     match = F.when(F.col("ra").isNull(), SEMANTIC).when(F.col("rb").isNull(), LEXICAL).otherwise(BOTH)
     both = a.join(b, "page", "full").select("page", F.coalesce("vb", "va").alias("visit_id"), F.coalesce("mb", "ma").alias("ms"), match.alias("match"), F.round(part("ra") + part("rb"), 9).alias("score"))
-    return vectors.starred_boost(both, starred, "page", boost)
+    return vectors.starred_boost(table(both, "hybrid-fused"), starred, "page", boost)
 
 
 def page_of(fused: DataFrame, limit: int, cursor: str | None = None) -> DataFrame:

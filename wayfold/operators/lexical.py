@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import text
 from wayfold.functions.folding import Folder
+from wayfold.store import table
 
 #: Fields of a document and their weights, in order; fixed values.
 WEIGHTS = {"url": 6.0, "title": 12.0, "search_terms": 4.0, "normalized_url": 5.0, "normalized_title": 10.0, "normalized_terms": 4.0, "cjk": 2.0, "enrichment": 7.0, "notes": 9.0, "tags": 6.0}
@@ -258,5 +259,5 @@ def search(index: Index, query: str, fold: Folder | None = None) -> DataFrame:
     q = analyze(query, fold)
     if not q.alternatives and not q.compacts:
         return fuzzy(index, q)
-    found = scored(index, q)
+    found = table(scored(index, q), "lexical-found")
     return fuzzy(index, q) if found.isEmpty() else found
