@@ -340,3 +340,10 @@ def test_latest_flow_and_exports(spark):
     assert (list(r.visit_ids), r.last_ms) == ([6, 7], 7 * MIN)
     old = spark.createDataFrame([("u", 1, False), ("v", 1, False)], "url string, updated_at long, deleted boolean")
     assert [x.url for x in export.keep_latest(old, spark.createDataFrame([("u", 2, True)], "url string, updated_at long, deleted boolean"), ["url"]).collect()] == ["v"]
+
+
+def test_urls_of_the_archive_are_counted_by_hash(spark):
+    from wayfold.sources import testdata
+
+    urls = testdata.archive(spark, "/root/testdata/sf0.001")["urls"]
+    assert "SortAggregate" not in urls._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql.functions import lit
 
-from wayfold.operators import families, ingest, structure
+from wayfold.operators import facts, families, ingest, structure
 
 DAY = 86_400_000
 
@@ -173,3 +173,26 @@ def test_refinds_never_send_members(spark):
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7, 1000])
+def test_sessions_by_stretches_equal_a_loop(spark, gap):
+    r = random.Random(gap)
+    rows = sorted({(r.choice("pq"), r.choice([-9, 0, 4]) * 10**4 + r.randrange(0, 40 * (gap + 1), r.choice([1, gap or 1])), i) for i in range(300)})
+    want, last, begun = {}, {}, {}
+    for p, ms, i in rows:
+        if p not in last or ms - last[p] > gap:
+            begun[p] = i
+        last[p], want[i] = ms, f"session:{p}:{begun[p]}"
+    df = spark.createDataFrame(rows, "profile_id string, ms long, visit_id long")
+    spans = structure.session_spans(df, gap)
+    assert {x.visit_id: x.session_id for x in structure.in_sessions(df, spans, gap).collect()} == want
+    assert "SortAggregate" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_visits_to_domains_are_found_by_hash(spark):
+    big = 2**62
+    rows = [("p", "a", 5, 9), ("p", "a", 5, -big), ("p", "a", 6, -big - 1), ("p", "b", -7, 3), ("p", "b", -7, 2), ("q", "a", 1, big), (None, None, 3, 1), (None, None, 4, 0)]
+    got = facts.with_new_domains(spark.createDataFrame(rows, "profile_id string, domain string, ms long, visit_id long"))
+    assert sorted((r.ms, r.visit_id) for r in got.collect() if r.is_new_domain) == [(-7, 2), (1, big), (3, 1), (5, -big)]
+    assert got.count() == 8 and "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
