@@ -56,3 +56,16 @@ def test_planes_that_were_removed_are_built_again(spark, tmp_path):
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
         kept.count()
     assert store.once(spark, "n", [path], build).first().n == 4
+
+
+def test_a_busy_day_is_written_by_several_tasks(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(0, 60_000, numPartitions=6).write.parquet(path)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        df = store.once(spark, "days", [path], lambda: spark.read.parquet(path).select("id", F.lit("2024-01-01").alias("day")), ["day"])
+        assert df.count() == 60_000 and len({f for f in df.inputFiles() if "day=2024-01-01" in f}) > 1
+    finally:
+        spark.conf.set(size, before)
